@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm import decontaminate, exact_dedup, simhash
+from pagewatch.llm import decontaminate, exact_dedup, packing, quality, simhash, token_counts, toxicity
 from pagewatch.llm.shared import read
 
 
@@ -21,6 +21,34 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, t.text_sha256 FROM
 """
 
 
+#: Tokens of a document that is over the limit.
+TOKEN_LIMIT = 2048
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_counts.token_counts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -56,5 +84,8 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_simhash": op7_simhash, "op10_decontamination": op10_decontamination}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality, "op7_simhash": op7_simhash, "op10_decontamination": op10_decontamination,
+}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
