@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm import decontaminate, exact_dedup, packing, quality, simhash, token_counts, toxicity
+from pagewatch.llm import decontaminate, exact_dedup, packing, quality, simhash, token_counts, toxicity, url_filter, warc
 from pagewatch.llm.shared import read
 
 
@@ -49,6 +49,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -86,6 +94,7 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity,
-    "op5_quality": op5_quality, "op7_simhash": op7_simhash, "op10_decontamination": op10_decontamination,
+    "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_warc": op8_warc,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
