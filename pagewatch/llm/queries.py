@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm import decontaminate, exact_dedup, packing, quality, simhash, token_counts, toxicity, url_filter, warc
+from pagewatch.llm import decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 from pagewatch.llm.shared import read
 
 
@@ -62,6 +62,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -94,7 +98,7 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity,
-    "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_warc": op8_warc,
+    "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
