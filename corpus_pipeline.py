@@ -1,13 +1,71 @@
-"""The corpus pipeline: toxicity, exact dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, benchmark decontamination, packing.
+
+run() writes each stage's documents to the folder that the cluster shares and reads them again, so that a stage
+starts from what its predecessor kept and a lost executor costs no earlier stage. A null text counts as
+empty; rows with a null doc_id are kept unless their text is rejected or repeats.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewatch.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from pagewatch.llm.queries import vocabulary
+from pagewatch.llm.shared import read, table
+
+#: No stage but exact dedup can be put in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier than not to have a severity grade over 0 go. Labels are of all documents."""
+    model = toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays; of rows repeated with it, one."""
+    rows = table(exact_dedup.dedup(docs), "copies")
+    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "doc_id").agg(F.count("*").alias("_rows"))
+    kept = table(kept.withColumnsRenamed({"digest": "_digest", "doc_id": "_keep_id"}), "kept")
+    own = F.unhex(F.sha2(F.encode(F.coalesce(docs["text"], F.lit("")), "utf-8"), 256))
+    found = docs.join(kept, (own == F.col("_digest")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_keep_id")))
+    once = found.where("_rows = 1").select(docs.columns)
+    if kept.where("_rows > 1").isEmpty():
+        return once
+    return once.unionByName(found.where("_rows > 1").dropDuplicates(["_digest"]).select(docs.columns))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id stays."""
+    gone = simhash.near_copies(docs).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_doc_id"), F.col("node").alias("_node")).distinct()
+    gone = table(gone, "near-copies-gone")
+    same = (simhash.node_of(docs["text"]) == F.col("_node")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id"))
+    return docs.join(gone, same, "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return decontaminate.keep_uncontaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most packing.LIMIT tokens."""
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

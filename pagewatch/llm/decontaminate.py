@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.shared import columns, texts
+from pagewatch.llm.shared import columns, small_batches, texts
 
 #: Words of a window.
 WINDOW = 10
@@ -76,6 +76,28 @@ def _spans(text: bytes, mask: np.ndarray) -> list[dict]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
+def test_items(benchmark: DataFrame) -> list[tuple[str, bytes]]:
+    """item_id and text of all items, once their texts' size is checked."""
+    kept = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
+    size = kept.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes of text; at most {MAX_BENCHMARK_BYTES} go into one automaton")
+    return [(r.item, bytes(r.text)) for r in kept.collect()]
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns unchanged, in which no window occurs."""
+    items = test_items(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Automaton(items, window)
+        for batch, found in columns(batches):
+            yield batch.filter(pa.array([tree.scan(t or b"")[1] is None for t in found], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted as strings), spans (bytes of the original text) per row of docs.
 
@@ -83,11 +105,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     once by item_id; an item with a null item_id is named "null". Repeated rows of docs come back as
     often as they are given. Empty tables give empty results (docs) or no hits (benchmark).
     """
-    kept = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
-    size = kept.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; at most {MAX_BENCHMARK_BYTES} go into one automaton")
-    items = [(r.item, bytes(r.text)) for r in kept.collect()]
+    items = test_items(benchmark)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,9 +47,14 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have TEXT_BATCH_ROWS rows at most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and `more` columns; other columns are left out."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 

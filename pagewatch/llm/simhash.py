@@ -10,13 +10,14 @@ Inside a bucket a search emits a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewatch.llm.shared import columns, table, texts
@@ -26,9 +27,15 @@ WORDS, DISTANCE = 3, 3
 SEED = 42
 BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints of a bucket that one task compares; larger buckets are split further.
-BUCKET = 4096
+BUCKET = 1024
+BUCKET_KEY = ("seed", "mask", "val")
 _CHUNK = 1 << 16
 
+#: near_copies: words of a shingle, the least Jaccard similarity of their sets, and how many fingerprints a text has.
+SHINGLE, SIMILARITY, FINGERPRINTS = 5, 0.8, 4
+#: Bytes of shingle hashes from which a group of candidates is compared bucket by bucket.
+GROUP_BYTES = 16 << 20
+
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     """The fingerprint of one text, as a signed 64-bit integer; 0 where the text has no words."""
@@ -78,7 +85,7 @@ def _split_mask(mask: int) -> list[int]:
 
 def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     made = [F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("val")) for m in masks]
-    return fps.select("fp", F.inline(F.array(*made)))
+    return fps.select("seed", "fp", F.inline(F.array(*made)))
 
 
 def bucket_links(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -101,53 +108,59 @@ def bucket_links(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray,
 
 
 def _links_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within buckets; rows come sorted by (mask, val), and a bucket may go over batches."""
+    """Links within buckets; rows come sorted by BUCKET_KEY, and a bucket may go over batches."""
 
-    def emit(m: np.ndarray, v: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(seed: np.ndarray, mask: np.ndarray, val: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(fp):
             return
-        starts = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (v[1:] != v[:-1])])
+        starts = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (mask[1:] != mask[:-1]) | (val[1:] != val[:-1])])
         sizes = np.diff(np.r_[starts, len(fp)])
         two = starts[sizes == 2]  # most buckets: compared all at once
         near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= DISTANCE
-        found = [(fp[two][near], fp[two + 1][near])]
-        found += [bucket_links(fp[s : s + n]) for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True)]
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["hi", "lo"])
-
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        found = [(seed[two][near], fp[two][near], fp[two + 1][near])]
+        for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            a, b = bucket_links(fp[s : s + n])
+            found.append((np.full(len(a), seed[s]), a, b))
+        own, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = a.view(np.int64), b.view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["seed", "hi", "lo"])
+
+    held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
     for batch in batches:
-        new = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("mask", "val", "fp")]
-        m, v, fp = (np.concatenate(x) for x in zip(held, [new[0], new[1], new[2].view(np.uint64)], strict=True))
+        new = [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in (*BUCKET_KEY, "fp")]
+        seed, mask, val, fp = (np.concatenate(x) for x in zip(held, [*new[:3], new[3].view(np.uint64)], strict=True))
         if not len(fp):
             continue
-        whole = int(np.argmax((m == m[-1]) & (v == v[-1])))  # the last bucket may go on
-        yield from emit(m[:whole], v[:whole], fp[:whole])
-        held = [m[whole:], v[whole:], fp[whole:]]
+        whole = int(np.argmax((seed == seed[-1]) & (mask == mask[-1]) & (val == val[-1])))  # the last bucket may go on
+        yield from emit(seed[:whole], mask[:whole], val[:whole], fp[:whole])
+        held = [seed[whole:], mask[whole:], val[whole:], fp[whole:]]
     yield from emit(*held)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """hi, lo: links between distinct fingerprints that keep the components of all links within DISTANCE."""
-    masks, rows, found = _block_masks(), None, None
+def buckets(fps: DataFrame) -> DataFrame:
+    """seed, mask, val, fp: distinct fingerprints (seed, fp) in buckets of two to BUCKET.
+
+    Any two fingerprints of one seed within DISTANCE share a bucket. Larger buckets are split until none is left.
+    """
+    masks, found = _block_masks(), None
     keyed = _keyed(fps, masks)
     while True:
-        sizes = keyed.groupBy("mask", "val").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = table(sizes, "simhash-buckets")
-        small = keyed.join(sizes.where(F.col("n") <= BUCKET).drop("n"), ["mask", "val"])
-        rows = small.repartition("mask", "val").sortWithinPartitions("mask", "val")
-        part = rows.select("mask", "val", "fp").mapInArrow(_links_of_sorted, "hi long, lo long")
-        found = part if found is None else found.unionByName(part)
-        if sizes.where(F.col("n") > BUCKET).isEmpty():
-            return found.distinct()
-        hot = keyed.join(sizes.where(F.col("n") > BUCKET).drop("n"), ["mask", "val"]).select("fp", "mask")
-        finer = sorted({s for m in masks for s in _split_mask(m)})
+        sizes = table(keyed.groupBy(*BUCKET_KEY).agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
+        small = keyed.join(sizes.where(F.col("n") <= BUCKET).drop("n"), list(BUCKET_KEY))
+        found = small if found is None else found.unionByName(small)
+        large = sizes.where(F.col("n") > BUCKET).drop("n")
+        if large.isEmpty():
+            return found.select(*BUCKET_KEY, "fp")
         by_mask = F.create_map(*(x for m in masks for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(s)) for s in _split_mask(m))))))
-        keyed = table(
-            hot.select("fp", F.explode(by_mask[F.col("mask")]).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val")).distinct(),
-            "simhash-split",
-        )
-        masks = finer
+        split = keyed.join(large, list(BUCKET_KEY)).select("seed", "fp", F.explode(by_mask[F.col("mask")]).alias("mask"))
+        keyed = table(split.select("seed", "fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val")).distinct(), "simhash-split")
+        masks = sorted({s for m in masks for s in _split_mask(m)})
+
+
+def links(found: DataFrame) -> DataFrame:
+    """seed, hi, lo of buckets(...): links that keep the components of all links within DISTANCE of one seed."""
+    ordered = found.repartition(*BUCKET_KEY).sortWithinPartitions(*BUCKET_KEY).select(*BUCKET_KEY, "fp")
+    return ordered.mapInArrow(_links_of_sorted, "seed int, hi long, lo long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,8 +199,125 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> Da
     """
     rows = table(fingerprints(docs, words, seed), "fingerprints")
     own = table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    root = components(links(own.select("fp")))
+    root = components(links(buckets(own.select(F.lit(0).alias("seed"), "fp"))).select("hi", "lo"))
     rooted = own.join(root, own.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = table(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _sketch(words: set[bytes], seeds: int) -> list[int]:
+    """Fingerprints of a set of words, one for each seed."""
+    if not words:
+        return [0] * seeds
+    raw = b"".join(xxhash.xxh3_128_digest(w, seed) for seed in range((seeds + 1) // 2) for w in words)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, len(words), 16), axis=2)
+    major = np.packbits(2 * bits.sum(axis=1, dtype=np.int64) > len(words), axis=1)
+    return major.reshape(-1).view("<i8")[:seeds].tolist()
+
+
+def sketches(docs: DataFrame, seeds: int = FINGERPRINTS) -> DataFrame:
+    """doc_id, node (16 bytes of the text's SHA-256), fps (of the set of its words), n_words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in columns(batches):
+            words = [t.lower().split() for t in found]
+            node = [hashlib.sha256(t).digest()[:16] for t in found]
+            made = [pa.array(node, pa.binary()), pa.array([_sketch(set(w), seeds) for w in words], pa.list_(pa.int64())), pa.array(map(len, words), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "node", "fps", "n_words"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, node binary, fps array<long>, n_words long")
+
+
+def node_of(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 256), 1, 32))
+
+
+def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; a shorter text is one shingle, one without words has none."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64))
+
+
+def similar_links(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets of at least that Jaccard similarity (two empty sets: 1)."""
+    out, rest = [], np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets])
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            may = (sizes[rest] >= least * sizes[x]) & (least * sizes[rest] <= sizes[x])
+            near = np.zeros(len(rest), bool)
+            some = rest[may]
+            if len(some):
+                flat = np.concatenate([sets[i] for i in some] + [sets[x][:0]])
+                at = np.searchsorted(sets[x], flat)
+                hit = np.r_[0, np.cumsum(sets[x][np.minimum(at, sizes[x] - 1)] == flat)] if sizes[x] else np.zeros(len(flat) + 1, int)
+                ends = np.cumsum(sizes[some])
+                both = hit[ends] - hit[ends - sizes[some]]
+                union = sizes[some] + sizes[x] - both
+                near[may] = both >= least * union
+            got = rest[near]
+            out += [(x, int(y)) for y in got]
+            queue += got.tolist()
+            rest = rest[~near]
+    return out
+
+
+def _verify(key: tuple, rows: pa.Table) -> pa.Table:
+    found = dict(zip(rows.column("node").to_pylist(), rows.column("body").to_pylist(), strict=True))
+    nodes = sorted(found)
+    pairs = [sorted((nodes[a], nodes[b])) for a, b in similar_links([np.frombuffer(found[n], np.uint64) for n in nodes])]
+    return pa.table({"hi": pa.array([b for _, b in pairs], pa.binary()), "lo": pa.array([a for a, _ in pairs], pa.binary())})
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, node, keep_id for the rows of docs in groups of two or more near copies; keep_id: the group's smallest doc_id.
+
+    Links are pairs of texts whose sets of SHINGLE-word shingles have a Jaccard similarity of SIMILARITY or more,
+    among candidates: texts with one of their FINGERPRINTS within DISTANCE bits. Fingerprints are of word sets,
+    whose changes are few where a shingle set's are many, and there are several since each alone misses some.
+    Candidates' components are compared inside a task each; one of more than GROUP_BYTES bucket by bucket. Equal
+    texts are one node. Null texts count as empty, and texts without words are alike. A null doc_id never is
+    a keep_id unless its group has no other. Empty tables give empty results; extra columns are ignored.
+    """
+    rows = table(sketches(docs), "sketches")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("n_words").alias("n_words"))
+    nodes = table(nodes, "sketch-nodes")
+    prints = table(nodes.select("node", "n_words", F.posexplode("fps").alias("seed", "fp")), "sketch-prints")
+    own = table(prints.groupBy("seed", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "sketch-distinct")
+    found = table(buckets(own.select("seed", "fp")), "sketch-buckets")
+    pairs = links(found)
+    high, low = (own.select("seed", F.col("fp").alias(n), F.col("rep").alias(f"{n}_rep")) for n in ("hi", "lo"))
+    edges = pairs.join(high, ["seed", "hi"]).join(low, ["seed", "lo"]).select(F.col("hi_rep").alias("a"), F.col("lo_rep").alias("b"))
+    same = prints.join(own.where("n > 1").select("seed", "fp", "rep"), ["seed", "fp"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    edges = edges.unionByName(same).where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    root = table(components(edges), "candidates")
+    member = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    member = table(member.join(nodes.select("node", "n_words"), "node"), "candidates")
+    large = member.groupBy("root").agg(F.sum(8 * F.col("n_words")).alias("bytes")).where(F.col("bytes") > GROUP_BYTES).select("root")
+    large = table(large, "large-groups")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in columns(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(t).tobytes() for t in found], pa.binary())], ["node", "body"])
+
+    wanted = nodes.join(member.select("node"), "node").select(F.col("first"), F.col("node").alias("wanted"))
+    own_text = texts(docs.select("doc_id", "text", node_of(F.col("text")).alias("node")), "node")
+    chosen = own_text.join(wanted, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "node")
+    sets = table(chosen.mapInArrow(run, "node binary, body binary"), "shingle-sets")
+    grouped = member.join(large, "root", "left_anti").select(F.hex("root").alias("group"), "node")
+    hot = prints.join(member.join(large, "root").select("node"), "node").select("seed", "fp", "node")
+    alike = F.concat_ws(" ", "seed", "fp")
+    grouped = grouped.unionByName(hot.join(found, ["seed", "fp"]).select(F.concat_ws(" ", *BUCKET_KEY).alias("group"), "node"))
+    grouped = grouped.unionByName(hot.join(own.where("n > 1").select("seed", "fp"), ["seed", "fp"]).select(alike.alias("group"), "node"))
+    checked = grouped.join(sets, "node").groupBy("group").applyInArrow(_verify, "hi binary, lo binary").distinct()
+    root = components(checked)
+    root = table(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()), "near-copies")
+    kept = root.join(nodes.select("node", "first"), "node")
+    least = kept.groupBy("root").agg(F.min("first").alias("keep_id"))
+    return rows.select("doc_id", "node").join(kept.join(least, "root").select("node", "keep_id"), "node")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.shared import table, texts
+from pagewatch.llm.shared import small_batches, table, texts
 
 #: Labelled rows to fit on, those of least hashed doc_id: a bounded sample.
 MAX_LABELLED = 12_000
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Ordina
     dense = x.sum(axis=1) / np.maximum(n, 1)
     edges = np.quantile(dense[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(toxic == 1, 1 + np.searchsorted(edges, dense, side="right"), 0)
-    weights, cuts = fit_ordinal(x.astype(float), grade)
+    weights, cuts = fit_ordinal(x, grade)
     return Ordinal(features, weights, cuts)
 
 
@@ -148,29 +148,43 @@ class _Memo(dict):
         return found
 
 
-def score(docs: DataFrame, model: Ordinal, *more: str) -> DataFrame:
-    """doc_id, severity (0 to GRADES - 1), p_toxic (of a grade over 0), toxic, and `more` columns of docs.
+def _sums(found: list[str | None], model: Ordinal, memo: _Memo) -> np.ndarray:
+    """w.x of each text."""
+    x = np.zeros(len(found))
+    for i, text in enumerate(found):
+        times: dict[int, int] = {}
+        for at in filter(None, [memo[w] for w in words(text or "")]):
+            for f in at:
+                times[f] = times.get(f, 0) + 1
+        if times:
+            x[i] = np.log1p(list(times.values())) @ model.weights[list(times)]
+    return x
+
+
+def keep_clean(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose text isn't toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo(model.features)
+        for batch in batches:
+            found = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array(model.probabilities(_sums(found, model, memo))[:, 0] < THRESHOLD))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def score(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """doc_id, severity (0 to GRADES - 1), p_toxic (of a grade over 0), toxic.
 
     A null text counts as empty: no features, the severity of the intercepts. Rows come back one for one,
     repeated rows too; a null doc_id stays null. The whole text is read.
     """
-    rows = texts(docs, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(model.features)
         for batch in batches:
-            x = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                times: dict[int, int] = {}
-                for at in filter(None, [memo[w] for w in words(text)]):
-                    for f in at:
-                        times[f] = times.get(f, 0) + 1
-                if times:
-                    x[i] = np.log1p(list(times.values())) @ model.weights[list(times)]
-            over = model.probabilities(x)
-            made = [batch.column("doc_id"), pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(over[:, 0] >= THRESHOLD)]
-            made += [batch.column(name) for name in more]
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "severity", "p_toxic", "toxic", *more])
-
-    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in more)
-    return rows.mapInArrow(run, f"doc_id long, severity double, p_toxic double, toxic boolean{kinds}")
+            over = model.probabilities(_sums(batch.column("text").to_pylist(), model, memo))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(over[:, 0] >= THRESHOLD)], ["doc_id", "severity", "p_toxic", "toxic"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, severity double, p_toxic double, toxic boolean")

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.shared import TEXT_BATCH_ROWS, new_folder, table
+from pagewatch.llm.shared import new_folder, small_batches, table
 
 #: Lines of a block of the index, and bytes after which a task begins another archive.
 BLOCK_LINES, ARCHIVE_BYTES = 512, 1 << 30
@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     same page_id; a payload whose rows have no page_id is always a response. Records are compressed
     before they are shuffled.
     """
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     key = [F.unhex(F.sha2("payload", 256)).alias("sha"), F.octet_length("payload").cast("long").alias("size")]
     first = own.select("page_id", *key).where(F.col("size") >= min_revisit).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
