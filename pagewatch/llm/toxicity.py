@@ -2,8 +2,8 @@
 
 P(grade > k) = sigmoid(w.x - t_k): one weight vector for all thresholds t_0 <= t_1 <= t_2; the expected
 severity is the sum of these probabilities. Features are words and word beginnings (inflected insults
-share their beginning), as logs of their counts. labels has 0 and 1 only, so the grades 1 to GRADES - 1
-of its toxic rows are quantiles of how dense their telling features are.
+share their beginning), as logs of their counts; those that always come together share one weight. labels has 0 and 1 only, so the grades 1 to GRADES - 1
+of its toxic rows are quantiles of how much they have of the telling features.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ MAX_LABELLED = 12_000
 GRADES = 4
 #: Letters of the beginnings of words that are features beside whole words.
 PREFIXES = (4, 5, 6)
-#: A feature counts if so many toxic rows have it, and it is so many times as frequent in toxic rows.
-MIN_TOXIC, MIN_RATIO = 4, 8.0
+#: A feature counts if so many toxic rows have it, at least this share of them, and it is so many times as frequent in toxic rows.
+MIN_TOXIC, MIN_SHARE, MIN_RATIO = 4, 0.01, 8.0
 #: A document is rejected where it is likelier than not to have a grade over 0.
 THRESHOLD = 0.5
 #: Words whose features a worker remembers.
@@ -61,38 +61,36 @@ class Ordinal:
         return self.probabilities(x).sum(axis=1)
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and cuts of least mean log loss (Adam). Cuts are a start and positive gaps, hence in order."""
+def fit_ordinal(x: np.ndarray, y: np.ndarray, times: np.ndarray, grades: int = GRADES, penalty: float = 1e-4, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and cuts of least mean log loss (Adam); times: how often each row stands.
+
+    Cuts are a start and positive gaps, hence in order.
+    """
     n, width = x.shape
+    share = times / times.sum()
+    rows, has, more = np.arange(n), np.flatnonzero(y > 0), np.flatnonzero(y < grades - 1)
     p = np.zeros(width + grades - 1)
     p[width] = 2.0
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         w, gaps = p[:width], np.exp(p[width + 1 :])
         cuts = p[width] + np.r_[0, np.cumsum(gaps)]
-        cumulative = 1 / (1 + np.exp(np.clip(cuts[None, :] - (x @ w)[:, None], -40, 40)))
-        # log P(y = k) = log(S_{k-1} - S_k) with S_{-1} = 1, S_last = 0
-        upper = np.c_[np.ones(n), cumulative][np.arange(n), y]
-        lower = np.c_[cumulative, np.zeros(n)][np.arange(n), y]
-        mass = np.maximum(upper - lower, 1e-9)
-        slope = cumulative * (1 - cumulative)
-        du, dl = np.c_[np.zeros(n), slope][np.arange(n), y] / mass, np.c_[slope, np.zeros(n)][np.arange(n), y] / mass
-        eta = (dl - du) / n  # of the loss by w.x
-        by_cut = np.zeros((n, grades - 1))
-        rows = np.arange(n)
-        has = y > 0
-        by_cut[rows[has], y[has] - 1] += du[has] / n
-        has = y < grades - 1
-        by_cut[rows[has], y[has]] -= dl[has] / n
-        cut = by_cut.sum(axis=0)
-        grad = np.r_[x.T @ eta + penalty * w, cut.sum(), np.cumsum(cut[::-1])[::-1][1:] * gaps]
+        over = 1 / (1 + np.exp(np.clip(cuts[None, :] - (x @ w)[:, None], -40, 40)))
+        slope = over * (1 - over)
+        # the mass of grade y is P(grade > y - 1) - P(grade > y)
+        mass = np.maximum(np.c_[np.ones(n), over][rows, y] - np.c_[over, np.zeros(n)][rows, y], 1e-9)
+        upper, lower = np.c_[np.zeros(n), slope][rows, y] * share / mass, np.c_[slope, np.zeros(n)][rows, y] * share / mass
+        cut = np.zeros(grades - 1)
+        np.add.at(cut, y[has] - 1, upper[has])
+        np.add.at(cut, y[more], -lower[more])
+        grad = np.r_[x.T @ (lower - upper) + penalty * w, cut.sum(), np.cumsum(cut[::-1])[::-1][1:] * gaps]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return p[:width], p[width] + np.r_[0, np.cumsum(np.exp(p[width + 1 :]))]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features and counts of the labelled sample's rows, their labels and words."""
+    """Features and counts of the labelled sample's distinct texts, their labels and numbers of words."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
@@ -107,13 +105,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[list[np.n
                 n.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), pa.array(n, pa.int64())], ["toxic", "hashes", "counts", "n"])
 
-    rows = table(texts(docs.join(F.broadcast(known), "doc_id"), "toxic").mapInArrow(run, "toxic int, hashes binary, counts binary, n long"), "toxic-labelled").toLocalIterator()
+    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").withColumn("same", F.xxhash64("text")).dropDuplicates(["same"])
+    rows = table(texts(sample, "toxic").mapInArrow(run, "toxic int, hashes binary, counts binary, n long"), "toxic-labelled").toLocalIterator()
     found = [(np.frombuffer(r.hashes, np.uint32).astype(np.int64), np.frombuffer(r.counts, np.uint16), r.toxic, r.n) for r in rows]
     return [f[0] for f in found], [f[1] for f in found], np.array([f[2] for f in found], int), np.array([f[3] for f in found], int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Ordinal:
-    """Without toxic and other rows among the labelled ones, the model gives every text severity 0."""
+    """Without toxic and other rows among the labelled ones, or features that tell them apart, the model gives every text severity 0."""
     hashes, counts, toxic, n = _labelled(docs, labels, bound)
     if not toxic.any() or toxic.all():
         return Ordinal(_NOTHING, np.zeros(0), np.full(GRADES - 1, 40.0))
@@ -122,17 +121,25 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Ordina
     at = np.minimum(np.searchsorted(good, bad), max(len(good) - 1, 0))
     other = np.where(good[at] == bad, good_n[at], 0) if len(good) else np.zeros(len(bad))
     ratio = (bad_n / toxic.sum()) / ((other + 0.5) / (1 - toxic).sum())
-    features = bad[(bad_n >= MIN_TOXIC) & (ratio >= MIN_RATIO)]
-    x = np.zeros((len(toxic), len(features)), np.float32)
+    features = bad[(bad_n >= max(MIN_TOXIC, MIN_SHARE * toxic.sum())) & (ratio >= MIN_RATIO)]
+    if not len(features):
+        return Ordinal(_NOTHING, np.zeros(0), np.full(GRADES - 1, 40.0))
+    x, much = [], np.zeros(len(toxic))
     for i, (h, c) in enumerate(zip(hashes, counts, strict=True)):
         at = np.searchsorted(features, h)
-        own = (at < len(features)) & (features[np.minimum(at, len(features) - 1)] == h) if len(features) else np.zeros(len(h), bool)
-        x[i, at[own]] = np.log1p(c[own])
-    dense = x.sum(axis=1) / np.maximum(n, 1)
-    edges = np.quantile(dense[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grade = np.where(toxic == 1, 1 + np.searchsorted(edges, dense, side="right"), 0)
-    weights, cuts = fit_ordinal(x, grade)
-    return Ordinal(features, weights, cuts)
+        own = np.flatnonzero(features[np.minimum(at, len(features) - 1)] == h)
+        if len(own):
+            row = np.zeros(len(features), np.float32)
+            row[at[own]] = np.log1p(c[own])
+            x.append(row)
+            much[i] = row.sum()
+    edges = np.quantile(much[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
+    grade = np.where(toxic == 1, 1 + np.searchsorted(edges, much, side="right"), 0)
+    some, none = much > 0, np.bincount(grade[much == 0], minlength=GRADES)  # rows without features differ by grade only
+    rows = np.stack([*x, *[np.zeros(len(features), np.float32)] * GRADES])
+    rows, group, size = np.unique(rows, axis=1, return_inverse=True, return_counts=True)
+    weights, cuts = fit_ordinal(rows.astype(float), np.r_[grade[some], np.arange(GRADES)], np.r_[np.ones(some.sum()), none])
+    return Ordinal(features, (weights / size)[group], cuts)
 
 
 class _Memo(dict):
