@@ -1,10 +1,761 @@
-"""The named queries over the driver's tables, and the same in SQL."""
+"""The named queries over the driver's tables, and the same in SQL.
+
+The tables stand for a crawl: documents are pages of the host `source`, events are resource samples and
+observations of the url `user_id`, pages are one snapshot. What pages lack (iframes, forms, scripts with
+src) is put in by page_id, alike on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewatch.functions import html as H
+from pagewatch.functions import scripts, text, urls
+from pagewatch.functions.robots import robots_rules
+from pagewatch.functions.scan import scan
+from pagewatch.operators import frontier, history, reports, rules, terms
+from pagewatch.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SQL_HOST = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
+SQL_PATH = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+SQL_QUERY = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
+
+
+@query(f"""
+SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, {SQL_HOST} AS host, {SQL_PATH} AS path, {SQL_QUERY} AS query,
+    regexp_replace(split_part(url, '?', 1), '/$', '') AS no_query, regexp_replace(url, '^https?://', '') AS no_scheme,
+    regexp_replace(concat('http://h:8080/p', page_id, ':9'), ':[0-9]+', '', 'g') AS no_port,
+    regexp_replace(split_part(regexp_replace(url, '^https?://', ''), '?', 1), '/$', '') AS request,
+    translate({SQL_HOST}, ':.', '--') AS host_file, concat(replace({SQL_PATH}, '/', '-'), right(sha256({SQL_QUERY}), 12)) AS file_tail
+FROM pages""")
+def url_parts(spark, sf_dir):
+    url = F.col("url")
+    return read(spark, sf_dir, "pages").select(
+        "page_id", urls.scheme(url).alias("scheme"), urls.host(url).alias("host"), urls.path(url).alias("path"), urls.query(url).alias("query"),
+        urls.remove_query(url).alias("no_query"), urls.remove_scheme(url).alias("no_scheme"),
+        urls.remove_port(F.concat(F.lit("http://h:8080/p"), F.col("page_id"), F.lit(":9"))).alias("no_port"), urls.request_url(url).alias("request"),
+        urls.host_file(urls.host(url)).alias("host_file"), F.replace(urls.file_name(url), urls.host(url), F.lit("")).alias("file_tail"),
+    )
+
+
+SQL_LINKS = """links AS (SELECT page_id, url AS page, unnest(regexp_extract_all(html, '(?i)<a[ \\t\\r\\n][^>]*?\\bhref[ ]*=[ ]*"([^"]*)"', 1)) AS link FROM pages)"""
+
+
+def _links(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return pages.select("page_id", F.col("url").alias("page"), F.explode(H.attributes(F.col("html"), "a", "href")).alias("link"))
+
+
+@query(f"WITH {SQL_LINKS} SELECT page_id, link, count(*) AS n FROM links GROUP BY page_id, link")
+def link_extract(spark, sf_dir):
+    return _links(spark, sf_dir).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+#: (page_id modulo 7, link): hard links beside those of the pages.
+HARD_LINKS = [
+    "./a/./b.html", "../up/c.html", "x/y/../z.html?q=1&amp;r=2#frag", "//cdn.example.net/lib.js", "/root//double/", "mailto:a@b.c", "?only=query", "JavaScript:void(0)",
+    "d.html?&k=v", "e.html?a=1&&b=2", "#top", "https://other.example.org", "f.html?a==1",
+]
+
+
+def _hard_links(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"))
+    return pages.select("page_id", "page", F.explode(F.array(*map(F.lit, HARD_LINKS))).alias("link")).unionByName(_links(spark, sf_dir).distinct())
+
+
+_LIST = ", ".join(f"'{x}'" for x in HARD_LINKS)
+
+
+@query(f"""
+WITH {SQL_LINKS}, every AS (SELECT page_id, url AS page, unnest([{_LIST}]) AS link FROM pages UNION ALL SELECT DISTINCT * FROM links),
+kept AS (
+    SELECT *, replace(link, '&amp;', '&') AS l, regexp_extract(page, '^([A-Za-z]+):', 1) AS s, regexp_extract(page, '^[A-Za-z]+://([^/?#]*)', 1) AS h, regexp_extract(page, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p
+    FROM every WHERE NOT (link = '' OR link = '/' OR link LIKE '#%' OR lower(link) LIKE 'mailto:%' OR lower(link) LIKE 'tel:%' OR lower(link) LIKE 'javascript:%')),
+abs AS (
+    SELECT page_id, link, CASE WHEN l LIKE 'http:%' OR l LIKE 'https:%' THEN l WHEN l LIKE '//%' THEN s || ':' || l WHEN l LIKE '/%' THEN s || '://' || h || l
+        WHEN l LIKE '?%' THEN s || '://' || h || p || l
+        ELSE s || '://' || h || coalesce(nullif(regexp_extract(p, '^(.*/)[^/]*$', 1), ''), '/') || regexp_replace(l, '^\\./', '') END AS u FROM kept),
+cut AS (SELECT page_id, link, replace(split_part(u, '#', 1), '?&', '?') AS u FROM abs),
+part AS (
+    SELECT page_id, link, u, regexp_extract(u, '^([A-Za-z]+):', 1) AS s, regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1) AS h, '/' || regexp_extract(u, '^[A-Za-z]+://[^/?#]*/?([^?#]*)', 1) AS p,
+        regexp_extract(u, '^[^?]*\\?(.*)$', 1) AS q, len(u) - len(replace(u, '?', '')) AS m, len(u) - len(replace(u, '&', '')) AS a, len(u) - len(replace(u, '=', '')) AS e FROM cut),
+flat AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(p, '/(\\./)+', '/', 'g'), '/+', '/', 'g'), '/[^/]+/\\.\\./', '/') AS p1 FROM part),
+up AS (SELECT *, regexp_replace(p1, '^/\\.\\./', '/') AS p2 FROM flat)
+SELECT page_id, link, s || '://' || h || p2 || CASE WHEN m = 1 AND NOT (q LIKE '%&&%' OR q LIKE '%==%' OR e <> a + 1) THEN '?' || q ELSE '' END AS url FROM up""")
+def link_normalize(spark, sf_dir):
+    rows = _hard_links(spark, sf_dir).where(~urls.skipped_link(F.col("link")))
+    return urls.with_normal(rows, "link", "page", "url").select("page_id", "link", "url")
+
+
+RULES = {
+    "special": [("m.ththth.example.net", "/en")], "white": [("example.org", "/fr"), ("example.org", "/de")], "deny": ["blog.tionsh.example.net", "example.org"],
+    "black": ["cheap-pills", "casino"], "allow": ["example.com"], "ip": ["10.1.", "10.2."],
+}
+
+
+def _sql_verdict(url: str) -> str:
+    host = SQL_HOST.replace("url,", f"{url},")
+    path = SQL_PATH.replace("url,", f"{url},")
+    pair = lambda k: " OR ".join(f"(suffix({host}, '{h}') AND starts_with({path}, '{p}'))" for h, p in RULES[k])
+    suffix = lambda k: " OR ".join(f"suffix({host}, '{h}')" for h in RULES[k])
+    black = " OR ".join(f"contains({url}, '{b}')" for b in RULES["black"])
+    return f"""CASE WHEN {host} = '' THEN 'EXTERNAL' WHEN {pair("special")} THEN 'SPECIAL' WHEN {pair("white")} THEN 'ALLOW' WHEN {suffix("deny")} THEN 'EXTERNAL'
+        WHEN {black} THEN 'BLACK' WHEN {suffix("allow")} THEN 'ALLOW'"""
+
+
+@query(f"SELECT page_id, {_sql_verdict('url')} ELSE 'EXTERNAL' END AS verdict FROM pages")
+def url_verdict(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", rules.verdict(F.col("url"), RULES).alias("verdict"))
+
+
+@query(f"""
+WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN NULL ELSE '10.' || (page_id % 4) || '.0.9' END AS ip FROM pages)
+SELECT page_id, {_sql_verdict("url")} WHEN ip IS NULL THEN 'UNKNOWN' WHEN starts_with(ip, '10.1.') OR starts_with(ip, '10.2.') THEN 'BLACK' ELSE 'EXTERNAL' END AS verdict FROM p""")
+def address_verdict(spark, sf_dir):
+    ip = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("10."), F.col("page_id") % 4, F.lit(".0.9")))
+    return read(spark, sf_dir, "pages").select("page_id", rules.verdict(F.col("url"), RULES, ip).alias("verdict"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '^(?:(?:https?://www)|(?:http://m[.]))') THEN 'ALLOW' ELSE 'BLACK' END AS verdict FROM pages")
+def only_filter(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", rules.verdict(F.col("url"), {"only": ["https?://www", "http://m[.]"]}).alias("verdict"))
+
+
+@query("""
+WITH rule(host_suffix, path_prefix) AS (VALUES ('example.org', '/fr'), ('example.org', '/de'), ('tionsh.example.net', '/'), ('m.example.com', '/en')),
+p AS (SELECT page_id, %s AS host, %s AS path FROM pages)
+SELECT page_id FROM p WHERE EXISTS (SELECT 1 FROM rule WHERE suffix(host, host_suffix) AND starts_with(path, path_prefix))""" % (SQL_HOST, SQL_PATH))
+def rule_semi_join(spark, sf_dir):
+    table = spark.createDataFrame([("example.org", "/fr"), ("example.org", "/de"), ("tionsh.example.net", "/"), ("m.example.com", "/en")], "host_suffix string, path_prefix string")
+    rows = read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    return rows.join(rules.matches(rows, table), ["host", "path"], "left_semi").select("page_id")
+
+
+def _external_links(spark, sf_dir):
+    rows = _links(spark, sf_dir).where(~urls.skipped_link(F.col("link")))
+    new = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://new-"), F.col("page_id"), F.lit(".example.edu"), F.col("link"))).otherwise(F.col("link"))
+    rows = urls.with_normal(rows.withColumn("link", new), "link", "page", "url").select("page_id", "page", "url").distinct()
+    found = rules.with_verdict(rows, "url", RULES)
+    return found.where(rules.strange(F.col("verdict")))
+
+
+SQL_EXTERNAL = f"""{SQL_LINKS}, ext AS (
+    SELECT DISTINCT page_id, page, CASE WHEN page_id % 5 = 0 THEN 'https://new-' || page_id || '.example.edu' || link ELSE regexp_extract(page, '^([A-Za-z]+://[^/?#]*)', 1) || link END AS url
+    FROM links WHERE link NOT IN ('', '/') AND starts_with(link, '/')),
+strange AS (SELECT * FROM (SELECT *, {_sql_verdict("url")} ELSE 'EXTERNAL' END AS verdict FROM ext) WHERE verdict IN ('EXTERNAL', 'UNKNOWN'))"""
+
+
+@query(f"WITH {SQL_EXTERNAL} SELECT page_id, page AS initial_url, url, verdict FROM strange")
+def link_to_new_server(spark, sf_dir):
+    return _external_links(spark, sf_dir).select("page_id", F.col("page").alias("initial_url"), "url", "verdict")
+
+
+SQL_FINAL = "CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN url || '/moved' ELSE 'https://login.example.edu/start' END"
+
+
+@query(f"""
+WITH r AS (SELECT page_id, url, {SQL_FINAL} AS final_url FROM pages),
+k AS (SELECT page_id, CASE WHEN url = final_url THEN 'none' WHEN {SQL_HOST} = {SQL_HOST.replace("url,", "final_url,")} THEN 'same' ELSE 'other' END AS kind, {_sql_verdict("final_url")} ELSE 'EXTERNAL' END AS verdict,
+    suffix({SQL_HOST.replace("url,", "final_url,")}, 'login.example.edu') AND page_id % 2 = 0 AS allowed FROM r)
+SELECT page_id, kind, kind = 'other' AND verdict IN ('EXTERNAL', 'UNKNOWN') AND NOT allowed AS alert FROM k""")
+def redirect_check(spark, sf_dir):
+    final = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat("url", F.lit("/moved"))).otherwise("https://login.example.edu/start")
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", final.alias("final_url"))
+    kind, verdict = rules.redirect_kind(F.col("url"), F.col("final_url")), rules.verdict(F.col("final_url"), RULES)
+    allowed = rules.any_pair(urls.host(F.col("final_url")), urls.path(F.col("final_url")), [("login.example.edu", "/start")]) & (F.col("page_id") % 2 == 0)
+    return rows.select("page_id", kind.alias("kind"), ((kind == "other") & rules.strange(verdict) & ~allowed).alias("alert"))
+
+
+TYPES = ["text/html; charset=utf-8", "application/xhtml+xml", "text/xml", "application/javascript", "image/png", "", "text/x-js", "application/rss+xml"]
+
+
+@query(f"""
+WITH t AS (SELECT page_id, lower([{", ".join(f"'{t}'" for t in TYPES)}][1 + page_id % {len(TYPES)}]) AS k FROM pages)
+SELECT CASE WHEN regexp_matches(k, 'text/xml|application/xml|rss|atom') THEN 'xml' WHEN contains(k, 'html') THEN 'html' WHEN regexp_matches(k, 'javascript|ecmascript|jscript|livescript|x-js') THEN 'js' ELSE 'file' END AS route,
+    count(*) AS n FROM t GROUP BY route""")
+def content_type_route(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (1 + F.col("page_id") % len(TYPES)).cast("int"))
+    return read(spark, sf_dir, "pages").groupBy(rules.content_route(kind).alias("route")).agg(F.count("*").alias("n"))
+
+
+ROBOTS = """User-agent: *
+Disallow: /en/9
+Disallow: /*/1*
+Allow: /
+
+User-agent: pagewatch
+Crawl-delay: 5
+Request-rate: 1/10
+Allow: /en/1
+Disallow: /fr/
+Disallow: /en/*.html  # pages
+"""
+
+
+def _robots(spark):
+    bodies = [("www.therti.example.org", 200, ROBOTS), ("thther.example.org", 200, ROBOTS.replace("pagewatch", "otherbot")), ("therin.example.net", 403, ""), ("tionsh.example.net", 404, None)]
+    return robots_rules(spark.createDataFrame(bodies, "host string, status int, body string"))
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {SQL_HOST} AS host, {SQL_PATH} AS path FROM pages)
+SELECT page_id, CASE WHEN host = 'therin.example.net' THEN NOT starts_with(path, '/')
+    WHEN host = 'www.therti.example.org' THEN CASE WHEN starts_with(path, '/en/1') THEN true WHEN starts_with(path, '/fr/') THEN false WHEN regexp_matches(path, '^/en/.*\\.html') THEN false ELSE true END
+    WHEN host = 'thther.example.org' THEN CASE WHEN starts_with(path, '/en/9') THEN false WHEN regexp_matches(path, '^/.*/1.*') THEN false ELSE true END
+    ELSE true END AS allowed FROM p""")
+def robots_can_fetch(spark, sf_dir):
+    return rules.can_fetch(read(spark, sf_dir, "pages"), _robots(spark), "pagewatch/1.0")
+
+
+@query("""
+SELECT * FROM (VALUES ('thther.example.org', 0, '*', 0, '/en/9', false, -1, -1), ('thther.example.org', 0, '*', 1, '/*/1*', false, -1, -1), ('thther.example.org', 0, '*', 2, '/', true, -1, -1),
+    ('thther.example.org', 1, 'otherbot', 0, '/en/1', true, 5, 10), ('thther.example.org', 1, 'otherbot', 1, '/fr/', false, 5, 10), ('thther.example.org', 1, 'otherbot', 2, '/en/*.html', false, 5, 10),
+    ('therin.example.net', 0, '*', 0, '/', false, -1, -1)) AS t(host, entry_no, agent, rule_no, path_pattern, allow, delay, rate_seconds)""")
+def robots_parse(spark, sf_dir):
+    found = _robots(spark).where("host <> 'www.therti.example.org'")
+    return found.select("host", "entry_no", "agent", "rule_no", "path_pattern", "allow", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("delay", "rate_seconds")))
+
+
+#: Markup by page_id modulo 5, after the page's own.
+IFRAMES = [
+    '<iframe src="http://a.example.edu/x" width="0" height="0"></iframe>', '<IFRAME SRC="http://b.example.edu/y" style="display:none"></IFRAME>',
+    '<iframe src="/inner" width="300" height="200"></iframe>', '<iframe src="http://c.example.edu/z" width="1" height="1" style="width:90px;height:80px"></iframe>', "<p>none</p>",
+]
+SQL_IFRAME = f"[{', '.join(repr(i) for i in IFRAMES)}][1 + page_id % 5]"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, html || {SQL_IFRAME} AS html FROM pages), t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(<iframe\\b[^>]*>)', 1)) AS tag FROM p),
+a AS (SELECT page_id, tag, regexp_extract(tag, '(?i)[ ]src="([^"]*)"', 1) AS src, nullif(regexp_extract(tag, '(?i)[ ]width="([^"]*)"', 1), '') AS w, nullif(regexp_extract(tag, '(?i)[ ]height="([^"]*)"', 1), '') AS h,
+    nullif(regexp_extract(tag, '(?i)[ ]style="([^"]*)"', 1), '') AS s FROM t)
+SELECT page_id, src FROM a WHERE ((w IS NULL AND h IS NULL) OR coalesce(try_cast(w AS INT), 0) + coalesce(try_cast(h AS INT), 0) < 3)
+    AND (s IS NULL OR NOT regexp_matches(s, '(?i)(width|height)[ ]*:') OR regexp_matches(s, '(?i)(hidden|display[ ]*:[ ]*none)') OR regexp_matches(s, '(?i)(width|height)[ ]*:[ ]*[01]([^0-9.]|$)'))""")
+def iframe_invisible(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", F.explode(H.tags(F.concat("html", F.element_at(F.array(*map(F.lit, IFRAMES)), (1 + F.col("page_id") % 5).cast("int"))), "iframe")).alias("tag"))
+    return rows.where(H.invisible_iframe(F.col("tag"))).select("page_id", H.attribute(F.col("tag"), "src").alias("src"))
+
+
+@query("""
+WITH p AS (SELECT page_id, html || CASE WHEN page_id % 4 = 0 THEN '<META HTTP-EQUIV="Refresh" content="0; URL=./next' || page_id || '.html">' ELSE '' END AS html FROM pages)
+SELECT page_id, regexp_extract(regexp_extract(html, '(?i)(<meta\\b[^>]*http-equiv[ ]*=[ ]*"?refresh[^>]*>)', 1), '(?i)url[ ]*=[ ]*([^"> ]*)', 1) AS target FROM p
+WHERE regexp_matches(html, '(?i)<meta\\b[^>]*http-equiv[ ]*=[ ]*"?refresh')""")
+def meta_refresh(spark, sf_dir):
+    tag = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<META HTTP-EQUIV="Refresh" content="0; URL=./next'), F.col("page_id"), F.lit('.html">'))).otherwise("")
+    target = H.refresh_target(F.concat("html", tag))
+    return read(spark, sf_dir, "pages").select("page_id", target.alias("target")).where("target <> ''")
+
+
+SCRIPT_NAMES = ["/js/jquery.min.js", "/x.js?v=3", "/lib/script.js", "http://cdn.example.net/ngg", "/app/main.js", "/ri.js"]
+
+
+@query(f"""
+WITH s AS (SELECT page_id, [{", ".join(f"'{n}'" for n in SCRIPT_NAMES)}][1 + page_id % 6] AS src FROM pages), n AS (SELECT *, regexp_replace(regexp_extract(split_part(src, '?', 1), '([^/]*)$', 1), '\\.[^./]*$', '') AS stem FROM s)
+SELECT page_id, src FROM n WHERE len(stem) < 2 OR stem IN ('ngg', 'script', 'js', 'ri')""")
+def script_name(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, SCRIPT_NAMES)), (1 + F.col("page_id") % 6).cast("int"))
+    markup = F.concat("html", F.lit('<script src="'), name, F.lit('"></script>'))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.explode(H.attributes(markup, "script", "src")).alias("src"))
+    return rows.where(H.strange_script_name(F.col("src")))
+
+
+@query("""
+WITH p AS (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN replace(html, '</title>', '<script>x()</script></title>') ELSE html END AS html FROM pages)
+SELECT page_id FROM p WHERE contains(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<script')""")
+def script_in_title(spark, sf_dir):
+    markup = F.when(F.col("page_id") % 6 == 0, F.replace("html", F.lit("</title>"), F.lit("<script>x()</script></title>"))).otherwise(F.col("html"))
+    return read(spark, sf_dir, "pages").where(F.contains(H.title(markup), F.lit("<script"))).select("page_id")
+
+
+SQL_FORM = "CASE page_id % 4 WHEN 0 THEN '/login' WHEN 1 THEN 'https://collect.example.edu/p' WHEN 2 THEN 'https://known.example.edu/p' ELSE '' END"
+
+
+@query(f"""
+WITH f AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS root, {SQL_FORM} AS action FROM pages),
+a AS (SELECT page_id, CASE WHEN starts_with(action, '/') THEN root || action ELSE action END AS url FROM f WHERE action <> '')
+SELECT page_id, url FROM a WHERE {_sql_verdict("url")} ELSE 'EXTERNAL' END IN ('EXTERNAL', 'UNKNOWN') AND NOT suffix({SQL_HOST}, 'known.example.edu')""")
+def form_action(spark, sf_dir):
+    kind = F.col("page_id") % 4
+    action = F.when(kind == 0, "/login").when(kind == 1, "https://collect.example.edu/p").when(kind == 2, "https://known.example.edu/p").otherwise("")
+    markup = F.concat("html", F.lit('<fORm method="post" acTIon="'), action, F.lit('">'))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"), F.explode(H.attributes(markup, "form", "action")).alias("action")).where("action <> ''")
+    rows = rows.select("page_id", urls.absolute(F.col("action"), F.col("page")).alias("url"))
+    by_link, by_request = rules.verdict(F.col("url"), RULES), rules.verdict(F.col("url"), {"allow": ["known.example.edu"]})
+    return rows.where(rules.strange(by_link) & rules.strange(by_request))
+
+
+def _script_sources(spark, sf_dir, now: bool):
+    n = F.col("page_id") % (7 if now else 5)
+    return read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), F.concat(F.lit("cdn.example.net/s"), n, F.lit(".js")).alias("src")).distinct()
+
+
+@query(f"""
+WITH now AS (SELECT DISTINCT {SQL_HOST} AS host, 'cdn.example.net/s' || (page_id % 7) || '.js' AS src FROM pages), old AS (SELECT DISTINCT {SQL_HOST} AS host, 'cdn.example.net/s' || (page_id % 5) || '.js' AS src FROM pages)
+SELECT host, src FROM now EXCEPT SELECT host, src FROM old""")
+def new_script_src(spark, sf_dir):
+    return history.new_values(_script_sources(spark, sf_dir, True), _script_sources(spark, sf_dir, False))
+
+
+@query("SELECT 'x' AS src WHERE false")
+def new_iframe_src(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    src = F.element_at(F.array(*map(F.lit, IFRAMES)), (1 + F.col("page_id") % 5).cast("int"))
+    now = pages.select(F.explode(H.attributes(src, "iframe", "src")).alias("src"))
+    return history.new_values(now, now.where(F.lit(False)))
+
+
+@query(f"""
+WITH h AS (SELECT DISTINCT page_id, 's' || (page_id % 3) || '.js' AS script FROM pages), r AS (SELECT DISTINCT page_id, CASE WHEN page_id % 9 = 0 THEN 'chrome://x.js' ELSE 's' || (page_id % 4) || '.js' END AS script FROM pages),
+q AS (SELECT * FROM r WHERE NOT starts_with(script, 'chrome'))
+SELECT page_id, script, 'html' AS side FROM (SELECT * FROM h EXCEPT SELECT * FROM q) UNION ALL SELECT page_id, script, 'request' FROM (SELECT * FROM q EXCEPT SELECT * FROM h)""")
+def js_html_vs_request(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id")
+    html = pages.select("page_id", F.concat(F.lit("s"), F.col("page_id") % 3, F.lit(".js")).alias("script"))
+    requested = pages.select("page_id", F.when(F.col("page_id") % 9 == 0, "chrome://x.js").otherwise(F.concat(F.lit("s"), F.col("page_id") % 4, F.lit(".js"))).alias("script"))
+    return history.compare_sets(html, requested, ["page_id", "script"])
+
+
+def _snapshots(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    old = pages.where("page_id % 4 <> 1").select("page_id", history.body_hash(F.col("html")).alias("hash"), F.octet_length("html").cast("long").alias("file_length"))
+    body = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<!-- 2 -->"))).when(F.col("page_id") % 11 == 0, "").otherwise(F.col("html"))
+    now = pages.select("page_id", history.body_hash(body).alias("hash"), F.octet_length(body).cast("long").alias("file_length"))
+    return now, old
+
+
+SQL_STATUS = """
+WITH now AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html || '<!-- 2 -->' WHEN page_id % 11 = 0 THEN '' ELSE html END AS html FROM pages), old AS (SELECT page_id, html FROM pages WHERE page_id % 4 <> 1),
+s AS (SELECT n.page_id, CASE WHEN n.html = '' THEN 'error' WHEN o.page_id IS NULL THEN 'new' WHEN n.html = o.html THEN 'same' ELSE 'changed' END AS status, CAST(strlen(n.html) - strlen(o.html) AS BIGINT) AS len_diff
+    FROM now n LEFT JOIN old o ON n.page_id = o.page_id)"""
+
+
+@query(SQL_STATUS + " SELECT page_id, status, coalesce(len_diff, 0) AS len_diff FROM s")
+def page_hash_status(spark, sf_dir):
+    return history.hash_status(*_snapshots(spark, sf_dir), key="page_id").fillna(0, ["len_diff"])
+
+
+@query(SQL_STATUS + " SELECT page_id, len_diff FROM s WHERE status = 'changed' AND len_diff <> 0")
+def file_size_change(spark, sf_dir):
+    return history.hash_status(*_snapshots(spark, sf_dir), key="page_id").where("status = 'changed' AND len_diff <> 0").select("page_id", "len_diff")
+
+
+@query("""
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS run_date, max(event_type) AS hash FROM events GROUP BY ALL),
+c AS (SELECT *, coalesce(CAST(lag(hash) OVER w <> hash AS INT), 1) AS changed FROM d WINDOW w AS (PARTITION BY user_id ORDER BY run_date)),
+i AS (SELECT *, sum(changed) OVER (PARTITION BY user_id ORDER BY run_date) AS island FROM c)
+SELECT user_id, strftime(run_date, '%Y-%m-%d') AS run_date, hash, changed, CAST(run_date - min(run_date) OVER (PARTITION BY user_id, island) AS INT) AS unchanged_days FROM i""")
+def unchanged_days(spark, sf_dir):
+    states = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("url"), F.to_date("ts").alias("run_date")).agg(F.max("event_type").alias("hash"))
+    return history.unchanged_days(states).withColumnRenamed("url", "user_id").withColumn("run_date", F.date_format("run_date", "yyyy-MM-dd"))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
+def content_dedup(spark, sf_dir):
+    return history.distinct_contents(read(spark, sf_dir, "documents").where("text is not null"), "text", "doc_id")
+
+
+SQL_WORDS = """t AS (SELECT source AS host, doc_id AS page, unnest(list_filter(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1), lambda w: NOT regexp_matches(w, '^([0-9]+|[a-z])$'))) AS word FROM documents),
+n AS (SELECT host, page, word, count(*) AS n FROM t GROUP BY ALL), np AS (SELECT host, count(DISTINCT page) AS n_pages FROM n GROUP BY host),
+tf AS (SELECT host, page, word, n / sum(n) OVER (PARTITION BY host, page) AS tf FROM n), df AS (SELECT host, word, count(*) AS df FROM n GROUP BY ALL),
+idf AS (SELECT host, word, ln(n_pages / df) + 1 AS idf FROM df JOIN np USING (host))"""
+
+
+def _counted(spark, sf_dir):
+    return terms.counts(terms.tokens(read(spark, sf_dir, "documents")))
+
+
+@query(f"WITH {SQL_WORDS} SELECT host, page, word, round(tf, 6) AS tf FROM tf")
+def tf(spark, sf_dir):
+    return terms.term_frequency(_counted(spark, sf_dir)).withColumn("tf", F.round("tf", 6))
+
+
+@query(f"WITH {SQL_WORDS} SELECT host, word, df FROM df")
+def df(spark, sf_dir):
+    return terms.document_frequency(_counted(spark, sf_dir))
+
+
+@query(f"WITH {SQL_WORDS} SELECT host, word, CAST(sum(df) AS BIGINT) AS df FROM (SELECT * FROM df UNION ALL SELECT * FROM df WHERE df > 1) GROUP BY ALL")
+def df_merge(spark, sf_dir):
+    one = terms.document_frequency(_counted(spark, sf_dir))
+    return terms.merge_frequencies(one, one.where("df > 1"))
+
+
+@query(f"WITH {SQL_WORDS} SELECT host, word, round(idf, 6) AS idf FROM idf")
+def idf(spark, sf_dir):
+    counted = _counted(spark, sf_dir)
+    return terms.inverse_frequency(terms.document_frequency(counted), terms.page_counts(counted)).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {SQL_WORDS} SELECT host, word, df, row_number() OVER (PARTITION BY host ORDER BY df DESC, word) AS rank FROM df QUALIFY rank <= 100")
+def frequent_words_100(spark, sf_dir):
+    return terms.frequent_words(terms.document_frequency(_counted(spark, sf_dir)))
+
+
+SQL_TOP = f"""{SQL_WORDS}, old AS (SELECT * FROM idf WHERE len(word) > 3),
+top AS (SELECT host, page, word, round(tf * coalesce(idf, ln(n_pages) + 1), 6) AS tfidf FROM tf LEFT JOIN old USING (host, word) JOIN np USING (host)),
+top10 AS (SELECT *, row_number() OVER (PARTITION BY host, page ORDER BY tfidf DESC, word) AS rank FROM top QUALIFY rank <= 10)"""
+
+
+def _top10(spark, sf_dir):
+    counted = _counted(spark, sf_dir)
+    pages = terms.page_counts(counted)
+    old = terms.inverse_frequency(terms.document_frequency(counted), pages).where(F.length("word") > 3)
+    return terms.top_terms(terms.term_frequency(counted), old, pages)
+
+
+@query(f"WITH {SQL_TOP} SELECT host, page, word, tfidf, rank FROM top10")
+def tfidf_top10(spark, sf_dir):
+    return _top10(spark, sf_dir)
+
+
+@query(f"""
+WITH {SQL_TOP}, l AS (SELECT page, list(word) AS now, list(word) FILTER (WHERE page % 3 = 0 OR rank > 9 - page % 10) AS before FROM top10 GROUP BY page),
+c AS (SELECT page, len(now) AS a, len(coalesce(before, [])) AS b, len(list_intersect(now, coalesce(before, []))) AS common FROM l)
+SELECT page, a + b - 2 * common AS differing, a + b - 2 * common > 0.8 * (a + b) AS changed FROM c""")
+def important_word_change(spark, sf_dir):
+    lists = _top10(spark, sf_dir).groupBy("page").agg(F.collect_list("word").alias("now"), F.collect_list(F.when((F.col("page") % 3 == 0) | (F.col("rank") > 9 - F.col("page") % 10), F.col("word"))).alias("before"))
+    differing = F.size(terms.symmetric_difference(F.col("now"), F.col("before"))).cast("long")
+    return lists.select("page", differing.alias("differing"), terms.words_changed(F.col("now"), F.col("before")).alias("changed"))
+
+
+@query(f"""
+WITH {SQL_WORDS}, f AS (SELECT host, word FROM (SELECT host, word, row_number() OVER (PARTITION BY host ORDER BY df DESC, word) AS r FROM df) WHERE r <= 50)
+SELECT page, count(f.word) AS known, count(*) - count(f.word) AS other, count(f.word) < 6 AND page % 2 = 0 AS alert FROM n LEFT JOIN f ON n.host = f.host AND n.word = f.word GROUP BY page""")
+def frequent_word_overlap(spark, sf_dir):
+    counted = _counted(spark, sf_dir)
+    frequent = terms.frequent_words(terms.document_frequency(counted), 50).select("host", "word", F.lit(1).alias("is_known"))
+    out = counted.join(frequent, ["host", "word"], "left").groupBy("page").agg(F.count("is_known").alias("known"), (F.count("*") - F.count("is_known")).alias("other"))
+    return out.withColumn("alert", (F.col("known") < 6) & (F.col("page") % 2 == 0))
+
+
+HACKS = ["", " Hacked by someone", " HACKED", " life hack", " hac ked  by x"]
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, lower(replace(text || [{", ".join(f"'{h}'" for h in HACKS)}][1 + doc_id % 5], ' ', '')) AS t FROM documents)
+SELECT doc_id, CASE WHEN contains(t, 'hackedby') THEN 3 WHEN contains(t, 'hacked') THEN 2 WHEN contains(t, 'hack') THEN 1 ELSE 0 END AS level FROM h WHERE t IS NOT NULL""")
+def hack_level(spark, sf_dir):
+    said = F.concat("text", F.element_at(F.array(*map(F.lit, HACKS)), (1 + F.col("doc_id") % 5).cast("int")))
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.hack_level(said).alias("level"))
+
+
+SQL_JS = """f AS (SELECT doc_id, len(text) AS src_len, len(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) AS visible_len, len(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS alphabets,
+    len(regexp_replace(text, '[^0-9]', '', 'g')) AS numbers, len(regexp_replace(text, '[a-zA-Z0-9\\t\\r\\n ]', '', 'g')) AS symbols, len(regexp_replace(text, '[^,;&]', '', 'g')) AS unique_chars,
+    len(regexp_extract_all(text, 'http|div|:')) AS unique_words, list_max(list_transform(string_split(text, chr(10)), lambda l: len(l))) AS max_line FROM documents WHERE text IS NOT NULL),
+v AS (SELECT *, src_len - visible_len AS blank, CASE WHEN max_line < 400 THEN 'NORMAL' WHEN max_line < 2000 AND max_line / nullif(unique_chars, 0) < 200 THEN 'RANDOM1' WHEN max_line < 2000 AND unique_chars < unique_words THEN 'RANDOM2'
+    WHEN max_line < 2000 THEN 'ENCODE5' WHEN max_line / nullif(unique_chars, 0) < 10 THEN 'ENCODE6' WHEN max_line / nullif(unique_chars, 0) < 95 THEN 'RANDOM3' WHEN unique_chars > unique_words THEN 'ENCODE7' ELSE 'RANDOM4' END AS verdict FROM f)"""
+
+
+def _features(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").where("text is not null")
+    return rows.select("doc_id", *(c.alias(n) for n, c in scripts.features(F.col("text")).items()))
+
+
+def _share(part: str, whole: str) -> str:
+    return f"round(coalesce({part} / nullif({whole}, 0), 0), 6)"
+
+
+@query(f"""
+WITH {SQL_JS} SELECT doc_id, CAST(COLUMNS(['src_len', 'visible_len', 'alphabets', 'numbers', 'symbols', 'blank', 'unique_chars', 'unique_words', 'max_line']) AS INT),
+    {", ".join(f"{_share(n, 'src_len')} AS {n}_per" for n in ("alphabets", "numbers", "symbols", "blank"))}, {", ".join(f"{_share(n, 'visible_len')} AS {n}_pew" for n in ("alphabets", "numbers", "symbols"))} FROM v""")
+def js_features(spark, sf_dir):
+    return _features(spark, sf_dir)
+
+
+@query(f"WITH {SQL_JS} SELECT doc_id, verdict FROM v")
+def js_obf_verdict(spark, sf_dir):
+    return _features(spark, sf_dir).select("doc_id", scripts.verdict(F.col("max_line"), F.col("unique_chars"), F.col("unique_words")).alias("verdict"))
+
+
+@query(f"""
+WITH {SQL_JS}, s AS (SELECT verdict, {_share("symbols", "src_len")} AS p FROM v)
+SELECT verdict, count(*) AS n, round(min(p), 6) AS low, round(max(p), 6) AS high, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS spread FROM s GROUP BY verdict""")
+def js_corpus_stats(spark, sf_dir):
+    kind = scripts.verdict(F.col("max_line"), F.col("unique_chars"), F.col("unique_words"))
+    out = _features(spark, sf_dir).groupBy(kind.alias("verdict"))
+    p = F.col("symbols_per")
+    return out.agg(F.count("*").alias("n"), F.round(F.min(p), 6).alias("low"), F.round(F.max(p), 6).alias("high"), F.round(F.avg(p), 6).alias("mean"), F.round(F.stddev_pop(p), 6).alias("spread"))
+
+
+@query()
+def js_tree_classify(spark, sf_dir):
+    """A tree of depth 3 learns the verdict's kind; rows: kind, n, share that it gets right."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    kind = F.regexp_replace(scripts.verdict(F.col("max_line"), F.col("unique_chars"), F.col("unique_words")), "[0-9]", "")
+    rows = _features(spark, sf_dir).withColumn("kind", kind)
+    rows = VectorAssembler(inputCols=[c for c in rows.columns if c not in ("doc_id", "kind")], outputCol="x").transform(rows)
+    rows = StringIndexer(inputCol="kind", outputCol="label", stringOrderType="alphabetAsc").fit(rows).transform(rows)
+    found = DecisionTreeClassifier(featuresCol="x", maxDepth=3, seed=1).fit(rows).transform(rows)
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("accuracy"))
+
+
+def _samples(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("ts", F.col("user_id").alias("url"), F.col("value").alias("cpu_per"), (F.col("value") * 40).cast("int").alias("mem_mb"))
+
+
+SQL_PEAKS = "SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, user_id AS url, max(value) AS cpu, max(CAST(trunc(value * 40) AS INT)) AS mem FROM events GROUP BY ALL"
+
+
+@query(SQL_PEAKS)
+def resource_peaks(spark, sf_dir):
+    return reports.peaks(_samples(spark, sf_dir)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"SELECT start, url, CASE WHEN cpu > 60 THEN 'over_work_cpu' ELSE 'over_work_memory' END AS alert_type FROM ({SQL_PEAKS}) WHERE cpu > 60 OR mem > 2000")
+def over_work(spark, sf_dir):
+    found = resource_peaks(spark, sf_dir).select("start", "url", reports.overworked(F.col("cpu"), F.col("mem")).alias("alert_type"))
+    return found.where("alert_type is not null")
+
+
+DOWNLOAD = ["click", "view", "purchase", "signup"]
+
+
+@query("SELECT user_id AS no, " + ", ".join(f"coalesce(max(props) FILTER (WHERE event_type = '{f}'), 'None') AS {f}" for f in DOWNLOAD) + " FROM events GROUP BY user_id")
+def download_pivot(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("no"), F.col("event_type").alias("field"), F.col("props").alias("value"))
+    return reports.pivot_downloads(rows, DOWNLOAD)
+
+
+def _achieved(spark, sf_dir):
+    host = urls.host(F.col("url"))
+    return read(spark, sf_dir, "pages").select(host.alias("server"), F.lit(1).alias("pages"), (F.col("page_id") % 3).alias("files"))
+
+
+@query(f"SELECT {SQL_HOST} AS server, count(*) AS pages, CAST(sum(page_id % 3) AS BIGINT) AS files, CAST(count(*) + sum(page_id % 3) AS BIGINT) AS total FROM pages GROUP BY ROLLUP({SQL_HOST})")
+def achievement_rollup(spark, sf_dir):
+    return reports.rollup(_achieved(spark, sf_dir))
+
+
+@query("""
+WITH m AS (SELECT CAST(month(o_orderdate) AS INT) AS part, count(*) AS run_time, CASE WHEN month(o_orderdate) >= 9 THEN 0 ELSE 5 END AS remaining, CAST(sum(o_orderkey) AS BIGINT) AS achieved FROM orders GROUP BY ALL)
+SELECT CAST((SELECT sum(run_time) FROM m) AS BIGINT) AS run_time, achieved, part AS last FROM m WHERE part = coalesce((SELECT min(part) FROM m WHERE remaining = 0), (SELECT max(part) FROM m))""")
+def achievement_merge(spark, sf_dir):
+    parts = read(spark, sf_dir, "orders").groupBy(F.month("o_orderdate").alias("part")).agg(F.count("*").alias("run_time"), F.sum("o_orderkey").alias("achieved"))
+    return reports.merge_runs(parts.withColumn("remaining", F.when(F.col("part") >= 9, 0).otherwise(5)))
+
+
+def _queues(spark, sf_dir):
+    return read(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count_if(F.col("page_id") % 2 == 0).alias("n"))
+
+
+SQL_QUEUES = f"q AS (SELECT {SQL_HOST} AS host, count(*) FILTER (WHERE page_id % 2 = 0) AS n FROM pages GROUP BY ALL)"
+
+
+@query(f"""
+WITH {SQL_QUEUES}, first AS (SELECT host, n FROM q WHERE n > 0 ORDER BY n, host LIMIT 1), rest AS (SELECT host, n FROM q WHERE n > 0 AND host NOT IN (SELECT host FROM first) ORDER BY n DESC, host LIMIT 4)
+SELECT host, n, 'first' AS turn FROM first UNION ALL SELECT host, n, 'largest' FROM rest""")
+def host_schedule(spark, sf_dir):
+    return frontier.schedule(_queues(spark, sf_dir), 5)
+
+
+@query(f"WITH {SQL_QUEUES} SELECT count(*) AS hosts, count(*) FILTER (WHERE n = 0) AS empty_hosts, CAST(sum(n) AS BIGINT) AS remaining FROM q")
+def crawl_progress(spark, sf_dir):
+    return reports.progress(_queues(spark, sf_dir))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT page_id AS src, (page_id * 2 + 1) % 101 AS dst FROM pages UNION ALL SELECT page_id, (page_id * 3) % 97 FROM pages),
+r(node, hop) AS (SELECT 1, 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 30)
+SELECT node, min(hop) AS hop FROM r GROUP BY node""")
+def crawl_frontier(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    edges = pages.select(F.col("page_id").alias("src"), ((F.col("page_id") * 2 + 1) % 101).alias("dst")).unionByName(pages.select(F.col("page_id").alias("src"), (F.col("page_id") * 3 % 97).alias("dst")))
+    return frontier.crawl(spark.range(1, 2).select(F.col("id").alias("node")), edges, 30)
+
+
+@query("SELECT DISTINCT url, 'url_db' AS src FROM pages WHERE page_id % 3 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
+def frontier_recovered(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    verdicts = pages.select("url", F.when(F.col("page_id") % 3 == 0, "ALLOW").otherwise("EXTERNAL").alias("verdict"))
+    return frontier.recovered(verdicts, pages.where("page_id % 2 = 0").select("url"))
+
+
+@query(f"SELECT {SQL_HOST} AS host, count(DISTINCT {SQL_PATH}) AS paths FROM (SELECT url FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0) WHERE {SQL_HOST} <> 'test.example.com' GROUP BY ALL")
+def url_set_merge(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    both = pages.where("page_id % 2 = 0").select("url").unionByName(pages.where("page_id % 3 = 0").select("url")).distinct()
+    return both.groupBy(urls.host(F.col("url")).alias("host")).agg(F.countDistinct(urls.path(F.col("url"))).alias("paths")).where("host <> 'test.example.com'")
+
+
+@query(f"WITH {SQL_EXTERNAL} SELECT DISTINCT {SQL_HOST} AS host, '' AS prefix FROM strange WHERE {SQL_HOST} <> ''")
+def filter_build(spark, sf_dir):
+    return _external_links(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), F.lit("").alias("prefix")).where("host <> ''").distinct()
+
+
+@query(f"""
+WITH b AS (SELECT {SQL_HOST} AS host, '/' || split_part({SQL_PATH}, '/', 2) AS prefix FROM pages WHERE page_id % 2 = 0 UNION SELECT {SQL_HOST}, '/' || split_part({SQL_PATH}, '/', 2) FROM pages WHERE page_id % 3 = 0)
+SELECT host, string_agg(prefix, ' ' ORDER BY prefix) AS prefixes FROM b GROUP BY host""")
+def filter_merge(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), F.concat(F.lit("/"), F.split_part(urls.path(F.col("url")), F.lit("/"), F.lit(2))).alias("prefix"))
+    return history.merge_filters(rows.where("page_id % 2 = 0"), rows.where("page_id % 3 = 0"))
+
+
+SETTINGS = ["# limits", "MAX_page=200*10", "MAX_time=60*60*24   # a day", "MAX_process=-3", "mecab=True", "clamd=no idea", "", "SAVE_time=6*60*60"]
+
+
+@query("""SELECT * FROM (VALUES ('MAX_page', '200*10', 2000, false), ('MAX_time', '60*60*24', 86400, false), ('MAX_process', '-3', 5, false), ('mecab', 'True', -1, false), ('clamd', 'no idea', -1, true), ('SAVE_time', '6*60*60', 21600, false)) AS t(key, value, number, problem)""")
+def settings_parse(spark, sf_dir):
+    return files.settings(spark.createDataFrame([(x,) for x in SETTINGS], "value string"), cores=8).fillna(-1, ["number"])
+
+
+@query(f"""
+WITH {SQL_EXTERNAL}, a AS (SELECT 'link_to_new_server' AS k, page AS url, url AS content FROM strange UNION ALL SELECT 'over_work', CAST(url AS VARCHAR), alert_type FROM (SELECT url, CASE WHEN cpu > 60 THEN 'over_work_cpu' ELSE 'over_work_memory' END AS alert_type FROM ({SQL_PEAKS}) WHERE cpu > 60 OR mem > 2000))
+SELECT 3 AS nth, CASE WHEN contains(url, 'tionsh.example') THEN 'TEST_' ELSE '' END || k AS alert_type, url, content FROM a""")
+def alert_union(spark, sf_dir):
+    links = _external_links(spark, sf_dir).select(F.col("page").alias("url"), F.col("url").alias("content"))
+    return reports.alerts(3, ["tionsh.example"], link_to_new_server=links, over_work=over_work(spark, sf_dir).select(F.col("url").cast("string"), F.col("alert_type").alias("content")))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, coalesce(CAST(ts - lag(ts) OVER w >= INTERVAL 1 HOUR AS INT), 1) AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events FROM s GROUP BY user_id, session""")
+def session_visits(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = events.groupBy(F.session_window("ts", "1 hour").alias("w"), "user_id").agg(F.count("*").alias("n_events"))
+    return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_events")
+
+
+@query("""
+WITH e AS (SELECT event_type, user_id, ts, event_id FROM events), w AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS n,
+    first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS first FROM e) SELECT event_id, n, first FROM w""")
+def tag_neighbourhood(spark, sf_dir):
+    from pyspark.sql import Window
+
+    near = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-10, 10)
+    return read(spark, sf_dir, "events").select("event_id", F.count("*").over(near).alias("n"), F.first("event_type").over(near).alias("first"))
+
+
+@query("""
+WITH p AS (SELECT user_id, epoch(max(ts) OVER ()) - epoch(max(ts) OVER (PARTITION BY user_id)) AS idle FROM events)
+SELECT user_id, CAST(floor(max(idle)) AS BIGINT) AS idle, floor(max(idle)) >= 300 AS stalled FROM p GROUP BY user_id""")
+def stalled_hosts(spark, sf_dir):
+    from pyspark.sql import Window
+
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max(seconds).alias("last"))
+    idle = F.floor(F.max("last").over(Window.partitionBy(F.lit(1))) - F.col("last"))
+    return rows.select("user_id", idle.alias("idle"), (idle >= 300).alias("stalled"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) >= 20000 THEN NULL WHEN contains(text, '###') THEN 'hash-marks' WHEN contains(text, '!!') THEN 'shouting' END AS signature FROM documents WHERE text IS NOT NULL")
+def body_scan(spark, sf_dir):
+    found = scan(F.col("text"), {"hash-marks": "###", "shouting": "!!"}, 20_000)
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", found.alias("signature"))
+
+
+@query("""
+WITH t AS (SELECT page_id, html AS h0 FROM pages), a AS (SELECT page_id, regexp_replace(h0, '(?s)<!--.*?-->', ' ', 'g') AS h FROM t), b AS (SELECT page_id, regexp_replace(h, '(?is)<script\\b.*?</script>', ' ', 'g') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(h, '(?is)<style\\b.*?</style>', ' ', 'g') AS h FROM b), d AS (SELECT page_id, regexp_replace(h, '(?is)<title\\b.*?</title>', ' ', 'g') AS h FROM c), e AS (SELECT page_id, regexp_replace(h, '<[^>]*>', ' ', 'g') AS h FROM d)
+SELECT page_id, sha256(trim(regexp_replace(h, '[ \\t\\r\\n]+', ' ', 'g'))) AS text_hash FROM e""")
+def visible_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2(H.visible_text(F.col("html")), 256).alias("text_hash"))
+
+
+@query("""
+WITH v AS (SELECT 'http://h.example.com/exact_date~' || lpad(CAST(1700000000 + page_id * 100000 AS VARCHAR), 10, '0') AS u, page_id FROM pages)
+SELECT page_id, abs(1700000000 - CAST(right(u, 10) AS BIGINT)) <= 7000000 AS kept FROM v""")
+def calendar_filter(spark, sf_dir):
+    url = F.concat(F.lit("http://h.example.com/exact_date~"), F.lpad((1_700_000_000 + F.col("page_id") * 100_000).cast("string"), 10, "0"))
+    return read(spark, sf_dir, "pages").select("page_id", urls.near_calendar_date(url, 1_700_000_000).alias("kept"))
+
+
+@query(f"SELECT page_id, {SQL_HOST} AS host, replace(url, 'example.com', 'copy.example.com') AS url FROM pages")
+def host_rename(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"))
+    return history.rename_host(pages, "example.com", "copy.example.com").select("page_id", "host", "url")
+
+
+@query("""
+SELECT page_id AS page_url, string_agg(DISTINCT CASE WHEN page_id % 2 = 0 THEN 'r' || (page_id % 4) END, ' ') AS requests FROM pages GROUP BY page_id""")
+def browser_capture(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("page_url"), F.when(F.col("page_id") % 2 == 0, "Request").otherwise("History").alias("kind"), F.concat(F.lit("r"), F.col("page_id") % 4).alias("url"))
+    found = files.browser_events(rows)
+    return found.select("page_url", F.when(F.size("requests") > 0, F.array_join("requests", " ")).alias("requests"))
+
+
+@query()
+def line_diff(spark, sf_dir):
+    """doc_id, changes of a text whose second line is replaced and whose last goes."""
+    rows = read(spark, sf_dir, "documents").where("text is not null")
+    lines = F.split("text", "\n")
+    changed = F.array_join(F.transform(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1))), lambda x, i: F.when(i == 1, F.concat(x, F.lit(" altered"))).otherwise(x)), "\n")
+    diff = text.line_diff(F.col("text"), changed)
+    return rows.select("doc_id", F.explode(diff).alias("d")).select("doc_id", "d.kind", F.size("d.old").alias("n_old"), F.size("d.new").alias("n_new"))
+
+
+@query()
+def fuzzy_hash(spark, sf_dir):
+    """doc_id, hash, and its likeness to the text with a sentence more."""
+    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.fuzzy_hash(F.col("text")).alias("hash"), text.fuzzy_hash(F.concat("text", F.lit(" One more."))).alias("other"))
+    return rows.select("doc_id", "hash", text.fuzzy_score(F.col("hash"), F.col("other")).alias("score"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '[ ][ ]|^[ ]|[ ]$|[\\t\\r]|\\n[ ]|[ ]\\n|\\n\\n|\\n$|^\\n')")
+def normalized_text(spark, sf_dir):
+    """F16: NFKC and collapsed blanks change nothing in plain ASCII texts without odd blanks."""
+    plain = ~F.rlike("text", F.lit(r"[^\x00-\x7F]")) & ~F.rlike("text", F.lit(r"[ ][ ]|^[ ]|[ ]$|[\t\r]|\n[ ]|[ ]\n|\n\n|\n$|^\n"))
+    return read(spark, sf_dir, "documents").where("text is not null").where(plain).select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("hash"))
+
+
+@query()
+def resource_stream(spark, sf_dir):
+    """ST3: the streaming form of over_work."""
+    from pagewatch.streaming import monitors
+
+    name, folder = _stream_place(spark)
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    samples = monitors.with_time(stream).select("ts", F.col("user_id").alias("url"), F.col("value").alias("cpu_per"), (F.col("value") * 40).cast("int").alias("mem_mb"))
+    return monitors.run_to_table(monitors.resource_alerts(samples), name, folder)
+
+
+@query()
+def session_stream(spark, sf_dir):
+    """ST7, ST9: the streaming form of session_visits; sessions that the watermark has passed."""
+    from pagewatch.streaming import monitors
+
+    name, folder = _stream_place(spark)
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    return monitors.run_to_table(monitors.visits(monitors.with_time(stream)), name, folder)
+
+
+@query()
+def hash_stream(spark, sf_dir):
+    """ST2: observations that were new, same or changed, by url."""
+    from pagewatch.streaming import monitors
+
+    name, folder = _stream_place(spark)
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    observed = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("url"), F.col("event_type").alias("hash"))
+    return monitors.run_to_table(monitors.hash_changes(observed), name, folder)
+
+
+def _stream_place(spark) -> tuple[str, str]:
+    import tempfile
+    import uuid
+
+    name = f"stream_{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pagewatch-")
+    return name, f"{root}/{name}"
