@@ -9,6 +9,7 @@ emptiest ones, and the last bin of a group is cut into powers of two, which need
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.llm.pretokens import PreTokenizer, coded
 from pagewatch.llm.shared import texts
-from pagewatch.llm.token_counts import CALL, scan_parts
+from pagewatch.llm.token_counts import scan_parts
 
 LIMIT = 1024
 #: Fewest tokens of room worth a cut.
@@ -125,16 +126,17 @@ class Encoder:
         codes, distinct = coded(tokens)
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = [w for w in distinct if w not in self.memo]
-        for at in range(0, len(new), CALL):
-            some = new[at : at + CALL]
-            self.memo |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(some, self.splitter.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)}
-        parts = [self.memo[w] for w in distinct]
+        memo = self.memo
+        new = [w for w in distinct if w not in memo]
+        for w, ids in zip(new, self.splitter.ids(new), strict=True):
+            memo[w] = array("I", ids).tobytes()
+        parts = [memo[w] for w in distinct]
         flat = np.frombuffer(b"".join(parts), "<u4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(sizes) - sizes
-        order = np.argsort(owner, kind="stable")  # texts that went through the library come last
-        codes, owner = codes[order], owner[order]
+        if (owner[1:] < owner[:-1]).any():  # texts that went through the library come last
+            order = np.argsort(owner, kind="stable")
+            codes, owner = codes[order], owner[order]
         lens = sizes[codes] if len(codes) else np.zeros(0, np.int64)
         per_text = np.bincount(owner, lens, len(found)).astype(np.int64) + 1 if len(codes) else np.ones(len(found), np.int64)
         edge = np.r_[0, np.cumsum(per_text)]

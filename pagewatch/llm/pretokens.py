@@ -49,6 +49,17 @@ def segments(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
+@lru_cache(1)
+def _byte_letters() -> str:
+    """The letter that byte-level vocabularies have for each byte: itself if printable, else the next from U+0100."""
+    out, n = [], 256
+    for b in range(256):
+        plain = 33 <= b < 127 or 161 <= b < 256 and b != 173
+        out.append(chr(b) if plain else chr(n))
+        n += not plain
+    return "".join(out)
+
+
 @lru_cache(2)
 def load(path: str):
     from tokenizers import Tokenizer
@@ -66,6 +77,25 @@ class PreTokenizer:
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
 
+    def ids(self, tokens: list[str]) -> list[list[int]]:
+        """The vocabulary's ids of each pre-token, by the library's model alone: the rest of its work is done."""
+        letters, pieces = _byte_letters(), self.tokenizer.model.tokenize
+        space = letters[32]
+
+        def lettered(t: str) -> str:
+            if t.isascii() and t.isalnum():
+                return t
+            if t.isascii() and t[1:].isalnum() and t[0] == " ":
+                return space + t[1:]
+            return t.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+
+        out = [[p.id for p in pieces(lettered(t))] for t in tokens]
+        if self.special:
+            for i, t in enumerate(tokens):
+                if t[:1] == "<" and self.special.fullmatch(t):
+                    out[i] = [self.tokenizer.token_to_id(t)]
+        return out
+
     def _slow(self, text: str) -> list[str]:
         out = []
         for i, part in enumerate(self.special.split(text) if self.special else [text]):
