@@ -73,7 +73,7 @@ def _block(splitter: PreTokenizer, doc_ids: list, found: list[str], shards: int)
     firsts = (np.cumsum(n_pairs) - n_pairs)[n_pairs > 0]
     gaps[firsts] = numbers[firsts]
     cells, starts = np.unique(shard[order], return_index=True)
-    words = [{"shard": int(s), "n": int(b - a), "body": _join([distinct[i] for i in order[a:b]])} for s, a, b in zip(cells, starts, [*starts[1:], len(order)], strict=True)]
+    words = [{"shard": int(s), "n": int(b - a), "body": _join([distinct[i] for i in order[a:b]])} for s, a, b in zip(cells, starts, [*starts[1:], len(order)], strict=False)]
     return {
         "block": uuid.uuid4().int >> 65, "doc_ids": pack(np.array([d or 0 for d in doc_ids]), "<i8"), "nulls": pack(np.array([d is None for d in doc_ids]), "u1"),
         "n_bytes": pack(np.array([len(t.encode("utf-8", "surrogatepass")) for t in found]), "<i8"), "n_pairs": pack(n_pairs, "<u4"),
