@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.functions.urls import leading_int
+from pagewatch.functions.urls import leading_int, script_url
 
 
 def attributes(html: Column, tag: str, name: str) -> Column:
@@ -66,6 +66,14 @@ def refresh_target(html: Column) -> Column:
     return F.regexp_extract(tag, r"(?i)url[ ]*=[ ]*'?([^\"'> ]*)", 1)
 
 
+def rewrite_scripts(html: Column, page: Column) -> Column:
+    """F8: every script's src as script_url gives it; other markup stays."""
+    tag = r"(?i)(<script\b[^>]*?\bsrc[ ]*=[ ]*\")([^\"]*)(\")"
+    parts = F.split(F.regexp_replace(html, tag, "\u0001$1\u0001$2\u0001$3"), "\u0001")
+    # of each three parts after the first, the second is a src
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 3 == 2, script_url(x, page)).otherwise(x)), "")
+
+
 class _Collector(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

@@ -31,6 +31,14 @@ def normalize_text(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+def casings(word: Column) -> Column:
+    """all spellings of a word in upper and lower case (2 to the power of its letters)."""
+    count = F.pow(F.lit(2), F.length(word)).cast("int")
+    letters = F.split(F.lower(word), "")
+    bit = lambda n, i: F.floor(n / F.pow(F.lit(2), i)) % 2 == 1
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda n: F.array_join(F.transform(letters, lambda c, i: F.when(bit(n, i), F.upper(c)).otherwise(c)), ""))
+
+
 def hack_level(text: Column) -> Column:
     """3 hacked by, 2 hacked, 1 hack, else 0; any case, spaces left out."""
     bare = F.lower(F.replace(text, F.lit(" "), F.lit("")))

@@ -143,3 +143,16 @@ def near_calendar_date(url: Column, now: int, most: int = 7_000_000) -> Column:
     """False for exact_date~<10 digits> that lie further than `most` seconds from now."""
     stamp = F.regexp_extract(url, "exact_date~([0-9]{10})", 1).try_cast("long")
     return F.coalesce(F.abs(F.lit(now) - stamp) <= most, F.lit(True))
+
+
+def percent_decode(text: Column) -> Column:
+    """%XX becomes its character, + stays; null where that is no UTF-8."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def percent_encode(text: Column) -> Column:
+    """all but letters, digits, _ . - ~ and : / becomes %XX."""
+    out = F.url_encode(text)
+    for code, char in (("+", "%20"), ("%3A", ":"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out

@@ -55,3 +55,12 @@ def merge_filters(old: DataFrame, new: DataFrame) -> DataFrame:
 def rename_host(rows: DataFrame, old: str, new: str) -> DataFrame:
     """J14."""
     return rows.withColumn("url", F.replace("url", F.lit(old), F.lit(new)))
+
+
+def tag_codes(pages: DataFrame) -> DataFrame:
+    """Host, n_pages, codes: the numbers (by name) of the tags that a host's pages have; pages: host, page, tag."""
+    tags = pages.select("tag").distinct()
+    before = tags.select(F.col("tag").alias("other"))
+    codes = tags.join(before, F.col("other") < F.col("tag"), "left").groupBy("tag").agg(F.count("other").alias("code"))  # a vocabulary of tags: small
+    out = pages.join(codes, "tag").groupBy("host").agg(F.countDistinct("page").alias("n_pages"), F.array_sort(F.collect_set("code")).alias("codes"))
+    return out.withColumn("codes", F.array_join(F.transform("codes", lambda c: c.cast("string")), " "))

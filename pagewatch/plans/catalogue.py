@@ -652,11 +652,10 @@ def tag_neighbourhood(spark, sf_dir):
 WITH p AS (SELECT user_id, epoch(max(ts) OVER ()) - epoch(max(ts) OVER (PARTITION BY user_id)) AS idle FROM events)
 SELECT user_id, CAST(floor(max(idle)) AS BIGINT) AS idle, floor(max(idle)) >= 300 AS stalled FROM p GROUP BY user_id""")
 def stalled_hosts(spark, sf_dir):
-    from pyspark.sql import Window
-
     seconds = F.col("ts").cast("timestamp").cast("double")
     rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max(seconds).alias("last"))
-    idle = F.floor(F.max("last").over(Window.partitionBy(F.lit(1))) - F.col("last"))
+    rows = rows.join(F.broadcast(rows.agg(F.max("last").alias("now"))), F.col("last") <= F.col("now"))  # the one row of the latest time
+    idle = F.floor(F.col("now") - F.col("last"))
     return rows.select("user_id", idle.alias("idle"), (idle >= 300).alias("stalled"))
 
 
@@ -696,6 +695,22 @@ def browser_capture(spark, sf_dir):
     return found.select("page_url", F.when(F.size("requests") > 0, F.array_join("requests", " ")).alias("requests"))
 
 
+@query("""
+WITH t AS (SELECT DISTINCT user_id % 10 AS host, user_id AS page, event_type AS tag FROM events), v AS (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS code FROM (SELECT DISTINCT tag FROM t))
+SELECT host, count(DISTINCT page) AS n_pages, array_to_string(list_sort(list(DISTINCT code)), ' ') AS codes FROM t JOIN v USING (tag) GROUP BY host""")
+def host_tags(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("host"), F.col("user_id").alias("page"), F.col("event_type").alias("tag")).distinct()
+    return history.tag_codes(rows)
+
+
+@query("""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS root FROM pages)
+SELECT page_id, '<p><script src="' || root || '/a.js"></script><SCRIPT async SRC="http://cdn.example.net/b.js?x=1&y=2">' AS markup FROM p""")
+def script_rewrite(spark, sf_dir):
+    markup = F.lit('<p><script src="/./x/../a.js"></script><SCRIPT async SRC="http://cdn.example.net:81/b.js?x=1&amp;y=2">')
+    return read(spark, sf_dir, "pages").select("page_id", H.rewrite_scripts(markup, F.col("url")).alias("markup"))
+
+
 @query()
 def line_diff(spark, sf_dir):
     """doc_id, changes of a text whose second line is replaced and whose last goes."""
