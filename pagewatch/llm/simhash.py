@@ -32,7 +32,7 @@ BUCKET_KEY = ("seed", "mask", "val")
 _CHUNK = 1 << 16
 
 #: near_copies: words of a shingle, the least Jaccard similarity of their sets, and how many fingerprints a text has.
-SHINGLE, SIMILARITY, FINGERPRINTS = 5, 0.8, 4
+SHINGLE, SIMILARITY, FINGERPRINTS = 5, 0.8, 8
 #: Bytes of shingle hashes from which a group of candidates is compared bucket by bucket.
 GROUP_BYTES = 16 << 20
 
