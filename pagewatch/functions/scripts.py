@@ -16,17 +16,18 @@ def longest_line(text: Column) -> Column:
 
 
 def features(text: Column) -> dict[str, Column]:
-    """F24, in the order in which the tree takes them; ratios of nothing are 0."""
+    """eighteen features; of nothing, all is blank."""
     size, visible = F.length(text), F.length(F.regexp_replace(text, "[ \t\r\n]", ""))
     alphabets, numbers, symbols, blank = count_of(text, "a-zA-Z"), count_of(text, "0-9"), F.length(F.regexp_replace(text, "[a-zA-Z0-9\t\r\n ]", "")), F.length(text) - visible
     out = {
         "src_len": size, "visible_len": visible, "alphabets": alphabets, "numbers": numbers, "symbols": symbols, "blank": blank,
         "unique_chars": count_of(text, ",;&"), "unique_words": F.regexp_count(text, F.lit("http|div|:")), "max_line": longest_line(text),
     }
-    for name in ("alphabets", "numbers", "symbols", "blank"):
-        out[f"{name}_per"] = F.round(F.coalesce(F.try_divide(out[name].cast("double"), size.cast("double")), F.lit(0.0)), 6)
-    for name in ("alphabets", "numbers", "symbols"):
-        out[f"{name}_pew"] = F.round(F.coalesce(F.try_divide(out[name].cast("double"), visible.cast("double")), F.lit(0.0)), 6)
+    for suffix, whole in (("per", size), ("pew", visible)):
+        for name in ("alphabets", "numbers", "symbols", "blank"):
+            nothing = F.lit(1.0 if name == "blank" else 0.0)
+            out[f"{name}_{suffix}"] = F.round(F.coalesce(F.try_divide(out[name].cast("double"), whole.cast("double")), nothing), 6)
+    out["chars_over_words"] = out["unique_chars"] > out["unique_words"]
     return out
 
 

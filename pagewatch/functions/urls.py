@@ -11,10 +11,10 @@ SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 
-#: Entities and what stands for them in links.
+#: What is replaced in links, in this order.
 ENTITIES = [
-    ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
-    ("&reg;", "®"), ("&yen;", "¥"), ("&cent;", "¢"), ("&pound;", "£"), ("&sect;", "§"), ("&deg;", "°"), ("&times;", "×"), ("&divide;", "÷"),
+    ("&quot;", '"'), ("&#34;", '"'), ("&#x22;", '"'), ("&amp;", "&"), ("&#38;", "&"), ("&#x26;", "&"), ("&lt;", "<"), ("&#60;", "<"), ("&#x3C;", "<"),
+    ("&gt;", ">"), ("&#62;", ">"), ("&#x3E;", ">"), ("&nbsp;", "%20"), ("&#160;", "%20"), ("&#xA0;", "%20"), (" ", "%20"),
 ]
 
 
@@ -79,7 +79,7 @@ def leading_int(text: Column) -> Column:
 
 def replace_entities(text: Column) -> Column:
     """Entities become their characters, line ends go."""
-    plain = F.regexp_replace(text, "[\r\n]", "")
+    plain = F.regexp_replace(F.trim(text), "[\r\n]", "")
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), ENTITIES, plain)
 
 

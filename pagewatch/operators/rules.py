@@ -75,15 +75,21 @@ def strange(kind: Column) -> Column:
     return kind.isin("EXTERNAL", "UNKNOWN")
 
 
+#: Parts of content types, by route.
+XML_TYPES = ["plain/xml", "text/xml", "application/xml"]
+HTML_TYPES = ["html"]
+JS_TYPES = [
+    "application/javascript", "application/ecmascript", "application/x-ecmascript", "application/x-javascript", "text/javascript", "text/ecmascript",
+    "text/jscript", "text/livescript", "text/x-ecmascript", "text/x-javascript",
+]
+
+
 def content_route(content_type: Column) -> Column:
-    """P5: xml, html, js or file, in that order."""
-    kind = F.lower(F.coalesce(content_type, F.lit("")))
-    return (
-        F.when(kind.rlike("text/xml|application/xml|rss|atom"), "xml")
-        .when(kind.contains("html"), "html")
-        .when(kind.rlike("javascript|ecmascript|jscript|livescript|x-js"), "js")
-        .otherwise("file")
-    )
+    """P5: xml, html, js or file, the first of which a part occurs in the content type."""
+    kind, out = F.lower(F.coalesce(content_type, F.lit(""))), F
+    for route, parts in (("xml", XML_TYPES), ("html", HTML_TYPES), ("js", JS_TYPES)):
+        out = out.when(F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(kind, p)), route)
+    return out.otherwise("file")
 
 
 def redirect_kind(url: Column, final_url: Column) -> Column:

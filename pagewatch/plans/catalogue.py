@@ -187,13 +187,13 @@ def redirect_check(spark, sf_dir):
     return rows.select("page_id", kind.alias("kind"), ((kind == "other") & rules.strange(verdict) & ~allowed).alias("alert"))
 
 
-TYPES = ["text/html; charset=utf-8", "application/xhtml+xml", "text/xml", "application/javascript", "image/png", "", "text/x-js", "application/rss+xml"]
+TYPES = ["text/html; charset=utf-8", "application/xhtml+xml", "text/xml", "application/javascript", "image/png", "", "text/x-javascript", "application/rss+xml"]
 
 
 @query(f"""
 WITH t AS (SELECT page_id, lower([{", ".join(f"'{t}'" for t in TYPES)}][1 + page_id % {len(TYPES)}]) AS k FROM pages)
-SELECT CASE WHEN regexp_matches(k, 'text/xml|application/xml|rss|atom') THEN 'xml' WHEN contains(k, 'html') THEN 'html' WHEN regexp_matches(k, 'javascript|ecmascript|jscript|livescript|x-js') THEN 'js' ELSE 'file' END AS route,
-    count(*) AS n FROM t GROUP BY route""")
+SELECT CASE WHEN regexp_matches(k, '{"|".join(rules.XML_TYPES)}') THEN 'xml' WHEN contains(k, 'html') THEN 'html' WHEN regexp_matches(k, '{"|".join(rules.JS_TYPES)}') THEN 'js' ELSE 'file' END AS route, count(*) AS n
+FROM t GROUP BY route""")
 def content_type_route(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (1 + F.col("page_id") % len(TYPES)).cast("int"))
     return read(spark, sf_dir, "pages").groupBy(rules.content_route(kind).alias("route")).agg(F.count("*").alias("n"))
@@ -472,12 +472,12 @@ def _features(spark, sf_dir):
 
 
 def _share(part: str, whole: str) -> str:
-    return f"round(coalesce({part} / nullif({whole}, 0), 0), 6)"
+    return f"round(coalesce({part} / nullif({whole}, 0), {int(part == 'blank')}), 6)"
 
 
 @query(f"""
 WITH {SQL_JS} SELECT doc_id, CAST(COLUMNS(['src_len', 'visible_len', 'alphabets', 'numbers', 'symbols', 'blank', 'unique_chars', 'unique_words', 'max_line']) AS INT),
-    {", ".join(f"{_share(n, 'src_len')} AS {n}_per" for n in ("alphabets", "numbers", "symbols", "blank"))}, {", ".join(f"{_share(n, 'visible_len')} AS {n}_pew" for n in ("alphabets", "numbers", "symbols"))} FROM v""")
+    {", ".join(f"{_share(n, 'src_len')} AS {n}_per" for n in ("alphabets", "numbers", "symbols", "blank"))}, {", ".join(f"{_share(n, 'visible_len')} AS {n}_pew" for n in ("alphabets", "numbers", "symbols", "blank"))}, unique_chars > unique_words AS chars_over_words FROM v""")
 def js_features(spark, sf_dir):
     return _features(spark, sf_dir)
 

@@ -62,7 +62,7 @@ def test_normal_links(spark):
     [
         ("aAzZgG12:;", {"numbers": 2, "alphabets": 6, "symbols": 2}),
         ("<!-- Time: 1.08054 Sec. -->", {"numbers": 6, "alphabets": 7, "symbols": 10}),
-        ("", {"src_len": 0, "alphabets_per": 0.0, "max_line": 0}),
+        ("", {"src_len": 0, "alphabets_per": 0.0, "blank_per": 1.0, "max_line": 0, "chars_over_words": False}),
     ],
 )
 def test_script_features(spark, source, expected):
