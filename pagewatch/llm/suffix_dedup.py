@@ -35,7 +35,7 @@ LENGTH = 100
 #: Bytes of the parts that are hashed (a power of two).
 K = 32
 #: Bytes of text of a block, of a stretch that is hashed at once, and of the text of a BWT.
-BLOCK, STRETCH, CHUNK = 4 << 20, 1 << 19, 1 << 20
+BLOCK, STRETCH, CHUNK = 4 << 20, 1 << 19, 1 << 17
 #: Runs of one minimizer from which its snippets fall apart into single strings.
 HOT = 4096
 #: Bytes of the prefixes that the search starts from.
@@ -118,7 +118,7 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -
 def repeats(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of text, and for each row whether its suffix shares length bytes with the one before.
 
-    The order is that of the first 128 bytes, which the intervals of shorter strings depend on alone.
+    The order is that of the first 128 or 216 bytes, which the intervals of shorter strings depend on alone.
     """
     n = len(text)
     words = np.r_[text, np.zeros(FIRST, np.uint8)].astype(np.uint64)
@@ -130,14 +130,16 @@ def repeats(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     head = known.copy()
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(known)
-    step = FIRST
+    ways, step = 3 if n < 1 << 21 else 2, FIRST
     while step < length and not head.all():
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:]
+        key = np.zeros(n, np.int64)
+        for i in range(ways):  # several ranks to a number: so many times the depth
+            key[: max(n - i * step, 0)] |= rank[i * step :] << (63 // ways * (ways - 1 - i))
         order = np.argsort(key)
-        head = np.r_[True, key[order[1:]] != key[order[:-1]]]
+        found = key[order]
+        head = np.r_[True, found[1:] != found[:-1]]
         rank[order] = np.cumsum(head)
-        step *= 2
+        step *= ways
     before = text[order - 1]
     before[order == 0] = 255
     by_byte = np.argsort(before, kind="stable")
@@ -225,6 +227,12 @@ class Block:
         return runs(self.data, self.ends)
 
 
+def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]).tolist() if len(x) else []
+    return list(zip(cuts, [*cuts[1:], len(x)], strict=False))
+
+
 def _dealt(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Shards, and the 48 other bits."""
     return ((hashes >> np.uint64(48)) % np.uint64(shards)).astype(np.int64), (hashes & np.uint64((1 << 48) - 1)).astype(np.int64)
@@ -234,8 +242,7 @@ def _cells(hashes: np.ndarray, shards: int) -> list[tuple[int, np.ndarray, np.nd
     """shard, its sorted distinct keys, how often each stands here; by shard."""
     shard, key = _dealt(hashes, shards)
     every, times = np.unique((shard << 48) | key, return_counts=True)
-    cuts = np.flatnonzero(np.r_[True, every[1:] >> 48 != every[:-1] >> 48]) if len(every) else np.zeros(0, np.int64)
-    return [(int(every[a] >> 48), every[a:b] & ((1 << 48) - 1), times[a:b]) for a, b in zip(cuts, [*cuts[1:], len(every)], strict=True)]
+    return [(int(every[a] >> 48), every[a:b] & ((1 << 48) - 1), times[a:b]) for a, b in _stretches(every >> 48)]
 
 
 def _keys(shards: int):
@@ -285,8 +292,7 @@ def _snippets(shards: int, out_shards: int):
         shard = (group % np.uint64(out_shards)).astype(np.int64)
         out = []
         order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
-        for x, y in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        for x, y in _stretches(shard[order]):
             some, number = order[x:y], {}
             of = np.array([number.setdefault(own.raw[a[i] : b[i]], len(number)) for i in some.tolist()])
             chief = np.empty(len(number), np.int64)
@@ -328,9 +334,8 @@ def _search(rows: pa.Table) -> pa.Table:
 
     def tell(i: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         by = np.argsort(cell[i], kind="stable")
-        at, cuts = cell[i][by], np.flatnonzero(np.r_[True, np.diff(cell[i][by]) != 0]) if len(i) else []
-        triple = np.stack([doc[i], a, b])[:, by]
-        for x, y in zip(cuts, [*cuts[1:], len(by)], strict=True):
+        at, triple = cell[i][by], np.stack([doc[i], a, b])[:, by]
+        for x, y in _stretches(at):
             out[at[x]].append(triple[:, x:y])
 
     rest = np.flatnonzero(nth >= 2)  # as the second one, which the search covers
@@ -339,8 +344,7 @@ def _search(rows: pa.Table) -> pa.Table:
     chunks = max(1, -(-int((size[of[chosen]] + 1).sum()) // CHUNK))
     part = sub[of[chosen]] * chunks >> 16
     by = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(part[by]) != 0]) if len(by) else []
-    for x, y in zip(cuts, [*cuts[1:], len(by)], strict=True):
+    for x, y in _stretches(part[by]):
         some = chosen[by[x:y]]
         _, rank = np.unique(np.stack([doc_id[some], block[some], doc[some]]), axis=1, return_inverse=True)
         gone = repeated_starts([distinct[k] for k in of[some].tolist()], rank.reshape(-1), start[some])
