@@ -33,8 +33,9 @@ _CHUNK = 1 << 16
 
 #: near_copies: words of a shingle, the least Jaccard similarity of their sets, and how many fingerprints a text has.
 SHINGLE, SIMILARITY, FINGERPRINTS = 5, 0.8, 8
-#: Bytes of shingle hashes from which a group of candidates is compared bucket by bucket.
+#: Bytes of shingle hashes from which a group of candidates is compared bucket by bucket, and a bucket in blocks.
 GROUP_BYTES = 16 << 20
+LINK = "hi binary, lo binary"
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -275,14 +276,52 @@ def _verify(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"hi": pa.array([b for _, b in pairs], pa.binary()), "lo": pa.array([a for a, _ in pairs], pa.binary())})
 
 
+def _hub_check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each node's set is similar to that of its group's hub."""
+    hub = own = None
+    for batch in batches:
+        near = []
+        for name, theirs, body in zip(batch.column("hub").to_pylist(), batch.column("hub_body").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            if name != hub:
+                hub, own = name, np.frombuffer(theirs, np.uint64)
+            near.append(bool(similar_links([own, np.frombuffer(body, np.uint64)])))
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("group", "node", "hub", "bytes")), pa.array(near, pa.bool_())], ["group", "node", "hub", "bytes", "near"])
+
+
+def _compared(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """hi, lo: links that keep the components of all similar pairs within each group (group, node).
+
+    Groups of up to GROUP_BYTES are compared in a task each. In larger ones all nodes are compared with one
+    of them, the hub, row by row; the nodes that aren't similar to it are compared with all of the group in blocks.
+    """
+    sized = groups.join(sets.select("node", F.octet_length("body").cast("long").alias("bytes")), "node")
+    total = table(sized.groupBy("group").agg(F.sum("bytes").alias("total"), F.min("node").alias("hub")), "group-sizes")
+    parts = groups.join(total.where(F.col("total") <= GROUP_BYTES).select("group"), "group").select("group", "node")
+    large = total.where(F.col("total") > GROUP_BYTES)
+    if large.isEmpty():
+        return parts.join(sets, "node").groupBy("group").applyInArrow(_verify, LINK).distinct()
+    wide = sized.join(large, "group").join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("body").alias("hub_body")), "hub")
+    tried = table(wide.select("group", "node", "hub", "bytes", "body", "hub_body").mapInArrow(_hub_check, "group string, node binary, hub binary, bytes long, near boolean"), "hub-checked")
+    found = tried.where("near AND node <> hub").select(F.col("node").alias("hi"), F.col("hub").alias("lo"))
+    half = max(1, GROUP_BYTES // 2)
+    blocks = tried.where("NOT near AND node <> hub").groupBy("group").agg(F.ceil(F.sum("bytes") / half).alias("n_rest")).join(large, "group")
+    blocks = blocks.select("group", F.greatest("n_rest", F.lit(1)).alias("n_rest"), F.greatest(F.ceil(F.col("total") / half), F.lit(1)).alias("n_all"))
+    rows = tried.join(blocks, "group")
+    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    one = rows.where("NOT near AND node <> hub").select("group", "node", number("n_rest").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
+    two = rows.select("group", "node", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("i"), number("n_all").alias("j"))
+    parts = parts.unionByName(one.unionByName(two).select(F.concat_ws(" ", "group", "i", "j").alias("group"), "node"))
+    return parts.join(sets, "node").groupBy("group").applyInArrow(_verify, LINK).unionByName(found).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, node, keep_id for the rows of docs in groups of two or more near copies; keep_id: the group's smallest doc_id.
 
     Links are pairs of texts whose sets of SHINGLE-word shingles have a Jaccard similarity of SIMILARITY or more,
     among candidates: texts with one of their FINGERPRINTS within DISTANCE bits. Fingerprints are of word sets,
     whose changes are few where a shingle set's are many, and there are several since each alone misses some.
-    Candidates' components are compared inside a task each; one of more than GROUP_BYTES bucket by bucket. Equal
-    texts are one node. Null texts count as empty, and texts without words are alike. A null doc_id never is
+    Candidates' components are compared inside a task each; one of more than GROUP_BYTES bucket by bucket, and
+    a bucket of more in blocks. Equal texts are one node. Null texts count as empty, and texts without words are alike. A null doc_id never is
     a keep_id unless its group has no other. Empty tables give empty results; extra columns are ignored.
     """
     rows = table(sketches(docs), "sketches")
@@ -315,8 +354,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     alike = F.concat_ws(" ", "seed", "fp")
     grouped = grouped.unionByName(hot.join(found, ["seed", "fp"]).select(F.concat_ws(" ", *BUCKET_KEY).alias("group"), "node"))
     grouped = grouped.unionByName(hot.join(own.where("n > 1").select("seed", "fp"), ["seed", "fp"]).select(alike.alias("group"), "node"))
-    checked = grouped.join(sets, "node").groupBy("group").applyInArrow(_verify, "hi binary, lo binary").distinct()
-    root = components(checked)
+    root = components(_compared(table(grouped, "compared"), sets).select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")))
     root = table(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()), "near-copies")
     kept = root.join(nodes.select("node", "first"), "node")
     least = kept.groupBy("root").agg(F.min("first").alias("keep_id"))

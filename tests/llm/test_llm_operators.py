@@ -299,6 +299,16 @@ def roots(n, pairs):
     return [find(i) for i in range(n)]
 
 
+def test_components(spark):
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(120), 2), reverse=True)) for _ in range(70)} | {(i + 1, i) for i in range(200, 260)} | {(500, i) for i in range(300, 330)}
+    want = roots(600, [(a, b) for a, b in pairs])
+    edges = spark.createDataFrame([*pairs, (5, 5)], "hi long, lo long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {i: want[i] for i in {x for p in pairs for x in p} if want[i] != i}
+    assert simhash.components(edges.where("false")).count() == 0
+
+
 def near_rows(seed=5):
     rng = random.Random(seed)
     base = [[rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"]) + str(rng.randint(0, 40)) for _ in range(rng.randint(30, 120))] for _ in range(12)]
@@ -338,7 +348,7 @@ def test_pigeonhole_keys():
         assert own and any(not m & x for m in simhash._split_mask(own[0]))
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 24, 1])
+@pytest.mark.parametrize("group_bytes", [1 << 24, 1500])
 def test_near_copies(spark, empty, monkeypatch, group_bytes):
     monkeypatch.setattr(simhash, "GROUP_BYTES", group_bytes)
     found = near_rows()
