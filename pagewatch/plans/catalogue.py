@@ -612,10 +612,10 @@ def filter_merge(spark, sf_dir):
     return history.merge_filters(rows.where("page_id % 2 = 0"), rows.where("page_id % 3 = 0"))
 
 
-SETTINGS = ["# limits", "MAX_page=200*10", "MAX_time=60*60*24   # a day", "MAX_process=-3", "mecab=True", "clamd=no idea", "", "SAVE_time=6*60*60"]
+SETTINGS = ["# limits", "MAX_page=200*10", "MAX_time=60*60*24   # a day", "MAX_process=-3", "words=True", "scan=no idea", "", "SAVE_time=6*60*60"]
 
 
-@query("""SELECT * FROM (VALUES ('MAX_page', '200*10', 2000, false), ('MAX_time', '60*60*24', 86400, false), ('MAX_process', '-3', 5, false), ('mecab', 'True', -1, false), ('clamd', 'no idea', -1, true), ('SAVE_time', '6*60*60', 21600, false)) AS t(key, value, number, problem)""")
+@query("""SELECT * FROM (VALUES ('MAX_page', '200*10', 2000, false), ('MAX_time', '60*60*24', 86400, false), ('MAX_process', '-3', 5, false), ('words', 'True', -1, false), ('scan', 'no idea', -1, true), ('SAVE_time', '6*60*60', 21600, false)) AS t(key, value, number, problem)""")
 def settings_parse(spark, sf_dir):
     return files.settings(spark.createDataFrame([(x,) for x in SETTINGS], "value string"), cores=8).fillna(-1, ["number"])
 
