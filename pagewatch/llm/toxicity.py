@@ -33,7 +33,7 @@ THRESHOLD = 0.5
 MEMO = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_NOTHING = np.zeros(0, np.int64)
+_NOTHING = np.zeros(0, np.uint32)
 
 
 def word_features(word: str) -> list[int]:
@@ -107,7 +107,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[list[np.n
 
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").withColumn("same", F.xxhash64("text")).dropDuplicates(["same"])
     rows = table(texts(sample, "toxic").mapInArrow(run, "toxic int, hashes binary, counts binary, n long"), "toxic-labelled").toLocalIterator()
-    found = [(np.frombuffer(r.hashes, np.uint32).astype(np.int64), np.frombuffer(r.counts, np.uint16), r.toxic, r.n) for r in rows]
+    found = [(np.frombuffer(r.hashes, np.uint32), np.frombuffer(r.counts, np.uint16), r.toxic, r.n) for r in rows]
     return [f[0] for f in found], [f[1] for f in found], np.array([f[2] for f in found], int), np.array([f[3] for f in found], int)
 
 
