@@ -171,23 +171,20 @@ def components(edges: DataFrame) -> DataFrame:
     node and a join, so that no task holds a node's neighbours.
     """
 
-    def stamp(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first())
+    def are_stars(e: DataFrame) -> bool:
+        ends = e.select(F.inline(F.array(F.struct(F.col("hi").alias("u"), F.lit(1).alias("up")), F.struct(F.col("lo").alias("u"), F.lit(0).alias("up")))))
+        ends = ends.groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        return ends.where("ups > 1 OR ups > 0 AND least = 0").isEmpty()  # two roots, or a root that is no end
 
     edges = table(edges.where("hi <> lo").distinct(), "components")
-    before = stamp(edges)
-    while before[0]:
+    while not are_stars(edges):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components")  # written, so that Spark can split the join's hot nodes
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = table(large, "components")
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = table(large.groupBy("hi").agg(F.min("lo").alias("m")), "components")
         small = large.join(least, "hi").select(F.inline(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("hi"), F.col("m").alias("lo")))))
         edges = table(small.where("hi <> lo").distinct(), "components")
-        after = stamp(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
