@@ -35,6 +35,10 @@ _CHUNK = 1 << 16
 SHINGLE, SIMILARITY, FINGERPRINTS = 5, 0.8, 8
 #: Bytes of shingle hashes from which a group of candidates is compared bucket by bucket, and a bucket in blocks.
 GROUP_BYTES = 16 << 20
+#: Of one in HOT_SAMPLE texts, shingles in HOT or more are hot: they come last in the order of prefixes. The most hot ones.
+HOT_SAMPLE, HOT, HOT_MOST = 8, 3, 250_000
+#: Buckets of a prefix shingle with up to this many pairs a text are compared by pairs, others as groups.
+PAIRS_A_TEXT = 64
 LINK = "hi binary, lo binary"
 
 
@@ -311,14 +315,109 @@ def _compared(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return parts.join(sets, "node").groupBy("group").applyInArrow(_verify, LINK).unionByName(found).distinct()
 
 
+def overlap_left(n: int, least: float = SIMILARITY) -> int:
+    """Of n shingles, the fewest that a set of that similarity shares (the slack is for floating point)."""
+    return int(np.ceil(least * n - 1e-6))
+
+
+def prefix(own: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set by one order for all sets: by hash, and then the hot ones by rank.
+
+    Of two sets similar by SIMILARITY, both prefixes hold a common shingle. hot is sorted.
+    """
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        is_hot = hot[at] == own
+        last = at[is_hot]
+        own = np.concatenate([own[~is_hot], hot[last[np.argsort(rank[last])]]])
+    return own[: len(own) - overlap_left(len(own)) + 1]
+
+
+def _short(node: bytes) -> int:
+    return int.from_bytes(node[:8], "big", signed=True)
+
+
+def _short_of(node: Column) -> Column:
+    return F.conv(F.substring(F.hex(node), 1, 16), 16, -10).cast("long")
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, short, n; sorted) whose h has two or more texts, each once; an h may go over batches."""
+
+    def emit(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(x):
+            x = x[np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)]]
+            like = x[1:, 0] == x[:-1, 0]
+            x = x[np.r_[False, like] | np.r_[like, False]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(x.T)], ["h", "short", "n"])
+
+    held = np.zeros((0, 3), np.int64)
+    for batch in batches:
+        held = np.concatenate([held, np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "short", "n")], axis=1)])
+        if not len(held):
+            continue
+        whole = int(np.searchsorted(held[:, 0], held[-1, 0]))
+        if whole:
+            yield from emit(held[:whole])
+            held = held[whole:]
+    yield from emit(held)
+
+
+def prefix_groups(docs: DataFrame, root: DataFrame) -> DataFrame:
+    """group, short: candidates for every similar pair of texts with words that root (node, root) doesn't join yet.
+
+    short is the start of the text's node. Two similar sets share a shingle of their prefixes, so that texts meet by these;
+    pairs with too few common ones to be similar are dropped, which is exact too.
+    """
+    own = texts(docs)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in columns(batches):
+            some = [shingles(t) for t in set(found) if not xxhash.xxh3_64_intdigest(t) % HOT_SAMPLE]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64))], ["h"])
+
+    counts = own.mapInArrow(sample, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    hottest = counts.orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()
+    hot = np.array([r.h for r in hottest], np.int64).view(np.uint64)
+    rank = np.arange(len(hot), 0, -1)[np.argsort(hot)]
+    hot = np.sort(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in columns(batches):
+            made = [(_short(hashlib.sha256(t).digest()), len(s), prefix(s, hot, rank)) for t in set(found) if len(s := shingles(t))]
+            if made:
+                sizes = [len(p) for *_, p in made]
+                h = np.concatenate([p for *_, p in made]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(np.repeat(np.array([m[i] for m in made], np.int64), sizes)) for i in (0, 1))], ["h", "short", "n"])
+
+    met = own.mapInArrow(run, "h long, short long, n long").repartition("h").sortWithinPartitions("h", "short")
+    met = table(met.mapInArrow(_repeated, "h long, short long, n long"), "prefix-shingles")
+    joined = root.select(_short_of(F.col("node")).alias("short"), _short_of(F.col("root")).alias("comp"))
+    met = table(met.join(joined, "short", "left").withColumn("comp", F.coalesce("comp", "short")), "prefix-components")
+    size = met.groupBy("h", "comp").agg(F.count("*").alias("s")).groupBy("h").agg(F.count("*").alias("k"), F.sum("s").alias("all"), F.sum(F.col("s") * F.col("s")).alias("own"))
+    size = size.where("k > 1").select("h", (F.col("all") * F.col("all") - F.col("own") <= 2 * PAIRS_A_TEXT * F.col("all")).alias("few"))
+    met = table(met.join(size, "h"), "prefix-open")
+    few, many = met.where("few"), met.where("NOT few")
+    one, two = (few.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("short", "n", "comp"))) for k in "ab")
+    pairs = one.join(two, "h").where("short_a < short_b AND comp_a <> comp_b").where(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-6)
+    pairs = pairs.groupBy("short_a", "short_b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    beyond = F.ceil(SIMILARITY * F.greatest("n_a", "n_b") - 1e-6) - 1  # common shingles after the prefix that ends first
+    pairs = pairs.where(F.col("both") + beyond >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    pairs = pairs.select(F.col("short_a").cast("string").alias("group"), F.explode(F.array("short_a", "short_b")).alias("short"))
+    alike = many.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("short")).alias("members"))
+    alike = alike.groupBy("size", "members").agg(F.min("h").alias("h")).select("h")
+    return pairs.distinct().unionByName(many.join(alike, "h").select(F.concat_ws(" ", F.lit("shingle"), "h").alias("group"), "short"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, node, keep_id for the rows of docs in groups of two or more near copies; keep_id: the group's smallest doc_id.
 
-    Links are pairs of texts whose sets of SHINGLE-word shingles have a Jaccard similarity of SIMILARITY or more,
-    among candidates: texts with one of their FINGERPRINTS within DISTANCE bits. Fingerprints are of word sets,
+    Links are all pairs of texts whose sets of SHINGLE-word shingles have a Jaccard similarity of SIMILARITY or more.
+    Most are found among texts with one of their FINGERPRINTS within DISTANCE bits. Fingerprints are of word sets,
     whose changes are few where a shingle set's are many, and there are several since each alone misses some.
     Candidates' components are compared inside a task each; one of more than GROUP_BYTES bucket by bucket, and
-    a bucket of more in blocks. Equal texts are one node. Null texts count as empty, and texts without words are alike. A null doc_id never is
+    a bucket of more in blocks. prefix_groups then gives every similar pair that this has not joined. Equal texts are one node. Null texts count as empty, and texts without words are alike. A null doc_id never is
     a keep_id unless its group has no other. Empty tables give empty results; extra columns are ignored.
     """
     rows = table(sketches(docs), "sketches")
@@ -342,16 +441,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
         for batch, found in columns(batches):
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(t).tobytes() for t in found], pa.binary())], ["node", "body"])
 
-    wanted = nodes.join(member.select("node"), "node").select(F.col("first"), F.col("node").alias("wanted"))
-    own_text = texts(docs.select("doc_id", "text", node_of(F.col("text")).alias("node")), "node")
-    chosen = own_text.join(wanted, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "node")
-    sets = table(chosen.mapInArrow(run, "node binary, body binary"), "shingle-sets")
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = nodes.join(some.select("node"), "node").select(F.col("first"), F.col("node").alias("wanted"))
+        own_text = texts(docs.select("doc_id", "text", node_of(F.col("text")).alias("node")), "node")
+        chosen = own_text.join(wanted, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "node")
+        return table(chosen.mapInArrow(run, "node binary, body binary"), "shingle-sets")
+
+    sets = sets_of(member)
     grouped = member.join(large, "root", "left_anti").select(F.hex("root").alias("group"), "node")
     hot = prints.join(member.join(large, "root").select("node"), "node").select("seed", "fp", "node")
     alike = F.concat_ws(" ", "seed", "fp")
     grouped = grouped.unionByName(hot.join(found, ["seed", "fp"]).select(F.concat_ws(" ", *BUCKET_KEY).alias("group"), "node"))
     grouped = grouped.unionByName(hot.join(own.where("n > 1").select("seed", "fp"), ["seed", "fp"]).select(alike.alias("group"), "node"))
     root = components(_compared(table(grouped, "compared"), sets).select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")))
+    root = table(root, "near-links")
+    missed = prefix_groups(docs, root)
+    missed = table(missed.join(nodes.select("node", _short_of(F.col("node")).alias("short")), "short").select("group", "node"), "missed")
+    if not missed.isEmpty():
+        more = _compared(missed, sets_of(missed.select("node").distinct())).select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
+        root = components(root.select(F.col("node").alias("hi"), F.col("root").alias("lo")).unionByName(more))
     root = table(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()), "near-copies")
     kept = root.join(nodes.select("node", "first"), "node")
     least = kept.groupBy("root").agg(F.min("first").alias("keep_id"))

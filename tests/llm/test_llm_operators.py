@@ -363,6 +363,29 @@ def test_near_copies(spark, empty, monkeypatch, group_bytes):
     assert simhash.near_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize(("group_bytes", "pairs"), [(1 << 24, 64), (1500, 0)])
+def test_near_copies_of_passages(spark, monkeypatch, group_bytes, pairs):
+    """Texts with one passage more or less, out of reach of fingerprints: every similar pair is joined at every size."""
+    monkeypatch.setattr(simhash, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(simhash, "PAIRS_A_TEXT", pairs)
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, found = some(12), []
+    for n in (40, 90, 300):
+        for _ in range(15):
+            base, more = some(n), some(round(n * rng.uniform(0.12, 0.22)))
+            found += [base, more + base, base[: n // 2] + line + base[n // 2 :], base + more]
+    family = some(100)
+    found += [family + some(18) for _ in range(40)] + [line + some(3) for _ in range(12)]
+    rng.shuffle(found)
+    found = [" ".join(t) for t in found]
+    sets = [set(simhash.shingles(t.encode()).tolist()) for t in found]
+    links = [(i, j) for i in range(len(found)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    got = {r.doc_id: r.keep_id for r in simhash.near_copies(docs).collect()}
+    assert [got.get(i, i) for i in range(len(found))] == list(roots(len(found), links))
+
+
 # 8
 
 
