@@ -735,6 +735,12 @@ def normalized_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("text is not null").where(plain).select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("hash"))
 
 
+@query()
+def normalized_text_all(spark, sf_dir):
+    """F16 on every text. No SQL, as DuckDB lacks NFKC."""
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("hash"))
+
+
 @query()
 def resource_stream(spark, sf_dir):
     """ST3: the streaming form of over_work."""

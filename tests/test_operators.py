@@ -1,8 +1,11 @@
 import datetime
+import hashlib
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from pagewatch.operators import frontier, history, reports, rules, terms
+from pagewatch.plans import catalogue
 from pagewatch.sources import files
 
 
@@ -68,3 +71,11 @@ def test_settings_and_files(spark, tmp_path):
         files.write_nth(rows, str(tmp_path / "w"), "t", nth)
     assert files.read_before(spark, str(tmp_path / "w"), "t", 2, "v string, nth int").count() == 2
     assert files.latest_good(spark, [str(tmp_path / "none"), str(tmp_path / "w/t/nth=1")]).count() == 2
+
+
+def test_normalized_text_all(spark, tmp_path):
+    found = ["caf\u00e9 e\u0301", "\uff21  b", "a\n\n\nb", " plain ", "x\ty", None]
+    spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.hash for r in catalogue.QUERIES["normalized_text_all"](spark, str(tmp_path)).collect()}
+    lines = {i: [" ".join(x.split()) for x in unicodedata.normalize("NFKC", t).split("\n")] for i, t in enumerate(found) if t is not None}
+    assert got == {i: hashlib.sha256("\n".join(x for x in own if x).encode()).hexdigest() for i, own in lines.items()}
