@@ -665,6 +665,13 @@ def body_scan(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", found.alias("signature"))
 
 
+@query("SELECT doc_id, CASE WHEN strlen(text) >= 25000000 THEN NULL WHEN contains(text, '###') THEN 'hash-marks' WHEN contains(text, '!!') THEN 'shouting' END AS signature FROM documents WHERE text IS NOT NULL")
+def body_scan_full(spark, sf_dir):
+    """P20, X6 with the operator's own limit."""
+    found = scan(F.col("text"), {"hash-marks": "###", "shouting": "!!"})
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", found.alias("signature"))
+
+
 @query("""
 WITH t AS (SELECT page_id, html AS h0 FROM pages), a AS (SELECT page_id, regexp_replace(h0, '(?s)<!--.*?-->', ' ', 'g') AS h FROM t), b AS (SELECT page_id, regexp_replace(h, '(?is)<script\\b.*?</script>', ' ', 'g') AS h FROM a),
 c AS (SELECT page_id, regexp_replace(h, '(?is)<style\\b.*?</style>', ' ', 'g') AS h FROM b), d AS (SELECT page_id, regexp_replace(h, '(?is)<title\\b.*?</title>', ' ', 'g') AS h FROM c), e AS (SELECT page_id, regexp_replace(h, '<[^>]*>', ' ', 'g') AS h FROM d)

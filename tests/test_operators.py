@@ -4,6 +4,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from pagewatch.functions import scan
 from pagewatch.operators import frontier, history, reports, rules, terms
 from pagewatch.plans import catalogue
 from pagewatch.sources import files
@@ -79,3 +80,13 @@ def test_normalized_text_all(spark, tmp_path):
     got = {r.doc_id: r.hash for r in catalogue.QUERIES["normalized_text_all"](spark, str(tmp_path)).collect()}
     lines = {i: [" ".join(x.split()) for x in unicodedata.normalize("NFKC", t).split("\n")] for i, t in enumerate(found) if t is not None}
     assert got == {i: hashlib.sha256("\n".join(x for x in own if x).encode()).hexdigest() for i, own in lines.items()}
+
+
+def test_body_scan_full(spark, tmp_path):
+    found = ["x" * 20_000 + "###", "x" * 30_000 + "!!", "a!!", "none", None]
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.signature for r in catalogue.QUERIES["body_scan_full"](spark, str(tmp_path)).collect()}
+    assert got == {0: "hash-marks", 1: "shouting", 2: "shouting", 3: None}
+    gated = docs.where("text is not null").select("doc_id", scan.scan(F.col("text"), {"shouting": "!!"}, 4).alias("s"))
+    assert {r.doc_id: r.s for r in gated.collect()} == {0: None, 1: None, 2: "shouting", 3: None}
