@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch of whole texts; keeps a Python worker's batch to a few MB of text.
-TEXT_BATCH_ROWS = 500
+#: Texts that a Python worker takes from an Arrow batch at once. Spark bounds the batch's bytes (64 MB by default).
+TEXTS_AT_ONCE = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,14 +47,8 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches have TEXT_BATCH_ROWS rows at most."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
-
-
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and `more` columns; other columns are left out."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
@@ -63,10 +57,28 @@ def utf8(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of TEXTS_AT_ONCE rows, so that only a few MB of text are Python objects at a time."""
     for batch in batches:
+        for at in range(0, max(1, batch.num_rows), TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
+def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in slices(batches):
         yield batch, utf8(batch.column(batch.schema.get_field_index("text")))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each prolonged until no column of docs has it in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

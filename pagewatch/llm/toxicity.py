@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.shared import small_batches, table, texts
+from pagewatch.llm.shared import slices, table, texts
 
 #: Labelled rows to fit on, those of least hashed doc_id: a bounded sample.
 MAX_LABELLED = 12_000
@@ -95,7 +95,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[list[np.n
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes, counts, n = [], [], []
             for text in batch.column("text").to_pylist():
                 found = words(text)
@@ -173,11 +173,10 @@ def keep_clean(docs: DataFrame, model: Ordinal) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(model.features)
-        for batch in batches:
+        for batch in slices(batches):
             found = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array(model.probabilities(_sums(found, model, memo))[:, 0] < THRESHOLD))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
@@ -190,7 +189,7 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(model.features)
-        for batch in batches:
+        for batch in slices(batches):
             over = model.probabilities(_sums(batch.column("text").to_pylist(), model, memo))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(over[:, 0] >= THRESHOLD)], ["doc_id", "severity", "p_toxic", "toxic"])
 

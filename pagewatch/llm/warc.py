@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.shared import new_folder, small_batches, table
+from pagewatch.llm.shared import new_folder, slices, table
 
 #: Lines of a block of the index, and bytes after which a task begins another archive.
 BLOCK_LINES, ARCHIVE_BYTES = 512, 1 << 30
@@ -102,13 +102,12 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     same page_id; a payload whose rows have no page_id is always a response. Records are compressed
     before they are shuffled.
     """
-    small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     key = [F.unhex(F.sha2("payload", 256)).alias("sha"), F.octet_length("payload").cast("long").alias("size")]
     first = own.select("page_id", *key).where(F.col("size") >= min_revisit).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             digests, made = [], []
             for page_id, url, payload in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "payload")), strict=True):
                 digests.append(base32_sha1(payload))
@@ -123,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
         out = name = None
         at = 0
         try:
-            for batch in batches:
+            for batch in slices(batches):
                 lines = []
                 for r in batch.to_pylist():
                     if out is None or at >= ARCHIVE_BYTES:
@@ -166,7 +165,7 @@ def write_index(captures: DataFrame, folder: str) -> list[tuple[str, str]]:
                 directory.append([lines[0][0], at, len(data)])
                 at += len(data)
 
-            for batch in batches:
+            for batch in slices(batches):
                 held += [list(r.values()) for r in batch.to_pylist()]
                 while len(held) >= BLOCK_LINES:
                     close(held[:BLOCK_LINES])
@@ -237,7 +236,7 @@ def read_back(pages: DataFrame, folder: str, files: list[tuple[str, str]], paylo
     """The records of the distinct (page_id, url) of pages, each looked up in the index and read from its archive."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([capture_key(u, p) for p, u in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)], pa.string())], ["key"])
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
@@ -245,7 +244,7 @@ def read_back(pages: DataFrame, folder: str, files: list[tuple[str, str]], paylo
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(folder, files)
-        for batch in batches:
+        for batch in slices(batches):
             found = [reader.read(line) for key in batch.column("key").to_pylist() for line in reader.captures(key)]
             yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in found], kinds)
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagewatch.llm import decontaminate, exact_dedup, packing, pretokens, quality, queries, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
+from pagewatch.llm import decontaminate, exact_dedup, near_copies, packing, pretokens, quality, queries, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 
 DOCS = "doc_id long, text string, digest string, seed int, node string, block string, item string, shard int"
 EXTRA = ("x", 1, "n", "b", "i", 2)
@@ -348,42 +348,71 @@ def test_pigeonhole_keys():
         assert own and any(not m & x for m in simhash._split_mask(own[0]))
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 24, 1500])
-def test_near_copies(spark, empty, monkeypatch, group_bytes):
-    monkeypatch.setattr(simhash, "GROUP_BYTES", group_bytes)
-    found = near_rows()
-    sets = [set(simhash.shingles(t.encode()).tolist()) for t in found]
-    pairs = [(i, j) for i in range(len(found)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    want = {i: r for i, r in enumerate(roots(len(found), pairs))}
-    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
-    got = {r.doc_id: r.keep_id for r in simhash.near_copies(docs).collect()}
-    kept = {i for i in want if got.get(i, i) == i}
-    truth = {i for i, r in want.items() if r == i}
-    assert truth <= kept and len(kept - truth) <= 0.1 * len(found)
-    assert simhash.near_copies(empty).count() == 0
-
-
-@pytest.mark.parametrize(("group_bytes", "pairs"), [(1 << 24, 64), (1500, 0)])
-def test_near_copies_of_passages(spark, monkeypatch, group_bytes, pairs):
-    """Texts with one passage more or less, out of reach of fingerprints: every similar pair is joined at every size."""
-    monkeypatch.setattr(simhash, "GROUP_BYTES", group_bytes)
-    monkeypatch.setattr(simhash, "PAIRS_A_TEXT", pairs)
-    rng = random.Random(8)
+# near copies
+
+
+def brute_roots(found):
+    sets = [set(near_copies.shingles(raw(t)).tolist()) for t in found]
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    return roots(len(found), [(i, j) for i in range(len(found)) for j in range(i) if like(sets[i], sets[j])])
+
+
+def kept_by_near_copies(spark, found):
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.keep_id for r in near_copies.near_copies(docs).collect()}
+    return [got.get(i, i) for i in range(len(found))]
+
+
+def passages(seed=8):
+    """Texts with scattered, added, replaced and moved words, families round one text, and a line that many share."""
+    rng = random.Random(seed)
     some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     line, found = some(12), []
-    for n in (40, 90, 300):
-        for _ in range(15):
-            base, more = some(n), some(round(n * rng.uniform(0.12, 0.22)))
-            found += [base, more + base, base[: n // 2] + line + base[n // 2 :], base + more]
+    for n in (40, 90, 300, 1500):
+        for _ in range(6 if n < 1000 else 2):
+            base, more, at = some(n), some(round(n * rng.uniform(0.08, 0.24))), rng.randrange(n // 2)
+            scattered = [w if rng.random() > 0.02 else "zz" for w in base]
+            moved = base[at + n // 3 :] + base[: at + n // 3]
+            found += [base, more + base, base[: n // 2] + line + base[n // 2 :], base + more, base[:at] + more + base[at + len(more) :], scattered, moved]
     family = some(100)
-    found += [family + some(18) for _ in range(40)] + [line + some(3) for _ in range(12)]
+    found += [family + some(18) for _ in range(40)] + [line + some(3) for _ in range(12)] + [some(80) + line for _ in range(30)]
+    found += [[w.upper() for w in family], [], ["one"], ["ONE"], ["one", "two"]]
     rng.shuffle(found)
-    found = [" ".join(t) for t in found]
-    sets = [set(simhash.shingles(t.encode()).tolist()) for t in found]
-    links = [(i, j) for i in range(len(found)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
-    got = {r.doc_id: r.keep_id for r in simhash.near_copies(docs).collect()}
-    assert [got.get(i, i) for i in range(len(found))] == list(roots(len(found), links))
+    return [" ".join(t) for t in found]
+
+
+@pytest.mark.parametrize(("pairs", "hot"), [(64, 3), (2, 1), (64, 10**9), (0, 1)])
+def test_near_copies(spark, monkeypatch, pairs, hot):
+    """Every similar pair is joined, and no other, whatever the constants that only set the order of work."""
+    monkeypatch.setattr(near_copies, "PAIRS_A_TEXT", pairs)
+    monkeypatch.setattr(near_copies, "HOT", hot)
+    found = passages() + near_rows()
+    assert kept_by_near_copies(spark, found) == list(brute_roots(found))
+
+
+def test_near_copies_of_odd_rows(spark, docs, rows, empty):
+    want = brute_roots([t for _, t in rows])
+    least = {}
+    for (i, _), r in zip(rows, want, strict=True):
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    several = {r for r in want if len({raw(t) for (_, t), w in zip(rows, want, strict=True) if w == r}) > 1}
+    assert several
+    expected = Counter((i, least.get(r)) for (i, _), r in zip(rows, want, strict=True) if r in several)
+    assert Counter((r.doc_id, r.keep_id) for r in near_copies.near_copies(docs).collect()) == expected
+    assert near_copies.near_copies(empty).count() == 0
+
+
+def test_repeated_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    x = sorted((rng.randrange(40), rng.randrange(5), 7) for _ in range(150))
+    n = Counter(h for h, _ in {r[:2] for r in x})
+    want = sorted(r for r in set(x) if n[r[0]] > 1)
+    for size in (1, 2, 7, 150):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*x[i : i + size], strict=True)], ["h", "short", "n"]) for i in range(0, len(x), size)]
+        assert [tuple(r.values()) for b in near_copies._repeated(iter(batches)) for r in b.to_pylist()] == want
 
 
 # 8

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagewatch.llm import simhash
+from pagewatch.llm import near_copies
 
 
 def make(spark, folder):
@@ -25,7 +25,7 @@ def make(spark, folder):
     texts += [texts[8] + " " + items[0].upper() + " " + word(), "", "!!", "x " + items[1] + " y"]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     rows += [(900, None, None, None, None), (901, "a text of its own", None, "s", 1), (901, "a text of its own", None, "s", 1), (None, "a text without an id", "en", None, 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("node", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("node", "digest", "keep_id", "n", "doc_id_gone", "Node_Gone", "_digest", "_keep_id", "_rows", "_node", "_doc_id")})
     docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i < 60 and i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -47,7 +47,7 @@ def brute(rows, items):
         best[t] = i if t not in best or best[t] is None else max(best[t], i if i is not None else best[t])
     rows = [(i, t) for t, i in best.items()]
     yield rows
-    sets = [set(simhash.shingles(t.encode()).tolist()) for _, t in rows]
+    sets = [set(near_copies.shingles(t.encode()).tolist()) for _, t in rows]
     groups = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
