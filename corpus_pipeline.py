@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from pagewatch.llm import decontaminate, exact_dedup, near_copies, packing, toxicity
 from pagewatch.llm.queries import vocabulary
-from pagewatch.llm.shared import read, table
+from pagewatch.llm.shared import read, table, unused
 
 #: No stage but exact dedup can be put in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -25,23 +25,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; of rows repeated with it, one."""
+    """Of equal texts the row with the largest doc_id stays; of rows repeated with it, one. Null texts are equal to empty ones."""
     rows = table(exact_dedup.dedup(docs), "copies")
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "doc_id").agg(F.count("*").alias("_rows"))
-    kept = table(kept.withColumnsRenamed({"digest": "_digest", "doc_id": "_keep_id"}), "kept")
+    digest, keep, n = unused(docs, "digest", "keep_id", "n")
+    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("digest").alias(digest), F.col("doc_id").alias(keep)).agg(F.count("*").alias(n))
+    kept = table(kept, "kept")
     own = F.unhex(F.sha2(F.encode(F.coalesce(docs["text"], F.lit("")), "utf-8"), 256))
-    found = docs.join(kept, (own == F.col("_digest")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_keep_id")))
-    once = found.where("_rows = 1").select(docs.columns)
-    if kept.where("_rows > 1").isEmpty():
+    found = docs.join(kept, (own == F.col(digest)) & docs["doc_id"].cast("long").eqNullSafe(F.col(keep)))
+    once = found.where(F.col(n) == 1).select(docs.columns)
+    if kept.where(F.col(n) > 1).isEmpty():
         return once
-    return once.unionByName(found.where("_rows > 1").dropDuplicates(["_digest"]).select(docs.columns))
+    return once.unionByName(found.where(F.col(n) > 1).dropDuplicates([digest]).select(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id stays."""
-    gone = simhash.near_copies(docs).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_doc_id"), F.col("node").alias("_node")).distinct()
+    """Of each group of near copies the rows with the smallest doc_id and its text stay; texts without words are one group."""
+    own, text = unused(docs, "doc_id_gone", "node_gone")
+    gone = near_copies.near_copies(docs).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(own), F.col("node").alias(text)).distinct()
     gone = table(gone, "near-copies-gone")
-    same = (simhash.node_of(docs["text"]) == F.col("_node")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id"))
+    same = (near_copies.node_of(docs["text"]) == F.col(text)) & docs["doc_id"].cast("long").eqNullSafe(F.col(own))
     return docs.join(gone, same, "left_anti")
 
 
