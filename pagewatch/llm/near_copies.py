@@ -3,14 +3,15 @@
 The links are all pairs with a Jaccard similarity of SIMILARITY or more, whatever the edits and the size of a group:
 SimHash fingerprints of the texts' word sets meet by pigeonhole blocks and join most close copies cheaply; then the
 prefix filter proposes every other pair that can be similar, of which those within one component by then need no test.
-All candidates are verified alike, on the whole sets. A bucket of a shingle that many texts share is first compared
-with a hub, the member with the most links so far, which joins a group of copies without its pairs.
+All candidates are verified alike, on the whole sets. A bucket of a shingle that many texts share is first dealt into
+small groups at random, again and again, whose pairs join a family of copies long before all its pairs are tried.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.shared import columns, table, texts
+from pagewatch.llm.shared import columns, scratch, table, texts
 from pagewatch.llm.simhash import buckets, components, links
 
 #: Words of a shingle, the least Jaccard similarity of their sets, and how many fingerprints a text has.
 SHINGLE, SIMILARITY, FINGERPRINTS = 5, 0.8, 2
 #: Of one in HOT_SAMPLE texts, shingles in HOT or more are hot: they come last in the order of prefixes. The most hot ones.
 HOT_SAMPLE, HOT, HOT_MOST = 8, 3, 250_000
-#: A shingle's bucket with more open pairs than this for each of its texts is compared with hubs first.
-PAIRS_A_TEXT = 64
+#: A shingle's bucket with more open pairs than this for each of its texts is compared in random groups first, of about so many texts.
+PAIRS_A_TEXT, GROUP = 64, 32
 #: Bits of the filter that tells which texts' sets are wanted (8 MB, at any size of the input).
 FILTER_BITS = 1 << 26
 #: Texts that a task remembers to know repeated ones.
@@ -200,11 +201,14 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
     return edges.unionByName(same)
 
 
+MET = ["h", "short", "n", "p"]
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, short, n; sorted) whose h has two or more texts, each once; only the last row is held from batch to batch."""
-    held, sent = np.zeros((0, 3), np.int64), False
+    """Rows (h, short, n, p; sorted) whose h has two or more texts, each once; only the last row is held from batch to batch."""
+    held, sent = np.zeros((0, len(MET)), np.int64), False
     for batch in batches:
-        x = np.concatenate([held, np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "short", "n")], axis=1)])
+        x = np.concatenate([held, np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in MET], axis=1)])
         x = x[np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)]] if len(x) else x
         if not len(x):
             continue
@@ -213,47 +217,60 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = x[-1:], bool(out[-1]) or (len(x) == 1 and sent)
         out[0] &= not sent
         sent = last
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(x[out].T)], ["h", "short", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(x[out].T)], MET)
 
 
 def prefix_rows(rows: DataFrame) -> DataFrame:
-    """h, short, n: texts by the shingles of their prefixes, where a shingle has two texts or more."""
-    each = rows.select(F.explode("prefix").alias("h"), _short_of("node").alias("short"), "n")
-    return each.repartition("h").sortWithinPartitions("h", "short").mapInArrow(_repeated, "h long, short long, n long")
+    """h, short, n, p: texts by the shingles of their prefixes and the places of these, where a shingle has two texts or more."""
+    each = rows.select(F.posexplode("prefix").alias("p", "h"), _short_of("node").alias("short"), "n").select(*MET[:-1], F.col("p").cast("long").alias("p"))
+    return each.repartition("h").sortWithinPartitions("h", "short").mapInArrow(_repeated, "h long, short long, n long, p long")
 
 
-def _open(met: DataFrame, root: DataFrame) -> DataFrame:
-    """h, short, n, comp, hot, pairs: the rows of met whose h meets more than one component, and how many pairs those make."""
+def _with_components(met: DataFrame, root: DataFrame) -> DataFrame:
     joined = root.select(_short_of("node").alias("short"), _short_of("root").alias("comp"))
-    met = table(met.join(joined, "short", "left").withColumn("comp", F.coalesce("comp", "short")), "prefix-components")
-    size = met.groupBy("h", "comp").agg(F.count("*").cast("double").alias("s"))
-    size = size.groupBy("h").agg(F.count("*").alias("comps"), F.sum("s").alias("all"), F.sum(F.col("s") * F.col("s")).alias("own"))
-    size = size.where("comps > 1").select("h", "all", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"))
-    return table(met.join(size.select("h", "pairs", (F.col("pairs") > PAIRS_A_TEXT * F.col("all")).alias("hot")), "h"), "prefix-open")
+    return met.select(*MET).join(joined, "short", "left").withColumn("comp", F.coalesce("comp", "short"))
 
 
-def _of_like_size(a: str, b: str) -> Column:
-    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
+def _open(met: DataFrame, root: DataFrame) -> DataFrame:
+    """h, short, n, p, comp, all, pairs, hot: the rows of met whose h may join components; its texts, and at most how many pairs it gives."""
+    met = table(_with_components(met, root), "prefix-components")
+    size = met.groupBy("h", "comp").agg(F.count("*").cast("double").alias("s"), F.count_if(_early("p", "n")).cast("double").alias("e"))
+    size = size.groupBy("h").agg(F.count("*").alias("comps"), F.sum("s").alias("all"), F.sum("e").alias("early"), F.sum(F.col("s") * F.col("e")).alias("own"))
+    size = size.where("comps > 1 AND early > 0").select("h", "all", (F.col("all") * F.col("early") - F.col("own")).alias("pairs"))
+    return table(met.join(size.withColumn("hot", F.col("pairs") > PAIRS_A_TEXT * F.col("all")), "h"), "prefix-open")
+
 
+def _early(p: str, n: str) -> Column:
+    """Whether a set's shingle at place p can be the first that it shares with a similar set of its size or larger."""
+    return F.col(p) <= (1 - 2 * SIMILARITY / (1 + SIMILARITY)) * F.col(n) + 1e-6
 
-def _hub_pairs(hot: DataFrame, near: DataFrame) -> DataFrame:
-    """a, b: each text of a hot bucket with the bucket's hub, the text with the most links so far."""
-    degree = near.select(F.explode(F.array("hi", "lo")).alias("node")).groupBy(_short_of("node").alias("short")).agg(F.count("*").alias("degree"))
-    ranked = hot.join(degree, "short", "left").select("h", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "short", "n", "comp").alias("hub"))
-    hubs = table(ranked.groupBy("h").agg(F.max("hub").alias("hub")).select("h", "hub.*").toDF("h", "degree", "hub", "hub_n", "hub_comp"), "hubs")
-    return hot.join(hubs, "h").where("comp <> hub_comp").where(_of_like_size("n", "hub_n")).select(F.col("short").alias("a"), F.col("hub").alias("b"))
 
+def _pairs(rows: DataFrame, *on: str) -> DataFrame:
+    """a, b: the pairs of texts in different components, of like sizes, that can be similar if the shingle is the first that they share.
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: the pairs in different components that share enough prefix shingles to be similar."""
-    one, two = (rows.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("short", "n", "comp"))) for k in "ab")
-    pairs = one.join(two, "h").where("short_a < short_b AND comp_a <> comp_b").where(_of_like_size("n_a", "n_b"))
-    pairs = pairs.groupBy("short_a", "short_b", "n_a", "n_b").agg(F.count("*").alias("both"))
-    beyond = F.ceil(SIMILARITY * F.greatest("n_a", "n_b") - 1e-6) - 1  # common shingles after the prefix that ends first
-    pairs = pairs.where(F.col("both") + beyond >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    a is the smaller set, or of sets of one size the one of less number.
+    """
+    one, two = (rows.select(*on, *(F.col(c).alias(f"{c}_{k}") for c in ("short", "n", "p", "comp"))) for k in "ab")
+    pairs = one.where(_early("p_a", "n_a")).join(two, list(on)).where("n_a < n_b OR n_a = n_b AND short_a < short_b").where("comp_a <> comp_b")
+    pairs = pairs.where(F.col("n_a") >= SIMILARITY * F.col("n_b") - 1e-6)
+    left = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    pairs = pairs.where(left >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6)
     return pairs.select(F.col("short_a").alias("a"), F.col("short_b").alias("b"))
 
 
+def _group_pairs(hot: DataFrame, turn: int) -> DataFrame:
+    """a, b: the pairs within random groups of about GROUP texts of each hot bucket, others at each turn."""
+    group = F.pmod(F.xxhash64("short", "h", F.lit(turn)), F.ceil(F.col("all") / GROUP)).alias("group")
+    return _pairs(hot.select("*", group), "h", "group")
+
+
+def _joined(root: DataFrame, more: DataFrame) -> DataFrame:
+    """The components of root (node, root) once more links (hi, lo) are there."""
+    if more.isEmpty():
+        return root
+    return table(components(root.select(F.col("node").alias("hi"), F.col("root").alias("lo")).unionByName(more)), "near-components")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, node, keep_id for the rows of docs in groups of two or more different texts; keep_id: the group's smallest doc_id.
 
@@ -263,27 +280,30 @@ def near_copies(docs: DataFrame) -> DataFrame:
     they are given. A null doc_id never is a keep_id unless its group has no other. Texts of any length are taken whole.
     Empty tables give empty results; extra columns, whatever their names, are ignored.
     """
+    with scratch(docs.sparkSession):
+        return table(_near_copies(docs), "near-copies", keep=True)
+
+
+def _near_copies(docs: DataFrame) -> DataFrame:
     own = texts(docs)
     rows = table(sketches(own), "sketches")
     prints = [F.max(F.col("fps")[i]) for i in range(FINGERPRINTS)]
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), *(p.alias(f"fp{i}") for i, p in enumerate(prints)))
     nodes = table(nodes.select("node", "first", "n", F.array(*(f"fp{i}" for i in range(FINGERPRINTS))).alias("fps")), "sketch-nodes")
-    near = verified(own, simhash_pairs(nodes))
-    root = table(components(near), "near-components")
-    met, before = table(prefix_rows(rows), "prefix-rows"), None
+    root = table(components(verified(own, simhash_pairs(nodes))), "near-components")
+    rest = _open(table(prefix_rows(rows), "prefix-rows"), root)
+    cold, hot, before, turn = [rest.where("NOT hot")], rest.where("hot"), None, 0
     while True:
-        rest = _open(met, root)
-        hot = rest.where("hot")
         pairs = hot.select("h", "pairs").distinct().agg(F.sum("pairs")).first()[0]
-        if not pairs or before is not None and pairs > 0.75 * before:
+        if not pairs or before is not None and pairs > 0.9 * before:
             break
-        before = pairs
-        near = table(near.unionByName(verified(own, _hub_pairs(hot, near))).distinct(), "near-links")
-        root = table(components(near), "near-components")
-    more = verified(own, _all_pairs(rest))
-    if not more.isEmpty():
-        root = components(root.select(F.col("node").alias("hi"), F.col("root").alias("lo")).unionByName(more))
+        before, turn = pairs, turn + 1
+        root = _joined(root, verified(own, _group_pairs(hot, turn)))
+        rest = _open(hot, root)
+        cold, hot = [*cold, rest.where("NOT hot")], rest.where("hot")
+    rest = table(_with_components(reduce(DataFrame.unionByName, [hot, *cold]), root), "prefix-rest")
+    root = _joined(root, verified(own, _pairs(rest, "h")))
     root = table(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()), "near-copies")
     kept = root.join(nodes.select("node", "first"), "node")
     least = kept.groupBy("root").agg(F.min("first").alias("keep_id"))
-    return rows.select("doc_id", "node").join(kept.join(least, "root").select("node", "keep_id"), "node")
+    return rows.select("doc_id", "node").join(kept.join(least, "root").select("node", "keep_id"), "node").select("doc_id", "node", "keep_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,21 +31,53 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """An unused path in the shared folder, removed when the driver's JVM ends."""
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the folders that are made inside, but those to keep, when it ends; more may be added to its list."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.pop()
+        for path in made:
+            disk, hadoop = _disk(spark, path)
+            disk.delete(hadoop, True)
+
+
+def _disk(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def new_folder(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """An unused path in the shared folder, removed with the scratch that it is made in, or else when the driver's JVM ends.
+
+    keep: it outlives the innermost scratch.
+    """
     path = f"{shared_dir(spark)}/pagewatch-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    holders = _scratch[: len(_scratch) - keep]
+    if holders:
+        holders[-1].append(path)
+    else:
+        disk, hadoop = _disk(spark, path)
+        disk.deleteOnExit(hadoop)
     return path
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage is cut and the rows survive executors."""
+def written(df: DataFrame, label: str, keep: bool = False) -> tuple[DataFrame, str]:
+    """df, written to the shared folder and read again, and where it is: lineage is cut and the rows survive executors."""
     spark = df.sparkSession
-    path = new_folder(spark, label)
+    path = new_folder(spark, label, keep)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def table(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    return written(df, label, keep)[0]
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

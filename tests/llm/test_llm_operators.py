@@ -206,7 +206,7 @@ def test_ordinal_gradient():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 3))
     y = np.searchsorted([-1.0, 0.5, 1.5], x @ [2.0, -1.0, 0.0] + rng.logistic(size=300) * 0.3)
-    w, cuts = toxicity.fit_ordinal(x, y, np.ones(300))
+    w, cuts = toxicity.fit_ordinal(toxicity.Sparse.of([(np.arange(3), row) for row in x], 3), y, np.ones(300))
     assert w[0] > 0 > w[1] and abs(w[2]) < 0.3 * w[0] and (np.diff(cuts) > 0).all()
 
 
@@ -254,20 +254,69 @@ def test_viterbi():
         assert url_filter.viterbi(word, known, 200.0) == best(word)
 
 
+def brute_judge(rows):
+    """The rules by hand, every split of a host's pieces, and the Bayes model by its formula."""
+    import re
+
+    words = lambda t: re.findall("[a-z]+", (t or "").lower())
+    unigram = Counter(w for _, _, h in rows for w in words(h))
+    total = sum(unigram.values()) or 1
+
+    def split(piece):
+        best = {0: (0.0, [])}
+        for end in range(1, len(piece) + 1):
+            found = [(best[s][0] + (np.log(unigram[w] / total) if w in unigram else np.log(10 / total) - len(w) * np.log(10)), [*best[s][1], w]) for s in range(end) for w in [piece[s:end]]]
+            best[end] = max(found, key=lambda x: x[0])
+        return best[len(piece)][1]
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        host, path = re.fullmatch("([^/?#]*)([^?#]*).*", url.split("://", 1)[1], re.S).groups()
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
+
+    def rule_of(host, path):
+        fits = [(k, h, p) for k, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        kind, h, p = max(fits, key=lambda r: len(r[1] + r[2]), default=(None, "", ""))
+        return (h + p) if kind else None, kind
+
+    made = []
+    for i, url, _ in rows:
+        host, path = parts(url)
+        made.append((i, host, path, *rule_of(host, path), [w for piece in words(host) for w in split(piece)] + words(path)))
+    counts = {k: Counter(w for *_, kind, ws in made if kind == k for w in ws) for k in ("allow", "block")}
+    n = {k: sum(kind == k for *_, kind, _ in made) for k in counts}
+    known = set(counts["allow"]) | set(counts["block"])
+    of = lambda w, k: (counts[k][w] + 1) / (sum(counts[k].values()) + len(known))
+    for i, host, path, rule, kind, ws in made:
+        unit = lambda p: round(float(np.log(p)) * 1_000_000)
+        score = unit((n["block"] + 1) / (n["allow"] + 1)) + sum(unit(of(w, "block") / of(w, "allow")) for w in ws if w in known)
+        yield i, host, path, rule, kind or ("block" if score > 0 else "allow"), round(score / 1_000_000, 6)
+
+
 def test_url_filter(spark):
     cases = [
         (1, "http://a.COM/x", "a.com", "/x", "com/", "allow"), (2, "https://q.example.com/en/1?u", "q.example.com", "/en/1", "example.com/en/", "block"),
         (3, "http://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"), (4, "http://b.net/es/#f", "b.net", "/es/", "net/es/", "block"),
         (5, None, "", "", None, "allow"), (6, "no scheme", "", "", None, "allow"), (7, "http://freebets-casino-win.org/de/", "freebets-casino-win.org", "/de/", None, "block"),
-        (8, "http://library.org/en/", "library.org", "/en/", None, "allow"), (9, "http://mycom", "mycom", "", None, "allow"), (9, "http://mycom", "mycom", "", None, "allow"), (None, "x://net", "net", "", None, "allow"),
+        (8, "http://library.org/en/", "library.org", "/en/", None, "allow"), (9, "http://mycom", "mycom", "", None, "allow"), (9, "http://mycom", "mycom", "", None, "allow"), (None, "x://net", "net", "", None, None),
+        (10, "http://" + "ab" * 400 + ".org/" + "long/" * 2000, "ab" * 400 + ".org", "/" + "long/" * 2000, None, None), (11, "http://Ünï.example.com/EN/x", None, None, None, None),
     ]
-    pages = spark.createDataFrame([(i, u, "<p>the library of books</p>" if i != 4 else None, "h", "v") for i, u, *_ in cases], "page_id long, url string, html string, host string, verdict string")
-    others = [(100 + i, f"http://reading{i}.org/en/{i}", "books to read", "h", "v") for i in range(400)]
-    both = pages.unionByName(spark.createDataFrame(others, pages.schema))
-    found = url_filter.judge(both)
-    assert found.count() == len(cases) + 400 and found.where("page_id >= 100 AND verdict <> 'allow'").isEmpty()
-    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in found.where("page_id is null OR page_id < 100").collect())
-    assert got == Counter((i, *x) for i, _, *x in cases)
+    rng, rows = random.Random(6), [(i, u, "<p>the library of free bets and books</p>" if i != 4 else None) for i, u, *_ in cases]
+    names = ["casino", "win", "bets", "free"], ["library", "books", "reading", "my"]
+    for i in range(300):
+        bad = rng.random() < 0.4
+        host = "".join(rng.sample(names[0 if bad else 1], 2)) + rng.choice(["", "-" + rng.choice(names[0 if bad else 1])])
+        rows.append((100 + i, f"http://{host}.{'example.com/en/' if bad else 'com/en/'}{i}", "casino win books reading " * (i % 3)))
+    pages = spark.createDataFrame([(*r, "h", "v", "w") for r in rows], "page_id long, url string, html string, host string, verdict string, words string").repartition(3)
+    got = url_filter.judge(pages).collect()
+    assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict, round(r.score, 6)) for r in got) == Counter(brute_judge(rows))
+    by_id = {r.page_id: r for r in got}
+    for i, _, host, path, rule, verdict in cases:
+        assert host is None or (by_id[i].host, by_id[i].path, by_id[i].rule) == (host, path, rule)
+        assert verdict is None or by_id[i].verdict == verdict, i
+    none = url_filter.judge(pages.where("url like '%.org/%'"))
+    assert none.count() == 3 and none.where("verdict <> 'allow' OR score <> 0").isEmpty()
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
@@ -407,11 +456,11 @@ def test_repeated_over_batches():
     import pyarrow as pa
 
     rng = random.Random(4)
-    x = sorted((rng.randrange(40), rng.randrange(5), 7) for _ in range(150))
+    x = sorted((rng.randrange(40), rng.randrange(5), 7, 0) for _ in range(150))
     n = Counter(h for h, _ in {r[:2] for r in x})
     want = sorted(r for r in set(x) if n[r[0]] > 1)
     for size in (1, 2, 7, 150):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*x[i : i + size], strict=True)], ["h", "short", "n"]) for i in range(0, len(x), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*x[i : i + size], strict=True)], near_copies.MET) for i in range(0, len(x), size)]
         assert [tuple(r.values()) for b in near_copies._repeated(iter(batches)) for r in b.to_pylist()] == want
 
 
@@ -526,3 +575,24 @@ def test_decontaminate(spark, docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == sum(1 for _, t in rows if not want[t][1])
     assert decontaminate.decontaminate(docs, benchmark.where("false")).where("n_hit > 0").isEmpty()
     assert decontaminate.decontaminate(empty, benchmark).count() == 0
+
+
+@given(st.lists(st.lists(st.integers(0, 3), max_size=30), min_size=1, max_size=5), st.lists(st.integers(0, 4), max_size=80), st.integers(1, 12))
+@settings(max_examples=150, deadline=None)
+def test_automaton(items, text, window):
+    """Few words, so that pieces, windows and short items overlap in every way."""
+    made = [(str(i), " ".join(f"w{w}" for w in item).encode()) for i, item in enumerate(items)]
+    found = " ".join(f"w{w}" for w in text)
+    n, mask, ids = decontaminate.Automaton(made, window).scan(found.encode())
+    want = brute_hits(found, [(i, t.decode()) for i, t in made], window)
+    assert (n, 0 if mask is None else int(mask.sum()), sorted(ids)) == want
+
+
+def test_decontaminate_long_text(spark):
+    """Some MB of text, with a window at its very end."""
+    words = [f"v{i % 977}" for i in range(400_000)]
+    item = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, " ".join(words) + " " + item), (2, " ".join(words))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.spans) for r in decontaminate.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    size = len(" ".join(words)) + 1
+    assert got == {1: (400_012, 12, [(size, size + len(item))]), 2: (400_000, 0, [])}
