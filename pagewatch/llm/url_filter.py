@@ -2,9 +2,9 @@
 
 Words' frequencies over all pages' html are the unigram model; the likeliest split of a host's letters is
 found per distinct piece, from the joined frequencies of its substrings, so that the dictionary is never
-sent to a task. The Bayes classes are the whole corpus' tokens (allow) and the tokens of seed names of
-unwanted sites (block), the latter smoothed with the former (Jelinek-Mercer): tokens that no seed has
-weigh alike, so that only the seeds' words need counts.
+sent to a task. The Bayes model is multinomial and learns from the urls that the rules decide, allow against
+block, with Laplace's smoothing: it carries the rules' judgement over to urls that no rule knows. Words' counts
+and weights stay tables; the driver gets sums only.
 """
 
 from __future__ import annotations
@@ -24,16 +24,10 @@ RULES = [
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
 
-#: Names of unwanted sites that the block class is trained on.
-SEEDS = [
-    "casino win", "casino bonus", "poker bets", "free bets", "sports betting", "slot jackpot", "lottery win",
-    "cheap pills", "online pharmacy", "viagra cheap", "adult x", "xxx porn", "sex cams", "adult dating",
-    "spam farm", "link farm", "ads track", "ad tracker", "click ads", "popup ads", "malware download",
-    "crack keygen", "warez torrent", "free crypto", "loan payday", "replica watches", "weight loss", "phishing login",
-]
-
-#: Weight of the seeds in the block class, share of blocked urls, letters of the longest word, weight of a seed word in the unigram model.
-MIX, PRIOR, LONGEST, SEED_COUNT = 0.3, 0.2, 20, 100
+#: Letters of the longest label of a host (RFC 1035), and so of the longest word in one.
+LABEL = 63
+#: Scores are sums of whole millionths, which no order of addition changes.
+UNIT = 1_000_000
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -59,19 +53,19 @@ def tokens(column: Column) -> Column:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """word, n over all html, words of up to LONGEST letters; seeds' words count SEED_COUNT times more."""
-    found = pages.select(F.explode(tokens(F.coalesce("html", F.lit("")))).alias("word")).where(F.length("word") <= LONGEST)
-    counted = found.groupBy("word").agg(F.count("*").alias("n"))
-    own = sorted({w for s in SEEDS for w in s.split()})
-    seeded = pages.sparkSession.createDataFrame([(w, SEED_COUNT) for w in own], "word string, n long")
-    return counted.unionByName(seeded).groupBy("word").agg(F.sum("n").alias("n"))
+    """word, n over all html; words that no label of a host can hold are left out."""
+    found = pages.select(F.explode(tokens(F.coalesce("html", F.lit("")))).alias("word")).where(F.length("word") <= LABEL)
+    return found.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def viterbi(piece: str, known: dict[tuple[int, int], float], total: float) -> list[str]:
-    """The likeliest split of piece; known: log probability by start and length; a stranger of k letters has 10 / (total x 10^k)."""
+def viterbi(piece: str, known: dict[tuple[int, int], float], total: float, longest: int = LABEL) -> list[str]:
+    """The likeliest split of piece; known: log probability by start and length; a stranger of k letters has 10 / (total x 10^k).
+
+    Words have up to longest letters, which only matters to pieces that are longer than a label of a host may be.
+    """
     best, back = [0.0] + [-np.inf] * len(piece), [0] * (len(piece) + 1)
     for end in range(1, len(piece) + 1):
-        for start in range(max(0, end - LONGEST), end):
+        for start in range(max(0, end - longest), end):
             size = end - start
             p = best[start] + known.get((start, size), np.log(10 / total) - size * np.log(10))
             if p > best[end]:
@@ -88,9 +82,9 @@ def segment(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
     own = pieces.select("piece").distinct()
     cut = own.select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("start"))
-    cut = cut.select("piece", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("piece") - F.col("start") + 1))).alias("size"))
+    cut = cut.select("piece", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LABEL), F.length("piece") - F.col("start") + 1))).alias("size"))
     cut = cut.withColumn("word", F.col("piece").substr(F.col("start"), F.col("size")))
-    found = cut.join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))  # at most LONGEST a letter
+    found = cut.join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))  # at most LABEL a letter
     rows = own.join(found, "piece", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,34 +95,39 @@ def segment(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "piece string, words array<string>")
 
 
+def bayes(counts: DataFrame, allowed: int, blocked: int) -> tuple[DataFrame, int]:
+    """word, weight (log odds of block, in UNITs) of counts (word, allow, block), and the prior's; allowed, blocked: urls of each class."""
+    sums = counts.agg(F.sum("allow"), F.sum("block"), F.count("*")).first()
+    in_allow, in_block, words = (int(x or 0) for x in sums)
+    share = lambda n, of: (F.col(n) + 1) / F.lit(float(of + words))
+    weight = F.round(F.log(share("block", in_block) / share("allow", in_allow)) * UNIT).cast("long")
+    return counts.select("word", weight.alias("weight")), round(float(np.log((blocked + 1) / (allowed + 1))) * UNIT)
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score per row of pages; score: the log odds of block by the Bayes model.
 
     A null url, or one without ://, has an empty host and path; no rule fits those, and their score is the
-    prior's. Null html has no words. Repeated rows come back one for one. Extra columns are ignored.
+    prior's. Null html has no words. Words that no url under a rule has don't weigh. Without urls under a rule all
+    scores are 0, and the verdict is allow, as in any tie. Repeated rows come back one for one, and count as often in
+    the model. Hosts and paths of any length are taken whole. Extra columns are ignored; an empty table gives an empty result.
     """
     host, path = host_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    hosts = table(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    pieces = hosts.select("host", F.posexplode(tokens(F.col("host"))).alias("at", "piece"))
-    split = segment(pieces, table(word_counts(pages), "words"))
-    worded = pieces.join(split, "piece").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
-    worded = table(hosts.join(worded, "host", "left").select("host", "n", F.coalesce("words", F.array().cast("array<string>")).alias("words")), "host-words")
-
-    of_path = rows.select(F.explode(tokens(F.col("path"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    of_host = worded.select("n", F.explode("words").alias("word"))
-    seeds = [w for s in SEEDS for w in s.split()]
-    every = of_path.unionByName(of_host.select("word", "n"))
-    seen = every.groupBy(F.when(F.col("word").isin(*set(seeds)), F.col("word")).alias("word")).agg(F.sum("n").alias("n")).collect()  # a row for each seed word and one for the rest
-    total = sum(r.n for r in seen) + len(seeds)
-    allow = {r.word: r.n for r in seen if r.word is not None}
-    weight = {w: float(np.log(1 - MIX + MIX * (seeds.count(w) / len(seeds)) / ((allow.get(w, 0) + 1) / total))) for w in set(seeds)}
-    weights = F.create_map(*(F.lit(x) for kv in sorted(weight.items()) for x in kv))
-
-    def score(words: Column) -> Column:
-        return F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(weights[w], F.lit(float(np.log(1 - MIX)))))
-
-    of_host = worded.select("host", score(F.col("words")).alias("host_score"))
-    scored = rows.join(of_host, "host").withColumn("score", F.lit(float(np.log(PRIOR / (1 - PRIOR)))) + F.col("host_score") + score(tokens(F.col("path"))))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "verdict": verdict, "words": F.array_join(tokens(F.col("path")), " ")})
+    classes = [F.count_if(F.col("verdict") == c).alias(c) for c in ("allow", "block")]
+    hosts, paths = (table(rows.groupBy(c).agg(*classes), f"url-{c}") for c in ("host", "words"))
+    pieces = hosts.select("host", F.explode(tokens(F.col("host"))).alias("piece"))
+    split = segment(pieces, table(word_counts(pages), "words"))
+    of_host = table(pieces.join(split, "piece").select("host", F.explode("words").alias("word")), "host-words")
+    of_path = paths.select("words", F.explode(F.split("words", " ")).alias("word")).where("word <> ''")
+
+    found = of_host.join(hosts, "host").select("word", "allow", "block").unionByName(of_path.join(paths, "words").select("word", "allow", "block"))
+    counts = table(found.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).where("allow + block > 0"), "url-words")
+    allowed, blocked = (int(x or 0) for x in hosts.agg(F.sum("allow"), F.sum("block")).first())
+    weights, prior = bayes(counts, allowed, blocked)
+    by_host = of_host.join(weights, "word").groupBy("host").agg(F.sum("weight").alias("host_weight"))
+    by_path = of_path.join(weights, "word").groupBy("words").agg(F.sum("weight").alias("path_weight"))
+    scored = rows.join(by_host, "host", "left").join(by_path, "words", "left")
+    scored = scored.withColumn("score", (F.lit(prior) + F.coalesce("host_weight", F.lit(0)) + F.coalesce("path_weight", F.lit(0))) / UNIT)
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
