@@ -18,12 +18,12 @@ dealt by their own hashes, of which equal ones collapse in every block.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +41,9 @@ HOT = 4096
 #: Bytes of the prefixes that the search starts from.
 FIRST = 8
 
+#: Bits of a minimizer's hash that are its key in a shard; the others deal it to one.
+KEY_BITS = 40
+
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _LAST = np.iinfo(np.int64).max
 
@@ -194,23 +197,24 @@ BLOCKS = "block long, meta binary, body binary"
 def blocks(docs: DataFrame) -> DataFrame:
     """block, meta (doc_ids, null flags, lengths), body (the texts)."""
 
-    def close(ids: list, found: list[bytes]) -> pa.RecordBatch:
+    def close(number: int, ids: list, found: list[bytes]) -> pa.RecordBatch:
         meta = pack(np.concatenate([[_LAST if i is None else i for i in ids], [i is None for i in ids], [len(t) for t in found]]), "<i8")
         body = zstandard.ZstdCompressor(level=3).compress(b"".join(found))
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([meta]), pa.array([body])], ["block", "meta", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([meta]), pa.array([body])], ["block", "meta", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, size = [], [], 0
+        number = TaskContext.get().partitionId() << 32  # the blocks of a task are numbered on from there, in any attempt
         for batch, found in columns(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                 ids.append(doc_id)
                 held.append(text)
                 size += len(text)
                 if size >= BLOCK:
-                    yield close(ids, held)
-                    ids, held, size = [], [], 0
+                    yield close(number, ids, held)
+                    ids, held, size, number = [], [], 0, number + 1
         if ids:
-            yield close(ids, held)
+            yield close(number, ids, held)
 
     return texts(docs).mapInArrow(run, BLOCKS)
 
@@ -234,15 +238,15 @@ def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _dealt(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shards, and the 48 other bits."""
-    return ((hashes >> np.uint64(48)) % np.uint64(shards)).astype(np.int64), (hashes & np.uint64((1 << 48) - 1)).astype(np.int64)
+    """Shards by the first 24 bits, and the 40 other bits. That few bits may take strange keys for equal, whose snippets then differ."""
+    return ((hashes >> np.uint64(KEY_BITS)) % np.uint64(shards)).astype(np.int64), (hashes & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
 
 
 def _cells(hashes: np.ndarray, shards: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """shard, its sorted distinct keys, how often each stands here; by shard."""
     shard, key = _dealt(hashes, shards)
-    every, times = np.unique((shard << 48) | key, return_counts=True)
-    return [(int(every[a] >> 48), every[a:b] & ((1 << 48) - 1), times[a:b]) for a, b in _stretches(every >> 48)]
+    every, times = np.unique((shard << KEY_BITS) | key, return_counts=True)
+    return [(int(every[a] >> KEY_BITS), every[a:b] & ((1 << KEY_BITS) - 1), times[a:b]) for a, b in _stretches(every >> KEY_BITS)]
 
 
 def _keys(shards: int):
@@ -278,9 +282,9 @@ def _snippets(shards: int, out_shards: int):
         found = dict(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist(), strict=True))
         kind = np.zeros(len(first), np.uint8)
         if found:
-            every = [(s << 48 | keys, unpack(found[s], "u1")) for s, keys, _ in _cells(hashes, shards)]
+            every = [(s << KEY_BITS | keys, unpack(found[s], "u1")) for s, keys, _ in _cells(hashes, shards)]
             shard, key = _dealt(hashes, shards)
-            kind = np.concatenate([a for _, a in every])[np.searchsorted(np.concatenate([k for k, _ in every]), shard << 48 | key)]
+            kind = np.concatenate([a for _, a in every])[np.searchsorted(np.concatenate([k for k, _ in every]), shard << KEY_BITS | key)]
         hot = np.flatnonzero(kind == 2)
         counts = (last - first + 1)[hot]
         single = np.repeat(first[hot] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -397,11 +401,11 @@ def repeated_passages(docs: DataFrame, spans: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of docs, and with spans the removed byte ranges.
 
     A null text counts as empty. Texts come in the order of doc_id; a null doc_id comes last, and rows of
-    one doc_id in some fixed order, so that of repeated rows one stays. Texts of less than LENGTH bytes stay
-    whole. An empty table gives an empty result. Other columns of docs are ignored.
+    one doc_id in the order of partitions and of rows in these, so that of repeated rows one stays, and the same one in each run.
+    Texts of less than LENGTH bytes stay whole. An empty table gives an empty result. Other columns of docs are ignored.
     """
     parts, scans = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), scan_parts(docs)
-    shards, out_shards = min(1 << 15, max(parts, 2 * scans)), max(parts, 4 * scans)
+    shards, out_shards = min(1 << 23, max(parts, 2 * scans)), max(parts, 4 * scans)
     made = table(blocks(docs), "passage-blocks")
     keys = made.select("block", "meta", "body").mapInArrow(_keys(shards), "block long, shard int, keys binary")
     answers = keys.groupBy("shard").applyInArrow(_answer, "block long, shard int, answer binary")
