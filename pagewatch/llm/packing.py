@@ -175,9 +175,11 @@ def _pack_group(vocabulary: str, end: int, limit: int, top_up: int):
 
 
 def group_count(docs: DataFrame) -> int:
+    """Groups of about GROUP_BYTES of the files that the plan reads, and one for each shuffle partition at least; runs nothing."""
     spark = docs.sparkSession
     most = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-scan_parts(docs) * most // GROUP_BYTES))
+    planned = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of a join it may be far too large
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(scan_parts(docs) * most, planned) // GROUP_BYTES))
 
 
 def packed(docs: DataFrame, vocabulary: str, end: int = 0, limit: int = LIMIT, top_up: int = TOP_UP) -> DataFrame:
