@@ -62,17 +62,23 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, url: str | None, page_id: int | None, digest: str, size: int, payload: bytes, refers_to: int | None = None) -> bytes:
+def record_id(url: str | None, page_id: int | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>"
+
+
+def record(kind: str, url: str | None, page_id: int | None, digest: str, size: int, payload: bytes, refers_to: int | None = None, refers_url: str | None = None) -> bytes:
     """A WARC 1.1 record, uncompressed; a revisit has the HTTP header only."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {DATE}", f"WARC-Record-ID: {record_id(url, page_id)}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_uri(url)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
-        head += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_url, refers_to)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_uri(refers_url)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -99,23 +105,15 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     """Writes a record for each row of pages (page_id, url, html); returns key, file, offset, length.
 
     Payloads meet by digest and length: the smallest page_id's record is the response, as are records of the
-    same page_id; a payload whose rows have no page_id is always a response. Records are compressed
-    before they are shuffled.
+    same page_id; a payload whose rows have no page_id is always a response. Only payloads that recur are looked up, and
+    what a record is to be is known before it is compressed.
     """
-    own = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     key = [F.unhex(F.sha2("payload", 256)).alias("sha"), F.octet_length("payload").cast("long").alias("size")]
-    first = own.select("page_id", *key).where(F.col("size") >= min_revisit).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            digests, made = [], []
-            for page_id, url, payload in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "payload")), strict=True):
-                digests.append(base32_sha1(payload))
-                made.append(_gzip(record("response", url, page_id, digests[-1], len(payload), payload)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("page_id", "url", "sha", "size")), pa.array(digests, pa.string()), pa.array(made, pa.binary())], ["page_id", "url", "sha", "size", "digest", "record"])
-
-    made = own.select("page_id", "url", "payload", *key).mapInArrow(compress, "page_id long, url string, sha binary, size long, digest string, record binary")
-    rows = made.join(first, ["sha", "size"], "left").select("page_id", "url", "size", "digest", "record", "first")
+    own = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload")).select("*", *key)
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    first = own.where(F.col("size") >= min_revisit).groupBy("sha", "size").agg(least, F.count("*").alias("n")).where("n > 1 AND first is not null")
+    first = table(first.select("sha", "size", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "recurring-payloads")
+    rows = own.join(first, ["sha", "size"], "left").select("page_id", "url", "payload", "first", "first_url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, root = fs.FileSystem.from_uri(folder)
@@ -130,9 +128,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = disk.open_output_stream(f"{root}/{name}", compression=None)
-                    data = r["record"]
-                    if r["first"] is not None and r["first"] != r["page_id"]:
-                        data = _gzip(record("revisit", r["url"], r["page_id"], r["digest"], r["size"], b"", r["first"]))
+                    payload = r["payload"]
+                    kind = ("response", payload) if r["first"] is None or r["first"] == r["page_id"] else ("revisit", b"", r["first"], r["first_url"])
+                    data = _gzip(record(kind[0], r["url"], r["page_id"], base32_sha1(payload), len(payload), *kind[1:]))
                     out.write(data)
                     lines.append((capture_key(r["url"], r["page_id"]), name, at, len(data)))
                     at += len(data)
