@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from pagewatch.llm import decontaminate, exact_dedup, near_copies, packing, toxicity
 from pagewatch.llm.queries import vocabulary
-from pagewatch.llm.shared import read, table, unused
+from pagewatch.llm.shared import read, scratch, table, unused, written
 
 #: No stage but exact dedup can be put in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are likelier than not to have a severity grade over 0 go. Labels are of all documents."""
+    """Documents that are likelier than not to have a severity grade over 0 go. Labels are of all documents; null texts stay, as empty ones do."""
     model = toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
@@ -48,12 +48,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go. Null texts have no words and stay; without items all stay."""
     return decontaminate.keep_uncontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most packing.LIMIT tokens."""
+    """Pieces of sequences of at most packing.LIMIT tokens; each row of docs, whatever its doc_id and text, has one at least."""
     return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
 
 
@@ -67,7 +67,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as gone:
+            docs, path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+            gone += [before] if before else []
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
