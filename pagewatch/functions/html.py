@@ -9,23 +9,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.functions.urls import leading_int, script_url
+from pagewatch.functions.urls import host, leading_int, path, script_url
 
 
-def attributes(html: Column, tag: str, name: str) -> Column:
-    """All values of an attribute of a tag, in double quotes, any case."""
-    return F.regexp_extract_all(html, F.lit(f'(?i)<{tag}[ \\t\\r\\n][^>]*?\\b{name}[ ]*=[ ]*"([^"]*)"'), F.lit(1))
+#: What stands in a tag up to its end (quoted values may hold >), and an attribute's value with its quotes.
+_INSIDE = """(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+
+
+def _before(name: str) -> str:
+    """Of an opening tag, all before the value of the first attribute of that name."""
+    return rf"(?is)^(<[a-z][^\s/>]*+(?:[\s/]*+(?!{name}\s*+=)[^\s>/][^\s=>/]*+(?:\s*+=\s*+{_VALUE.replace('(', '(?:', 1)})?+)*+[\s/]*+{name}\s*+=\s*+)"
+
+
+def markup(html: Column) -> Column:
+    """Without comments and without what scripts and styles hold: what is left has tags only where a parser sees some."""
+    return F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|(<(script|style)(?=[\s/>]){_INSIDE}>).*?(?=</\2[\s/>]|\z)", "$1")
 
 
 def tags(html: Column, tag: str) -> Column:
-    """Opening tags as text."""
-    return F.regexp_extract_all(html, F.lit(f"(?i)(<{tag}\\b[^>]*>)"), F.lit(1))
+    """Opening tags as text, any case."""
+    return F.regexp_extract_all(markup(html), F.lit(f"(?i)(<{tag}(?=[\\s/>]){_INSIDE}>)"), F.lit(1))
+
+
+def _unquoted(value: Column) -> Column:
+    return F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """One tag's attribute; null where it is absent."""
-    pattern = f'(?i)[ \\t\\r\\n]{name}[ ]*=[ ]*"([^"]*)"'
-    return F.when(tag.rlike(pattern), F.regexp_extract(tag, pattern, 1))
+    """One tag's attribute, in either quotes or none; null where it is absent or has no value. Entities stay as they are."""
+    value = F.regexp_extract(tag, _before(name) + _VALUE, 2)
+    return F.when(value != "", _unquoted(value))
+
+
+def attributes(html: Column, tag: str, name: str) -> Column:
+    """The values of an attribute in all tags that have it."""
+    return F.filter(F.transform(tags(html, tag), lambda t: attribute(t, name)), lambda x: x.isNotNull())
+
+
+def attribute_rows(rows: DataFrame, html: Column, tag: str, name: str, alias: str) -> DataFrame:
+    """attributes() as rows: all columns of rows, and the value."""
+    own = rows.withColumn(alias, F.explode(tags(html, tag)))
+    return own.withColumn(alias, attribute(F.col(alias), name)).where(F.col(alias).isNotNull())
 
 
 def title(html: Column) -> Column:
@@ -57,34 +82,65 @@ def invisible_iframe(tag: Column) -> Column:
 def strange_script_name(src: Column) -> Column:
     """A file stem of less than two letters, or one of the usual disguises."""
     stem = F.regexp_extract(F.split_part(src, F.lit("?"), F.lit(1)), r"([^/]*?)(\.[^./]*)?$", 1)
-    return (F.length(stem) < 2) | stem.isin("ngg", "script", "js", "ri")
+    return (F.length(stem) < 2) | stem.isin("ngg", "script", "js", "ri")  # fixed values
 
 
 def refresh_target(html: Column) -> Column:
-    """the url of a meta refresh, any case; empty where there is none."""
-    tag = F.regexp_extract(html, r"(?i)(<meta\b[^>]*http-equiv[ ]*=[ ]*\"?refresh[^>]*>)", 1)
-    return F.regexp_extract(tag, r"(?i)url[ ]*=[ ]*'?([^\"'> ]*)", 1)
+    """the url of the first meta refresh that has one, any case; empty where there is none."""
+    kinds = F.filter(tags(html, "meta"), lambda t: F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh")
+    found = F.transform(kinds, lambda t: F.regexp_extract(F.coalesce(attribute(t, "content"), F.lit("")), r"(?i)url\s*=\s*[\"']?([^\"'>\s]*)", 1))
+    return F.coalesce(F.get(F.filter(found, lambda u: u != ""), F.lit(0)), F.lit(""))
 
 
 def rewrite_scripts(html: Column, page: Column) -> Column:
     """F8: every script's src as script_url gives it; other markup stays."""
-    tag = r"(?i)(<script\b[^>]*?\bsrc[ ]*=[ ]*\")([^\"]*)(\")"
-    parts = F.split(F.regexp_replace(html, tag, "\u0001$1\u0001$2\u0001$3"), "\u0001")
-    # of each three parts after the first, the second is a src
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 3 == 2, script_url(x, page)).otherwise(x)), "")
+    whole = _before("src") + _VALUE + "(.*)$"
+    group = lambda x, n: F.regexp_extract(x, whole, n)
+
+    def rewritten(part: Column) -> Column:
+        quote = F.when(group(part, 2).rlike("^'"), "'").otherwise('"')
+        return F.when(part.rlike(whole), F.concat(group(part, 1), quote, script_url(_unquoted(group(part, 2)), page), quote, group(part, 3))).otherwise(part)
+
+    parts = F.split(html, r"(?i)(?=<script[\s/>])")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("(?i)^<script"), rewritten(x)).otherwise(x)), "")
+
+
+def unescaped(text: Column) -> Column:
+    """A text node's characters: what a serialiser must write as entities is given back."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def source_list(html: Column, tag: str) -> Column:
+    """Host and path of the src of every such tag, sorted; query, fragment and scheme are left out."""
+    return F.array_sort(F.transform(F.filter(attributes(html, tag, "src"), lambda s: s != ""), lambda s: F.concat(host(s), path(s))))
+
+
+def xml_links(xml: Column) -> Column:
+    """the text of every link element of a feed; atom links have it in href."""
+    plain = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<link\s*>\s*(?:<!\[CDATA\[)?\s*([^<\]]*?)\s*(?:\]\]>)?\s*</link\s*>"), F.lit(1)), F.trim)
+    return F.filter(F.concat(plain, attributes(xml, "link", "href")), lambda u: u != "")
+
+
+def injected(html: Column, chosen: Column, iframe: str = '<iframe src="http://tampered.example.edu/" width="0" height="0"></iframe>') -> Column:
+    """Chosen pages with an invisible iframe after their body begins, to test what finds it."""
+    return F.when(chosen, F.regexp_replace(html, r"(?i)(<body[^>]*>)", "$1" + iframe)).otherwise(html)
 
 
 class _Collector(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str, str]] = []
+        self.found: list[tuple[int, str, str, str]] = []
+        self.elements = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.found += [(tag, k, v or "") for k, v in attrs if k in ("href", "src", "action", "content", "http-equiv", "style", "width", "height")]
+        self.elements += 1
+        self.found += [(self.elements, tag, k, v or "") for k, v in attrs if k in ("href", "src", "action", "content", "http-equiv", "style", "width", "height")]
 
 
 def parsed_attributes(pages: DataFrame) -> DataFrame:
-    """page_id, pos, tag, name, value of every attribute that matters, by a lenient parser; null html has none."""
+    """page_id, pos, element, tag, name, value of every attribute that matters, by a lenient parser; null html has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -94,6 +150,6 @@ def parsed_attributes(pages: DataFrame) -> DataFrame:
                 collector.feed(html or "")
                 collector.close()
                 rows += [(page_id, i, *x) for i, x in enumerate(collector.found)]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "tag", "name", "value"])
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "element", "tag", "name", "value"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, tag string, name string, value string")
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, element int, tag string, name string, value string")

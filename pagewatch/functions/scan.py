@@ -22,6 +22,12 @@ def scan(body: Column, signatures: dict[str, str], limit: int = SIZE_LIMIT) -> C
     return out
 
 
+def self_test(signatures: dict[str, str]) -> Column:
+    """Whether a body that holds only the first signature's text is found by it, and an empty one isn't."""
+    name, pattern = next(iter(signatures.items()))
+    return (scan(F.lit(pattern), signatures) == name) & scan(F.lit(""), signatures).isNull()
+
+
 @F.pandas_udf(StringType())
 def decode(body: pd.Series) -> pd.Series:
     """Text of bytes by the first encoding that takes them all; else UTF-8 with replacement characters."""

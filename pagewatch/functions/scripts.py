@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def count_of(text: Column, char_class: str) -> Column:
-    """Characters of a class."""
-    return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))
+    """Characters of a class; the others go by whole runs."""
+    return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
 
 
 def longest_line(text: Column) -> Column:
     return F.array_max(F.transform(F.split(text, "\n"), F.length))
 
 
-def features(text: Column) -> dict[str, Column]:
-    """eighteen features; of nothing, all is blank."""
-    size, visible = F.length(text), F.length(F.regexp_replace(text, "[ \t\r\n]", ""))
-    alphabets, numbers, symbols, blank = count_of(text, "a-zA-Z"), count_of(text, "0-9"), F.length(F.regexp_replace(text, "[a-zA-Z0-9\t\r\n ]", "")), F.length(text) - visible
-    out = {
-        "src_len": size, "visible_len": visible, "alphabets": alphabets, "numbers": numbers, "symbols": symbols, "blank": blank,
+def counts(text: Column) -> dict[str, Column]:
+    """what is counted in the text."""
+    size, visible = F.length(text), F.length(F.translate(text, " \t\r\n", ""))
+    return {
+        "src_len": size, "visible_len": visible, "alphabets": count_of(text, "a-zA-Z"), "numbers": count_of(text, "0-9"), "symbols": F.length(F.regexp_replace(text, "[a-zA-Z0-9\t\r\n ]+", "")), "blank": size - visible,
         "unique_chars": count_of(text, ",;&"), "unique_words": F.regexp_count(text, F.lit("http|div|:")), "max_line": longest_line(text),
     }
-    for suffix, whole in (("per", size), ("pew", visible)):
+
+
+def with_features(rows: DataFrame, text: str) -> DataFrame:
+    """rows and eighteen features; of nothing, all is blank. The counts are made in one projection, what follows from them in another."""
+    found = counts(F.col(text))
+    rows = rows.withColumn("_counts", F.array(F.struct(*(c.alias(n) for n, c in found.items()))))
+    rows = rows.select("*", F.explode("_counts").alias("_c")).drop("_counts").select("*", "_c.*").drop("_c")  # an explode keeps the projections apart
+    out = {}
+    for suffix, whole in (("per", "src_len"), ("pew", "visible_len")):
         for name in ("alphabets", "numbers", "symbols", "blank"):
             nothing = F.lit(1.0 if name == "blank" else 0.0)
-            out[f"{name}_{suffix}"] = F.round(F.coalesce(F.try_divide(out[name].cast("double"), whole.cast("double")), nothing), 6)
-    out["chars_over_words"] = out["unique_chars"] > out["unique_words"]
-    return out
+            out[f"{name}_{suffix}"] = F.round(F.coalesce(F.try_divide(F.col(name).cast("double"), F.col(whole).cast("double")), nothing), 6)
+    return rows.withColumns(out | {"chars_over_words": F.col("unique_chars") > F.col("unique_words")})
 
 
 def verdict(line: Column, chars: Column, words: Column) -> Column:
     """kind and branch of the tree; a ratio to nothing matches no bound."""
     ratio = F.try_divide(line.cast("double"), chars.cast("double"))
+    # fixed values: the published tree's thresholds
     return (
         F.when(line < 400, "NORMAL")
         .when((line < 2000) & (ratio < 200), "RANDOM1")

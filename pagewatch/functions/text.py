@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,9 +14,20 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 WORD = r"[\p{L}\p{N}]+"
 
 
+def every_word(text: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+
+
+def is_counted(word: Column) -> Column:
+    """Whether a word counts: numbers and single ASCII letters don't."""
+    start = F.substring(word, 1, 1)
+    return ~F.when(F.length(word) == 1, start.between("0", "9") | start.between("a", "z")).otherwise(start.between("0", "9") & word.rlike("^[0-9]+$"))
+
+
 def words(text: Column) -> Column:
-    """Lower-cased words; numbers and single ASCII letters don't count."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1)), lambda w: ~w.rlike("^([0-9]+|[a-z])$"))
+    """Lower-cased words that count."""
+    return F.filter(every_word(text), is_counted)
 
 
 @F.pandas_udf(StringType())
@@ -45,6 +57,11 @@ def hack_level(text: Column) -> Column:
     return F.when(bare.contains("hackedby"), 3).when(bare.contains("hacked"), 2).when(bare.contains("hack"), 1).otherwise(0)
 
 
+def hack_output(level: Column) -> Column:
+    """The result of level 1, the alerts of higher ones."""
+    return F.when(level == 1, "page_hack_word_Lv1").when(level >= 2, F.concat(F.lit("hack_word_Lv"), level))
+
+
 DIFF = ArrayType(StructType([StructField("kind", StringType()), StructField("old", ArrayType(StringType())), StructField("new", ArrayType(StringType()))]))
 
 
@@ -88,40 +105,78 @@ def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
 
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _PIECES, _LEAST, _WINDOW = 64, 3, 7
+#: The low six bits of FNV's start and prime; they depend on nothing above them.
+_START, _PRIME = 0x28021967 & 63, 0x01000193 & 63
+#: Pieces that are hashed in step, below which they go one by one.
+_FEW = 16
+
+
+def _rolled(data: np.ndarray) -> np.ndarray:
+    """Kornblum's rolling hash after each byte, from sums and shifts over the last _WINDOW bytes."""
+    wide = np.r_[np.zeros(_WINDOW - 1, np.uint32), data.astype(np.uint32)]
+    last = [wide[_WINDOW - 1 - j : len(wide) - j] for j in range(_WINDOW)]
+    total, shifted = np.zeros(len(data), np.uint32), np.zeros(len(data), np.uint32)
+    for j, byte in enumerate(last):
+        total += (_WINDOW + 1 - j) * byte  # the sum, and the sum weighted by age
+        shifted ^= byte << np.uint32(5 * j)
+    return total + shifted
+
+
+def _piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Six bits of FNV of each piece, all pieces a byte at a time, the longer ones first."""
+    order = np.argsort(starts - ends, kind="stable")
+    starts, sizes = starts[order], (ends - starts)[order]
+    state, low = np.full(len(starts), _START, np.uint8), data & 63
+    active = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
+    step = 0
+    for step, n in enumerate(active.tolist()):
+        if n < _FEW:
+            break
+        state[:n] = (state[:n] * np.uint8(_PRIME) & 63) ^ low[starts[:n] + step]
+    else:
+        step = len(active)
+    for i in range(int(active[step]) if step < len(active) else 0):
+        own = int(state[i])
+        for byte in low[starts[i] + step : starts[i] + sizes[i]].tolist():
+            own = (own * _PRIME & 63) ^ byte
+        state[i] = own
+    out = np.empty(len(starts), np.uint8)
+    out[order] = state
+    return out
 
 
-def _signature(data: bytes, size: int) -> tuple[str, str]:
-    """Context-triggered pieces at two block sizes (Kornblum 2006)."""
-    window, h1, h2, h3, n = [0] * _WINDOW, 0, 0, 0, 0
-    one, two, fnv1, fnv2 = [], [], 0x28021967, 0x28021967
-    for byte in data:
-        h2 = h2 - h1 + _WINDOW * byte
-        h1 = h1 + byte - window[n % _WINDOW]
-        window[n % _WINDOW] = byte
-        n += 1
-        h3 = (h3 << 5 ^ byte) & 0xFFFFFFFF
-        fnv1 = (fnv1 * 0x01000193 & 0xFFFFFFFF) ^ byte
-        fnv2 = (fnv2 * 0x01000193 & 0xFFFFFFFF) ^ byte
-        rolled = (h1 + h2 + h3) & 0xFFFFFFFF
-        if rolled % size == size - 1:
-            if len(one) < _PIECES - 1:
-                one.append(_BASE64[fnv1 & 63])
-                fnv1 = 0x28021967
-            if rolled % (2 * size) == 2 * size - 1 and len(two) < _PIECES // 2 - 1:
-                two.append(_BASE64[fnv2 & 63])
-                fnv2 = 0x28021967
-    return "".join(one) + _BASE64[fnv1 & 63], "".join(two) + _BASE64[fnv2 & 63]
+def fuzzy_hashes(texts: list[bytes]) -> list[str]:
+    """Context-triggered piecewise hashes (Kornblum 2006) of many texts: block size and the pieces at it and at its double."""
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    begin, plan, starts, ends = 0, [], [], []
+    for text in texts:
+        own = whole[begin : begin + len(text)]
+        rolled, size = _rolled(own), _LEAST
+        while size * _PIECES < len(own):
+            size *= 2
+        while True:
+            cuts = np.flatnonzero(rolled % np.uint32(size) == size - 1)[: _PIECES - 1]
+            if size == _LEAST or len(cuts) + 1 >= _PIECES // 2:
+                break
+            size //= 2
+        double = np.flatnonzero(rolled % np.uint32(2 * size) == 2 * size - 1)[: _PIECES // 2 - 1]
+        for some in (cuts, double):
+            starts.append(begin + np.r_[0, some + 1])
+            ends.append(begin + np.r_[some + 1, len(own)])
+        plan.append((size, len(cuts) + 1, len(double) + 1))
+        begin += len(text)
+    if not texts:
+        return []
+    chars = np.frombuffer(_BASE64.encode(), np.uint8)[_piece_hashes(whole, np.concatenate(starts), np.concatenate(ends))].tobytes().decode()
+    out, at = [], 0
+    for size, one, two in plan:
+        out.append(f"{size}:{chars[at : at + one]}:{chars[at + one : at + one + two]}")
+        at += one + two
+    return out
 
 
 def fuzzy_hash_of(data: bytes) -> str:
-    size = _LEAST
-    while size * _PIECES < len(data):
-        size *= 2
-    while True:
-        one, two = _signature(data, size)
-        if size == _LEAST or len(one) >= _PIECES // 2:
-            return f"{size}:{one}:{two}"
-        size //= 2
+    return fuzzy_hashes([data])[0]
 
 
 def _edit_score(a: str, b: str, size: int) -> int:
@@ -151,7 +206,8 @@ def fuzzy_score_of(a: str, b: str) -> int:
 @F.pandas_udf(StringType())
 def fuzzy_hash(data: pd.Series) -> pd.Series:
     """of text in UTF-8; null stays null."""
-    return data.map(lambda v: None if v is None else fuzzy_hash_of(v.encode()))
+    made = iter(fuzzy_hashes([v.encode() for v in data if v is not None]))
+    return pd.Series([None if v is None else next(made) for v in data], dtype="object")
 
 
 @F.pandas_udf(IntegerType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +48,34 @@ def distinct_contents(files: DataFrame, body: str, order: str) -> DataFrame:
     return rows.groupBy("sha256").agg(F.min(order).alias(order), F.count("*").alias("copies"))
 
 
+def url_sets(parts: list[DataFrame], test_hosts: list[str]) -> DataFrame:
+    """Host, url: the union of all parts' urls (host, url), test hosts left out."""
+    every = reduce(DataFrame.unionByName, [p.select("host", "url") for p in parts])
+    return every.where(~F.col("host").isin(*test_hosts) if test_hosts else F.lit(True)).distinct()
+
+
+def filters_of(urls_: DataFrame) -> DataFrame:
+    """Host, prefix (empty: any path) of each host that alerts name; urls_: host."""
+    return urls_.where("host <> ''").select("host", F.lit("").alias("prefix")).distinct()
+
+
 def merge_filters(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Host, prefixes (sorted, distinct), joined by blanks; hosts of either side."""
-    both = old.select("host", "prefix").unionByName(new.select("host", "prefix"))
+    """Host, prefixes (sorted, distinct), joined by blanks; both sides: host, prefix.
+
+    A host that only new has comes with all its prefixes. One that old has too gets new's prefixes unless the first of these is empty.
+    """
+    first = new.groupBy("host").agg(F.min("prefix").alias("least"))
+    known = old.select("host").distinct().withColumn("known", F.lit(True))
+    added = new.join(first, "host").join(known, "host", "left").where("known is null OR least <> ''").select("host", "prefix")
+    both = old.select("host", "prefix").unionByName(added)
     return both.groupBy("host").agg(F.array_join(F.array_sort(F.collect_set("prefix")), " ").alias("prefixes"))
 
 
+def stringified(values: Column) -> Column:
+    """a set as text: sorted, distinct, joined by commas."""
+    return F.array_join(F.array_sort(F.array_distinct(values)), ", ")
+
+
 def rename_host(rows: DataFrame, old: str, new: str) -> DataFrame:
     """J14."""
     return rows.withColumn("url", F.replace("url", F.lit(old), F.lit(new)))
@@ -59,8 +83,6 @@ def rename_host(rows: DataFrame, old: str, new: str) -> DataFrame:
 
 def tag_codes(pages: DataFrame) -> DataFrame:
     """Host, n_pages, codes: the numbers (by name) of the tags that a host's pages have; pages: host, page, tag."""
-    tags = pages.select("tag").distinct()
-    before = tags.select(F.col("tag").alias("other"))
-    codes = tags.join(before, F.col("other") < F.col("tag"), "left").groupBy("tag").agg(F.count("other").alias("code"))  # a vocabulary of tags: small
+    codes = pages.select("tag").distinct().withColumn("code", F.row_number().over(Window.orderBy("tag")) - 1)  # a vocabulary of tags: small
     out = pages.join(codes, "tag").groupBy("host").agg(F.countDistinct("page").alias("n_pages"), F.array_sort(F.collect_set("code")).alias("codes"))
     return out.withColumn("codes", F.array_join(F.transform("codes", lambda c: c.cast("string")), " "))

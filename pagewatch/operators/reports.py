@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewatch.operators.history import stringified
+
 #: Shares of CPU and MB of memory over which a page overworks its machine.
 CPU_LIMIT, MEMORY_LIMIT = 60.0, 2000.0
 
 
 def rollup(rows: DataFrame) -> DataFrame:
-    """Server (null: all), pages, files, total; rows: server, pages, files."""
+    """Server (null: all), pages, files, total, the largest total first; rows: server, pages, files."""
     out = rows.rollup("server").agg(F.sum("pages").alias("pages"), F.sum("files").alias("files"))
-    return out.withColumn("total", F.col("pages") + F.col("files"))
+    return out.withColumn("total", F.col("pages") + F.col("files")).orderBy(F.desc("total"), "server")
 
 
 def progress(queues: DataFrame) -> DataFrame:
@@ -33,6 +37,11 @@ def peaks(samples: DataFrame, window: str = "10 minutes") -> DataFrame:
     return out.select(F.col("w.start").alias("start"), "url", "cpu", "mem")
 
 
+def normalised(samples: DataFrame, cores: int) -> DataFrame:
+    """samples with cpu_per (share of all cores) and mem_mb, of cpu_all (summed over cores) and mem_bytes."""
+    return samples.withColumns({"cpu_per": F.col("cpu_all") / cores, "mem_mb": F.floor(F.col("mem_bytes") / 1_000_000).cast("int")})
+
+
 def overworked(cpu: Column, mem: Column) -> Column:
     """P19."""
     return F.when(cpu > CPU_LIMIT, "over_work_cpu").when(mem > MEMORY_LIMIT, "over_work_memory")
@@ -44,13 +53,33 @@ def pivot_downloads(events: DataFrame, fields: list[str]) -> DataFrame:
     return wide.select("no", *(F.coalesce(f, F.lit("None")).alias(f) for f in fields))
 
 
+def timers(messages: DataFrame, key: str, stall: int = 300, idle: int = 60) -> DataFrame:
+    """W6, ST7: key, quiet (whole seconds since its last message, up to the last of all), stalled, idle; messages: key, ts."""
+    rows = messages.groupBy(key).agg(F.max(F.col("ts").cast("double")).alias("last"))
+    rows = rows.join(F.broadcast(rows.agg(F.max("last").alias("now"))), F.col("last") <= F.col("now"))  # the one row of the latest time
+    quiet = F.floor(F.col("now") - F.col("last"))
+    return rows.select(key, quiet.alias("quiet"), (quiet > stall).alias("stalled"), (quiet > idle).alias("idle"))
+
+
+def is_test(url: Column, test_hosts: list[str]) -> Column:
+    return reduce(Column.__or__, [F.contains(url, F.lit(h)) for h in test_hosts], F.lit(False))
+
+
 def alerts(nth: int, test_hosts: list[str], **kinds: DataFrame) -> DataFrame:
     """Nth, alert_type, url, content of every kind (url, content) of alert; those of test hosts are named TEST_."""
-    out = None
+    parts = []
     for kind, rows in kinds.items():
-        test = F.lit(False)
-        for host in test_hosts:
-            test = test | F.contains("url", F.lit(host))
-        part = rows.select(F.lit(nth).alias("nth"), F.when(test, f"TEST_{kind}").otherwise(kind).alias("alert_type"), "url", F.col("content").cast("string"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        name = F.when(is_test(F.col("url"), test_hosts), f"TEST_{kind}").otherwise(kind)
+        parts.append(rows.select(F.lit(nth).alias("nth"), name.alias("alert_type"), F.col("url").cast("string"), F.col("content").cast("string")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def without_tests(found: DataFrame) -> DataFrame:
+    """Alerts but those of test hosts."""
+    return found.where(~F.startswith("alert_type", F.lit("TEST_")))
+
+
+def strange_sets(rows: DataFrame, is_strange: Column) -> DataFrame:
+    """url, content: of each page (url) with a strange value, these; rows: url, value."""
+    found = rows.where(is_strange).groupBy("url").agg(F.collect_set("value").alias("values"))
+    return found.select("url", stringified(F.col("values")).alias("content"))

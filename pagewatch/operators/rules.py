@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from pagewatch.functions import urls
 
-#: Rows of a rule table up to which it is broadcast; beyond, matching goes by equi-joins on suffixes.
-SMALL_RULES = 10_000
-
 
 def matches(rows: DataFrame, rules: DataFrame, boundary: bool = False) -> DataFrame:
     """The distinct (host, path) of rows for which some rule's host_suffix and path_prefix fit.
@@ -63,6 +60,15 @@ def verdict(url: Column, rules: dict, address: Column | None = None, host: Colum
     return out.otherwise("EXTERNAL")
 
 
+def rule_set(rows: DataFrame) -> dict:
+    """The rules that verdict() takes, of RULE rows: an organisation's hand-written files, so a few thousand at most."""
+    out = {k: [] for k in ("only", "special", "white", "deny", "black", "allow", "ip")}
+    names = {"ONLY": "only", "LINK": "special", "REQUEST": "special", "WHITE": "white", "DENY": "deny", "BLACK": "black", "ALLOW": "allow", "IP": "ip"}
+    for r in rows.where(F.col("kind").isin(*names)).orderBy("kind", "host_suffix", "path_prefix", "pattern").collect():
+        out[names[r.kind]].append((r.host_suffix, r.path_prefix) if r.path_prefix is not None else r.pattern if r.pattern is not None else r.host_suffix)
+    return out
+
+
 def with_verdict(rows: DataFrame, url: str, rules: dict, name: str = "verdict", address: str | None = None) -> DataFrame:
     """Rows and verdict(url); host and path are taken from the url once."""
     rows = rows.withColumns({"_host": urls.host(F.col(url)), "_path": urls.path(F.col(url))})
@@ -70,6 +76,11 @@ def with_verdict(rows: DataFrame, url: str, rules: dict, name: str = "verdict",
     return rows.withColumn(name, found).drop("_host", "_path")
 
 
+def sent(links: DataFrame, scripts: DataFrame) -> DataFrame:
+    """page_id, url, verdict: judged links, and scripts' urls, which are always fetched."""
+    return links.select("page_id", "url", "verdict").unionByName(scripts.select("page_id", "url", F.lit("ALLOW").alias("verdict"))).distinct()
+
+
 def strange(kind: Column) -> Column:
     """P4."""
     return kind.isin("EXTERNAL", "UNKNOWN")
@@ -102,17 +113,32 @@ def robots_pattern(path: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(path, r"([.+?()\[\]{}|\\^$])", r"\\$1"), r"\*", ".*"))
 
 
-def can_fetch(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """page_id, allowed. rules: host, entry_no, agent, rule_no, path_pattern, allow.
+def entry_for(rules: DataFrame, agent: str) -> DataFrame:
+    """host, lines, delay, rate_requests, rate_seconds: each host's first entry for the agent, else the one for *; lines in order.
 
-    The first entry for the agent decides, else the one for *; in it the first line that fits; else allowed.
+    rules: host, entry_no, agent, rule_no, path_pattern, allow, delay, rate_requests, rate_seconds. Lines are as many as a file has.
     """
     name = agent.lower().split("/")[0]
-    fits = F.lit(name).contains(F.lower("agent"))
-    own = rules.withColumn("level", F.when(F.col("agent") == "*", 1).when(fits, 0)).where("level is not null")
-    first = own.groupBy("host").agg(F.min(F.struct("level", "entry_no")).alias("entry"))
-    chosen = own.join(first, "host").where((F.col("level") == F.col("entry.level")) & (F.col("entry_no") == F.col("entry.entry_no")))
-    chosen = chosen.select("host", "rule_no", "allow", robots_pattern(F.col("path_pattern")).alias("pattern"))
+    level = F.when(F.col("agent") == "*", 1).when(F.lit(name).contains(F.lower("agent")), 0)
+    line = F.struct(level.alias("level"), "entry_no", "rule_no", "allow", robots_pattern(F.col("path_pattern")).alias("pattern"), "delay", "rate_requests", "rate_seconds")
+    every = rules.where(level.isNotNull()).groupBy("host").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    first = F.col("lines")[0]
+    own = F.filter("lines", lambda x: (x["level"] == first["level"]) & (x["entry_no"] == first["entry_no"]))
+    return every.select("host", own.alias("lines"), *(first[c].alias(c) for c in ("delay", "rate_requests", "rate_seconds")))
+
+
+def can_fetch(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+    """page_id, allowed per row of pages. rules: as entry_for takes them.
+
+    In the host's entry the first line that fits the path decides; without one, an entry or a url the page is allowed.
+    Each row is decided by its own url, whatever its page_id.
+    """
     rows = pages.select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
-    hit = rows.join(chosen, "host").where(F.rlike("path", "pattern")).groupBy("page_id").agg(F.min_by("allow", "rule_no").alias("allow"))
-    return rows.join(hit, "page_id", "left").select("page_id", F.coalesce("allow", F.lit(True)).alias("allowed"))
+    found = rows.join(entry_for(rules, agent), "host", "left")
+    hit = F.get(F.filter("lines", lambda x: F.rlike("path", x["pattern"])), F.lit(0))["allow"]
+    return found.select("page_id", F.coalesce(hit, F.lit(True)).alias("allowed"))
+
+
+def crawl_waits(hosts: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+    """host, delay, rate_requests, rate_seconds that the agent must keep at each of hosts; nulls where nothing is said."""
+    return hosts.select("host").distinct().join(entry_for(rules, agent).drop("lines"), "host", "left")

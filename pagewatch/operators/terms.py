@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewatch.functions.text import words
+from pagewatch.functions.text import every_word, is_counted
 
 
 def tokens(docs: DataFrame, page: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    return docs.select(F.col(host).alias("host"), F.col(page).alias("page"), F.explode(words(F.col(text))).alias("word"))
+    """Null texts have no words. Words that don't count go after the explode, where the filter is compiled."""
+    rows = docs.select(F.col(host).alias("host"), F.col(page).alias("page"), F.explode(every_word(F.col(text))).alias("word"))
+    return rows.where(is_counted(F.col("word")))
 
 
 def counts(rows: DataFrame) -> DataFrame:

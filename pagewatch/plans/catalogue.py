@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pagewatch.functions import html as H
 from pagewatch.functions import scripts, text, urls
 from pagewatch.functions.robots import robots_rules
-from pagewatch.functions.scan import scan
+from pagewatch.functions.scan import scan, self_test
 from pagewatch.operators import frontier, history, reports, rules, terms
 from pagewatch.sources import files
+from pagewatch.sources.folders import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,12 +60,36 @@ def url_parts(spark, sf_dir):
     )
 
 
-SQL_LINKS = """links AS (SELECT page_id, url AS page, unnest(regexp_extract_all(html, '(?i)<a[ \\t\\r\\n][^>]*?\\bhref[ ]*=[ ]*"([^"]*)"', 1)) AS link FROM pages)"""
+#: Markup after the page's own, by page_id modulo its number, and the links that a parser sees in it.
+HARD_MARKUP = [
+    ("<a href='/single'>x</a>", ["/single"]), ("<a class=x href=/bare/link>x</a>", ["/bare/link"]), ('<a data-href="/no" href="/yes">x</a>', ["/yes"]),
+    ('<!-- <a href="/commented">x</a> -->', []), ("<script>var s = '<a href=\"/scripted\">';</script><a name=top>x</a>", []), ('<A title="a > b"\n  HREF = "/spaced">x</A>', ["/spaced"]),
+    ('<a href="/one" href="/two">x</a><abbr href="/abbr">x</abbr>', ["/one"]), ("<a title='href=\"/quoted\"' href=/after>x</a>", ["/after"]),
+]
+
+
+def _sql(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _by_page(values: list[str], times: int = 1):
+    """The value at page_id x times, modulo their number."""
+    return F.element_at(F.array(*map(F.lit, values)), (1 + F.col("page_id") * times % len(values)).cast("int"))
+
+
+def _sql_by_page(values: list[str], times: int = 1) -> str:
+    return f"[{', '.join(map(_sql, values))}][1 + page_id * {times} % {len(values)}]"
+
+
+#: The pages' own links stand in <a href="...">; the hard ones are listed.
+SQL_LINKS = f"""own AS (SELECT page_id, url AS page, unnest(string_split(html, '<a href="')[2:]) AS part FROM pages),
+links AS (SELECT page_id, page, split_part(part, '"', 1) AS link FROM own
+    UNION ALL SELECT page_id, url, l FROM pages JOIN (VALUES {", ".join(f"({i}, {_sql(x)})" for i, (_, found) in enumerate(HARD_MARKUP) for x in found)}) AS h(i, l) ON page_id % {len(HARD_MARKUP)} = i)"""
 
 
 def _links(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages")
-    return pages.select("page_id", F.col("url").alias("page"), F.explode(H.attributes(F.col("html"), "a", "href")).alias("link"))
+    pages = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"), F.concat("html", _by_page([m for m, _ in HARD_MARKUP])).alias("html"))
+    return H.attribute_rows(pages, F.col("html"), "a", "href", "link").select("page_id", "page", "link")
 
 
 @query(f"WITH {SQL_LINKS} SELECT page_id, link, count(*) AS n FROM links GROUP BY page_id, link")
@@ -210,52 +235,90 @@ Request-rate: 1/10
 Allow: /en/1
 Disallow: /fr/
 Disallow: /en/*.html  # pages
+
+User-agent: dropped
+
+User-agent: *
+Disallow: /
 """
+#: An empty line ends the agent without lines; the second entry names * among others.
+ROBOTS_ODD = "User-agent: pagewatch\n\nUser-agent: pagewatch-news\nUser-agent: *\nDisallow: /de\nUser-agent: page\nDisallow:\nCrawl-delay: 9\n\nUser-agent: none"
 
 
 def _robots(spark):
-    bodies = [("www.therti.example.org", 200, ROBOTS), ("thther.example.org", 200, ROBOTS.replace("pagewatch", "otherbot")), ("therin.example.net", 403, ""), ("tionsh.example.net", 404, None)]
+    bodies = [
+        ("www.therti.example.org", 200, ROBOTS), ("thther.example.org", 200, ROBOTS.replace("pagewatch", "otherbot")), ("therin.example.net", 403, ""), ("tionsh.example.net", 404, None),
+        ("tionble.example.org", 200, ROBOTS_ODD), ("blog.tionsh.example.com", 200, ROBOTS.replace("pagewatch", "pagewatch-news")),
+    ]
     return robots_rules(spark.createDataFrame(bodies, "host string, status int, body string"))
 
 
-@query(f"""
-WITH p AS (SELECT page_id, {SQL_HOST} AS host, {SQL_PATH} AS path FROM pages)
-SELECT page_id, CASE WHEN host = 'therin.example.net' THEN NOT starts_with(path, '/')
+SQL_ALLOWED = """CASE WHEN host = 'therin.example.net' THEN NOT starts_with(path, '/')
     WHEN host = 'www.therti.example.org' THEN CASE WHEN starts_with(path, '/en/1') THEN true WHEN starts_with(path, '/fr/') THEN false WHEN regexp_matches(path, '^/en/.*\\.html') THEN false ELSE true END
-    WHEN host = 'thther.example.org' THEN CASE WHEN starts_with(path, '/en/9') THEN false WHEN regexp_matches(path, '^/.*/1.*') THEN false ELSE true END
-    ELSE true END AS allowed FROM p""")
+    WHEN host IN ('thther.example.org', 'blog.tionsh.example.com') THEN CASE WHEN starts_with(path, '/en/9') THEN false WHEN regexp_matches(path, '^/.*/1.*') THEN false ELSE true END
+    ELSE true END"""
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {SQL_HOST} AS host, {SQL_PATH} AS path FROM pages UNION ALL SELECT NULL, {SQL_HOST}, {SQL_PATH} FROM pages)
+SELECT page_id, {SQL_ALLOWED} AS allowed FROM p""")
 def robots_can_fetch(spark, sf_dir):
-    return rules.can_fetch(read(spark, sf_dir, "pages"), _robots(spark), "pagewatch/1.0")
+    """Every page twice, the second time without a page_id."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return rules.can_fetch(pages.unionByName(pages.withColumn("page_id", F.lit(None).cast("long"))), _robots(spark), "pagewatch/1.0")
+
+
+@query(f"WITH p AS (SELECT page_id, url, {SQL_HOST} AS host, {SQL_PATH} AS path FROM pages) SELECT page_id, url FROM (SELECT page_id, url, {SQL_ALLOWED} AS allowed FROM p) WHERE NOT allowed")
+def url_access_denied_by_robots(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    denied = rules.can_fetch(pages, _robots(spark), "pagewatch/1.0").where("NOT allowed").select("page_id")
+    return pages.join(denied.distinct(), "page_id", "left_semi").select("page_id", "url")
 
 
 @query("""
 SELECT * FROM (VALUES ('thther.example.org', 0, '*', 0, '/en/9', false, -1, -1), ('thther.example.org', 0, '*', 1, '/*/1*', false, -1, -1), ('thther.example.org', 0, '*', 2, '/', true, -1, -1),
     ('thther.example.org', 1, 'otherbot', 0, '/en/1', true, 5, 10), ('thther.example.org', 1, 'otherbot', 1, '/fr/', false, 5, 10), ('thther.example.org', 1, 'otherbot', 2, '/en/*.html', false, 5, 10),
+    ('tionble.example.org', 0, '*', 0, '/de', false, -1, -1), ('tionble.example.org', 1, 'page', 0, '/', true, 9, -1),
     ('therin.example.net', 0, '*', 0, '/', false, -1, -1)) AS t(host, entry_no, agent, rule_no, path_pattern, allow, delay, rate_seconds)""")
 def robots_parse(spark, sf_dir):
-    found = _robots(spark).where("host <> 'www.therti.example.org'")
+    found = _robots(spark).where("host in ('thther.example.org', 'tionble.example.org', 'therin.example.net', 'tionsh.example.net')")
     return found.select("host", "entry_no", "agent", "rule_no", "path_pattern", "allow", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("delay", "rate_seconds")))
 
 
-#: Markup by page_id modulo 5, after the page's own.
+@query(f"""
+SELECT DISTINCT {SQL_HOST} AS host, CASE {SQL_HOST} WHEN 'www.therti.example.org' THEN 5 WHEN 'tionble.example.org' THEN 9 ELSE -1 END AS delay, CASE {SQL_HOST} WHEN 'www.therti.example.org' THEN 1 ELSE -1 END AS rate_requests,
+    CASE {SQL_HOST} WHEN 'www.therti.example.org' THEN 10 ELSE -1 END AS rate_seconds FROM pages""")
+def robots_waits(spark, sf_dir):
+    hosts = read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"))
+    return rules.crawl_waits(hosts, _robots(spark), "pagewatch/1.0").fillna(-1, ["delay", "rate_requests", "rate_seconds"])
+
+
+#: Markup by page_id modulo 7, after the page's own; of each the src, and whether it is invisible.
 IFRAMES = [
-    '<iframe src="http://a.example.edu/x" width="0" height="0"></iframe>', '<IFRAME SRC="http://b.example.edu/y" style="display:none"></IFRAME>',
-    '<iframe src="/inner" width="300" height="200"></iframe>', '<iframe src="http://c.example.edu/z" width="1" height="1" style="width:90px;height:80px"></iframe>', "<p>none</p>",
+    ('<iframe src="http://a.example.edu/x" width="0" height="0"></iframe>', "http://a.example.edu/x", True), ("<IFRAME SRC='http://b.example.edu/y' style='display:none'></IFRAME>", "http://b.example.edu/y", True),
+    ('<iframe src="/inner" width="300" height="200"></iframe>', "/inner", False), ("<iframe data-width=1 src=http://c.example.edu/z width=1 height=1 style='width:90px;height:80px'></iframe>", "http://c.example.edu/z", False),
+    ("<p>none</p>", None, False), ('<!-- <iframe src="/commented" width="0" height="0"> -->', None, False), ("<iframe title='a > b' height=1\nsrc='/tall'></iframe>", "/tall", True),
 ]
-SQL_IFRAME = f"[{', '.join(repr(i) for i in IFRAMES)}][1 + page_id % 5]"
 
 
-@query(f"""
-WITH p AS (SELECT page_id, html || {SQL_IFRAME} AS html FROM pages), t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(<iframe\\b[^>]*>)', 1)) AS tag FROM p),
-a AS (SELECT page_id, tag, regexp_extract(tag, '(?i)[ ]src="([^"]*)"', 1) AS src, nullif(regexp_extract(tag, '(?i)[ ]width="([^"]*)"', 1), '') AS w, nullif(regexp_extract(tag, '(?i)[ ]height="([^"]*)"', 1), '') AS h,
-    nullif(regexp_extract(tag, '(?i)[ ]style="([^"]*)"', 1), '') AS s FROM t)
-SELECT page_id, src FROM a WHERE ((w IS NULL AND h IS NULL) OR coalesce(try_cast(w AS INT), 0) + coalesce(try_cast(h AS INT), 0) < 3)
-    AND (s IS NULL OR NOT regexp_matches(s, '(?i)(width|height)[ ]*:') OR regexp_matches(s, '(?i)(hidden|display[ ]*:[ ]*none)') OR regexp_matches(s, '(?i)(width|height)[ ]*:[ ]*[01]([^0-9.]|$)'))""")
+def _with_iframes(spark, sf_dir, times: int = 1):
+    return read(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", _by_page([m for m, *_ in IFRAMES], times)).alias("html"))
+
+
+@query(f"SELECT page_id, src FROM pages JOIN (VALUES {', '.join(f'({i}, {_sql(src)})' for i, (_, src, hidden) in enumerate(IFRAMES) if hidden)}) AS f(i, src) ON page_id % {len(IFRAMES)} = i")
 def iframe_invisible(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", F.explode(H.tags(F.concat("html", F.element_at(F.array(*map(F.lit, IFRAMES)), (1 + F.col("page_id") % 5).cast("int"))), "iframe")).alias("tag"))
+    rows = _with_iframes(spark, sf_dir).select("page_id", F.explode(H.tags(F.col("html"), "iframe")).alias("tag"))
     return rows.where(H.invisible_iframe(F.col("tag"))).select("page_id", H.attribute(F.col("tag"), "src").alias("src"))
 
 
+@query("SELECT page_id FROM pages WHERE page_id % 50 = 0 AND contains(lower(html), '<body')")
+def tamper_injection(spark, sf_dir):
+    """Of pages of which one in 50 is tampered with, those found by their invisible iframes."""
+    pages = read(spark, sf_dir, "pages").select("page_id", H.injected(F.col("html"), F.col("page_id") % 50 == 0).alias("html"))
+    tags = pages.select("page_id", F.explode(H.tags(F.col("html"), "iframe")).alias("tag"))
+    return tags.where(H.invisible_iframe(F.col("tag"))).select("page_id").distinct()
+
+
 @query("""
 WITH p AS (SELECT page_id, html || CASE WHEN page_id % 4 = 0 THEN '<META HTTP-EQUIV="Refresh" content="0; URL=./next' || page_id || '.html">' ELSE '' END AS html FROM pages)
 SELECT page_id, regexp_extract(regexp_extract(html, '(?i)(<meta\\b[^>]*http-equiv[ ]*=[ ]*"?refresh[^>]*>)', 1), '(?i)url[ ]*=[ ]*([^"> ]*)', 1) AS target FROM p
@@ -267,16 +330,17 @@ def meta_refresh(spark, sf_dir):
 
 
 SCRIPT_NAMES = ["/js/jquery.min.js", "/x.js?v=3", "/lib/script.js", "http://cdn.example.net/ngg", "/app/main.js", "/ri.js"]
+#: Around a script's name, by page_id modulo 4; none but the last src counts.
+SCRIPT_MARKUP = [('<script src="', '"></script>'), ("<script async SRC = '", "'></script>"), ("<script src=", "></script><!-- <script src=\"/js.js\"> -->"), ('<script data-src="/js.js" src="', '">var x = "<script src=/y.js>";</script>')]
 
 
 @query(f"""
-WITH s AS (SELECT page_id, [{", ".join(f"'{n}'" for n in SCRIPT_NAMES)}][1 + page_id % 6] AS src FROM pages), n AS (SELECT *, regexp_replace(regexp_extract(split_part(src, '?', 1), '([^/]*)$', 1), '\\.[^./]*$', '') AS stem FROM s)
+WITH s AS (SELECT page_id, {_sql_by_page(SCRIPT_NAMES)} AS src FROM pages), n AS (SELECT *, regexp_replace(regexp_extract(split_part(src, '?', 1), '([^/]*)$', 1), '\\.[^./]*$', '') AS stem FROM s)
 SELECT page_id, src FROM n WHERE len(stem) < 2 OR stem IN ('ngg', 'script', 'js', 'ri')""")
 def script_name(spark, sf_dir):
-    name = F.element_at(F.array(*map(F.lit, SCRIPT_NAMES)), (1 + F.col("page_id") % 6).cast("int"))
-    markup = F.concat("html", F.lit('<script src="'), name, F.lit('"></script>'))
-    rows = read(spark, sf_dir, "pages").select("page_id", F.explode(H.attributes(markup, "script", "src")).alias("src"))
-    return rows.where(H.strange_script_name(F.col("src")))
+    markup = F.concat("html", _by_page([a for a, _ in SCRIPT_MARKUP]), _by_page(SCRIPT_NAMES), _by_page([b for _, b in SCRIPT_MARKUP]))
+    rows = H.attribute_rows(read(spark, sf_dir, "pages").select("page_id", markup.alias("html")), F.col("html"), "script", "src", "src")
+    return rows.where(H.strange_script_name(F.col("src"))).select("page_id", "src")
 
 
 @query("""
@@ -297,41 +361,86 @@ SELECT page_id, url FROM a WHERE {_sql_verdict("url")} ELSE 'EXTERNAL' END IN ('
 def form_action(spark, sf_dir):
     kind = F.col("page_id") % 4
     action = F.when(kind == 0, "/login").when(kind == 1, "https://collect.example.edu/p").when(kind == 2, "https://known.example.edu/p").otherwise("")
-    markup = F.concat("html", F.lit('<fORm method="post" acTIon="'), action, F.lit('">'))
-    rows = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"), F.explode(H.attributes(markup, "form", "action")).alias("action")).where("action <> ''")
+    quote = _by_page(['"', "'", ""])
+    markup = F.concat("html", F.lit("<!--<form action='https://commented.example.edu'>--><fORm data-action='/no' method=post acTIon = "), quote, action, quote, F.lit(">"))
+    pages = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"), markup.alias("html"))
+    rows = H.attribute_rows(pages, F.col("html"), "form", "action", "action").where("action <> ''")
     rows = rows.select("page_id", urls.absolute(F.col("action"), F.col("page")).alias("url"))
     by_link, by_request = rules.verdict(F.col("url"), RULES), rules.verdict(F.col("url"), {"allow": ["known.example.edu"]})
     return rows.where(rules.strange(by_link) & rules.strange(by_request))
 
 
-def _script_sources(spark, sf_dir, now: bool):
-    n = F.col("page_id") % (7 if now else 5)
-    return read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), F.concat(F.lit("cdn.example.net/s"), n, F.lit(".js")).alias("src")).distinct()
+def _script_sources(spark, sf_dir, modulus: int):
+    """host, src of the scripts in a snapshot's markup."""
+    markup = F.concat("html", F.lit("<script data-src=/no.js src='//cdn.example.net/s"), F.col("page_id") % modulus, F.lit(".js?v=1#top'></script>"))
+    rows = read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), F.explode(H.source_list(markup, "script")).alias("src"))
+    return rows.distinct()
 
 
 @query(f"""
 WITH now AS (SELECT DISTINCT {SQL_HOST} AS host, 'cdn.example.net/s' || (page_id % 7) || '.js' AS src FROM pages), old AS (SELECT DISTINCT {SQL_HOST} AS host, 'cdn.example.net/s' || (page_id % 5) || '.js' AS src FROM pages)
 SELECT host, src FROM now EXCEPT SELECT host, src FROM old""")
 def new_script_src(spark, sf_dir):
-    return history.new_values(_script_sources(spark, sf_dir, True), _script_sources(spark, sf_dir, False))
+    return history.new_values(_script_sources(spark, sf_dir, 7), _script_sources(spark, sf_dir, 5))
+
+
+def _iframe_sources(spark, sf_dir, times: int):
+    rows = _with_iframes(spark, sf_dir, times)
+    return rows.select(urls.host(F.col("url")).alias("host"), F.explode(H.attributes(F.col("html"), "iframe", "src")).alias("src")).distinct()
+
 
+def _sql_iframes(times: int) -> str:
+    found = ", ".join(f"({i}, {_sql(src)})" for i, (_, src, _) in enumerate(IFRAMES) if src)
+    return f"SELECT DISTINCT {SQL_HOST} AS host, src FROM pages JOIN (VALUES {found}) AS f(i, src) ON page_id * {times} % {len(IFRAMES)} = i"
 
-@query("SELECT 'x' AS src WHERE false")
+
+@query(f"{_sql_iframes(1)} EXCEPT {_sql_iframes(3)}")
 def new_iframe_src(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages")
-    src = F.element_at(F.array(*map(F.lit, IFRAMES)), (1 + F.col("page_id") % 5).cast("int"))
-    now = pages.select(F.explode(H.attributes(src, "iframe", "src")).alias("src"))
-    return history.new_values(now, now.where(F.lit(False)))
+    """J6 of two snapshots of all pages, whose iframes were others by page."""
+    return history.new_values(_iframe_sources(spark, sf_dir, 1), _iframe_sources(spark, sf_dir, 3))
+
+
+def _recorded(spark, sf_dir):
+    """Pages with scripts of their own and what a browser has put in: requests, scripts, visits, downloads."""
+    n = F.col("page_id")
+    said = [
+        F.lit("<script src='//cdn.example.net/s"), n % 3, F.lit(".js?x=1'></script><div id=contents><p class=\"Request\" hidden id=\"URL_1\">https://"),
+        F.when(n % 5 == 0, F.concat(F.lit("new-"), n, F.lit(".example.edu"))).otherwise("www.example.com"), F.lit("/r?a=1&amp;b=2</p><p id=JSURL_0 hidden class='Script'>"),
+        F.when(n % 9 == 0, "chrome://x.js").otherwise(F.concat(F.lit("https://cdn.example.net/s"), n % 4, F.lit(".js?v=2"))),
+        F.lit("</p><P CLASS=history>https://www.example.com/a</P>"), F.when(n % 6 == 0, F.concat(F.lit("<p class='History'>https://evil-"), n, F.lit(".example.edu/</p>"))).otherwise(""),
+        F.when(n % 8 == 0, F.concat(F.lit("<p class=Download id=URL_7>http://x.example.edu/f.exe</p><p class=Download id=FileName_7>f.exe</p><p class=Download id=JsonData_7>{\"FileSize\":"), n, F.lit(", \"Danger\": \"safe\"}</p>"))).otherwise(""),
+        F.lit("<!-- <p class=Request>https://commented.example.edu/</p> --></div>"),
+    ]
+    return read(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", *said).alias("html"))
+
+
+SQL_REQUESTED = "CASE WHEN page_id % 5 = 0 THEN 'https://new-' || page_id || '.example.edu/r?a=1&b=2' ELSE 'https://www.example.com/r?a=1&b=2' END"
 
 
 @query(f"""
-WITH h AS (SELECT DISTINCT page_id, 's' || (page_id % 3) || '.js' AS script FROM pages), r AS (SELECT DISTINCT page_id, CASE WHEN page_id % 9 = 0 THEN 'chrome://x.js' ELSE 's' || (page_id % 4) || '.js' END AS script FROM pages),
-q AS (SELECT * FROM r WHERE NOT starts_with(script, 'chrome'))
-SELECT page_id, script, 'html' AS side FROM (SELECT * FROM h EXCEPT SELECT * FROM q) UNION ALL SELECT page_id, script, 'request' FROM (SELECT * FROM q EXCEPT SELECT * FROM h)""")
+SELECT page_id, {SQL_REQUESTED} AS requests, CASE WHEN page_id % 9 = 0 THEN 'chrome://x.js' ELSE 'cdn.example.net/s' || (page_id % 4) || '.js' END AS scripts,
+    CASE WHEN page_id % 6 = 0 THEN 'https://www.example.com/a https://evil-' || page_id || '.example.edu/' ELSE '' END AS history FROM pages""")
+def browser_capture(spark, sf_dir):
+    found = files.browser_events(files.browser_record(_recorded(spark, sf_dir), F.col("html")))
+    return found.select("page_id", *(F.array_join(c, " ").alias(c) for c in ("requests", "scripts", "history")))
+
+
+DOWNLOADED = ["URL", "FileName", "FileSize", "Danger", "Mime"]
+
+
+@query("SELECT page_id, '7' AS no, 'http://x.example.edu/f.exe' AS \"URL\", 'f.exe' AS \"FileName\", CAST(page_id AS VARCHAR) AS \"FileSize\", 'safe' AS \"Danger\", 'None' AS \"Mime\" FROM pages WHERE page_id % 8 = 0")
+def download_record(spark, sf_dir):
+    """A12, F34 over the browser's record."""
+    return files.downloads(files.browser_record(_recorded(spark, sf_dir), F.col("html")), DOWNLOADED)
+
+
+@query(f"""
+WITH h AS (SELECT DISTINCT page_id, 'cdn.example.net/s' || (page_id % 3) || '.js' AS script FROM pages), r AS (SELECT DISTINCT page_id, 'cdn.example.net/s' || (page_id % 4) || '.js' AS script FROM pages WHERE page_id % 9 <> 0)
+SELECT page_id, script, 'html' AS side FROM (SELECT * FROM h EXCEPT SELECT * FROM r) UNION ALL SELECT page_id, script, 'request' FROM (SELECT * FROM r EXCEPT SELECT * FROM h)""")
 def js_html_vs_request(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").select("page_id")
-    html = pages.select("page_id", F.concat(F.lit("s"), F.col("page_id") % 3, F.lit(".js")).alias("script"))
-    requested = pages.select("page_id", F.when(F.col("page_id") % 9 == 0, "chrome://x.js").otherwise(F.concat(F.lit("s"), F.col("page_id") % 4, F.lit(".js"))).alias("script"))
+    pages = _recorded(spark, sf_dir)
+    html = pages.select("page_id", F.explode(H.source_list(F.col("html"), "script")).alias("script"))
+    requested = files.browser_record(pages, F.col("html")).where("kind = 'Script'").select("page_id", F.col("value").alias("script"))
     return history.compare_sets(html, requested, ["page_id", "script"])
 
 
@@ -369,9 +478,18 @@ def unchanged_days(spark, sf_dir):
     return history.unchanged_days(states).withColumnRenamed("url", "user_id").withColumn("run_date", F.date_format("run_date", "yyyy-MM-dd"))
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
+def _documents(spark, sf_dir):
+    """Every document; a null text counts as empty."""
+    return read(spark, sf_dir, "documents").fillna("", ["text"])
+
+
+#: The same in SQL.
+SQL_DOCUMENTS = "(SELECT doc_id, coalesce(text, '') AS text, source FROM documents)"
+
+
+@query(f"SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM {SQL_DOCUMENTS} GROUP BY sha256(text)")
 def content_dedup(spark, sf_dir):
-    return history.distinct_contents(read(spark, sf_dir, "documents").where("text is not null"), "text", "doc_id")
+    return history.distinct_contents(_documents(spark, sf_dir), "text", "doc_id")
 
 
 SQL_WORDS = """t AS (SELECT source AS host, doc_id AS page, unnest(list_filter(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1), lambda w: NOT regexp_matches(w, '^([0-9]+|[a-z])$'))) AS word FROM documents),
@@ -394,10 +512,12 @@ def df(spark, sf_dir):
     return terms.document_frequency(_counted(spark, sf_dir))
 
 
-@query(f"WITH {SQL_WORDS} SELECT host, word, CAST(sum(df) AS BIGINT) AS df FROM (SELECT * FROM df UNION ALL SELECT * FROM df WHERE df > 1) GROUP BY ALL")
+@query(f"WITH {SQL_WORDS} SELECT host, word, df FROM df")
 def df_merge(spark, sf_dir):
-    one = terms.document_frequency(_counted(spark, sf_dir))
-    return terms.merge_frequencies(one, one.where("df > 1"))
+    """A3: the frequencies of two crawls, between which the documents are dealt, merge to those of all."""
+    docs = read(spark, sf_dir, "documents")
+    crawls = (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 <> 0 OR doc_id is null"))
+    return terms.merge_frequencies(*(terms.document_frequency(terms.counts(terms.tokens(c))) for c in crawls))
 
 
 @query(f"WITH {SQL_WORDS} SELECT host, word, round(idf, 6) AS idf FROM idf")
@@ -452,23 +572,30 @@ HACKS = ["", " Hacked by someone", " HACKED", " life hack", " hac ked  by x"]
 
 
 @query(f"""
-WITH h AS (SELECT doc_id, lower(replace(text || [{", ".join(f"'{h}'" for h in HACKS)}][1 + doc_id % 5], ' ', '')) AS t FROM documents)
-SELECT doc_id, CASE WHEN contains(t, 'hackedby') THEN 3 WHEN contains(t, 'hacked') THEN 2 WHEN contains(t, 'hack') THEN 1 ELSE 0 END AS level FROM h WHERE t IS NOT NULL""")
+WITH h AS (SELECT doc_id, lower(replace(text || [{", ".join(f"'{h}'" for h in HACKS)}][1 + doc_id % 5], ' ', '')) AS t FROM {SQL_DOCUMENTS})
+SELECT doc_id, CASE WHEN contains(t, 'hackedby') THEN 3 WHEN contains(t, 'hacked') THEN 2 WHEN contains(t, 'hack') THEN 1 ELSE 0 END AS level FROM h""")
 def hack_level(spark, sf_dir):
     said = F.concat("text", F.element_at(F.array(*map(F.lit, HACKS)), (1 + F.col("doc_id") % 5).cast("int")))
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.hack_level(said).alias("level"))
+    return _documents(spark, sf_dir).select("doc_id", text.hack_level(said).alias("level"))
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, lower(replace(text || [{", ".join(f"'{h}'" for h in HACKS)}][1 + doc_id % 5], ' ', '')) AS t FROM {SQL_DOCUMENTS})
+SELECT CASE WHEN contains(t, 'hackedby') THEN 'hack_word_Lv3' WHEN contains(t, 'hacked') THEN 'hack_word_Lv2' ELSE 'page_hack_word_Lv1' END AS output, count(*) AS n, min(doc_id) AS first FROM h WHERE contains(t, 'hack') GROUP BY ALL""")
+def hack_gates(spark, sf_dir):
+    """Where pages of each level go: level 1 is a result, higher ones are alerts."""
+    return hack_level(spark, sf_dir).where("level > 0").groupBy(text.hack_output(F.col("level")).alias("output")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
-SQL_JS = """f AS (SELECT doc_id, len(text) AS src_len, len(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) AS visible_len, len(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS alphabets,
+SQL_JS = f"""f AS (SELECT doc_id, len(text) AS src_len, len(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) AS visible_len, len(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS alphabets,
     len(regexp_replace(text, '[^0-9]', '', 'g')) AS numbers, len(regexp_replace(text, '[a-zA-Z0-9\\t\\r\\n ]', '', 'g')) AS symbols, len(regexp_replace(text, '[^,;&]', '', 'g')) AS unique_chars,
-    len(regexp_extract_all(text, 'http|div|:')) AS unique_words, list_max(list_transform(string_split(text, chr(10)), lambda l: len(l))) AS max_line FROM documents WHERE text IS NOT NULL),
+    len(regexp_extract_all(text, 'http|div|:')) AS unique_words, list_max(list_transform(string_split(text, chr(10)), lambda l: len(l))) AS max_line FROM {SQL_DOCUMENTS}),
 v AS (SELECT *, src_len - visible_len AS blank, CASE WHEN max_line < 400 THEN 'NORMAL' WHEN max_line < 2000 AND max_line / nullif(unique_chars, 0) < 200 THEN 'RANDOM1' WHEN max_line < 2000 AND unique_chars < unique_words THEN 'RANDOM2'
     WHEN max_line < 2000 THEN 'ENCODE5' WHEN max_line / nullif(unique_chars, 0) < 10 THEN 'ENCODE6' WHEN max_line / nullif(unique_chars, 0) < 95 THEN 'RANDOM3' WHEN unique_chars > unique_words THEN 'ENCODE7' ELSE 'RANDOM4' END AS verdict FROM f)"""
 
 
 def _features(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where("text is not null")
-    return rows.select("doc_id", *(c.alias(n) for n, c in scripts.features(F.col("text")).items()))
+    return scripts.with_features(_documents(spark, sf_dir).select("doc_id", "text"), "text").drop("text")
 
 
 def _share(part: str, whole: str) -> str:
@@ -499,16 +626,15 @@ def js_corpus_stats(spark, sf_dir):
 
 @query()
 def js_tree_classify(spark, sf_dir):
-    """A tree of depth 3 learns the verdict's kind; rows: kind, n, share that it gets right."""
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    """A tree of depth 3 learns the verdict's kind, is stored and loaded; rows: kind, n, share that it gets right."""
+    from pagewatch.operators import trees
 
     kind = F.regexp_replace(scripts.verdict(F.col("max_line"), F.col("unique_chars"), F.col("unique_words")), "[0-9]", "")
     rows = _features(spark, sf_dir).withColumn("kind", kind)
-    rows = VectorAssembler(inputCols=[c for c in rows.columns if c not in ("doc_id", "kind")], outputCol="x").transform(rows)
-    rows = StringIndexer(inputCol="kind", outputCol="label", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-    found = DecisionTreeClassifier(featuresCol="x", maxDepth=3, seed=1).fit(rows).transform(rows)
-    return found.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("accuracy"))
+    folder = new_folder(spark, "tree")
+    trees.train(rows, "kind", folder)
+    found = trees.classified(rows, folder)
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg((F.col("said") == F.col("kind")).cast("double")), 6).alias("accuracy"))
 
 
 def _samples(spark, sf_dir):
@@ -575,14 +701,43 @@ def crawl_progress(spark, sf_dir):
     return reports.progress(_queues(spark, sf_dir))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT page_id AS src, (page_id * 2 + 1) % 101 AS dst FROM pages UNION ALL SELECT page_id, (page_id * 3) % 97 FROM pages),
-r(node, hop) AS (SELECT 1, 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 30)
-SELECT node, min(hop) AS hop FROM r GROUP BY node""")
+SQL_CRAWL = """m AS (SELECT max(page_id) + 1 AS n FROM pages), e AS (SELECT page_id AS src, (page_id * 2 + 1) % n AS dst FROM pages, m UNION ALL SELECT page_id, (page_id * 3) % n FROM pages, m),
+r(node, hop) AS (SELECT min(page_id), 0 FROM pages UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 64)"""
+
+
+@query(f"WITH RECURSIVE {SQL_CRAWL} SELECT node, min(hop) AS hop FROM r GROUP BY node")
 def crawl_frontier(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages")
-    edges = pages.select(F.col("page_id").alias("src"), ((F.col("page_id") * 2 + 1) % 101).alias("dst")).unionByName(pages.select(F.col("page_id").alias("src"), (F.col("page_id") * 3 % 97).alias("dst")))
-    return frontier.crawl(spark.range(1, 2).select(F.col("id").alias("node")), edges, 30)
+    """Along links from every page to others, until nothing is new."""
+    pages = read(spark, sf_dir, "pages").select("page_id")
+    n = pages.agg((F.max("page_id") + 1).alias("n"), F.min("page_id").alias("node"))
+    sized = pages.join(F.broadcast(n.select("n")), F.col("page_id") < F.col("n"))
+    edges = sized.select(F.col("page_id").alias("src"), F.explode(F.array((F.col("page_id") * 2 + 1) % F.col("n"), F.col("page_id") * 3 % F.col("n"))).alias("dst"))
+    return frontier.crawl(n.select("node"), edges)
+
+
+@query(f"WITH RECURSIVE {SQL_CRAWL}, f AS (SELECT node, min(hop) AS hop FROM r GROUP BY node) SELECT node, hop FROM f ORDER BY hop, node LIMIT 40")
+def crawl_limit(spark, sf_dir):
+    """MAX_page."""
+    return frontier.first_pages(crawl_frontier(spark, sf_dir), 40)
+
+
+@query("""
+WITH s AS (SELECT epoch(ts) AS t, (SELECT min(epoch(ts)) FROM events) AS start FROM events)
+SELECT CAST(floor((t - start) / 21600) AS BIGINT) AS part, count(*) AS n FROM s GROUP BY ALL""")
+def save_points(spark, sf_dir):
+    """T8, ST8: SAVE_time."""
+    seconds = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").cast("double").alias("ts"))
+    return frontier.saves(seconds, 21_600).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {SQL_QUEUES}, first AS (SELECT host, 'first' AS turn FROM q WHERE n > 0 ORDER BY n, host LIMIT 1), rest AS (SELECT host, 'largest' AS turn FROM q WHERE n > 0 AND host NOT IN (SELECT host FROM first) ORDER BY n DESC, host LIMIT 4),
+t AS (SELECT * FROM first UNION ALL SELECT * FROM rest)
+SELECT t.host, turn, min(url) AS url FROM t JOIN (SELECT {SQL_HOST} AS host, url FROM pages WHERE page_id % 2 = 0) AS p ON p.host = t.host GROUP BY ALL""")
+def pulled_urls(spark, sf_dir):
+    """ST1's pull: pages of even page_id wait."""
+    waiting = read(spark, sf_dir, "pages").where("page_id % 2 = 0").select(urls.host(F.col("url")).alias("host"), "url")
+    return frontier.pulled(waiting, 5).select("host", "turn", "url")
 
 
 @query("SELECT DISTINCT url, 'url_db' AS src FROM pages WHERE page_id % 3 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
@@ -592,24 +747,57 @@ def frontier_recovered(spark, sf_dir):
     return frontier.recovered(verdicts, pages.where("page_id % 2 = 0").select("url"))
 
 
-@query(f"SELECT {SQL_HOST} AS host, count(DISTINCT {SQL_PATH}) AS paths FROM (SELECT url FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0) WHERE {SQL_HOST} <> 'test.example.com' GROUP BY ALL")
+TEST_HOSTS = ["tionble.example.org"]
+
+
+def _crawled(spark, sf_dir):
+    """host, url of two crawls, which overlap and together have all pages."""
+    pages = read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), "url")
+    return pages.where("page_id % 3 <> 1"), pages.where("page_id % 3 <> 2 OR page_id is null")
+
+
+@query(f"SELECT {SQL_HOST} AS host, count(DISTINCT url) AS n, min(url) AS first FROM pages WHERE {SQL_HOST} <> '{TEST_HOSTS[0]}' GROUP BY ALL")
 def url_set_merge(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages")
-    both = pages.where("page_id % 2 = 0").select("url").unionByName(pages.where("page_id % 3 = 0").select("url")).distinct()
-    return both.groupBy(urls.host(F.col("url")).alias("host")).agg(F.countDistinct(urls.path(F.col("url"))).alias("paths")).where("host <> 'test.example.com'")
+    return history.url_sets(list(_crawled(spark, sf_dir)), TEST_HOSTS).groupBy("host").agg(F.count("*").alias("n"), F.min("url").alias("first"))
 
 
 @query(f"WITH {SQL_EXTERNAL} SELECT DISTINCT {SQL_HOST} AS host, '' AS prefix FROM strange WHERE {SQL_HOST} <> ''")
 def filter_build(spark, sf_dir):
-    return _external_links(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), F.lit("").alias("prefix")).where("host <> ''").distinct()
+    return history.filters_of(_external_links(spark, sf_dir).select(urls.host(F.col("url")).alias("host")))
+
+
+SQL_PREFIX = f"CASE WHEN page_id % 17 = 0 THEN '' ELSE '/' || split_part({SQL_PATH}, '/', 2) END"
 
 
 @query(f"""
-WITH b AS (SELECT {SQL_HOST} AS host, '/' || split_part({SQL_PATH}, '/', 2) AS prefix FROM pages WHERE page_id % 2 = 0 UNION SELECT {SQL_HOST}, '/' || split_part({SQL_PATH}, '/', 2) FROM pages WHERE page_id % 3 = 0)
+WITH p AS (SELECT page_id, {SQL_HOST} AS host, {SQL_PREFIX} AS prefix FROM pages), o AS (SELECT * FROM p WHERE page_id % 3 <> 1), n AS (SELECT * FROM p WHERE page_id % 3 <> 2),
+b AS (SELECT host, prefix FROM o UNION SELECT host, prefix FROM n WHERE host NOT IN (SELECT host FROM o) OR host NOT IN (SELECT host FROM n WHERE prefix = ''))
 SELECT host, string_agg(prefix, ' ' ORDER BY prefix) AS prefixes FROM b GROUP BY host""")
 def filter_merge(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), F.concat(F.lit("/"), F.split_part(urls.path(F.col("url")), F.lit("/"), F.lit(2))).alias("prefix"))
-    return history.merge_filters(rows.where("page_id % 2 = 0"), rows.where("page_id % 3 = 0"))
+    prefix = F.when(F.col("page_id") % 17 == 0, "").otherwise(F.concat(F.lit("/"), F.split_part(urls.path(F.col("url")), F.lit("/"), F.lit(2))))
+    return history.merge_filters(*(c.select("host", prefix.alias("prefix")) for c in _crawled(spark, sf_dir)))
+
+
+RULE_FILES = [
+    ("BLACK", '["casino", "do=login"]'), ("ONLY", '["https?://www"]'), ("DOMAIN", '{"allow": ["example.com", "example.org"], "deny": [".gov"]}'), ("WHITE", '{"example.net": ["/en", "/fr"]}'),
+    ("IPAddress", '{"allow": ["10.1."]}'), ("REDIRECT", '{"allow": {"login.example.edu": ["/start"]}, "deny": {"x.example.edu": [""]}}'), ("LINK", "{broken"), ("REQUEST", "[1, 2]"), ("OTHER", "{}"),
+]
+
+
+@query("""
+SELECT * FROM (VALUES ('BLACK', '-', '-', 'casino'), ('BLACK', '-', '-', 'do=login'), ('ONLY', '-', '-', 'https?://www'), ('ALLOW', 'example.com', '-', '-'), ('ALLOW', 'example.org', '-', '-'), ('DENY', '.gov', '-', '-'),
+    ('WHITE', 'example.net', '/en', '-'), ('WHITE', 'example.net', '/fr', '-'), ('IP', '-', '-', '10.1.'), ('REDIRECT', 'login.example.edu', '/start', '-'), ('REDIRECT_DENY', 'x.example.edu', '', '-')) AS t(kind, host_suffix, path_prefix, pattern)""")
+def rule_files(spark, sf_dir):
+    return files.rule_rows(spark.createDataFrame(RULE_FILES, "name string, body string")).fillna("-")
+
+
+@query(f"WITH p AS (SELECT page_id, url, {SQL_HOST} AS host, {SQL_PATH} AS path FROM pages) SELECT page_id, suffix(host, 'example.com') OR suffix(host, 'example.org') AS allowed, contains(url, 'casino') AS black, suffix(host, 'example.net') AND (starts_with(path, '/en') OR starts_with(path, '/fr')) AS white FROM p")
+def rule_file_matches(spark, sf_dir):
+    """S8 into P1-P3: the files' rules on every page."""
+    own = rules.rule_set(rule_files(spark, sf_dir).replace("-", None))
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    black = F.exists(F.array(*map(F.lit, own["black"])), lambda b: F.contains(F.col("url"), b))
+    return pages.select("page_id", rules.any_suffix(F.col("host"), own["allow"]).alias("allowed"), black.alias("black"), rules.any_pair(F.col("host"), F.col("path"), own["white"]).alias("white"))
 
 
 SETTINGS = ["# limits", "MAX_page=200*10", "MAX_time=60*60*24   # a day", "MAX_process=-3", "words=True", "scan=no idea", "", "SAVE_time=6*60*60"]
@@ -620,12 +808,79 @@ def settings_parse(spark, sf_dir):
     return files.settings(spark.createDataFrame([(x,) for x in SETTINGS], "value string"), cores=8).fillna(-1, ["number"])
 
 
+def _sql_strange(url: str) -> str:
+    return f"{_sql_verdict(url)} ELSE 'EXTERNAL' END IN ('EXTERNAL', 'UNKNOWN')"
+
+
 @query(f"""
-WITH {SQL_EXTERNAL}, a AS (SELECT 'link_to_new_server' AS k, page AS url, url AS content FROM strange UNION ALL SELECT 'over_work', CAST(url AS VARCHAR), alert_type FROM (SELECT url, CASE WHEN cpu > 60 THEN 'over_work_cpu' ELSE 'over_work_memory' END AS alert_type FROM ({SQL_PEAKS}) WHERE cpu > 60 OR mem > 2000))
-SELECT 3 AS nth, CASE WHEN contains(url, 'tionsh.example') THEN 'TEST_' ELSE '' END || k AS alert_type, url, content FROM a""")
+SELECT page_id, url AS sent, verdict FROM (SELECT page_id, url, {_sql_verdict("url")} ELSE 'EXTERNAL' END AS verdict FROM pages) UNION SELECT page_id, 'https://cdn.example.net/s' || (page_id % 3) || '.js?x=1', 'ALLOW' FROM pages""")
+def urls_sent(spark, sf_dir):
+    """Every page's own url with its verdict, and its scripts."""
+    pages = _recorded(spark, sf_dir)
+    judged = rules.with_verdict(pages.select("page_id", "url"), "url", RULES)
+    scripts_ = H.attribute_rows(pages.select("page_id", "html"), F.col("html"), "script", "src", "src")
+    return rules.sent(judged, scripts_.select("page_id", F.concat(F.lit("https:"), "src").alias("url"))).withColumnRenamed("url", "sent")
+
+
+SQL_ALERTS = f"""
+WITH {SQL_EXTERNAL}, top AS (SELECT doc_id, lower(replace(text || [{", ".join(f"'{h}'" for h in HACKS)}][1 + doc_id % 5], ' ', '')) AS t FROM {SQL_DOCUMENTS}),
+req AS (SELECT url AS page, {SQL_REQUESTED} AS url FROM pages), visit AS (SELECT url AS page, 'https://evil-' || page_id || '.example.edu/' AS url FROM pages WHERE page_id % 6 = 0),
+form AS (SELECT url AS page, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS root, {SQL_FORM} AS action FROM pages),
+frame AS (SELECT host, src FROM ({_sql_iframes(1)} EXCEPT {_sql_iframes(3)})), script AS (SELECT host, src FROM (
+    SELECT DISTINCT {SQL_HOST} AS host, 'cdn.example.net/s' || (page_id % 7) || '.js' AS src FROM pages EXCEPT SELECT DISTINCT {SQL_HOST} AS host, 'cdn.example.net/s' || (page_id % 5) || '.js' AS src FROM pages)),
+a AS (
+    SELECT 'link_to_new_server' AS k, page AS url, string_agg(DISTINCT url, ', ' ORDER BY url) AS content FROM strange GROUP BY page
+    UNION ALL SELECT 'request_to_new_server', page, string_agg(DISTINCT url, ', ' ORDER BY url) FROM req WHERE {_sql_strange("url")} GROUP BY page
+    UNION ALL SELECT 'url_history', page, string_agg(DISTINCT url, ', ' ORDER BY url) FROM visit WHERE {_sql_strange("url")} GROUP BY page
+    UNION ALL SELECT 'new_form_url', page, string_agg(DISTINCT url, ', ' ORDER BY url) FROM (SELECT page, CASE WHEN starts_with(action, '/') THEN root || action ELSE action END AS url FROM form WHERE action <> '')
+        WHERE {_sql_strange("url")} AND NOT suffix({SQL_HOST}, 'known.example.edu') GROUP BY page
+    UNION ALL SELECT 'new_iframeSrc', host, string_agg(src, ', ' ORDER BY src) FROM frame GROUP BY host
+    UNION ALL SELECT 'new_scriptSrc', host, string_agg(src, ', ' ORDER BY src) FROM script GROUP BY host
+    UNION ALL SELECT 'hack_word_Lv3', CAST(doc_id AS VARCHAR), '' FROM top WHERE contains(t, 'hackedby')
+    UNION ALL SELECT 'hack_word_Lv2', CAST(doc_id AS VARCHAR), '' FROM top WHERE contains(t, 'hacked') AND NOT contains(t, 'hackedby')
+    UNION ALL SELECT 'changed_js', url, CAST(page_id AS VARCHAR) FROM pages WHERE page_id % 3 = 0 AND page_id % 4 <> 1
+    UNION ALL SELECT 'download_url', url, '7, f.exe, ' || page_id || ', http://x.example.edu/f.exe' FROM pages WHERE page_id % 8 = 0
+    UNION ALL SELECT 'about_blank_url', url, 'about:blank' FROM pages WHERE page_id % 13 = 0
+    UNION ALL SELECT 'new_window_url', url, 'https://popup.example.edu/' || page_id FROM pages WHERE page_id % 14 = 0
+    UNION ALL SELECT 'alert_text', url, 'hello' FROM pages WHERE page_id % 15 = 0
+    UNION ALL SELECT 'after_redirect_check', url, 'https://login.example.edu/start' FROM pages WHERE page_id % 3 = 2 AND page_id % 2 <> 0
+    UNION ALL SELECT 'warning_clamd', CAST(doc_id AS VARCHAR), CASE WHEN contains(text, '###') THEN 'hash-marks' ELSE 'shouting' END FROM {SQL_DOCUMENTS} WHERE strlen(text) < 25000000 AND (contains(text, '###') OR contains(text, '!!'))
+    UNION ALL SELECT 'over_work', CAST(url AS VARCHAR), alert_type FROM (SELECT url, CASE WHEN cpu > 60 THEN 'over_work_cpu' ELSE 'over_work_memory' END AS alert_type FROM ({SQL_PEAKS}) WHERE cpu > 60 OR mem > 2000))
+SELECT 3 AS nth, CASE WHEN contains(url, 'tionsh.example') THEN 'TEST_' ELSE '' END || k AS alert_type, url, content FROM a"""
+
+
+@query(SQL_ALERTS)
 def alert_union(spark, sf_dir):
-    links = _external_links(spark, sf_dir).select(F.col("page").alias("url"), F.col("url").alias("content"))
-    return reports.alerts(3, ["tionsh.example"], link_to_new_server=links, over_work=over_work(spark, sf_dir).select(F.col("url").cast("string"), F.col("alert_type").alias("content")))
+    """Every kind of alert but those on terms, which are important_word_change and frequent_word_overlap."""
+    pages, none = read(spark, sf_dir, "pages"), F.lit("")
+    strange = rules.strange(rules.verdict(F.col("value"), RULES))
+    recorded = _recorded(spark, sf_dir)
+    record = files.browser_record(recorded, F.col("html")).join(recorded.select("page_id", "url"), "page_id")
+    visited = files.browser_events(record).join(recorded.select("page_id", "url"), "page_id").select("url", F.explode("history").alias("value"))
+    downloads = files.downloads(record, DOWNLOADED).select("page_id", F.concat_ws(", ", "no", "FileName", "FileSize", "URL").alias("content")).join(recorded.select("page_id", "url"), "page_id")
+    forms = form_action(spark, sf_dir).join(pages.select("page_id", F.col("url").alias("page")), "page_id").select(F.col("page").alias("url"), F.col("url").alias("value"))
+    hacks = hack_level(spark, sf_dir).select(F.col("doc_id").alias("url"), "level")
+    changed = history.hash_status(*_snapshots(spark, sf_dir), key="page_id").where("status = 'changed'").join(pages, "page_id")
+    seen = pages.select("page_id", "url", F.when(F.col("page_id") % 13 == 0, "about:blank").otherwise(F.col("url")).alias("final_url"))
+    seen = seen.withColumns({"popup": F.when(F.col("page_id") % 14 == 0, F.concat(F.lit("https://popup.example.edu/"), "page_id")), "said": F.when(F.col("page_id") % 15 == 0, "hello").otherwise("")})
+    redirected = redirect_check(spark, sf_dir).where("alert").join(pages, "page_id")
+    new = {k: v.groupBy(F.col("host").alias("url")).agg(F.collect_set("src").alias("v")).select("url", history.stringified(F.col("v")).alias("content")) for k, v in (("new_iframeSrc", new_iframe_src(spark, sf_dir)), ("new_scriptSrc", new_script_src(spark, sf_dir)))}
+    return reports.alerts(
+        3, ["tionsh.example"], link_to_new_server=reports.strange_sets(_external_links(spark, sf_dir).select(F.col("page").alias("url"), F.col("url").alias("value")), F.lit(True)),
+        request_to_new_server=reports.strange_sets(record.where("kind = 'Request'").select("url", "value"), strange), url_history=reports.strange_sets(visited, strange),
+        new_form_url=reports.strange_sets(forms, F.lit(True)), **new, hack_word_Lv3=hacks.where("level = 3").select("url", none.alias("content")), hack_word_Lv2=hacks.where("level = 2").select("url", none.alias("content")),
+        changed_js=changed.select("url", F.col("page_id").alias("content")), download_url=downloads.select("url", "content"),
+        about_blank_url=seen.where("final_url = 'about:blank'").select("url", F.col("final_url").alias("content")), new_window_url=seen.where("popup is not null").select("url", F.col("popup").alias("content")),
+        alert_text=seen.where("said <> ''").select("url", F.col("said").alias("content")), after_redirect_check=redirected.select("url", F.lit("https://login.example.edu/start").alias("content")),
+        warning_clamd=body_scan_full(spark, sf_dir).where("signature is not null").select(F.col("doc_id").alias("url"), F.col("signature").alias("content")),
+        over_work=over_work(spark, sf_dir).select("url", F.col("alert_type").alias("content")),
+    )
+
+
+@query(f"SELECT * FROM ({SQL_ALERTS}) WHERE NOT starts_with(alert_type, 'TEST_')")
+def alerts_without_tests(spark, sf_dir):
+    """R8."""
+    return reports.without_tests(alert_union(spark, sf_dir))
 
 
 @query("""
@@ -638,38 +893,54 @@ def session_visits(spark, sf_dir):
     return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_events")
 
 
-@query("""
-WITH e AS (SELECT event_type, user_id, ts, event_id FROM events), w AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS n,
-    first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS first FROM e) SELECT event_id, n, first FROM w""")
+_AROUND = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)"
+
+
+@query(f"SELECT event_id, event_type AS label, array_to_string(list(event_type) {_AROUND}, ' ') AS features FROM events")
 def tag_neighbourhood(spark, sf_dir):
+    """Of each element the ten before and after it; it is the label."""
     from pyspark.sql import Window
 
     near = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-10, 10)
-    return read(spark, sf_dir, "events").select("event_id", F.count("*").over(near).alias("n"), F.first("event_type").over(near).alias("first"))
+    return read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("label"), F.array_join(F.collect_list("event_type").over(near), " ").alias("features"))
 
 
 @query("""
-WITH p AS (SELECT user_id, epoch(max(ts) OVER ()) - epoch(max(ts) OVER (PARTITION BY user_id)) AS idle FROM events)
-SELECT user_id, CAST(floor(max(idle)) AS BIGINT) AS idle, floor(max(idle)) >= 300 AS stalled FROM p GROUP BY user_id""")
+WITH p AS (SELECT user_id, epoch(max(ts) OVER ()) - epoch(max(ts) OVER (PARTITION BY user_id)) AS quiet FROM events)
+SELECT user_id, CAST(floor(max(quiet)) AS BIGINT) AS quiet, floor(max(quiet)) > 300 AS stalled, floor(max(quiet)) > 60 AS idle FROM p GROUP BY user_id""")
 def stalled_hosts(spark, sf_dir):
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max(seconds).alias("last"))
-    rows = rows.join(F.broadcast(rows.agg(F.max("last").alias("now"))), F.col("last") <= F.col("now"))  # the one row of the latest time
-    idle = F.floor(F.col("now") - F.col("last"))
-    return rows.select("user_id", idle.alias("idle"), (idle >= 300).alias("stalled"))
+    return reports.timers(read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id")
+
 
+@query("SELECT event_id, value / 8 AS cpu_per, CAST(floor(value * 1234567.0 / 1000000) AS INT) AS mem_mb FROM events")
+def resource_normalised(spark, sf_dir):
+    """F31."""
+    samples = read(spark, sf_dir, "events").select("event_id", F.col("value").alias("cpu_all"), (F.col("value") * 1234567.0).alias("mem_bytes"))
+    return reports.normalised(samples, 8).select("event_id", "cpu_per", "mem_mb")
 
-@query("SELECT doc_id, CASE WHEN strlen(text) >= 20000 THEN NULL WHEN contains(text, '###') THEN 'hash-marks' WHEN contains(text, '!!') THEN 'shouting' END AS signature FROM documents WHERE text IS NOT NULL")
+
+SIGNATURES = {"hash-marks": "###", "shouting": "!!"}
+
+
+@query(f"SELECT doc_id, CASE WHEN strlen(text) >= 20000 THEN NULL WHEN contains(text, '###') THEN 'hash-marks' WHEN contains(text, '!!') THEN 'shouting' END AS signature FROM {SQL_DOCUMENTS}")
 def body_scan(spark, sf_dir):
-    found = scan(F.col("text"), {"hash-marks": "###", "shouting": "!!"}, 20_000)
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", found.alias("signature"))
+    """P20's gate at 20,000 bytes."""
+    return _documents(spark, sf_dir).select("doc_id", scan(F.col("text"), SIGNATURES, 20_000).alias("signature"))
+
 
+SQL_SCAN = f"SELECT doc_id, CASE WHEN strlen(text) >= 25000000 THEN NULL WHEN contains(text, '###') THEN 'hash-marks' WHEN contains(text, '!!') THEN 'shouting' END AS signature FROM {SQL_DOCUMENTS}"
 
-@query("SELECT doc_id, CASE WHEN strlen(text) >= 25000000 THEN NULL WHEN contains(text, '###') THEN 'hash-marks' WHEN contains(text, '!!') THEN 'shouting' END AS signature FROM documents WHERE text IS NOT NULL")
+
+@query(SQL_SCAN)
 def body_scan_full(spark, sf_dir):
     """P20, X6 with the operator's own limit."""
-    found = scan(F.col("text"), {"hash-marks": "###", "shouting": "!!"})
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", found.alias("signature"))
+    return _documents(spark, sf_dir).select("doc_id", scan(F.col("text"), SIGNATURES).alias("signature"))
+
+
+@query("SELECT 1 AS checks, true AS found")
+def scan_self_test(spark, sf_dir):
+    """Whether the signatures find the standard test body."""
+    return spark.range(1).select(F.lit(1).alias("checks"), self_test(SIGNATURES).alias("found"))
 
 
 @query("""
@@ -694,14 +965,6 @@ def host_rename(spark, sf_dir):
     return history.rename_host(pages, "example.com", "copy.example.com").select("page_id", "host", "url")
 
 
-@query("""
-SELECT page_id AS page_url, string_agg(DISTINCT CASE WHEN page_id % 2 = 0 THEN 'r' || (page_id % 4) END, ' ') AS requests FROM pages GROUP BY page_id""")
-def browser_capture(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("page_url"), F.when(F.col("page_id") % 2 == 0, "Request").otherwise("History").alias("kind"), F.concat(F.lit("r"), F.col("page_id") % 4).alias("url"))
-    found = files.browser_events(rows)
-    return found.select("page_url", F.when(F.size("requests") > 0, F.array_join("requests", " ")).alias("requests"))
-
-
 @query("""
 WITH t AS (SELECT DISTINCT user_id % 10 AS host, user_id AS page, event_type AS tag FROM events), v AS (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS code FROM (SELECT DISTINCT tag FROM t))
 SELECT host, count(DISTINCT page) AS n_pages, array_to_string(list_sort(list(DISTINCT code)), ' ') AS codes FROM t JOIN v USING (tag) GROUP BY host""")
@@ -711,17 +974,18 @@ def host_tags(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS root FROM pages)
-SELECT page_id, '<p><script src="' || root || '/a.js"></script><SCRIPT async SRC="http://cdn.example.net/b.js?x=1&y=2">' AS markup FROM p""")
+WITH p AS (SELECT page_id, url, html, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS root FROM pages)
+SELECT page_id, html || '<p><script src="' || root || '/a.js"></script><SCRIPT async SRC="http://cdn.example.net/b.js?x=1&y=2"><script data-src="/no.js" src=''' || root || '/c.js''>' || chr(1) || '</script>' AS markup FROM p""")
 def script_rewrite(spark, sf_dir):
-    markup = F.lit('<p><script src="/./x/../a.js"></script><SCRIPT async SRC="http://cdn.example.net:81/b.js?x=1&amp;y=2">')
-    return read(spark, sf_dir, "pages").select("page_id", H.rewrite_scripts(markup, F.col("url")).alias("markup"))
+    """F8 on every page, with scripts in both quotes and none, and a character that no markup should hold."""
+    more = '<p><script src="/./x/../a.js"></script><SCRIPT async SRC=http://cdn.example.net:81/b.js?x=1&amp;y=2><script data-src="/no.js" src=\'/c.js\'>\x01</script>'
+    return read(spark, sf_dir, "pages").select("page_id", H.rewrite_scripts(F.concat("html", F.lit(more)), F.col("url")).alias("markup"))
 
 
 @query()
 def line_diff(spark, sf_dir):
     """doc_id, changes of a text whose second line is replaced and whose last goes."""
-    rows = read(spark, sf_dir, "documents").where("text is not null")
+    rows = _documents(spark, sf_dir)
     lines = F.split("text", "\n")
     changed = F.array_join(F.transform(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1))), lambda x, i: F.when(i == 1, F.concat(x, F.lit(" altered"))).otherwise(x)), "\n")
     diff = text.line_diff(F.col("text"), changed)
@@ -731,59 +995,79 @@ def line_diff(spark, sf_dir):
 @query()
 def fuzzy_hash(spark, sf_dir):
     """doc_id, hash, and its likeness to the text with a sentence more."""
-    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.fuzzy_hash(F.col("text")).alias("hash"), text.fuzzy_hash(F.concat("text", F.lit(" One more."))).alias("other"))
+    rows = _documents(spark, sf_dir).select("doc_id", text.fuzzy_hash(F.col("text")).alias("hash"), text.fuzzy_hash(F.concat("text", F.lit(" One more."))).alias("other"))
     return rows.select("doc_id", "hash", text.fuzzy_score(F.col("hash"), F.col("other")).alias("score"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '[ ][ ]|^[ ]|[ ]$|[\\t\\r]|\\n[ ]|[ ]\\n|\\n\\n|\\n$|^\\n')")
+#: What str.split() takes for blanks but line ends.
+_BLANKS = "[\\t\\x0B\\x0C\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '{_BLANKS}+', ' ', 'g'))), lambda x: x <> '') AS lines FROM {SQL_DOCUMENTS})
+SELECT doc_id, len(lines) AS n_lines, CASE WHEN NOT regexp_matches(text, '[^\\x00-\\x7F]') THEN sha256(array_to_string(lines, chr(10))) END AS ascii_hash FROM l""")
 def normalized_text(spark, sf_dir):
-    """F16: NFKC and collapsed blanks change nothing in plain ASCII texts without odd blanks."""
-    plain = ~F.rlike("text", F.lit(r"[^\x00-\x7F]")) & ~F.rlike("text", F.lit(r"[ ][ ]|^[ ]|[ ]$|[\t\r]|\n[ ]|[ ]\n|\n\n|\n$|^\n"))
-    return read(spark, sf_dir, "documents").where("text is not null").where(plain).select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("hash"))
+    """F16 on every text: its lines, and the hash of what comes out where NFKC changes nothing, as DuckDB lacks that."""
+    rows = _documents(spark, sf_dir).withColumn("out", text.normalize_text(F.col("text")))
+    lines = F.when(F.col("out") == "", 0).otherwise(F.size(F.split("out", "\n"))).cast("long")
+    return rows.select("doc_id", lines.alias("n_lines"), F.when(~F.rlike("text", F.lit(r"[^\x00-\x7F]")), F.sha2("out", 256)).alias("ascii_hash"))
 
 
 @query()
 def normalized_text_all(spark, sf_dir):
-    """F16 on every text. No SQL, as DuckDB lacks NFKC."""
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("hash"))
+    """F16: the hash of every text. No SQL, as DuckDB lacks NFKC."""
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("hash"))
 
 
-@query()
+def _streamed(spark, sf_dir, name: str):
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+@query(f"SELECT start, url, cpu, mem, CASE WHEN cpu > 60 THEN 'over_work_cpu' ELSE 'over_work_memory' END AS alert_type FROM ({SQL_PEAKS}) WHERE cpu > 60 OR mem > 2000")
 def resource_stream(spark, sf_dir):
-    """ST3: the streaming form of over_work."""
+    """ST3: the streaming form of over_work; windows that are open at the end are closed."""
     from pagewatch.streaming import monitors
 
-    name, folder = _stream_place(spark)
-    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    samples = monitors.with_time(stream).select("ts", F.col("user_id").alias("url"), F.col("value").alias("cpu_per"), (F.col("value") * 40).cast("int").alias("mem_mb"))
-    return monitors.run_to_table(monitors.resource_alerts(samples), name, folder)
+    stream = monitors.with_time(monitors.ended(_streamed(spark, sf_dir, "events"), ["user_id", "value"]))
+    samples = stream.select("ts", F.col("user_id").alias("url"), F.col("value").alias("cpu_per"), (F.col("value") * 40).cast("int").alias("mem_mb"))
+    return monitors.run_to_table(monitors.resource_alerts(samples)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
+@query("""
+WITH g AS (SELECT user_id, ts, coalesce(CAST(ts - lag(ts) OVER w >= INTERVAL 1 HOUR AS INT), 1) AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n_events FROM s GROUP BY user_id, session""")
 def session_stream(spark, sf_dir):
-    """ST7, ST9: the streaming form of session_visits; sessions that the watermark has passed."""
+    """ST7, ST9: the streaming form of session_visits; sessions that are open at the end are closed."""
     from pagewatch.streaming import monitors
 
-    name, folder = _stream_place(spark)
-    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    return monitors.run_to_table(monitors.visits(monitors.with_time(stream)), name, folder)
+    stream = monitors.with_time(monitors.ended(_streamed(spark, sf_dir, "events"), ["user_id"]))
+    found = monitors.run_to_table(monitors.visits(stream))
+    return found.select("user_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")), "n_events")
 
 
-@query()
+@query("""
+WITH o AS (SELECT CAST(user_id AS VARCHAR) AS url, CASE WHEN lag(event_type) OVER w IS NULL THEN 'new' WHEN lag(event_type) OVER w = event_type THEN 'same' ELSE 'changed' END AS status FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type))
+SELECT url, status, count(*) AS n FROM o GROUP BY ALL""")
 def hash_stream(spark, sf_dir):
     """ST2: observations that were new, same or changed, by url."""
     from pagewatch.streaming import monitors
 
-    name, folder = _stream_place(spark)
-    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    observed = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("url"), F.col("event_type").alias("hash"))
-    return monitors.run_to_table(monitors.hash_changes(observed), name, folder)
+    observed = monitors.with_time(_streamed(spark, sf_dir, "events")).select("ts", F.col("user_id").cast("string").alias("url"), F.col("event_type").alias("hash"))
+    return monitors.run_to_table(monitors.hash_changes(observed)).groupBy("url", "status").agg(F.sum("n").alias("n"))
+
+
+@query(SQL_SCAN)
+def scan_stream(spark, sf_dir):
+    """ST5: the scan's queue."""
+    from pagewatch.streaming import monitors
 
+    return monitors.run_to_table(monitors.scanned(_streamed(spark, sf_dir, "documents").fillna("", ["text"]), SIGNATURES, "doc_id", "text"))
 
-def _stream_place(spark) -> tuple[str, str]:
-    import tempfile
-    import uuid
 
-    name = f"stream_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pagewatch-")
-    return name, f"{root}/{name}"
+@query(f"WITH {SQL_WORDS} SELECT host, word, df FROM df")
+def df_stream(spark, sf_dir):
+    """ST6."""
+    from pagewatch.streaming import monitors
+
+    return monitors.document_frequencies(_streamed(spark, sf_dir, "documents"))

@@ -1,17 +1,32 @@
-"""Streaming forms of the stateful operators (ST1-ST9)."""
+"""Streaming forms of the stateful operators (ST1-ST9). Results go to tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagewatch.functions.scan import scan
+from pagewatch.operators import terms
 from pagewatch.operators.reports import overworked
+from pagewatch.sources.folders import new_folder
 
 STATUS = "url string, n long, status string"
+#: The time of the row that ends a stream: the watermark passes all windows that are open.
+END = "2200-01-01 00:00:00"
+
+
+def ended(stream: DataFrame, nulls: list[str], time: str = "ts") -> DataFrame:
+    """stream and a last row, at END and with nulls in the given columns, so that what is open when the input ends is closed."""
+    spark = stream.sparkSession
+    folder = new_folder(spark, "stream-end")
+    row = [F.lit(END).cast(f.dataType).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields if f.name == time or f.name in nulls]
+    spark.range(1).select(*row).write.parquet(folder)
+    last = spark.readStream.schema(stream.select(time, *nulls).schema).parquet(folder)
+    return stream.select(time, *nulls).unionByName(last)
 
 
 def with_time(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -37,30 +52,52 @@ def first_seen(urls: DataFrame) -> DataFrame:
     return urls.dropDuplicatesWithinWatermark(["url"])
 
 
-def word_totals(words: DataFrame) -> DataFrame:
-    """ST6: document frequencies, for update or complete mode."""
-    return words.groupBy("host", "word").agg(F.approx_count_distinct("page").alias("df"))
+def scanned(bodies: DataFrame, signatures: dict[str, str], key: str, body: str) -> DataFrame:
+    """ST5, X6: key, signature of bodies as they come."""
+    return bodies.select(key, scan(F.col(body), signatures).alias("signature"))
+
+
+def _compare(days: float) -> Callable:
+    most = int(days * 86_400_000)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, before = state.get if state.exists else (None, 0)
+        every, rows = pd.concat(list(frames)).sort_values(["ts", "hash"]), []
+        for value, at in zip(every["hash"], every["ts"].astype("datetime64[ms]").astype("int64"), strict=True):
+            rows.append("new" if last is None or at - before > most else "same" if value == last else "changed")
+            last, before = value, at
+        state.update((last, int(before)))
+        state.setTimeoutTimestamp(max(int(before), state.getCurrentWatermarkMs()) + most + 1)
+        found = pd.Series(rows, dtype="object").value_counts()
+        yield pd.DataFrame({"url": [key[0]] * len(found), "n": found.to_numpy("int64"), "status": found.index})
+
+    return run
+
+
+def hash_changes(observed: DataFrame, days: float = 400) -> DataFrame:
+    """ST2: per micro-batch and url how many observations were new, same, changed; observed: ts (watermarked), url, hash.
+
+    After so many days without an observation a url is new again, and its state goes.
+    """
+    return observed.groupBy("url").applyInPandasWithState(_compare(days), STATUS, "hash string, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _compare(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = []
-    for frame in frames:
-        for value in frame.sort_values("ts")["hash"]:
-            rows.append("new" if last is None else "same" if value == last else "changed")
-            last = value
-    if last is not None:
-        state.update((last,))
-    found = pd.Series(rows, dtype="object").value_counts()
-    yield pd.DataFrame({"url": [key[0]] * len(found), "n": found.to_numpy("int64"), "status": found.index})
+def run_to_table(stream: DataFrame, label: str = "stream", make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """ST4, ST8: all that is available now, as a table: each micro-batch (by make) is a part that a repeated attempt replaces."""
+    folder = new_folder(stream.sparkSession, label)
+    first = make(stream).schema if make else stream.schema
 
+    def write(batch: DataFrame, number: int) -> None:
+        (make(batch) if make else batch).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
 
-def hash_changes(observed: DataFrame) -> DataFrame:
-    """ST2: per micro-batch and url how many observations were new, same, changed; observed: ts, url, hash."""
-    return observed.groupBy("url").applyInPandasWithState(_compare, STATUS, "hash string", "append", GroupStateTimeout.NoTimeout)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(first).parquet(f"{folder}/out").drop("part")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """ST4, ST8: all that is available now, into a memory table."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """ST6: host, word, df of a stream of documents (doc_id, source, text), exact: a page that comes twice counts once."""
+    found = run_to_table(docs, "word-pages", lambda batch: terms.counts(terms.tokens(batch)).select("host", "page", "word"))
+    return found.distinct().groupBy("host", "word").agg(F.count("*").alias("df"))

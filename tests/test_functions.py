@@ -66,7 +66,7 @@ def test_normal_links(spark):
     ],
 )
 def test_script_features(spark, source, expected):
-    row = spark.createDataFrame([(source,)], "s string").select(*(c.alias(n) for n, c in scripts.features(F.col("s")).items())).first()
+    row = scripts.with_features(spark.createDataFrame([(source,)], "s string"), "s").first()
     assert {k: row[k] for k in expected} == expected
 
 
@@ -138,3 +138,35 @@ def test_robots():
     assert parse("User-agent: *\nDisallow: /", 404) == []
     got = parse("Disallow: /early\nUser-agent: a\nUser-agent: B\nDisallow:\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /x # y\nUser-agent: *\nDisallow: /z")
     assert got == [(0, "a", 0, "/", True, 2, None, None), (0, "b", 0, "/", True, 2, None, None), (1, "*", 0, "/x", False, None, None, None)]
+    assert parse("User-agent: a\n\nUser-agent: b\nDisallow: /x") == [(0, "b", 0, "/x", False, None, None, None)]  # an empty line drops agents without lines
+    assert parse("User-agent: a\n# said\nUser-agent: *\nDisallow: /x\nUser-agent: last") == [(0, "*", 0, "/x", False, None, None, None)]  # * takes its entry
+    assert parse("User-agent: a\nCrawl-delay: 4\nDisallow: /y\n\nDisallow: /z") == [(0, "a", 0, "/y", False, 4, None, None)]
+
+
+MARKUP = [
+    "<a href='q'>", "<a href=q>", '<a data-src="lazy.js" href = "x.js">', '<script data-src="lazy.js" src="true.js"></script>', '<!-- <a href="no"> --><a href="yes">', '<script>"<a href=no>"</script><a href=yes>',
+    "<script>a<!--b</script><a href='after'>", '<A\nHREF="u">', '<a title="x > y" href="z">', '<a title="href=\'no\'" href=yes>', "<abbr href=no><a href=yes/>", '<a href="a" href="b">', "<a href>", "<a href=''>", '<a hreflang="no" href="é&amp;1">',
+    '<iframe src="a" width=1 style="b:c"></iframe>', '<style>a{content:"<a href=no>"}</style><form action=/go method=post>', "<a class='x'href='tight'>", "a < b <a href=ok>", "<a href=one two=three>", "<a / href=slash>",
+]
+
+
+@pytest.mark.parametrize("page", MARKUP)
+def test_attributes_are_those_of_a_parser(spark, page):
+    import html as entities
+
+    rows = spark.createDataFrame([(1, page)], "page_id long, html string")
+    parsed = html.parsed_attributes(rows).collect()
+    for tag, name in (("a", "href"), ("script", "src"), ("iframe", "src"), ("iframe", "style"), ("form", "action")):
+        first = {}
+        for r in parsed:
+            if (r.tag, r.name) == (tag, name):
+                first.setdefault(r.element, r.value)
+        got = [entities.unescape(v) for v in one(spark, html.attributes(F.col("h"), tag, name), h=page)]
+        assert [v for v in got if v] == [v for v in first.values() if v], (tag, name)
+
+
+def test_long_markup(spark):
+    """Some MB of markup with a tag of thousands of attributes."""
+    wide = "<a " + " ".join(f'data-x{i}="v > {i}"' for i in range(5000)) + " href='deep'>"
+    page = "<p>text</p>" * 200_000 + wide + "<script>" + "x < y; " * 100_000 + "</script><a href=end>"
+    assert one(spark, html.attributes(F.col("h"), "a", "href"), h=page) == ["deep", "end"]

@@ -4,7 +4,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from pagewatch.functions import scan
+from pagewatch.functions import html, scan, scripts, urls
 from pagewatch.operators import frontier, history, reports, rules, terms
 from pagewatch.plans import catalogue
 from pagewatch.sources import files
@@ -63,10 +63,29 @@ def test_reports(spark):
 def test_settings_and_files(spark, tmp_path):
     lines = spark.createDataFrame([("MAX=2*3 # x",), ("MAX_process=-99",), ("odd=maybe",), ("on=True",), ("#a=1",)], "value string")
     assert {r.key: (r.number, r.problem) for r in files.settings(lines).collect()} == {"MAX": (6, False), "MAX_process": (1, False), "odd": (None, True), "on": (None, False)}
-    (tmp_path / "ok.json").write_text('{"h.x": ["/a", "/b"]}')
-    (tmp_path / "bad.json").write_text("{")
-    assert files.rule_file(spark, str(tmp_path / "ok.json"), "WHITE").count() == 2
-    assert files.rule_file(spark, str(tmp_path / "bad.json"), "WHITE").count() == 0
+    (tmp_path / "WHITE.json").write_text('{"h.x": ["/a", "/b"]}')
+    (tmp_path / "BLACK.json").write_text('["one", "two"]')
+    (tmp_path / "ONLY.json").write_text("{")
+    (tmp_path / "DOMAIN.json").write_text('{"allow": ["x.org"], "deny": ["y.org", "z.org"]}')
+    found = files.rule_files(spark, [str(tmp_path / f"{n}.json") for n in ("WHITE", "BLACK", "ONLY", "DOMAIN")])
+    assert sorted(r.kind for r in found.collect()) == ["ALLOW", "BLACK", "BLACK", "DENY", "DENY", "WHITE", "WHITE"]
+    assert rules.rule_set(found) == {"only": [], "special": [], "white": [("h.x", "/a"), ("h.x", "/b")], "deny": ["y.org", "z.org"], "black": ["one", "two"], "allow": ["x.org"], "ip": []}
+    (tmp_path / "START_LIST.txt").write_text("http://a.x/\n\n  http://b.x/  \n")
+    assert {tuple(r) for r in files.start_list(spark, str(tmp_path / "START_LIST.txt")).collect()} == {("http://a.x/", "START"), ("http://b.x/", "START")}
+    for name, text in (("m1.csv", "Name,Template,Reference\na,text/a,r\nb,,r\n"), ("m2.csv", "Name,Template,Reference\na,text/a,r\nc,image/c,r\n")):
+        (tmp_path / name).write_text(text)
+    assert {r.mime for r in files.mime_types(spark, [str(tmp_path / "m1.csv"), str(tmp_path / "m2.csv")]).collect()} == {"text/a", "image/c"}
+    csv = spark.createDataFrame([("a, b", 'say "x"')], "u string, v string")
+    files.write_csv(csv, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).collect() == csv.collect()
+    for kind in ("NORMAL", "ENCODE"):
+        (tmp_path / "js" / kind).mkdir(parents=True)
+        (tmp_path / "js" / kind / "a.js").write_text("var a = 1;\nx")
+    texts = files.source_texts(spark, str(tmp_path / "js"))
+    assert {(r.label, r.src_len, r.max_line) for r in scripts.with_features(texts, "text").collect()} == {("NORMAL", 12, 10), ("ENCODE", 12, 10)}
+    files.write_csv(scripts.with_features(texts, "text").drop("text"), str(tmp_path / "features"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "features")).count() == 2
+    assert files.newest_first(["/r/ROD_2", "/r/ROD_10", "/r/x", "/r/ROD_9"]) == ["/r/ROD_10", "/r/ROD_9", "/r/ROD_2", "/r/x"]
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "nth int, v string")
     for nth in (1, 2):
         files.write_nth(rows, str(tmp_path / "w"), "t", nth)
@@ -74,12 +93,13 @@ def test_settings_and_files(spark, tmp_path):
     assert files.latest_good(spark, [str(tmp_path / "none"), str(tmp_path / "w/t/nth=1")]).count() == 2
 
 
-def test_normalized_text_all(spark, tmp_path):
-    found = ["caf\u00e9 e\u0301", "\uff21  b", "a\n\n\nb", " plain ", "x\ty", None]
+def test_normalized_text(spark, tmp_path):
+    found = ["caf\u00e9 e\u0301", "\uff21  b", "a\n\n\nb", " plain ", "x\ty", "\u3000\n\u00a0x", "", None]
     spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = {i: [y for x in unicodedata.normalize("NFKC", t or "").split("\n") if (y := " ".join(x.split()))] for i, t in enumerate(found)}
     got = {r.doc_id: r.hash for r in catalogue.QUERIES["normalized_text_all"](spark, str(tmp_path)).collect()}
-    lines = {i: [" ".join(x.split()) for x in unicodedata.normalize("NFKC", t).split("\n")] for i, t in enumerate(found) if t is not None}
-    assert got == {i: hashlib.sha256("\n".join(x for x in own if x).encode()).hexdigest() for i, own in lines.items()}
+    assert got == {i: hashlib.sha256("\n".join(own).encode()).hexdigest() for i, own in made.items()}
+    assert {r.doc_id: r.n_lines for r in catalogue.QUERIES["normalized_text"](spark, str(tmp_path)).collect()} == {i: len(own) for i, own in made.items()}
 
 
 def test_body_scan_full(spark, tmp_path):
@@ -87,6 +107,64 @@ def test_body_scan_full(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.signature for r in catalogue.QUERIES["body_scan_full"](spark, str(tmp_path)).collect()}
-    assert got == {0: "hash-marks", 1: "shouting", 2: "shouting", 3: None}
+    assert got == {0: "hash-marks", 1: "shouting", 2: "shouting", 3: None, 4: None}
     gated = docs.where("text is not null").select("doc_id", scan.scan(F.col("text"), {"shouting": "!!"}, 4).alias("s"))
     assert {r.doc_id: r.s for r in gated.collect()} == {0: None, 1: None, 2: "shouting", 3: None}
+
+
+def test_hosts_entry(spark):
+    names = "host string, entry_no int, agent string, rule_no int, path_pattern string, allow boolean, delay int, rate_requests int, rate_seconds int"
+    own = [("h", 0, "*", 0, "/", False, 3, None, None), ("h", 1, "watch", 0, "/a", False, 7, 1, 2), ("h", 1, "watch", 1, "/a/b", True, 7, 1, 2), ("h", 2, "pagewatch", 0, "/", False, 9, None, None)]
+    table = spark.createDataFrame(own, names)
+    pages = spark.createDataFrame([(1, "http://h/a/b"), (1, "http://h/x"), (None, "http://h/a"), (2, "http://i/a"), (3, None)], "page_id long, url string")
+    got = sorted(((r.page_id, r.allowed) for r in rules.can_fetch(pages, table, "PageWatch/2").collect()), key=repr)
+    assert got == sorted([(1, False), (1, True), (None, False), (2, True), (3, True)], key=repr)
+    assert [tuple(r) for r in rules.crawl_waits(spark.createDataFrame([("h",), ("i",)], "host string"), table, "pagewatch").orderBy("host").collect()] == [("h", 7, 1, 2), ("i", None, None, None)]
+
+
+def test_merge_filters(spark):
+    old = spark.createDataFrame([("a", "/x"), ("b", "")], "host string, prefix string")
+    new = spark.createDataFrame([("a", ""), ("a", "/z"), ("b", "/y"), ("c", ""), ("c", "/q")], "host string, prefix string")
+    assert {r.host: r.prefixes for r in history.merge_filters(old, new).collect()} == {"a": "/x", "b": " /y", "c": " /q"}
+
+
+def test_links_of_feeds(spark):
+    feed = '<rss><link>http://a.x/1</link><item><link> <![CDATA[http://a.x/2]]> </link></item><link href="http://a.x/3" rel="self"/><link></link></rss>'
+    assert spark.createDataFrame([(feed,)], "x string").select(html.xml_links(F.col("x"))).first()[0] == ["http://a.x/1", "http://a.x/2", "http://a.x/3"]
+
+
+def test_fetched(spark):
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/slow":
+                time.sleep(3)
+            self.send_response({"/moved": 302, "/gone": 404}.get(self.path, 200))
+            if self.path == "/moved":
+                self.send_header("Location", "/page")
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(b"<p>hello</p>")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    try:
+        found = {r.url: r for r in files.fetched(spark.createDataFrame([(f"{root}/{p}",) for p in ("page", "moved", "gone")], "url string").coalesce(1)).collect()}
+        assert found[f"{root}/page"].content_type == "text/html; charset=utf-8" and bytes(found[f"{root}/page"].body) == b"<p>hello</p>"
+        assert found[f"{root}/moved"].final_url == f"{root}/page" and found[f"{root}/gone"].status == 404 and found[f"{root}/gone"].body is None
+        assert "timed out" in files.http_get(f"{root}/slow", 0.3)["error"]
+        assert files.http_get("no url")["error"]
+    finally:
+        server.shutdown()
+
+
+def test_normal_urls_keep_their_helper_columns_apart(spark):
+    rows = spark.createDataFrame([("a/../b", "http://h/x/y")], "link string, page string")
+    assert urls.with_normal(rows, "link", "page", "url").first().url == "http://h/x/b"

@@ -5,25 +5,34 @@ from pagewatch.plans import catalogue
 from pagewatch.streaming import monitors
 
 
-def test_streamed_alerts_are_those_of_the_batch(spark, sf):
-    streamed = catalogue.QUERIES["resource_stream"](spark, sf).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "url", "alert_type")
-    batch = catalogue.QUERIES["over_work"](spark, sf).select("start", "url", "alert_type")
-    late = batch.select(F.max("start")).first()[0]  # windows that the watermark hasn't passed are still open
-    extra = streamed.exceptAll(batch)
-    missing = batch.exceptAll(streamed)
-    assert extra.isEmpty()
-    assert missing.where(F.col("start").cast("timestamp") < F.lit(late).cast("timestamp") - F.expr("INTERVAL 40 MINUTES")).isEmpty()
-
-
-def test_hash_stream_counts_every_observation(spark, sf):
-    assert catalogue.QUERIES["hash_stream"](spark, sf).agg(F.sum("n")).first()[0] == catalogue.read(spark, sf, "events").count()
+def test_first_seen(spark, sf):
+    urls_ = monitors.with_time(catalogue._streamed(spark, sf, "events"), "365 days").select("ts", F.col("user_id").alias("url"))
+    found = monitors.run_to_table(monitors.first_seen(urls_))
+    assert found.count() == catalogue.read(spark, sf, "events").select("user_id").distinct().count()
 
 
-def test_first_seen(spark, sf, tmp_path):
-    events = spark.readStream.schema(catalogue.read(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
-    urls_ = monitors.with_time(events, "365 days").select("ts", F.col("user_id").alias("url"))
-    found = monitors.run_to_table(monitors.first_seen(urls_), "first_seen", str(tmp_path))
-    assert found.count() == catalogue.read(spark, sf, "events").select("user_id").distinct().count()
+def test_pages_that_come_twice_count_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "h", "aa bb"), (2, "h", "aa")], "doc_id long, source string, text string")
+    for part in (1, 2):
+        rows.where(f"doc_id <= {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/docs")
+    assert {(r.word, r.df) for r in monitors.document_frequencies(stream).collect()} == {("aa", 2), ("bb", 1)}
+
+
+def test_states_go_when_nothing_comes(spark, tmp_path):
+    import datetime
+    import os
+
+    schema = "ts timestamp, url string, hash string"
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    os.makedirs(f"{tmp_path}/in")
+    for i, rows in enumerate([[(day(0), "u", "a"), (day(0), "v", "a")], [(day(1), "v", "a")], [(day(50), "v", "b")], [(day(51), "v", "b")], [(day(51), "u", "a")]]):
+        path = f"{tmp_path}/in/{i}.parquet"
+        spark.createDataFrame(rows, schema).toPandas().astype({"ts": "datetime64[us]"}).to_parquet(path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = monitors.with_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    found = monitors.run_to_table(monitors.hash_changes(stream, days=10)).groupBy("url", "status").agg(F.sum("n").alias("n"))
+    assert {(r.url, r.status): r.n for r in found.collect()} == {("u", "new"): 2, ("v", "new"): 2, ("v", "same"): 2}
 
 
 def test_decode(spark):
