@@ -85,7 +85,7 @@ class Sparse:
         return np.bincount(self.columns, self.values * np.repeat(g, np.diff(self.at)), self.width)
 
 
-def fit_ordinal(x: Sparse, y: np.ndarray, times: np.ndarray, grades: int = GRADES, penalty: float = 1e-4, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: Sparse, y: np.ndarray, times: np.ndarray, grades: int = GRADES, penalty: float = 3e-5, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Weights and cuts of least mean log loss (Adam); times: how often each row stands.
 
     Cuts are a start and positive gaps, hence in order.
