@@ -16,19 +16,18 @@ def longest_line(text: Column) -> Column:
 
 
 def counts(text: Column) -> dict[str, Column]:
-    """what is counted in the text."""
-    size, visible = F.length(text), F.length(F.translate(text, " \t\r\n", ""))
+    """what must be counted in the text."""
     return {
-        "src_len": size, "visible_len": visible, "alphabets": count_of(text, "a-zA-Z"), "numbers": count_of(text, "0-9"), "symbols": F.length(F.regexp_replace(text, "[a-zA-Z0-9\t\r\n ]+", "")), "blank": size - visible,
-        "unique_chars": count_of(text, ",;&"), "unique_words": F.regexp_count(text, F.lit("http|div|:")), "max_line": longest_line(text),
+        "src_len": F.length(text), "visible_len": F.length(F.regexp_replace(text, "[ \t\r\n]+", "")), "alphabets": count_of(text, "a-zA-Z"), "numbers": count_of(text, "0-9"),
+        "unique_chars": F.regexp_count(text, F.lit("[,;&]")), "unique_words": F.regexp_count(text, F.lit("http|div|:")), "max_line": longest_line(text),
     }
 
 
 def with_features(rows: DataFrame, text: str) -> DataFrame:
-    """rows and eighteen features; of nothing, all is blank. The counts are made in one projection, what follows from them in another."""
-    found = counts(F.col(text))
-    rows = rows.withColumn("_counts", F.array(F.struct(*(c.alias(n) for n, c in found.items()))))
+    """rows and eighteen features; of nothing, all is blank. The counts are made in one projection, what follows from them in others."""
+    rows = rows.withColumn("_counts", F.array(F.struct(*(c.alias(n) for n, c in counts(F.col(text)).items()))))
     rows = rows.select("*", F.explode("_counts").alias("_c")).drop("_counts").select("*", "_c.*").drop("_c")  # an explode keeps the projections apart
+    rows = rows.withColumns({"symbols": F.col("visible_len") - F.col("alphabets") - F.col("numbers"), "blank": F.col("src_len") - F.col("visible_len")})
     out = {}
     for suffix, whole in (("per", "src_len"), ("pew", "visible_len")):
         for name in ("alphabets", "numbers", "symbols", "blank"):

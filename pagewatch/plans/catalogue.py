@@ -18,7 +18,7 @@ from pagewatch.functions.robots import robots_rules
 from pagewatch.functions.scan import scan, self_test
 from pagewatch.operators import frontier, history, reports, rules, terms
 from pagewatch.sources import files
-from pagewatch.sources.folders import new_folder
+from pagewatch.sources.folders import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -172,9 +172,9 @@ WITH rule(host_suffix, path_prefix) AS (VALUES ('example.org', '/fr'), ('example
 p AS (SELECT page_id, %s AS host, %s AS path FROM pages)
 SELECT page_id FROM p WHERE EXISTS (SELECT 1 FROM rule WHERE suffix(host, host_suffix) AND starts_with(path, path_prefix))""" % (SQL_HOST, SQL_PATH))
 def rule_semi_join(spark, sf_dir):
-    table = spark.createDataFrame([("example.org", "/fr"), ("example.org", "/de"), ("tionsh.example.net", "/"), ("m.example.com", "/en")], "host_suffix string, path_prefix string")
+    own = spark.createDataFrame([("example.org", "/fr"), ("example.org", "/de"), ("tionsh.example.net", "/"), ("m.example.com", "/en")], "host_suffix string, path_prefix string")
     rows = read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
-    return rows.join(rules.matches(rows, table), ["host", "path"], "left_semi").select("page_id")
+    return rows.join(rules.matches(rows, own), ["host", "path"], "left_semi").select("page_id")
 
 
 def _external_links(spark, sf_dir):
@@ -502,6 +502,11 @@ def _counted(spark, sf_dir):
     return terms.counts(terms.tokens(read(spark, sf_dir, "documents")))
 
 
+def _counted_once(spark, sf_dir):
+    """For queries that need the counts several times."""
+    return table(_counted(spark, sf_dir), "word-counts")
+
+
 @query(f"WITH {SQL_WORDS} SELECT host, page, word, round(tf, 6) AS tf FROM tf")
 def tf(spark, sf_dir):
     return terms.term_frequency(_counted(spark, sf_dir)).withColumn("tf", F.round("tf", 6))
@@ -522,7 +527,7 @@ def df_merge(spark, sf_dir):
 
 @query(f"WITH {SQL_WORDS} SELECT host, word, round(idf, 6) AS idf FROM idf")
 def idf(spark, sf_dir):
-    counted = _counted(spark, sf_dir)
+    counted = _counted_once(spark, sf_dir)
     return terms.inverse_frequency(terms.document_frequency(counted), terms.page_counts(counted)).withColumn("idf", F.round("idf", 6))
 
 
@@ -537,7 +542,7 @@ top10 AS (SELECT *, row_number() OVER (PARTITION BY host, page ORDER BY tfidf DE
 
 
 def _top10(spark, sf_dir):
-    counted = _counted(spark, sf_dir)
+    counted = _counted_once(spark, sf_dir)
     pages = terms.page_counts(counted)
     old = terms.inverse_frequency(terms.document_frequency(counted), pages).where(F.length("word") > 3)
     return terms.top_terms(terms.term_frequency(counted), old, pages)
@@ -562,7 +567,7 @@ def important_word_change(spark, sf_dir):
 WITH {SQL_WORDS}, f AS (SELECT host, word FROM (SELECT host, word, row_number() OVER (PARTITION BY host ORDER BY df DESC, word) AS r FROM df) WHERE r <= 50)
 SELECT page, count(f.word) AS known, count(*) - count(f.word) AS other, count(f.word) < 6 AND page % 2 = 0 AS alert FROM n LEFT JOIN f ON n.host = f.host AND n.word = f.word GROUP BY page""")
 def frequent_word_overlap(spark, sf_dir):
-    counted = _counted(spark, sf_dir)
+    counted = _counted_once(spark, sf_dir)
     frequent = terms.frequent_words(terms.document_frequency(counted), 50).select("host", "word", F.lit(1).alias("is_known"))
     out = counted.join(frequent, ["host", "word"], "left").groupBy("page").agg(F.count("is_known").alias("known"), (F.count("*") - F.count("is_known")).alias("other"))
     return out.withColumn("alert", (F.col("known") < 6) & (F.col("page") % 2 == 0))
@@ -611,7 +616,9 @@ def js_features(spark, sf_dir):
 
 @query(f"WITH {SQL_JS} SELECT doc_id, verdict FROM v")
 def js_obf_verdict(spark, sf_dir):
-    return _features(spark, sf_dir).select("doc_id", scripts.verdict(F.col("max_line"), F.col("unique_chars"), F.col("unique_words")).alias("verdict"))
+    found = scripts.counts(F.col("text"))
+    rows = _documents(spark, sf_dir).select("doc_id", *(found[c].alias(c) for c in ("max_line", "unique_chars", "unique_words")))
+    return rows.select("doc_id", scripts.verdict(F.col("max_line"), F.col("unique_chars"), F.col("unique_words")).alias("verdict"))
 
 
 @query(f"""
