@@ -162,6 +162,11 @@ def _wanted(shorts: DataFrame) -> np.ndarray:
 
 def verified(own: DataFrame, pairs: DataFrame) -> DataFrame:
     """hi, lo: the nodes of those pairs (a, b: shorts) whose sets are similar. Each set goes to the pairs of its text."""
+    with scratch(own.sparkSession):
+        return table(_verified(own, pairs), "near-links", keep=True)
+
+
+def _verified(own: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = table(pairs.where("a <> b").distinct(), "pairs")
     wanted = own.sparkSession.sparkContext.broadcast(_wanted(pairs.select(F.explode(F.array("a", "b")).alias("short"))))
 
@@ -187,7 +192,7 @@ def verified(own: DataFrame, pairs: DataFrame) -> DataFrame:
     bodies = table(own.mapInArrow(sets, "short long, node binary, body binary").groupBy("short", "node").agg(F.first("body").alias("body")), "shingle-sets")
     one, two = (bodies.select(F.col("short").alias(c), F.col("node").alias(f"node_{c}"), F.col("body").alias(f"body_{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b").select("node_a", "body_a", "node_b", "body_b")
-    return table(both.mapInArrow(compare, "hi binary, lo binary").distinct(), "near-links")
+    return both.mapInArrow(compare, "hi binary, lo binary").distinct()
 
 
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
@@ -201,11 +206,11 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
     return edges.unionByName(same)
 
 
-MET = ["h", "short", "n", "p"]
+MET = ["h", "short", "size"]
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, short, n, p; sorted) whose h has two or more texts, each once; only the last row is held from batch to batch."""
+    """Rows (h, short, size; sorted) whose h has two or more texts, each once; only the last row is held from batch to batch."""
     held, sent = np.zeros((0, len(MET)), np.int64), False
     for batch in batches:
         x = np.concatenate([held, np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in MET], axis=1)])
@@ -222,13 +227,26 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prefix_rows(rows: DataFrame) -> DataFrame:
     """h, short, n, p: texts by the shingles of their prefixes and the places of these, where a shingle has two texts or more."""
-    each = rows.select(F.posexplode("prefix").alias("p", "h"), _short_of("node").alias("short"), "n").select(*MET[:-1], F.col("p").cast("long").alias("p"))
-    return each.repartition("h").sortWithinPartitions("h", "short").mapInArrow(_repeated, "h long, short long, n long, p long")
+    size = F.shiftleft("n", 32) + F.col("p")  # one number, as these rows are many
+    each = rows.select(F.posexplode("prefix").alias("p", "h"), _short_of("node").alias("short"), "n").select("h", "short", size.alias("size"))
+    met = each.repartition("h").sortWithinPartitions("h", "short").mapInArrow(_repeated, "h long, short long, size long")
+    return met.select("h", "short", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias("p"))
+
+
+def _enough(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose prefixes share enough for the sets to be similar; held: short, n, hs (the text's rows of prefix_rows()).
+
+    What two sets share after the prefix that ends first is less than SIMILARITY of the larger one.
+    """
+    one, two = (held.select(F.col("short").alias(c), F.col("n").alias(f"n_{c}"), F.col("hs").alias(f"hs_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("hs_a", "hs_b")) + F.ceil(SIMILARITY * F.greatest("n_a", "n_b") - 1e-6) - 1
+    found = pairs.distinct().join(one, "a").join(two, "b")
+    return found.where(both >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
 
 
 def _with_components(met: DataFrame, root: DataFrame) -> DataFrame:
     joined = root.select(_short_of("node").alias("short"), _short_of("root").alias("comp"))
-    return met.select(*MET).join(joined, "short", "left").withColumn("comp", F.coalesce("comp", "short"))
+    return met.select("h", "short", "n", "p").join(joined, "short", "left").withColumn("comp", F.coalesce("comp", "short"))
 
 
 def _open(met: DataFrame, root: DataFrame) -> DataFrame:
@@ -291,18 +309,20 @@ def _near_copies(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), *(p.alias(f"fp{i}") for i, p in enumerate(prints)))
     nodes = table(nodes.select("node", "first", "n", F.array(*(f"fp{i}" for i in range(FINGERPRINTS))).alias("fps")), "sketch-nodes")
     root = table(components(verified(own, simhash_pairs(nodes))), "near-components")
-    rest = _open(table(prefix_rows(rows), "prefix-rows"), root)
+    met = table(prefix_rows(rows), "prefix-rows")
+    held = table(met.groupBy("short").agg(F.max("n").alias("n"), F.collect_list("h").alias("hs")), "prefix-texts")
+    rest = _open(met, root)
     cold, hot, before, turn = [rest.where("NOT hot")], rest.where("hot"), None, 0
     while True:
         pairs = hot.select("h", "pairs").distinct().agg(F.sum("pairs")).first()[0]
         if not pairs or before is not None and pairs > 0.9 * before:
             break
         before, turn = pairs, turn + 1
-        root = _joined(root, verified(own, _group_pairs(hot, turn)))
+        root = _joined(root, verified(own, _enough(_group_pairs(hot, turn), held)))
         rest = _open(hot, root)
         cold, hot = [*cold, rest.where("NOT hot")], rest.where("hot")
     rest = table(_with_components(reduce(DataFrame.unionByName, [hot, *cold]), root), "prefix-rest")
-    root = _joined(root, verified(own, _pairs(rest, "h")))
+    root = _joined(root, verified(own, _enough(_pairs(rest, "h"), held)))
     root = table(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()), "near-copies")
     kept = root.join(nodes.select("node", "first"), "node")
     least = kept.groupBy("root").agg(F.min("first").alias("keep_id"))

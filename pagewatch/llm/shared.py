@@ -69,10 +69,17 @@ def new_folder(spark: SparkSession, label: str, keep: bool = False) -> str:
 
 
 def written(df: DataFrame, label: str, keep: bool = False) -> tuple[DataFrame, str]:
-    """df, written to the shared folder and read again, and where it is: lineage is cut and the rows survive executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, label, keep)
-    df.write.option("compression", "zstd").parquet(path)
+    """df, written to the shared folder and read again, and where it is: lineage is cut and the rows survive executors.
+
+    While it is written, Arrow batches have TEXTS_AT_ONCE rows at most; then the session's setting holds again.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = new_folder(spark, label, keep), spark.conf.get(name)
+    spark.conf.set(name, str(TEXTS_AT_ONCE))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
