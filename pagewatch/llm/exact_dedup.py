@@ -154,7 +154,7 @@ def look_up(index: DataFrame, incoming: DataFrame, shards: int) -> DataFrame:
 
 
 def exact_duplicates(history: DataFrame, incoming: DataFrame) -> DataFrame:
-    """GROUPS for the texts of two tables of documents: the registered history and what comes in."""
+    """GROUPS for the texts of two tables of documents: the registered history and what comes in. Either may be empty; nulls as in dedup()."""
     return _groups(table(digests(history), "history-digests"), table(digests(incoming), "incoming-digests"))
 
 
@@ -171,7 +171,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     The lower half of the range of doc_ids is the history that the index is built over; the rest comes
     in. A null text counts as empty. A null doc_id belongs to the rows that come in and stays only if its whole
     group has none (keep_id is null then). Repeated rows each count in group_size and come back each. An
-    empty table gives an empty result. Other columns of docs are ignored.
+    empty table gives an empty result. Texts of any length are hashed whole. Other columns of docs are ignored.
     """
     rows = table(digests(docs), "digests")
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()

@@ -187,7 +187,8 @@ def packed(docs: DataFrame, vocabulary: str, end: int = 0, limit: int = LIMIT, t
 
     A document is the library's ids of its whole text, then `end`; a null text counts as empty, so that
     every row of docs has a piece. Repeated rows are packed each; a null doc_id stays null. Groups are by
-    a hash of doc_id and row, so that no key makes a group large. An empty table gives an empty result.
+    a hash of doc_id and row, so that no key makes a group large. A text of any length is packed whole, by one task.
+    An empty table gives an empty result; other columns are ignored.
     """
     rows = texts(docs).withColumn("group", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(group_count(docs))))
     return rows.groupBy("group").applyInArrow(_pack_group(vocabulary, end, limit, top_up), PIECES)

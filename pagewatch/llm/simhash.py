@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> Da
 
     Null texts count as empty; texts without words have fingerprint 0 and link like any other. Repeated
     rows come back as often as they are given; a null doc_id stays null and never names a component
-    unless it is alone in it. An empty table gives an empty result. Other columns of docs are ignored.
+    unless it is alone in it. Texts of any length are taken whole, a stretch of shingles at a time. An empty table
+    gives an empty result. Other columns of docs are ignored.
     """
     rows = table(fingerprints(docs, words, seed), "fingerprints")
     own = table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")

@@ -133,7 +133,8 @@ def token_counts(docs: DataFrame, vocabulary: str, words: bool = True) -> DataFr
 
     vocabulary: a file of the tokenizers library, at the same path on every machine. words: whether its
     pre-tokens are lower-cased words (see PreTokenizer). A null text counts as empty: no bytes, no tokens.
-    Null doc_ids and repeated rows come back one for one; an empty table gives an empty result.
+    Null doc_ids and repeated rows come back one for one; an empty table gives an empty result. Texts of any length
+    are counted whole; a block closes after the text that fills it. Other columns are ignored.
     """
     shards = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * scan_parts(docs))
     made = table(blocks(docs, vocabulary, words, shards), "token-blocks")

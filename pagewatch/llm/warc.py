@@ -256,7 +256,8 @@ def archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
 
     A null html is an empty payload; a null url has an empty key and no target header; a null page_id has
     no page header and comes back null. Repeated rows are records each, responses if their page_id is the
-    smallest of their payload. An empty table gives an empty result. Extra columns are ignored.
+    smallest of their payload. A payload of any length is one record. An empty table gives an empty result. Extra columns
+    are ignored.
     """
     folder = new_folder(pages.sparkSession, "warc")
     return read_back(pages, folder, write_index(write_archives(pages, folder, min_revisit), folder))

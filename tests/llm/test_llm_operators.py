@@ -59,6 +59,21 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.dedup(empty).count() == 0
 
 
+def test_exact_duplicates_of_two_tables(spark):
+    """History and what comes in: members, strangers, texts that only come in, repeats, nulls, and empty sides."""
+    history = spark.createDataFrame([(5, "a"), (9, "b"), (2, "b"), (None, None)], "doc_id long, text string")
+    incoming = spark.createDataFrame([(7, "a"), (1, "c"), (3, "c"), (None, "d"), (4, "")], "doc_id long, text string")
+
+    def groups(old, new):
+        return {bytes(r.digest): (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(old, new).collect()}
+
+    of = lambda t: hashlib.sha256(t.encode()).digest()
+    assert groups(history, incoming) == {of("a"): (7, 2), of("b"): (9, 2), of("c"): (3, 2), of("d"): (None, 1), of(""): (4, 2)}
+    assert groups(history.where("false"), incoming) == {of("a"): (7, 1), of("c"): (3, 2), of("d"): (None, 1), of(""): (4, 1)}
+    assert groups(history, incoming.where("false")) == {of("a"): (5, 1), of("b"): (9, 2), of(""): (None, 1)}
+    assert groups(history.where("false"), incoming.where("false")) == {}
+
+
 @given(st.sets(st.binary(min_size=32, max_size=32), min_size=1, max_size=300))
 @settings(max_examples=20, deadline=None)
 def test_perfect_hash(found):
@@ -596,3 +611,80 @@ def test_decontaminate_long_text(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r.spans) for r in decontaminate.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
     size = len(" ".join(words)) + 1
     assert got == {1: (400_012, 12, [(size, size + len(item))]), 2: (400_000, 0, [])}
+
+
+# what holds for all
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    base = [rng.choice(words) for _ in range(350_000)]
+    tail = [rng.choice(words) for _ in range(20_000)]
+    return [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(base + tail)), (4, "x" * 3_000_000), (5, " ".join(tail[:50]))]
+
+
+def test_texts_of_some_mb(spark, long_rows):
+    """Whole texts count: what stands at the end of 2 MB is seen, by the library's counts, digests, fingerprints and spans."""
+    docs = spark.createDataFrame(long_rows, "doc_id long, text string")
+    assert {r.doc_id: r.keep_id for r in exact_dedup.dedup(docs).collect()} == {1: 2, 2: 2, 3: 3, 4: 4, 5: 5}
+    name = queries.vocabulary("word_bpe_49k.json")
+    library = pretokens.load(name)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, name).collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in long_rows}
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(docs).collect()} == {i: spec_fingerprint(t) for i, t in long_rows}
+    assert {r.doc_id: r.keep_id for r in near_copies.near_copies(docs).collect()} == {1: 1, 2: 1, 3: 1}
+    name = queries.vocabulary("byte_bpe_50k.json")
+    pieces = packing.packed(docs.where("doc_id in (1, 5)"), name).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert {r.doc_id: (r.n, r.m) for r in pieces} == {i: (n, n) for i, t in long_rows if i in (1, 5) for n in [len(pretokens.load(name).encode(t, add_special_tokens=False).ids) + 1]}
+    gone = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.repeated_passages(docs.where("doc_id <> 3")).collect()}
+    size = len(long_rows[0][1])
+    assert gone == {1: (size, 0), 2: (size, size), 4: (3_000_000, 2_999_999), 5: (len(long_rows[4][1]), 0)}
+
+
+def test_settings_and_folders_are_left_as_they_were(spark, tmp_path):
+    import os
+
+    from pagewatch.llm import shared
+
+    name, folder = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    spark.conf.set(name, "1234")
+    before = set(os.listdir(folder))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60)) + f" {i}") for i in range(20)], "doc_id long, text string")
+    found = near_copies.near_copies(docs)
+    assert spark.conf.get(name) == "1234" and len(set(os.listdir(folder)) - before) == 1 and found.count() > 0
+    with shared.scratch(spark):
+        shared.table(docs, "inner")
+        kept = shared.table(docs, "outer", keep=True)
+    assert kept.count() == 20 and len([x for x in set(os.listdir(folder)) - before if "inner" in x]) == 0
+    spark.conf.set(name, "10000")
+
+
+def test_models_do_not_depend_on_the_order_of_rows(spark):
+    """Repeated doc_ids, equal texts with both labels, and rows in another order and number of partitions."""
+    own, labels = labelled(spark, 200)
+    rows = own.collect()
+    rows += [(i, rows[0].text) for i in (500, 501)] + [(r.doc_id, r.text + " again") for r in rows[:20]]
+    labels = labels.unionByName(spark.createDataFrame([(500, 1, 1), (501, 0, 0), (501, 1, 0)], labels.schema))
+    scores = []
+    for seed, parts in ((1, 2), (2, 5)):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        toxic = {(r.doc_id, r.severity) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+        scores.append((toxic, {(r.doc_id, round(r.score, 9)) for r in quality.quality(docs, labels).collect()}))
+    assert scores[0] == scores[1]
+
+
+def test_repeated_passages_are_the_same_each_time(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), rng.choice(["ab" * 100, "cd" * 120, "ab" * 90 + "x" * 150])) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    one, two = (sorted(map(tuple, suffix_dedup.repeated_passages(docs).collect())) for _ in range(2))
+    assert one == two
+
+
+def test_revisits_name_their_response():
+    data = warc.record("revisit", "http://a.org/x", 9, "D", 5, b"", 3, "http://b.org/y")
+    response = warc.record("response", "http://b.org/y", 3, "D", 5, b"hello")
+    own = [line for line in response.decode().split("\r\n") if line.startswith("WARC-Record-ID: ")][0].removeprefix("WARC-Record-ID: ")
+    assert f"WARC-Refers-To: {own}".encode() in data and b"WARC-Refers-To-Target-URI: http://b.org/y" in data
