@@ -24,7 +24,7 @@ def counts(text: Column) -> dict[str, Column]:
 
 
 def with_features(rows: DataFrame, text: str) -> DataFrame:
-    """rows and eighteen features; of nothing, all is blank. The counts are made in one projection, what follows from them in others."""
+    """rows, two lengths and eighteen features; of nothing, all is blank. The counts are made in one projection, what follows from them in others."""
     rows = rows.withColumn("_counts", F.array(F.struct(*(c.alias(n) for n, c in counts(F.col(text)).items()))))
     rows = rows.select("*", F.explode("_counts").alias("_c")).drop("_counts").select("*", "_c.*").drop("_c")  # an explode keeps the projections apart
     rows = rows.withColumns({"symbols": F.col("visible_len") - F.col("alphabets") - F.col("numbers"), "blank": F.col("src_len") - F.col("visible_len")})
@@ -33,6 +33,8 @@ def with_features(rows: DataFrame, text: str) -> DataFrame:
         for name in ("alphabets", "numbers", "symbols", "blank"):
             nothing = F.lit(1.0 if name == "blank" else 0.0)
             out[f"{name}_{suffix}"] = F.round(F.coalesce(F.try_divide(F.col(name).cast("double"), F.col(whole).cast("double")), nothing), 6)
+    for name in ("unique_chars", "unique_words"):
+        out[f"{name}_per"] = F.round(F.coalesce(F.try_divide(F.col(name).cast("double"), F.col("src_len").cast("double")), F.lit(0.0)), 6)
     return rows.withColumns(out | {"chars_over_words": F.col("unique_chars") > F.col("unique_words")})
 
 

@@ -78,7 +78,12 @@ def trimmed(old: str, new: str) -> tuple[str, str]:
 
 def line_changes(old: list[str], new: list[str], trim: bool = False) -> list[tuple[str, list[str], list[str]]]:
     """(modified | delete | add, old lines, new lines); lines beyond those paired are deleted or added."""
-    out = []
+    out, first, last = [], 0, 0
+    while first < min(len(old), len(new)) and old[first] == new[first]:
+        first += 1
+    while last < min(len(old), len(new)) - first and old[-1 - last] == new[-1 - last]:
+        last += 1
+    old, new = old[first : len(old) - last], new[first : len(new) - last]  # what is compared in the square of its size
     for kind, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
         if kind == "equal":
             continue

@@ -79,6 +79,22 @@ def without_tests(found: DataFrame) -> DataFrame:
     return found.where(~F.startswith("alert_type", F.lit("TEST_")))
 
 
+#: Kinds of alert that a switch of the settings turns off.
+SWITCHES = {
+    "words": ["hack_word_Lv2", "hack_word_Lv3", "change_important_word", "new_page_without_frequent_word"], "scan": ["warning_clamd"],
+    "browser": ["request_to_new_server", "url_history", "download_url", "new_window_url", "alert_text", "about_blank_url", "over_work"],
+}
+
+
+def switched(found: DataFrame, settings: DataFrame) -> DataFrame:
+    """Alerts but those that the settings (key, value) switch off; a switch that they don't name is on."""
+    pairs = [(key, kind) for key, kinds in SWITCHES.items() for kind in kinds]
+    known = found.sparkSession.createDataFrame(pairs, "key string, kind string")
+    off = known.join(settings.where("lower(value) = 'false'").select("key"), "key").select("kind")
+    kind = F.regexp_replace("alert_type", "^TEST_", "")
+    return found.withColumn("kind", kind).join(F.broadcast(off), "kind", "left_anti").drop("kind")  # at most as many rows as SWITCHES has
+
+
 def strange_sets(rows: DataFrame, is_strange: Column) -> DataFrame:
     """url, content: of each page (url) with a strange value, these; rows: url, value."""
     found = rows.where(is_strange).groupBy("url").agg(F.collect_set("value").alias("values"))

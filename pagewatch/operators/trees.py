@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Columns that name a row or its kind, and so are no features.
-NAMES = ("doc_id", "path", "kind", "label", "said")
+#: Columns that name a row or its kind, or that the eighteen features leave out.
+NAMES = ("doc_id", "path", "kind", "label", "said", "src_len", "visible_len")
 
 
 def _features(rows: DataFrame) -> list[str]:

@@ -609,7 +609,7 @@ def _share(part: str, whole: str) -> str:
 
 @query(f"""
 WITH {SQL_JS} SELECT doc_id, CAST(COLUMNS(['src_len', 'visible_len', 'alphabets', 'numbers', 'symbols', 'blank', 'unique_chars', 'unique_words', 'max_line']) AS INT),
-    {", ".join(f"{_share(n, 'src_len')} AS {n}_per" for n in ("alphabets", "numbers", "symbols", "blank"))}, {", ".join(f"{_share(n, 'visible_len')} AS {n}_pew" for n in ("alphabets", "numbers", "symbols", "blank"))}, unique_chars > unique_words AS chars_over_words FROM v""")
+    {", ".join(f"{_share(n, 'src_len')} AS {n}_per" for n in ("alphabets", "numbers", "symbols", "blank", "unique_chars", "unique_words"))}, {", ".join(f"{_share(n, 'visible_len')} AS {n}_pew" for n in ("alphabets", "numbers", "symbols", "blank"))}, unique_chars > unique_words AS chars_over_words FROM v""")
 def js_features(spark, sf_dir):
     return _features(spark, sf_dir)
 
@@ -862,7 +862,7 @@ def alert_union(spark, sf_dir):
     pages, none = read(spark, sf_dir, "pages"), F.lit("")
     strange = rules.strange(rules.verdict(F.col("value"), RULES))
     recorded = _recorded(spark, sf_dir)
-    record = files.browser_record(recorded, F.col("html")).join(recorded.select("page_id", "url"), "page_id")
+    record = table(files.browser_record(recorded, F.col("html")).join(recorded.select("page_id", "url"), "page_id"), "browser-record")
     visited = files.browser_events(record).join(recorded.select("page_id", "url"), "page_id").select("url", F.explode("history").alias("value"))
     downloads = files.downloads(record, DOWNLOADED).select("page_id", F.concat_ws(", ", "no", "FileName", "FileSize", "URL").alias("content")).join(recorded.select("page_id", "url"), "page_id")
     forms = form_action(spark, sf_dir).join(pages.select("page_id", F.col("url").alias("page")), "page_id").select(F.col("page").alias("url"), F.col("url").alias("value"))
@@ -890,6 +890,13 @@ def alerts_without_tests(spark, sf_dir):
     return reports.without_tests(alert_union(spark, sf_dir))
 
 
+@query(f"SELECT * FROM ({SQL_ALERTS}) WHERE NOT regexp_matches(alert_type, '^(TEST_)?(warning_clamd|request_to_new_server|url_history|download_url|new_window_url|alert_text|about_blank_url|over_work)$')")
+def alerts_by_settings(spark, sf_dir):
+    """Without a browser and a scanner."""
+    lines = spark.createDataFrame([("words=True",), ("scan=False",), ("browser=false  # none here",)], "value string")
+    return reports.switched(alert_union(spark, sf_dir), files.settings(lines))
+
+
 @query("""
 WITH g AS (SELECT user_id, ts, coalesce(CAST(ts - lag(ts) OVER w >= INTERVAL 1 HOUR AS INT), 1) AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)

@@ -126,6 +126,40 @@ def test_fuzzy_near_and_far():
     assert text.fuzzy_score_of(text.fuzzy_hash_of(data), text.fuzzy_hash_of(other)) == 0
 
 
+def test_fuzzy_vectors():
+    """Published examples of the hash."""
+    one, two = (b"Also called fuzzy hashes, %s can match inputs that have homologies." % w for w in (b"Ctph", b"CTPH"))
+    assert text.fuzzy_hash_of(one) == "3:AXGBicFlgVNhBGcL6wCrFQEv:AXGHsNhxLsr2C"
+    assert text.fuzzy_hash_of(two) == "3:AXGBicFlIHBGcL6wCrFQEv:AXGH6xLsr2C"
+    assert text.fuzzy_score_of(text.fuzzy_hash_of(one), text.fuzzy_hash_of(two)) == 22
+
+
+def scalar_signature(data, size):
+    """The hash byte by byte, as it is defined."""
+    window, h1, h2, h3, n = [0] * 7, 0, 0, 0, 0
+    out, fnv = [[], []], [0x28021967] * 2
+    for byte in data:
+        h2 += 7 * byte - h1
+        h1 += byte - window[n % 7]
+        window[n % 7], n = byte, n + 1
+        h3 = (h3 << 5 ^ byte) & 0xFFFFFFFF
+        fnv = [(f * 0x01000193 & 0xFFFFFFFF) ^ byte for f in fnv]
+        for i, most in enumerate((63, 31)):
+            own = size << i
+            if (h1 + h2 + h3 & 0xFFFFFFFF) % own == own - 1 and len(out[i]) < most:
+                out[i].append(fnv[i] & 63)
+                fnv[i] = 0x28021967
+    return ["".join(text._BASE64[x] for x in [*o, f & 63]) for o, f in zip(out, fnv, strict=True)]
+
+
+@given(st.lists(st.binary(max_size=900), max_size=6))
+@settings(max_examples=40, deadline=None)
+def test_fuzzy_hashes_byte_by_byte(found):
+    for data, got in zip(found, text.fuzzy_hashes(found), strict=True):
+        size, one, two = got.split(":")
+        assert [one, two] == scalar_signature(data, int(size))
+
+
 def test_text(spark):
     assert one(spark, text.normalize_text(F.col("t")), t="Ａ  b \n\n ｃ\t d ") == "A b\nc d"
     for said, level in (("Hacked by x", 3), ("ha cked", 2), ("HACK", 1), ("", 0)):
