@@ -52,3 +52,9 @@ def verdict(line: Column, chars: Column, words: Column) -> Column:
         .when(chars > words, "ENCODE7")
         .otherwise("RANDOM4")
     )
+
+
+def spread(rows: DataFrame, kind: str, feature: str) -> DataFrame:
+    """Of each kind the number of rows, and a feature's least, greatest, mean and standard deviation."""
+    x = F.col(feature)
+    return rows.groupBy(kind).agg(F.count("*").alias("n"), *(F.round(f(x), 6).alias(n) for n, f in (("low", F.min), ("high", F.max), ("mean", F.avg), ("spread", F.stddev_pop))))

@@ -60,6 +60,12 @@ def verdict(url: Column, rules: dict, address: Column | None = None, host: Colum
     return out.otherwise("EXTERNAL")
 
 
+def with_address(rows: DataFrame, dns: DataFrame, url: str = "url") -> DataFrame:
+    """Rows and address, what the url's host resolves to by dns (host, address: one row a host); null where it doesn't."""
+    own = dns.select(F.col("host").alias("_host"), "address")
+    return rows.withColumn("_of", urls.host(F.col(url))).join(own, F.col("_of") == F.col("_host"), "left").drop("_of", "_host")
+
+
 def rule_set(rows: DataFrame) -> dict:
     """The rules that verdict() takes, of RULE rows: an organisation's hand-written files, so a few thousand at most."""
     out = {k: [] for k in ("only", "special", "white", "deny", "black", "allow", "ip")}

@@ -54,6 +54,18 @@ def frequent_words(df: DataFrame, most: int = 100) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def word_overlap(counted: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Page, known, other: how many of a page's words are among its host's frequent ones (host, word), and how many aren't."""
+    known = frequent.select("host", "word", F.lit(1).alias("is_known"))
+    out = counted.join(known, ["host", "word"], "left").groupBy("page").agg(F.count("is_known").alias("known"), F.count("*").alias("every"))
+    return out.select("page", "known", (F.col("every") - F.col("known")).alias("other"))
+
+
+def lacks_frequent(known: Column, is_new: Column, least: int = 6) -> Column:
+    """A new page that has fewer than `least` of its host's frequent words."""
+    return (known < least) & is_new
+
+
 def top_terms(tf: DataFrame, idf: DataFrame, pages: DataFrame, most: int = 10) -> DataFrame:
     """Host, page, word, tfidf, rank; a word without idf has its host's default, ln(n_pages) + 1."""
     scored = tf.join(idf, ["host", "word"], "left").join(pages, "host")

@@ -155,11 +155,14 @@ def url_verdict(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN NULL ELSE '10.' || (page_id % 4) || '.0.9' END AS ip FROM pages)
+WITH p AS (SELECT page_id, url, CASE WHEN len({SQL_HOST}) % 3 = 0 THEN NULL ELSE '10.' || (len({SQL_HOST}) % 4) || '.0.9' END AS ip FROM pages)
 SELECT page_id, {_sql_verdict("url")} WHEN ip IS NULL THEN 'UNKNOWN' WHEN starts_with(ip, '10.1.') OR starts_with(ip, '10.2.') THEN 'BLACK' ELSE 'EXTERNAL' END AS verdict FROM p""")
 def address_verdict(spark, sf_dir):
-    ip = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("10."), F.col("page_id") % 4, F.lit(".0.9")))
-    return read(spark, sf_dir, "pages").select("page_id", rules.verdict(F.col("url"), RULES, ip).alias("verdict"))
+    """P2 with a table of what hosts resolve to, which lacks some."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    dns = pages.select(urls.host(F.col("url")).alias("host")).distinct().where(F.length("host") % 3 != 0)
+    dns = dns.withColumn("address", F.concat(F.lit("10."), F.length("host") % 4, F.lit(".0.9")))
+    return rules.with_address(pages, dns).select("page_id", rules.verdict(F.col("url"), RULES, F.col("address")).alias("verdict"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(url, '^(?:(?:https?://www)|(?:http://m[.]))') THEN 'ALLOW' ELSE 'BLACK' END AS verdict FROM pages")
@@ -568,9 +571,8 @@ WITH {SQL_WORDS}, f AS (SELECT host, word FROM (SELECT host, word, row_number()
 SELECT page, count(f.word) AS known, count(*) - count(f.word) AS other, count(f.word) < 6 AND page % 2 = 0 AS alert FROM n LEFT JOIN f ON n.host = f.host AND n.word = f.word GROUP BY page""")
 def frequent_word_overlap(spark, sf_dir):
     counted = _counted_once(spark, sf_dir)
-    frequent = terms.frequent_words(terms.document_frequency(counted), 50).select("host", "word", F.lit(1).alias("is_known"))
-    out = counted.join(frequent, ["host", "word"], "left").groupBy("page").agg(F.count("is_known").alias("known"), (F.count("*") - F.count("is_known")).alias("other"))
-    return out.withColumn("alert", (F.col("known") < 6) & (F.col("page") % 2 == 0))
+    out = terms.word_overlap(counted, terms.frequent_words(terms.document_frequency(counted), 50))
+    return out.withColumn("alert", terms.lacks_frequent(F.col("known"), F.col("page") % 2 == 0))
 
 
 HACKS = ["", " Hacked by someone", " HACKED", " life hack", " hac ked  by x"]
@@ -626,9 +628,7 @@ WITH {SQL_JS}, s AS (SELECT verdict, {_share("symbols", "src_len")} AS p FROM v)
 SELECT verdict, count(*) AS n, round(min(p), 6) AS low, round(max(p), 6) AS high, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS spread FROM s GROUP BY verdict""")
 def js_corpus_stats(spark, sf_dir):
     kind = scripts.verdict(F.col("max_line"), F.col("unique_chars"), F.col("unique_words"))
-    out = _features(spark, sf_dir).groupBy(kind.alias("verdict"))
-    p = F.col("symbols_per")
-    return out.agg(F.count("*").alias("n"), F.round(F.min(p), 6).alias("low"), F.round(F.max(p), 6).alias("high"), F.round(F.avg(p), 6).alias("mean"), F.round(F.stddev_pop(p), 6).alias("spread"))
+    return scripts.spread(_features(spark, sf_dir).withColumn("verdict", kind), "verdict", "symbols_per")
 
 
 @query()
