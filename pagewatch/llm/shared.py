@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,26 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewatch.sources.folders import shared_folder
+
 #: Texts that a Python worker takes from an Arrow batch at once. Spark bounds the batch's bytes (64 MB by default).
 TEXTS_AT_ONCE = 500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where it is unset, and only in a single JVM, a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="pagewatch-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 _scratch: list[list[str]] = []
 
 
@@ -58,7 +43,7 @@ def new_folder(spark: SparkSession, label: str, keep: bool = False) -> str:
 
     keep: it outlives the innermost scratch.
     """
-    path = f"{shared_dir(spark)}/pagewatch-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/pagewatch-{label}-{uuid.uuid4().hex}"
     holders = _scratch[: len(_scratch) - keep]
     if holders:
         holders[-1].append(path)
