@@ -879,7 +879,7 @@ def alert_union(spark, sf_dir):
         changed_js=changed.select("url", F.col("page_id").alias("content")), download_url=downloads.select("url", "content"),
         about_blank_url=seen.where("final_url = 'about:blank'").select("url", F.col("final_url").alias("content")), new_window_url=seen.where("popup is not null").select("url", F.col("popup").alias("content")),
         alert_text=seen.where("said <> ''").select("url", F.col("said").alias("content")), after_redirect_check=redirected.select("url", F.lit("https://login.example.edu/start").alias("content")),
-        warning_clamd=body_scan_full(spark, sf_dir).where("signature is not null").select(F.col("doc_id").alias("url"), F.col("signature").alias("content")),
+        warning_clamd=body_scan(spark, sf_dir).where("signature is not null").select(F.col("doc_id").alias("url"), F.col("signature").alias("content")),
         over_work=over_work(spark, sf_dir).select("url", F.col("alert_type").alias("content")),
     )
 
@@ -936,17 +936,11 @@ def resource_normalised(spark, sf_dir):
 SIGNATURES = {"hash-marks": "###", "shouting": "!!"}
 
 
-@query(f"SELECT doc_id, CASE WHEN strlen(text) >= 20000 THEN NULL WHEN contains(text, '###') THEN 'hash-marks' WHEN contains(text, '!!') THEN 'shouting' END AS signature FROM {SQL_DOCUMENTS}")
-def body_scan(spark, sf_dir):
-    """P20's gate at 20,000 bytes."""
-    return _documents(spark, sf_dir).select("doc_id", scan(F.col("text"), SIGNATURES, 20_000).alias("signature"))
-
-
 SQL_SCAN = f"SELECT doc_id, CASE WHEN strlen(text) >= 25000000 THEN NULL WHEN contains(text, '###') THEN 'hash-marks' WHEN contains(text, '!!') THEN 'shouting' END AS signature FROM {SQL_DOCUMENTS}"
 
 
 @query(SQL_SCAN)
-def body_scan_full(spark, sf_dir):
+def body_scan(spark, sf_dir):
     """P20, X6 with the operator's own limit."""
     return _documents(spark, sf_dir).select("doc_id", scan(F.col("text"), SIGNATURES).alias("signature"))
 

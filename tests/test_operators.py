@@ -102,11 +102,11 @@ def test_normalized_text(spark, tmp_path):
     assert {r.doc_id: r.n_lines for r in catalogue.QUERIES["normalized_text"](spark, str(tmp_path)).collect()} == {i: len(own) for i, own in made.items()}
 
 
-def test_body_scan_full(spark, tmp_path):
+def test_body_scan(spark, tmp_path):
     found = ["x" * 20_000 + "###", "x" * 30_000 + "!!", "a!!", "none", None]
     docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.signature for r in catalogue.QUERIES["body_scan_full"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.signature for r in catalogue.QUERIES["body_scan"](spark, str(tmp_path)).collect()}
     assert got == {0: "hash-marks", 1: "shouting", 2: "shouting", 3: None, 4: None}
     gated = docs.where("text is not null").select("doc_id", scan.scan(F.col("text"), {"shouting": "!!"}, 4).alias("s"))
     assert {r.doc_id: r.s for r in gated.collect()} == {0: None, 1: None, 2: "shouting", 3: None}
