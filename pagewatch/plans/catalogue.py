@@ -637,7 +637,7 @@ def js_tree_classify(spark, sf_dir):
     from pagewatch.operators import trees
 
     kind = F.regexp_replace(scripts.verdict(F.col("max_line"), F.col("unique_chars"), F.col("unique_words")), "[0-9]", "")
-    rows = _features(spark, sf_dir).withColumn("kind", kind)
+    rows = table(_features(spark, sf_dir).withColumn("kind", kind), "script-features")  # a fit reads them many times
     folder = new_folder(spark, "tree")
     trees.train(rows, "kind", folder)
     found = trees.classified(rows, folder)
