@@ -16,6 +16,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,9 +130,8 @@ def hot_shingles(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hottest[order], len(hottest) - order
 
 
-def sketches(own: DataFrame) -> DataFrame:
-    """doc_id, node, n (shingles), fps, prefix; the last three are null where a task has met the text before."""
-    hot = own.sparkSession.sparkContext.broadcast(hot_shingles(own))
+def sketches(own: DataFrame, hot: Broadcast) -> DataFrame:
+    """doc_id, node, n (shingles), fps, prefix; the last three are null where a task has met the text before. hot: of hot_shingles()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -163,13 +163,15 @@ def _wanted(shorts: DataFrame) -> np.ndarray:
 def verified(own: DataFrame, pairs: DataFrame) -> DataFrame:
     """hi, lo: the nodes of those pairs (a, b: shorts) whose sets are similar. Each set goes to the pairs of its text."""
     with scratch(own.sparkSession):
-        return table(_verified(own, pairs), "near-links", keep=True)
-
+        pairs = table(pairs.where("a <> b").distinct(), "pairs")
+        wanted = own.sparkSession.sparkContext.broadcast(_wanted(pairs.select(F.explode(F.array("a", "b")).alias("short"))))
+        try:
+            return table(_similar_pairs(own, pairs, wanted), "near-links", keep=True)
+        finally:
+            wanted.destroy()
 
-def _verified(own: DataFrame, pairs: DataFrame) -> DataFrame:
-    pairs = table(pairs.where("a <> b").distinct(), "pairs")
-    wanted = own.sparkSession.sparkContext.broadcast(_wanted(pairs.select(F.explode(F.array("a", "b")).alias("short"))))
 
+def _similar_pairs(own: DataFrame, pairs: DataFrame, wanted: Broadcast) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bits = _Seen(), wanted.value
         for _, found in columns(batches):
@@ -304,7 +306,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def _near_copies(docs: DataFrame) -> DataFrame:
     own = texts(docs)
-    rows = table(sketches(own), "sketches")
+    hot = own.sparkSession.sparkContext.broadcast(hot_shingles(own))
+    rows = table(sketches(own, hot), "sketches")
+    hot.destroy()
     prints = [F.max(F.col("fps")[i]) for i in range(FINGERPRINTS)]
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), *(p.alias(f"fp{i}") for i, p in enumerate(prints)))
     nodes = table(nodes.select("node", "first", "n", F.array(*(f"fp{i}" for i in range(FINGERPRINTS))).alias("fps")), "sketch-nodes")
