@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm import decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
+from pagewatch.llm import centroids, decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc, whitening
 from pagewatch.llm.shared import read
 
 
@@ -96,9 +96,39 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation is null where it is beyond a long."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = centroids.ROUNDS, k: int = centroids.CLUSTERS, seed: int = centroids.SEED) -> str:
+    """Plain Lloyd, a round after the other, each comparing every vector with every centroid."""
+    nearest = """a{0} AS MATERIALIZED (SELECT vec_id, x, cluster, distance FROM (
+        SELECT vec_id, x, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance, row_number() OVER (PARTITION BY row_no ORDER BY distance, cluster) AS best
+        FROM v, c{0}) WHERE best = 1)"""
+    moved = """s{1} AS (SELECT cluster, dim, sum(x[dim]) AS s, count(*) AS n FROM a{0}, (SELECT unnest(range(1, 65)) AS dim) GROUP BY cluster, dim),
+    m{1} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY dim) AS c FROM s{1} GROUP BY cluster),
+    c{1} AS MATERIALIZED (SELECT c{0}.cluster, coalesce(m{1}.c, c{0}.c) AS c FROM c{0} LEFT JOIN m{1} ON c{0}.cluster = m{1}.cluster)"""
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row_no, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS cluster, x AS c FROM v QUALIFY cluster < {k})"""]
+    for i in range(rounds):
+        parts += [nearest.format(i), moved.format(i, i + 1)]
+    parts.append(nearest.format(rounds))
+    return "WITH " + ", ".join(parts) + f"""
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+        CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_suffix_dedup": op9_suffix_dedup,
-    "op10_decontamination": op10_decontamination,
+    "op10_decontamination": op10_decontamination, "op12_whitening": op12_whitening, "op13_centroids": op13_centroids,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontamination": OP10_SQL, "op13_centroids": _op13_sql()}

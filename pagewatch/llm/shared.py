@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,18 +18,22 @@ from pagewatch.sources.folders import shared_folder
 TEXTS_AT_ONCE = 500
 
 
-_scratch: list[list[str]] = []
+#: Folders of the scratches that this thread of the driver is in, outermost first.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+#: Writes under way in each session, and the setting that holds again after the last.
+_writes: dict[str, list] = {}
+_lock = threading.Lock()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Removes the folders that are made inside, but those to keep, when it ends; more may be added to its list."""
     made: list[str] = []
-    _scratch.append(made)
+    before = _scratch.set((*_scratch.get(), made))
     try:
         yield made
     finally:
-        _scratch.pop()
+        _scratch.reset(before)
         for path in made:
             disk, hadoop = _disk(spark, path)
             disk.delete(hadoop, True)
@@ -44,7 +50,8 @@ def new_folder(spark: SparkSession, label: str, keep: bool = False) -> str:
     keep: it outlives the innermost scratch.
     """
     path = f"{shared_folder(spark)}/pagewatch-{label}-{uuid.uuid4().hex}"
-    holders = _scratch[: len(_scratch) - keep]
+    holders = _scratch.get()
+    holders = holders[: len(holders) - keep]
     if holders:
         holders[-1].append(path)
     else:
@@ -53,18 +60,32 @@ def new_folder(spark: SparkSession, label: str, keep: bool = False) -> str:
     return path
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches have TEXTS_AT_ONCE rows at most; after the last of the writes that run at once the session's setting holds again."""
+    name, key = "spark.sql.execution.arrow.maxRecordsPerBatch", spark._jsparkSession.sessionUUID()
+    with _lock:
+        under_way = _writes.setdefault(key, [0, spark.conf.get(name)])
+        under_way[0] += 1
+        spark.conf.set(name, str(TEXTS_AT_ONCE))
+    try:
+        yield
+    finally:
+        with _lock:
+            under_way[0] -= 1
+            if not under_way[0]:
+                spark.conf.set(name, _writes.pop(key)[1])
+
+
 def written(df: DataFrame, label: str, keep: bool = False) -> tuple[DataFrame, str]:
     """df, written to the shared folder and read again, and where it is: lineage is cut and the rows survive executors.
 
-    While it is written, Arrow batches have TEXTS_AT_ONCE rows at most; then the session's setting holds again.
+    While it is written, Arrow batches are short (see short_batches).
     """
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, before = new_folder(spark, label, keep), spark.conf.get(name)
-    spark.conf.set(name, str(TEXTS_AT_ONCE))
-    try:
+    spark = df.sparkSession
+    path = new_folder(spark, label, keep)
+    with short_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
