@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm import centroids, decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc, whitening
+from pagewatch.llm import centroids, decontaminate, exact_dedup, language_model, packing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc, whitening
 from pagewatch.llm.shared import read
 
 
@@ -97,6 +97,10 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deviation is null where it is beyond a long."""
     return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
@@ -129,6 +133,6 @@ def _op13_sql(rounds: int = centroids.ROUNDS, k: int = centroids.CLUSTERS, seed:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_suffix_dedup": op9_suffix_dedup,
-    "op10_decontamination": op10_decontamination, "op12_whitening": op12_whitening, "op13_centroids": op13_centroids,
+    "op10_decontamination": op10_decontamination, "op11_language_model": op11_language_model, "op12_whitening": op12_whitening, "op13_centroids": op13_centroids,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontamination": OP10_SQL, "op13_centroids": _op13_sql()}
