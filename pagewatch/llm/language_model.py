@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewatch.llm.dealing import ASKED, ASKED_ARROW, CELLS, answered, coded, dealt, pack, unpack, unpack_keys, values_of
-from pagewatch.llm.shared import columns, table, texts
+from pagewatch.llm.shared import columns, few_tasks, table, texts
 from pagewatch.llm.vectors import STRIPS, strips, summed
 
 #: Words that are classes of their own, classes before a token that predict it, and the width of embeddings.
@@ -269,7 +269,7 @@ def fit(sequences: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
                 yield strips(np.append(own.state() * seen, seen))
 
         some = sequences.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == round_).select("block", "held", "n_tokens", "classes")
-        *state, seen = summed(some.mapInArrow(run, STRIPS), (size + 1,))
+        *state, seen = summed(few_tasks(some).mapInArrow(run, STRIPS), (size + 1,))
         sent.unpersist()
         if seen:
             model.load(np.array(state) / seen)

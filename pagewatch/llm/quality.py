@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.shared import slices, table, texts
+from pagewatch.llm.shared import few_tasks, slices, table, texts
 
 #: Labelled rows to fit on, those of least hashed doc_id: a bounded sample.
 MAX_LABELLED = 20_000
@@ -38,6 +38,9 @@ FOLDS = 5
 THRESHOLD = 0.3
 MEMO = 200_000
 
+#: What str.split() cuts at, as Java puts it.
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -83,7 +86,7 @@ def rows_of(text: str, memo: Tokens) -> np.ndarray:
 
 def own_words(texts_: DataFrame) -> list[str]:
     """The up to OWN words that most of the texts have, by their number and then by the word."""
-    found = texts_.select(F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''")
+    found = texts_.select(F.explode(F.array_distinct(F.split("text", BLANKS))).alias("word")).where("word <> ''")
     counted = found.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= FEW)
     return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(OWN).collect()]
 
@@ -153,7 +156,7 @@ def word_vectors(coded: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(grid[some, k]) for k in range(WIDTH))], ["row", *(f"v{k}" for k in range(WIDTH))])
 
     kinds = ", ".join(f"v{k} long" for k in range(WIDTH))
-    summed = coded.select("codes").mapInArrow(run, f"row long, {kinds}").groupBy("row").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(WIDTH)))
+    summed = few_tasks(coded.select("codes")).mapInArrow(run, f"row long, {kinds}").groupBy("row").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(WIDTH)))
     got = summed.toArrow()  # at most ROWS rows
     out, at = np.zeros((ROWS, WIDTH)), got.column("row").to_numpy()
     for k in range(WIDTH):
@@ -247,14 +250,16 @@ def quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Da
     Labels are learnt from rows that aren't held out only; lang, source and doc_id are no inputs. Of labels that clash
     the larger one counts. A null text counts as empty and is scored by its zero vector. A null doc_id is never labelled
     and not held out. Rows come back one for one, repeated rows too. Texts of any length are taken whole. Without labels
-    every score is 0.5. An empty table gives an empty result; other columns are ignored.
+    every score is 0.5. An empty table gives an empty result; other columns are ignored. The driver gets `bound` rows at most to
+    fit on, one a doc_id: of repeated ones that of the least pooled vector.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     known = known.where(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % FOLDS != 0)
     known = F.broadcast(table(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound), "quality-labels"))  # at most `bound` rows
-    coded = table(coded_texts(docs, own_words(texts(docs).join(known, "doc_id"))), "quality-codes")
+    labelled = texts(docs).join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    coded = table(coded_texts(docs, own_words(labelled)), "quality-codes")
     rows = table(pooled(coded, word_vectors(coded)), "pooled")
-    sample = rows.join(known, "doc_id").select("doc_id", "x", "quality").toPandas().sort_values(["doc_id", "x"])
+    sample = rows.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(-1, 2 * WIDTH).astype(float)
     net = train(x, sample["quality"].to_numpy())
 

@@ -93,6 +93,12 @@ def table(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return written(df, label, keep)[0]
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """df in a few tasks a core at most, however many files it is read from: for tasks that each give a result of fixed size."""
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and `more` columns; other columns are left out."""
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *more)

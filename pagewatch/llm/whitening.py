@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.shared import table
+from pagewatch.llm.shared import few_tasks, table
 from pagewatch.llm.vectors import STRIPS, SUMS, exact, finite, floors, matrices, part_sums, strips, summed, sums_batch, total_sums
 
 #: Scale of the integers, components, and columns of the iterate beyond these, which speed up convergence.
@@ -71,7 +71,7 @@ def product(fit: DataFrame, mean: np.ndarray, n: int, block: np.ndarray) -> np.n
             total += centred.T @ (centred @ block)
         yield strips(total)
 
-    return summed(fit.select("x").mapInArrow(run, STRIPS), block.shape) / n
+    return summed(few_tasks(fit.select("x")).mapInArrow(run, STRIPS), block.shape) / n
 
 
 def trace(fit: DataFrame, mean: np.ndarray, n: int) -> float:

@@ -245,6 +245,17 @@ def test_quality_never_learns_from_held_out_rows(spark):
     assert np.allclose(one, two)
 
 
+def test_quality_is_fitted_on_a_bounded_number_of_rows(spark, monkeypatch):
+    own, labels = labelled(spark)
+    first = own.join(labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), "doc_id", "left_semi").orderBy("doc_id").limit(1)
+    many = own.unionByName(first.crossJoin(spark.range(3000)).select(own.columns))
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append(len(y)) or train(x, y))
+    one = quality.quality(many, labels)
+    assert one.count() == many.count() and seen == [labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).count()]
+    assert quality.quality(many, labels, bound=10).count() == many.count() and seen[1] == 10
+
+
 # 6
 
 
