@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote, unquote, urlparse, urlunparse
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,7 +44,7 @@ def parse(text: str, status: int = 200) -> list[tuple]:
                 close()
             agents.append(value.lower())
         elif agents and key in ("allow", "disallow"):
-            rules.append((quote(value, safe="/*?=&%~+,:@"), key == "allow") if value else ("/", True))
+            rules.append((quote(urlunparse(urlparse(value)), safe="/*"), key == "allow") if value else ("/", True))
             begun = True
         elif agents and key == "crawl-delay":
             extra[0] = int(value) if value.isdigit() else extra[0]

@@ -134,18 +134,18 @@ def link_normalize(spark, sf_dir):
 
 
 RULES = {
-    "special": [("m.ththth.example.net", "/en")], "white": [("example.org", "/fr"), ("example.org", "/de")], "deny": ["blog.tionsh.example.net", "example.org"],
+    "link": [("m.ththth.example.net", "/en")], "request": [("0.example.edu", "/r"), ("known.example.edu", "")], "white": [("example.org", "/fr"), ("example.org", "/de")], "deny": ["blog.tionsh.example.net", "example.org"],
     "black": ["cheap-pills", "casino"], "allow": ["example.com"], "ip": ["10.1.", "10.2."],
 }
 
 
-def _sql_verdict(url: str) -> str:
+def _sql_verdict(url: str, special: str = "link") -> str:
     host = SQL_HOST.replace("url,", f"{url},")
     path = SQL_PATH.replace("url,", f"{url},")
     pair = lambda k: " OR ".join(f"(suffix({host}, '{h}') AND starts_with({path}, '{p}'))" for h, p in RULES[k])
     suffix = lambda k: " OR ".join(f"suffix({host}, '{h}')" for h in RULES[k])
     black = " OR ".join(f"contains({url}, '{b}')" for b in RULES["black"])
-    return f"""CASE WHEN {host} = '' THEN 'EXTERNAL' WHEN {pair("special")} THEN 'SPECIAL' WHEN {pair("white")} THEN 'ALLOW' WHEN {suffix("deny")} THEN 'EXTERNAL'
+    return f"""CASE WHEN {host} = '' THEN 'EXTERNAL' WHEN {pair(special)} THEN 'SPECIAL' WHEN {pair("white")} THEN 'ALLOW' WHEN {suffix("deny")} THEN 'EXTERNAL'
         WHEN {black} THEN 'BLACK' WHEN {suffix("allow")} THEN 'ALLOW'"""
 
 
@@ -256,7 +256,7 @@ def _robots(spark):
     return robots_rules(spark.createDataFrame(bodies, "host string, status int, body string"))
 
 
-SQL_ALLOWED = """CASE WHEN host = 'therin.example.net' THEN NOT starts_with(path, '/')
+SQL_ALLOWED = """CASE WHEN host = 'therin.example.net' THEN false
     WHEN host = 'www.therti.example.org' THEN CASE WHEN starts_with(path, '/en/1') THEN true WHEN starts_with(path, '/fr/') THEN false WHEN regexp_matches(path, '^/en/.*\\.html') THEN false ELSE true END
     WHEN host IN ('thther.example.org', 'blog.tionsh.example.com') THEN CASE WHEN starts_with(path, '/en/9') THEN false WHEN regexp_matches(path, '^/.*/1.*') THEN false ELSE true END
     ELSE true END"""
@@ -369,7 +369,7 @@ def form_action(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"), markup.alias("html"))
     rows = H.attribute_rows(pages, F.col("html"), "form", "action", "action").where("action <> ''")
     rows = rows.select("page_id", urls.absolute(F.col("action"), F.col("page")).alias("url"))
-    by_link, by_request = rules.verdict(F.col("url"), RULES), rules.verdict(F.col("url"), {"allow": ["known.example.edu"]})
+    by_link, by_request = (rules.verdict(F.col("url"), RULES, special=kind) for kind in ("link", "request"))
     return rows.where(rules.strange(by_link) & rules.strange(by_request))
 
 
@@ -815,8 +815,8 @@ def settings_parse(spark, sf_dir):
     return files.settings(spark.createDataFrame([(x,) for x in SETTINGS], "value string"), cores=8).fillna(-1, ["number"])
 
 
-def _sql_strange(url: str) -> str:
-    return f"{_sql_verdict(url)} ELSE 'EXTERNAL' END IN ('EXTERNAL', 'UNKNOWN')"
+def _sql_strange(url: str, special: str = "link") -> str:
+    return f"{_sql_verdict(url, special)} ELSE 'EXTERNAL' END IN ('EXTERNAL', 'UNKNOWN')"
 
 
 @query(f"""
@@ -837,7 +837,7 @@ frame AS (SELECT host, src FROM ({_sql_iframes(1)} EXCEPT {_sql_iframes(3)})), s
     SELECT DISTINCT {SQL_HOST} AS host, 'cdn.example.net/s' || (page_id % 7) || '.js' AS src FROM pages EXCEPT SELECT DISTINCT {SQL_HOST} AS host, 'cdn.example.net/s' || (page_id % 5) || '.js' AS src FROM pages)),
 a AS (
     SELECT 'link_to_new_server' AS k, page AS url, string_agg(DISTINCT url, ', ' ORDER BY url) AS content FROM strange GROUP BY page
-    UNION ALL SELECT 'request_to_new_server', page, string_agg(DISTINCT url, ', ' ORDER BY url) FROM req WHERE {_sql_strange("url")} GROUP BY page
+    UNION ALL SELECT 'request_to_new_server', page, string_agg(DISTINCT url, ', ' ORDER BY url) FROM req WHERE {_sql_strange("url", "request")} GROUP BY page
     UNION ALL SELECT 'url_history', page, string_agg(DISTINCT url, ', ' ORDER BY url) FROM visit WHERE {_sql_strange("url")} GROUP BY page
     UNION ALL SELECT 'new_form_url', page, string_agg(DISTINCT url, ', ' ORDER BY url) FROM (SELECT page, CASE WHEN starts_with(action, '/') THEN root || action ELSE action END AS url FROM form WHERE action <> '')
         WHERE {_sql_strange("url")} AND NOT suffix({SQL_HOST}, 'known.example.edu') GROUP BY page
@@ -860,7 +860,7 @@ SELECT 3 AS nth, CASE WHEN contains(url, 'tionsh.example') THEN 'TEST_' ELSE ''
 def alert_union(spark, sf_dir):
     """Every kind of alert but those on terms, which are important_word_change and frequent_word_overlap."""
     pages, none = read(spark, sf_dir, "pages"), F.lit("")
-    strange = rules.strange(rules.verdict(F.col("value"), RULES))
+    strange, asked = (rules.strange(rules.verdict(F.col("value"), RULES, special=kind)) for kind in ("link", "request"))
     recorded = _recorded(spark, sf_dir)
     record = table(files.browser_record(recorded, F.col("html")).join(recorded.select("page_id", "url"), "page_id"), "browser-record")
     visited = files.browser_events(record).join(recorded.select("page_id", "url"), "page_id").select("url", F.explode("history").alias("value"))
@@ -874,7 +874,7 @@ def alert_union(spark, sf_dir):
     new = {k: v.groupBy(F.col("host").alias("url")).agg(F.collect_set("src").alias("v")).select("url", history.stringified(F.col("v")).alias("content")) for k, v in (("new_iframeSrc", new_iframe_src(spark, sf_dir)), ("new_scriptSrc", new_script_src(spark, sf_dir)))}
     return reports.alerts(
         3, ["tionsh.example"], link_to_new_server=reports.strange_sets(_external_links(spark, sf_dir).select(F.col("page").alias("url"), F.col("url").alias("value")), F.lit(True)),
-        request_to_new_server=reports.strange_sets(record.where("kind = 'Request'").select("url", "value"), strange), url_history=reports.strange_sets(visited, strange),
+        request_to_new_server=reports.strange_sets(record.where("kind = 'Request'").select("url", "value"), asked), url_history=reports.strange_sets(visited, strange),
         new_form_url=reports.strange_sets(forms, F.lit(True)), **new, hack_word_Lv3=hacks.where("level = 3").select("url", none.alias("content")), hack_word_Lv2=hacks.where("level = 2").select("url", none.alias("content")),
         changed_js=changed.select("url", F.col("page_id").alias("content")), download_url=downloads.select("url", "content"),
         about_blank_url=seen.where("final_url = 'about:blank'").select("url", F.col("final_url").alias("content")), new_window_url=seen.where("popup is not null").select("url", F.col("popup").alias("content")),
@@ -1079,3 +1079,7 @@ def df_stream(spark, sf_dir):
     from pagewatch.streaming import monitors
 
     return monitors.document_frequencies(_streamed(spark, sf_dir, "documents"))
+
+
+# further queries register themselves
+from pagewatch.plans import rulesets  # noqa: E402, F401

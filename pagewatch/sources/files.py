@@ -44,13 +44,16 @@ def rule_rows(texts: DataFrame) -> DataFrame:
 
     BLACK and ONLY are lists of patterns; DOMAIN has lists allow and deny of host suffixes, and IPAddress a list allow of
     address prefixes; REDIRECT has maps allow and deny of host to path prefixes; WHITE, LINK and REQUEST are such a map.
-    A body that isn't JSON, or of another shape, gives no rows; so does a file of another name.
+    A body that isn't JSON, or of another shape, gives no rows; so do a file of another name, and what isn't text in a list.
     """
     none = F.lit(None).cast("string")
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string"))
 
     def part(name: str, schema: str, path: str = "j") -> DataFrame:
-        whole = texts.where(F.col("name") == name).select(F.from_json("body", schema).alias("j"))
-        return whole.where(f"{path} is not null").select(F.explode(path).alias(*(["host", "paths"] if "map" in schema else ["value"])))
+        whole = texts.where(F.col("name") == name).select(F.from_json("body", schema).alias("j")).where(f"{path} is not null")
+        if "map" in schema:
+            return whole.select(F.explode(path).alias("host", "paths")).select("host", F.filter(F.transform("paths", text), lambda v: v.isNotNull()).alias("paths"))
+        return whole.select(F.explode(path).alias("v")).select(text(F.col("v")).alias("value")).where("value is not null")
 
     def rows(found: DataFrame, kind: str, host=none, path=none, pattern=none) -> DataFrame:
         return found.select(F.lit(kind).alias("kind"), host.alias("host_suffix"), path.alias("path_prefix"), pattern.alias("pattern"))
@@ -58,11 +61,11 @@ def rule_rows(texts: DataFrame) -> DataFrame:
     def pairs(found: DataFrame, kind: str) -> DataFrame:
         return rows(found.select("host", F.explode("paths").alias("path")), kind, F.col("host"), F.col("path"))
 
-    out = [rows(part(name, "array<string>"), kind, pattern=F.col("value")) for name, kind in LISTS.items()]
-    out += [pairs(part(name, "map<string,array<string>>"), kind) for name, kind in PAIRS.items()]
-    out += [rows(part("DOMAIN", "allow array<string>, deny array<string>", f"j.{k}"), k.upper(), F.col("value")) for k in ("allow", "deny")]
-    out.append(rows(part("IPAddress", "allow array<string>", "j.allow"), "IP", pattern=F.col("value")))
-    schema = "allow map<string,array<string>>, deny map<string,array<string>>"
+    out = [rows(part(name, "array<variant>"), kind, pattern=F.col("value")) for name, kind in LISTS.items()]
+    out += [pairs(part(name, "map<string,array<variant>>"), kind) for name, kind in PAIRS.items()]
+    out += [rows(part("DOMAIN", "allow array<variant>, deny array<variant>", f"j.{k}"), k.upper(), F.col("value")) for k in ("allow", "deny")]
+    out.append(rows(part("IPAddress", "allow array<variant>", "j.allow"), "IP", pattern=F.col("value")))
+    schema = "allow map<string,array<variant>>, deny map<string,array<variant>>"
     out += [pairs(part("REDIRECT", schema, f"j.{k}"), "REDIRECT" if k == "allow" else "REDIRECT_DENY") for k in ("allow", "deny")]
     return reduce(DataFrame.unionByName, out)
 

@@ -1,21 +1,76 @@
 import datetime
 import hashlib
+import random
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewatch.functions import html, scan, scripts, urls
+from pagewatch.functions.robots import robots_rules
 from pagewatch.operators import frontier, history, reports, rules, terms
 from pagewatch.plans import catalogue
 from pagewatch.sources import files
 
 
 def test_verdict_order(spark):
-    own = {"special": [("s.x", "/p")], "white": [("x", "/w")], "deny": ["bad.x"], "black": ["evil"], "allow": ["x"], "ip": ["10."]}
+    own = {"link": [("s.x", "/p")], "request": [("q.y", "")], "white": [("x", "/w")], "deny": ["bad.x"], "black": ["evil"], "allow": ["x"], "ip": ["10."]}
     cases = [("nothing", None, "EXTERNAL"), ("http://s.x/p", None, "SPECIAL"), ("http://bad.x/w", None, "ALLOW"), ("http://bad.x/evil", None, "EXTERNAL"), ("http://a.x/evil", None, "BLACK"), ("http://a.x/", None, "ALLOW"), ("http://q.y/", None, "UNKNOWN"), ("http://q.y/", "10.1", "BLACK"), ("http://q.y/", "11.1", "EXTERNAL")]
     rows = spark.createDataFrame(cases, "url string, ip string, e string")
     assert rows.where(rules.verdict(F.col("url"), own, F.col("ip")) != F.col("e")).isEmpty()
     assert rules.with_verdict(rows, "url", own, address="ip").where("verdict <> e").isEmpty()
+    asked = rules.with_verdict(rows, "url", own, special="request").collect()
+    assert {r.url: r.verdict for r in asked if r.url in ("http://s.x/p", "http://q.y/")} == {"http://s.x/p": "ALLOW", "http://q.y/": "SPECIAL"}
+    clash = rows.withColumns({"host": F.lit(1), "PATH": F.lit(2), "_host": F.lit(3)})
+    assert rules.with_verdict(clash, "url", own).columns == [*clash.columns, "verdict"]
+
+
+def test_long_rule_lists_give_what_short_ones_give(spark, monkeypatch):
+    rng = random.Random(3)
+    part = lambda n: "".join(rng.choice("ab./") for _ in range(rng.randint(0, n)))
+    rows = spark.createDataFrame([(f"http://{part(6)}/{part(6)}", part(4)) for _ in range(400)] + [("x", ""), ("", None), (None, None)], "url string, ip string")
+    for _ in range(3):
+        own = {k: [(part(3), "/" + part(3)) if k in ("link", "white") else part(4) + rng.choice("ab") for _ in range(n)] for k, n in (("link", 3), ("white", 4), ("deny", 5), ("black", 3), ("allow", 5), ("ip", 4))}
+        short = rows.select("url", "ip", rules.verdict(F.col("url"), own, F.col("ip")).alias("v")).collect()
+        monkeypatch.setattr(rules, "LISTED", 0)
+        assert rows.select("url", "ip", rules.verdict(F.col("url"), own, F.col("ip")).alias("v")).collect() == short
+        monkeypatch.undo()
+
+
+def test_many_rules_are_planned(spark):
+    own = {"white": [(f"h{i}.x", f"/{i}") for i in range(50_000)], "deny": [f"d{i}" for i in range(20_000)], "black": [f"b{i}b" for i in range(20_000)], "allow": [f"a{i}" for i in range(20_000)], "ip": [f"{i}." for i in range(300)]}
+    cases = [("http://w.h49999.x/49999/y", None, "ALLOW"), ("http://h7.x/8", None, "UNKNOWN"), ("http://h7.x/8", "299.1", "BLACK"), ("http://h7.x/8", "300.1", "EXTERNAL"), ("http://x.d19999/", None, "EXTERNAL"), ("http://a3/b77b", None, "BLACK"), ("http://a3/b77", None, "ALLOW")]
+    rows = spark.createDataFrame(cases, "url string, ip string, e string")
+    assert rules.with_verdict(rows, "url", own, address="ip").where("NOT verdict <=> e").collect() == []
+    middle = {"white": [("x", f"/{i}") for i in range(190)]}  # the longest that is an expression
+    assert rules.with_verdict(rows, "url", middle).count() == len(cases)
+
+
+def test_rule_set_is_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([("DENY", str(i), None, None) for i in range(6)], "kind string, host_suffix string, path_prefix string, pattern string")
+    monkeypatch.setattr(rules, "MOST_RULES", 6)
+    assert len(rules.rule_set(rows)["deny"]) == 6
+    monkeypatch.setattr(rules, "MOST_RULES", 5)
+    with pytest.raises(ValueError, match="more than 5 rules"):
+        rules.rule_set(rows)
+
+
+@pytest.mark.parametrize(("line", "yes", "no"), [
+    ("Disallow: /*?sid=", ["/a?sid=1", "/?x=1&a?sid=", "/%3Fsid=2"], ["/a?x=sid", "/sid=", ""]), ("Disallow: /café", ["/café", "/caf%C3%A9/x", "/caf%c3%a9"], ["/cafe", "/CAF%C3%89"]),
+    ("Disallow: /", ["", "/", "?x", "#y", "/a"], []), ("Disallow: /a.b", ["/a.b", "/a.bc"], ["/aXb"]), ("Disallow: *b*d", ["/b/d", "/abcd"], ["/d/b", "/b"]), ("Disallow: /a%2fb", ["/a/b", "/a%2Fb"], ["/a"]),
+    ("Disallow: /x%zz", ["/x%zz", "/x%25zz"], ["/x"]), ("Disallow: /a b+c", ["/a b+c", "/a%20b+c", "/a%20b%2Bc"], ["/a+b+c"]), ("Disallow: /$~:*", ["/$~:", "/%24~%3Ax"], ["/~"]), ("Disallow: /a?", ["/a", "/a?", "/ab"], ["/b"]),
+])
+def test_robots_lines(spark, line, yes, no):
+    files_ = spark.createDataFrame([("h", 200, f"User-agent: *\n{line}\n")], "host string, status int, body string")
+    rows = spark.createDataFrame([(f"http://h{u}", False) for u in yes] + [(f"http://h{u}", True) for u in no], "url string, lines boolean")
+    assert rules.with_can_fetch(rows, robots_rules(files_), "bot").where("allowed <> lines").collect() == []
+
+
+def test_robots_agents(spark):
+    for agent, denied in (("pagewatch", True), ("Page", True), ("p*w*h", True), ("watch", False), ("pagewatch-news", False), ("p*z", False)):
+        files_ = spark.createDataFrame([("h", 200, f"User-agent: {agent}\nDisallow: /\n"), ("gone", 403, None)], "host string, status int, body string")
+        rows = spark.createDataFrame([("http://h/x",), ("http://gone",), (None,)], "url string")
+        assert [r.allowed for r in rules.with_can_fetch(rows, robots_rules(files_), "PageWatch/2.0").orderBy("url").collect()] == [True, False, not denied]
 
 
 def test_matches_boundary(spark):
@@ -64,12 +119,12 @@ def test_settings_and_files(spark, tmp_path):
     lines = spark.createDataFrame([("MAX=2*3 # x",), ("MAX_process=-99",), ("odd=maybe",), ("on=True",), ("#a=1",)], "value string")
     assert {r.key: (r.number, r.problem) for r in files.settings(lines).collect()} == {"MAX": (6, False), "MAX_process": (1, False), "odd": (None, True), "on": (None, False)}
     (tmp_path / "WHITE.json").write_text('{"h.x": ["/a", "/b"]}')
-    (tmp_path / "BLACK.json").write_text('["one", "two"]')
+    (tmp_path / "BLACK.json").write_text('["one", null, 3, "two", ["four"]]')
     (tmp_path / "ONLY.json").write_text("{")
     (tmp_path / "DOMAIN.json").write_text('{"allow": ["x.org"], "deny": ["y.org", "z.org"]}')
     found = files.rule_files(spark, [str(tmp_path / f"{n}.json") for n in ("WHITE", "BLACK", "ONLY", "DOMAIN")])
     assert sorted(r.kind for r in found.collect()) == ["ALLOW", "BLACK", "BLACK", "DENY", "DENY", "WHITE", "WHITE"]
-    assert rules.rule_set(found) == {"only": [], "special": [], "white": [("h.x", "/a"), ("h.x", "/b")], "deny": ["y.org", "z.org"], "black": ["one", "two"], "allow": ["x.org"], "ip": []}
+    assert rules.rule_set(found) == {"only": [], "link": [], "request": [], "white": [("h.x", "/a"), ("h.x", "/b")], "deny": ["y.org", "z.org"], "black": ["one", "two"], "allow": ["x.org"], "ip": []}
     (tmp_path / "START_LIST.txt").write_text("http://a.x/\n\n  http://b.x/  \n")
     assert {tuple(r) for r in files.start_list(spark, str(tmp_path / "START_LIST.txt")).collect()} == {("http://a.x/", "START"), ("http://b.x/", "START")}
     for name, text in (("m1.csv", "Name,Template,Reference\na,text/a,r\nb,,r\n"), ("m2.csv", "Name,Template,Reference\na,text/a,r\nc,image/c,r\n")):
@@ -114,7 +169,7 @@ def test_body_scan(spark, tmp_path):
 
 def test_hosts_entry(spark):
     names = "host string, entry_no int, agent string, rule_no int, path_pattern string, allow boolean, delay int, rate_requests int, rate_seconds int"
-    own = [("h", 0, "*", 0, "/", False, 3, None, None), ("h", 1, "watch", 0, "/a", False, 7, 1, 2), ("h", 1, "watch", 1, "/a/b", True, 7, 1, 2), ("h", 2, "pagewatch", 0, "/", False, 9, None, None)]
+    own = [("h", 0, "*", 0, "/", False, 3, None, None), ("h", 1, "page", 0, "/a", False, 7, 1, 2), ("h", 1, "page", 1, "/a/b", True, 7, 1, 2), ("h", 2, "pagewatch", 0, "/", False, 9, None, None)]
     table = spark.createDataFrame(own, names)
     pages = spark.createDataFrame([(1, "http://h/a/b"), (1, "http://h/x"), (None, "http://h/a"), (2, "http://i/a"), (3, None)], "page_id long, url string")
     got = sorted(((r.page_id, r.allowed) for r in rules.can_fetch(pages, table, "PageWatch/2").collect()), key=repr)
