@@ -12,24 +12,43 @@ from pyspark.sql import functions as F
 from pagewatch.functions.urls import host, leading_int, path, script_url
 
 
-#: What stands in a tag up to its end (quoted values may hold >), and an attribute's value with its quotes.
-_INSIDE = """(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+#: The states of a tokeniser, as a lenient parser has them. A quote opens a value only behind =, and closes at the next one of its
+#: kind; a tag in which that is missing is text up to the next >. Blanks are those of ASCII. Loops are possessive, so that long markup needs no stack.
+_GAP = r"(?:\s|/(?!>))*+"
+_VALUE = r"""("[^"]*+"|'[^']*+'|(?!["'])[^>\s]*+)"""
+_ATTRIBUTE = rf"""(?<=["'\s/])[^\s/>][^\s/=>]*+(?:\s*+=+\s*{_VALUE.replace('(', '(?:', 1)}\s*+)?+{_GAP}"""
+_REST = rf"{_GAP}(?:{_ATTRIBUTE})*+\s*+"
+_ANY = r"[a-z][^\t\n\r\f />\x00]*+"
+#: Behind a < : comments, marked sections, declarations and end tags; tags that aren't any.
+_SKIPPED = r"!--.*?--\s*+>|!\[cdata\[.*?\]\s*+\]\s*+>|[!?/][^>]*+>"
+_BROKEN = r"[a-z][^>]*+>"
 
 
-def _before(name: str) -> str:
-    """Of an opening tag, all before the value of the first attribute of that name."""
-    return rf"(?is)^(<[a-z][^\s/>]*+(?:[\s/]*+(?!{name}\s*+=)[^\s>/][^\s=>/]*+(?:\s*+=\s*+{_VALUE.replace('(', '(?:', 1)})?+)*+[\s/]*+{name}\s*+=\s*+)"
+def _raw(number: int) -> str:
+    """Scripts and styles, whose content is no markup, up to their end tag. number: that of the group that holds the name."""
+    return rf"(script|style)(?=[\s/>]){_REST}>.*?(?=</\s*+\{number}\s*+>|\z)"
 
 
 def markup(html: Column) -> Column:
     """Without comments and without what scripts and styles hold: what is left has tags only where a parser sees some."""
-    return F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|(<(script|style)(?=[\s/>]){_INSIDE}>).*?(?=</\2[\s/>]|\z)", "$1")
+    return F.regexp_replace(html, rf"(?is)<!--.*?--\s*+>|(<(script|style)(?=[\s/>]){_REST}>).*?(?=</\s*+\2\s*+>|\z)|(<{_ANY}{_REST}/?+>|<{_BROKEN})", "$1$3")
 
 
 def tags(html: Column, tag: str) -> Column:
-    """Opening tags as text, any case."""
-    return F.regexp_extract_all(markup(html), F.lit(f"(?i)(<{tag}(?=[\\s/>]){_INSIDE}>)"), F.lit(1))
+    """Opening tags as text, any case. tag: a name, or a pattern of names."""
+    wanted = rf"(<(?:{tag})(?=[\s/>\x00]){_REST}/?+>)"
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{_SKIPPED})|(?={wanted}|<)<(?:{_raw(2)}|{_ANY}{_REST}/?+>|{_BROKEN})"), F.lit(1))
+    return F.filter(found, lambda t: t != "")
+
+
+def tag_names(html: Column) -> Column:
+    """The names of all opening tags in their order, in lower case."""
+    return F.transform(tags(html, _ANY), lambda t: F.lower(F.regexp_extract(t, r"^<([^\t\n\r\f />\x00]+)", 1)))
+
+
+def _before(name: str) -> str:
+    """Of an opening tag, all before the value of the first attribute of that name that has one."""
+    return rf"""(?is)^(<{_ANY}{_GAP}(?:(?!{name}\s*+=){_ATTRIBUTE})*+(?<=["'\s/]){name}\s*+=+\s*)"""
 
 
 def _unquoted(value: Column) -> Column:
@@ -58,11 +77,10 @@ def title(html: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """without comments, scripts, styles, title and tags."""
-    out = html
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?is)<title\b.*?</title>", r"<[^>]*>"):
-        out = F.regexp_replace(out, pattern, " ")
-    return F.trim(F.regexp_replace(out, "[ \t\r\n]+", " "))
+    """without comments, scripts, styles, title and tags; each leaves a blank, as does a tag that is text for a missing quote."""
+    titles = rf"title(?=[\s/>]){_REST}>.*?</title[^>]*+>"
+    bare = F.regexp_replace(html, rf"(?is)<(?:{_SKIPPED}|{titles}|{_raw(1)}|{_ANY}{_REST}/?+>)|(<{_BROKEN})", "$2 ")
+    return F.trim(F.regexp_replace(bare, "[ \t\r\n]+", " "))
 
 
 def invisible_style(style: Column) -> Column:
@@ -93,7 +111,7 @@ def refresh_target(html: Column) -> Column:
 
 
 def rewrite_scripts(html: Column, page: Column) -> Column:
-    """F8: every script's src as script_url gives it; other markup stays."""
+    """F8: every script's src as script_url gives it; other markup stays, that in comments and within scripts too."""
     whole = _before("src") + _VALUE + "(.*)$"
     group = lambda x, n: F.regexp_extract(x, whole, n)
 
@@ -101,8 +119,9 @@ def rewrite_scripts(html: Column, page: Column) -> Column:
         quote = F.when(group(part, 2).rlike("^'"), "'").otherwise('"')
         return F.when(part.rlike(whole), F.concat(group(part, 1), quote, script_url(_unquoted(group(part, 2)), page), quote, group(part, 3))).otherwise(part)
 
-    parts = F.split(html, r"(?i)(?=<script[\s/>])")
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("(?i)^<script"), rewritten(x)).otherwise(x)), "")
+    parts = F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{_SKIPPED}|{_raw(1)}|{_ANY}{_REST}/?+>|{_BROKEN})|[^<]++|<"), F.lit(0))
+    script = rf"(?is)^<script(?=[\s/>]){_REST}/?+>"
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(script), rewritten(x)).otherwise(x)), "")
 
 
 def unescaped(text: Column) -> Column:

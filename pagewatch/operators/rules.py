@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from pagewatch.functions.names import unused
 from pagewatch.operators import lookup
 
 #: Rules up to which verdict() is an expression; more are looked up in tables, with the same result.
-LISTED = 200
+LISTED = 64
 #: Rules that rule_set() takes to the driver, and from there to every worker.
 MOST_RULES = 1_000_000
 
@@ -37,11 +39,11 @@ def any_suffix(host: Column, suffixes: list[str]) -> Column:
 
 
 def any_pair(host: Column, path: Column, pairs: list[tuple[str, str]]) -> Column:
-    """J1 for a list of (host suffix, path prefix)."""
-    if not pairs:
-        return F.lit(False)
-    listed = F.array(*(F.struct(F.lit(s).alias("suffix"), F.lit(p).alias("prefix")) for s, p in pairs))
-    return F.exists(listed, lambda r: F.endswith(host, r["suffix"]) & F.startswith(path, r["prefix"]))
+    """J1 for a list of (host suffix, path prefix): an expression for each of a few, else a search through them."""
+    if len(pairs) > LISTED:
+        listed = F.array(*(F.struct(F.lit(s).alias("suffix"), F.lit(p).alias("prefix")) for s, p in pairs))
+        return F.exists(listed, lambda r: F.endswith(host, r["suffix"]) & F.startswith(path, r["prefix"]))
+    return reduce(Column.__or__, (host.endswith(s) & path.startswith(p) for s, p in pairs), F.lit(False))
 
 
 def any_part(text: Column, parts: list[str]) -> Column:

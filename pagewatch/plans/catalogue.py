@@ -983,10 +983,10 @@ def host_tags(spark, sf_dir):
 
 @query("""
 WITH p AS (SELECT page_id, url, html, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS root FROM pages)
-SELECT page_id, html || '<p><script src="' || root || '/a.js"></script><SCRIPT async SRC="http://cdn.example.net/b.js?x=1&y=2"><script data-src="/no.js" src=''' || root || '/c.js''>' || chr(1) || '</script>' AS markup FROM p""")
+SELECT page_id, html || '<p><script src="' || root || '/a.js"></script><SCRIPT async SRC="http://cdn.example.net/b.js?x=1&y=2"></SCRIPT><!--<script src=/n.js>--><script data-src="/no.js" src=''' || root || '/c.js''>"<script src=/n.js>"' || chr(1) || '</script>' AS markup FROM p""")
 def script_rewrite(spark, sf_dir):
-    """F8 on every page, with scripts in both quotes and none, and a character that no markup should hold."""
-    more = '<p><script src="/./x/../a.js"></script><SCRIPT async SRC=http://cdn.example.net:81/b.js?x=1&amp;y=2><script data-src="/no.js" src=\'/c.js\'>\x01</script>'
+    """F8 on every page, with scripts in both quotes and none, some that are in a comment or a string, and a character that no markup should hold."""
+    more = '<p><script src="/./x/../a.js"></script><SCRIPT async SRC=http://cdn.example.net:81/b.js?x=1&amp;y=2></SCRIPT><!--<script src=/n.js>--><script data-src="/no.js" src=\'/c.js\'>"<script src=/n.js>"\x01</script>'
     return read(spark, sf_dir, "pages").select("page_id", H.rewrite_scripts(F.concat("html", F.lit(more)), F.col("url")).alias("markup"))
 
 

@@ -1,3 +1,6 @@
+import random
+from html.parser import HTMLParser
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,3 +207,62 @@ def test_long_markup(spark):
     wide = "<a " + " ".join(f'data-x{i}="v > {i}"' for i in range(5000)) + " href='deep'>"
     page = "<p>text</p>" * 200_000 + wide + "<script>" + "x < y; " * 100_000 + "</script><a href=end>"
     assert one(spark, html.attributes(F.col("h"), "a", "href"), h=page) == ["deep", "end"]
+
+
+PIECES = [
+    "<a", "<A", "<script", "</script>", "</script >", "<style>", "</style>", "</a>", "</a", "<b>", "<br/>", "<!--", "-->", "-- >", "<!-->", "<!doctype html>", "<?x", "<![CDATA[", "]]>", "<title>", "</title>", "<", ">", " >", "/>",
+    " href=", " HREF = ", "\nhref\t=\n", " title=", " src=", " x", " data-href=", " href", "=", "==", "/", '"', "'", "it's", '5"', '"/q"', "'/s'", "/bare/", '"a > b"', "'<a href=/in>'", " ", "\n", "text", "&", "éü", "<a href=/plain>", "<script>x='<a href=/no>';", "<a title=it's href=/it>",
+]
+
+
+class Parser(HTMLParser):
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.found, self.said = [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.found.append((tag, attrs))
+
+    def first(self, tag, name):
+        values = [next((v for k, v in attrs if k == name and v is not None), None) for t, attrs in self.found if t == tag]
+        return [v for v in values if v]
+
+
+def broken_pages(n):
+    rng = random.Random(11)
+    return ["".join(rng.choice(PIECES) for _ in range(rng.randint(1, 25))) for _ in range(n)]
+
+
+def test_tokeniser_sees_what_a_parser_sees(spark):
+    pages = broken_pages(6000)
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, h string")
+    found = rows.select("i", html.tag_names(F.col("h")).alias("names"), html.attributes(F.col("h"), "a", "href").alias("links"), html.attributes(F.col("h"), "script", "src").alias("scripts")).collect()
+    several = 0
+    for r in found:
+        seen = Parser(pages[r.i])
+        assert r.names == [t for t, _ in seen.found], pages[r.i]
+        assert [v for v in r.links if v] == seen.first("a", "href"), pages[r.i]
+        assert [v for v in r.scripts if v] == seen.first("script", "src"), pages[r.i]
+        several += len(r.links) > 1
+    assert several > 300
+
+
+def test_long_markup_needs_no_stack(spark):
+    page = "<a " + "x=1 " * 200_000 + "href=/end>" + "<b '\"" * 50_000 + "<!--" + "-" * 200_000 + "--><script>" + "<" * 200_000 + "</script><a href=/last>"
+    assert one(spark, html.attributes(F.col("h"), "a", "href"), h=page) == ["/end", "/last"]
+    assert one(spark, F.length(html.visible_text(F.col("h"))), h=page) is not None
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ('<p title="a > b">x</p>y', "x y"), ("a<!-- <p> --> b", "a b"), ("<title>t</title><script>if (a<b) x('</p>')</script>z<style>p{}</style>", "z"), ("5 < 6 <b>7</b>", "5 < 6 7"), ('<a href="x>open', '<a href="x> open'), ("<script>never closed", ""), (None, None), ("", ""),
+])
+def test_visible_text(spark, page, text):
+    assert one(spark, html.visible_text(F.col("h")), h=page) == text
+
+
+def test_rewrite_leaves_what_is_no_script(spark):
+    page = "<!-- <script src=c.js> --><script>x='<script src=s.js>'</script><p title='<script src=q.js>'></p><script src=r.js></script>"
+    want = page.replace("src=r.js", 'src="http://h/d/r.js"')
+    assert one(spark, html.rewrite_scripts(F.col("h"), F.lit("http://h/d/p.html")), h=page) == want

@@ -42,8 +42,10 @@ def test_many_rules_are_planned(spark):
     cases = [("http://w.h49999.x/49999/y", None, "ALLOW"), ("http://h7.x/8", None, "UNKNOWN"), ("http://h7.x/8", "299.1", "BLACK"), ("http://h7.x/8", "300.1", "EXTERNAL"), ("http://x.d19999/", None, "EXTERNAL"), ("http://a3/b77b", None, "BLACK"), ("http://a3/b77", None, "ALLOW")]
     rows = spark.createDataFrame(cases, "url string, ip string, e string")
     assert rules.with_verdict(rows, "url", own, address="ip").where("NOT verdict <=> e").collect() == []
-    middle = {"white": [("x", f"/{i}") for i in range(190)]}  # the longest that is an expression
-    assert rules.with_verdict(rows, "url", middle).count() == len(cases)
+    longest = {"white": [("x", f"/{i}") for i in range(rules.LISTED)]}  # that is an expression
+    assert rules.with_verdict(rows, "url", longest).count() == len(cases)
+    host, path = urls.host(F.col("url")), urls.path(F.col("url"))
+    assert [r.url for r in rows.where(rules.any_pair(host, path, own["white"])).collect()] == ["http://w.h49999.x/49999/y"]
 
 
 def test_rule_set_is_bounded(spark, monkeypatch):
