@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,21 +34,26 @@ def matches(rows: DataFrame, rules: DataFrame, boundary: bool = False) -> DataFr
     return found.select("host", "path").distinct()
 
 
+def _listed(values: list, kind: str) -> Column:
+    """An array of values, of any number, as one constant."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def any_suffix(host: Column, suffixes: list[str]) -> Column:
     """J2."""
-    return F.exists(F.array(*map(F.lit, suffixes)), lambda s: F.endswith(host, s)) if suffixes else F.lit(False)
+    return F.exists(_listed(suffixes, "string"), lambda s: F.endswith(host, s)) if suffixes else F.lit(False)
 
 
 def any_pair(host: Column, path: Column, pairs: list[tuple[str, str]]) -> Column:
     """J1 for a list of (host suffix, path prefix): an expression for each of a few, else a search through them."""
     if len(pairs) > LISTED:
-        listed = F.array(*(F.struct(F.lit(s).alias("suffix"), F.lit(p).alias("prefix")) for s, p in pairs))
+        listed = _listed([{"suffix": s, "prefix": p} for s, p in pairs], "struct<suffix:string,prefix:string>")
         return F.exists(listed, lambda r: F.endswith(host, r["suffix"]) & F.startswith(path, r["prefix"]))
     return reduce(Column.__or__, (host.endswith(s) & path.startswith(p) for s, p in pairs), F.lit(False))
 
 
 def any_part(text: Column, parts: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, parts)), lambda s: F.contains(text, s)) if parts else F.lit(False)
+    return F.exists(_listed(parts, "string"), lambda s: F.contains(text, s)) if parts else F.lit(False)
 
 
 def verdict(url: Column, rules: dict, address: Column | None = None, host: Column | None = None, path: Column | None = None, special: str = "link") -> Column:
@@ -72,7 +78,7 @@ def verdict(url: Column, rules: dict, address: Column | None = None, host: Colum
         out = out.when(any_suffix(host, deny), "EXTERNAL").when(any_part(url, black), "BLACK").when(any_suffix(host, allow), "ALLOW")
     if address is not None and rules.get("ip"):
         ips = rules["ip"]
-        inside = lookup.has_prefix(ips, address) if len(ips) > LISTED else F.exists(F.array(*map(F.lit, ips)), lambda s: F.startswith(address, s))
+        inside = lookup.has_prefix(ips, address) if len(ips) > LISTED else F.exists(_listed(ips, "string"), lambda s: F.startswith(address, s))
         out = out.when(address.isNull(), "UNKNOWN").when(inside, "BLACK")
     return out.otherwise("EXTERNAL")
 
