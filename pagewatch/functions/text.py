@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -76,17 +76,59 @@ def trimmed(old: str, new: str) -> tuple[str, str]:
     return old[a : len(old) - b], new[a : len(new) - b]
 
 
-def line_changes(old: list[str], new: list[str], trim: bool = False) -> list[tuple[str, list[str], list[str]]]:
-    """(modified | delete | add, old lines, new lines); lines beyond those paired are deleted or added."""
-    out, first, last = [], 0, 0
-    while first < min(len(old), len(new)) and old[first] == new[first]:
-        first += 1
-    while last < min(len(old), len(new)) - first and old[-1 - last] == new[-1 - last]:
-        last += 1
-    old, new = old[first : len(old) - last], new[first : len(new) - last]  # what is compared in the square of its size
-    for kind, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-        if kind == "equal":
+def _rising(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of pairs in the order of their first numbers, a longest run whose second numbers rise too (patience sorting)."""
+    tops, piles, before = [], [], []
+    for i, (_, b) in enumerate(found):
+        pile = bisect_left(tops, b)
+        before.append(piles[pile - 1] if pile else -1)
+        tops[pile : pile + 1], piles[pile : pile + 1] = [b], [i]
+    out, at = [], piles[-1] if piles else -1
+    while at >= 0:
+        out.append(found[at])
+        at = before[at]
+    return out[::-1]
+
+
+def _gaps(old: list[str], new: list[str]) -> list[tuple[int, int, int, int]]:
+    """Patience diff: ranges of old and new lines that differ, in order.
+
+    Equal lines at both ends go; of the rest, lines that stand once on either side and in the same order are anchors, between which
+    it begins again. Where there are none, all differs. Each round takes time in proportion to the lines that it looks at.
+    """
+    out, todo = [], [(0, len(old), 0, len(new))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and old[a] == new[c]:
+            a, c = a + 1, c + 1
+        while a < b and c < d and old[b - 1] == new[d - 1]:
+            b, d = b - 1, d - 1
+        if a == b or c == d:
+            if a < b or c < d:
+                out.append((a, b, c, d))
+            continue
+        once = [{line: at for line, at in places.items() if at >= 0} for places in (_once(old, a, b), _once(new, c, d))]
+        anchors = _rising([(at, once[1][line]) for line, at in once[0].items() if line in once[1]])
+        if not anchors:
+            out.append((a, b, c, d))
             continue
+        starts = [(a, c), *((x + 1, y + 1) for x, y in anchors)]
+        todo += [(p, x, q, y) for (p, q), (x, y) in zip(starts, [*anchors, (b, d)], strict=True)][::-1]
+    return out
+
+
+def _once(lines: list[str], first: int, end: int) -> dict[str, int]:
+    """Where each line stands, in order; -1 if more than once."""
+    out: dict[str, int] = {}
+    for at in range(first, end):
+        out[lines[at]] = -1 if lines[at] in out else at
+    return out
+
+
+def line_changes(old: list[str], new: list[str], trim: bool = False) -> list[tuple[str, list[str], list[str]]]:
+    """(modified | delete | add, old lines, new lines) by a patience diff; lines beyond those paired are deleted or added."""
+    out = []
+    for a, b, c, d in _gaps(old, new):
         both = min(b - a, d - c)
         if both:
             pairs = [trimmed(x, y) if trim else (x, y) for x, y in zip(old[a : a + both], new[c : c + both], strict=True)]

@@ -14,8 +14,14 @@ def body_hash(body: Column) -> Column:
 
 
 def hash_status(current: DataFrame, previous: DataFrame, key: str = "url") -> DataFrame:
-    """J4, ST2: key, status (new, same, changed, error), len_diff. Both sides: key, hash, file_length."""
-    before = previous.select(key, F.col("hash").alias("old_hash"), F.col("file_length").alias("old_length"), F.lit(True).alias("seen"))
+    """J4, ST2: key, status (new, same, changed, error), len_diff per row of current. Both sides: key, hash, file_length.
+
+    Of several rows of a key in previous that with the latest run_date counts, if there is such a column, then that of the
+    largest hash. changes.as_of() looks states up that are missing in some runs.
+    """
+    when = F.col("run_date") if "run_date" in previous.columns else F.lit(None).cast("date")
+    last = F.max(F.struct(when.alias("run_date"), F.col("hash").alias("old_hash"), F.col("file_length").alias("old_length"))).alias("last")
+    before = previous.groupBy(key).agg(last).select(key, "last.old_hash", "last.old_length", F.lit(True).alias("seen"))
     status = F.when(F.col("hash").isNull(), "error").when(F.col("seen").isNull(), "new").when(F.col("hash") == F.col("old_hash"), "same").otherwise("changed")
     return current.join(before, key, "left").select(key, status.alias("status"), (F.col("file_length") - F.col("old_length")).alias("len_diff"))
 
