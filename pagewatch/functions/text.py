@@ -226,15 +226,24 @@ def fuzzy_hash_of(data: bytes) -> str:
     return fuzzy_hashes([data])[0]
 
 
+def _common(a: str, b: str) -> int:
+    """Length of a longest common subsequence, a character of b at a time over all of a as bits (Hyyro 2004)."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    open_ = whole
+    for x in b:
+        here = open_ & places.get(x, 0)
+        open_ = (open_ + here | open_ - here) & whole
+    return len(a) - open_.bit_count()
+
+
 def _edit_score(a: str, b: str, size: int) -> int:
     if not any(a[i : i + _WINDOW] in b for i in range(len(a) - _WINDOW + 1)):
         return 0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + 2 * (x != y))
-    score = 100 - 100 * (row[-1] * _PIECES // (len(a) + len(b))) // _PIECES
+    apart = len(a) + len(b) - 2 * _common(a, b)  # what an exchange counts twice, and an insertion or deletion once
+    score = 100 - 100 * (apart * _PIECES // (len(a) + len(b))) // _PIECES
     return max(0, min(score, size // _LEAST * min(len(a), len(b))))
 
 

@@ -1082,4 +1082,4 @@ def df_stream(spark, sf_dir):
 
 
 # further queries register themselves
-from pagewatch.plans import history_queries, rulesets  # noqa: E402, F401
+from pagewatch.plans import history_queries, rulesets, scan_queries  # noqa: E402, F401
