@@ -1,7 +1,7 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to per-document frequencies.
 
 Documents are read in blocks. A block's row holds its documents' pre-token frequencies (numbers into the
-block's distinct pre-tokens, packed) and those pre-tokens, dealt by hash into shards. A shard gathers its
+block's distinct pre-tokens, packed) and those pre-tokens, dealt by hash (see dealing). A shard gathers its
 part of all blocks' pre-tokens, counts each distinct one's pieces once, and answers every block by
 place; a block's frequencies and the answers meet by block, and the products are summed. Token ids are never kept.
 """
@@ -13,11 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from pagewatch.llm.dealing import ASKED, ASKED_ARROW, CELLS, answered, dealt, pack, unpack, values_of
 from pagewatch.llm.pretokens import PreTokenizer, coded
 from pagewatch.llm.shared import slices, table, texts
 
@@ -26,32 +24,7 @@ BLOCK = 6 << 20
 #: Pre-tokens given to the library at once.
 CALL = 20_000
 
-BLOCKS = "block long, doc_ids binary, nulls binary, n_bytes binary, n_pairs binary, codes binary, freqs binary, words array<struct<shard:int,n:int,body:binary>>"
-
-
-def pack(x: np.ndarray, kind: str) -> bytes:
-    """Integers as compressed byte planes."""
-    flat = np.ascontiguousarray(x, np.dtype(kind))
-    return zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes())
-
-
-def unpack(data: bytes, kind: str) -> np.ndarray:
-    dtype = np.dtype(kind)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return raw.reshape(dtype.itemsize, -1).T.copy().view(dtype).reshape(-1)
-
-
-def _join(words: list[str]) -> bytes:
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    sizes = pack(np.array([len(r) for r in raw]), "<u4")
-    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
-
-
-def _words(body: bytes) -> list[str]:
-    cut = 4 + int.from_bytes(body[:4], "little")
-    ends = np.cumsum(unpack(body[4:cut], "<u4")).tolist()
-    raw = zstandard.ZstdDecompressor().decompress(body[cut:]) if ends and ends[-1] else b""
-    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+BLOCKS = f"block long, doc_ids binary, nulls binary, n_bytes binary, n_pairs binary, codes binary, freqs binary, asked {ASKED}"
 
 
 def scan_parts(docs: DataFrame) -> int:
@@ -59,30 +32,25 @@ def scan_parts(docs: DataFrame) -> int:
     return docs._jdf.queryExecution().toRdd().getNumPartitions()
 
 
-def _block(splitter: PreTokenizer, doc_ids: list, found: list[str], shards: int) -> dict:
+def _block(splitter: PreTokenizer, doc_ids: list, found: list[str]) -> dict:
     tokens, owner = splitter.split(found)
     codes, distinct = coded(tokens)
-    shard = np.fromiter((xxhash.xxh32_intdigest(w) % shards for w in distinct), np.int64, len(distinct))
-    order = np.argsort(shard, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank, asked = dealt([w.encode("utf-8", "surrogatepass") for w in distinct], np.ones(len(distinct), np.int64), CELLS)
     keys, freqs = np.unique(owner.astype(np.int64) * max(len(distinct), 1) + rank[codes], return_counts=True)
     docs, numbers = np.divmod(keys, max(len(distinct), 1))
     n_pairs = np.bincount(docs, minlength=len(found))
     gaps = np.diff(numbers, prepend=0)
     firsts = (np.cumsum(n_pairs) - n_pairs)[n_pairs > 0]
     gaps[firsts] = numbers[firsts]
-    cells, starts = np.unique(shard[order], return_index=True)
-    words = [{"shard": int(s), "n": int(b - a), "body": _join([distinct[i] for i in order[a:b]])} for s, a, b in zip(cells, starts, [*starts[1:], len(order)], strict=False)]
     return {
         "block": uuid.uuid4().int >> 65, "doc_ids": pack(np.array([d or 0 for d in doc_ids]), "<i8"), "nulls": pack(np.array([d is None for d in doc_ids]), "u1"),
         "n_bytes": pack(np.array([len(t.encode("utf-8", "surrogatepass")) for t in found]), "<i8"), "n_pairs": pack(n_pairs, "<u4"),
-        "codes": pack(gaps, "<u4"), "freqs": pack(freqs, "<u4"), "words": words,
+        "codes": pack(gaps, "<u4"), "freqs": pack(freqs, "<u4"), "asked": asked,
     }
 
 
-def blocks(docs: DataFrame, vocabulary: str, words: bool, shards: int) -> DataFrame:
-    schema = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "nulls", "n_bytes", "n_pairs", "codes", "freqs")), ("words", pa.list_(pa.struct([("shard", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])))])
+def blocks(docs: DataFrame, vocabulary: str, words: bool) -> DataFrame:
+    schema = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "nulls", "n_bytes", "n_pairs", "codes", "freqs")), ("asked", ASKED_ARROW)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = PreTokenizer(vocabulary, words)
@@ -93,31 +61,28 @@ def blocks(docs: DataFrame, vocabulary: str, words: bool, shards: int) -> DataFr
                 found.append(text)
                 size += len(text)
                 if size >= BLOCK:
-                    yield pa.RecordBatch.from_pylist([_block(splitter, ids, found, shards)], schema)
+                    yield pa.RecordBatch.from_pylist([_block(splitter, ids, found)], schema)
                     ids, found, size = [], [], 0
         if ids:
-            yield pa.RecordBatch.from_pylist([_block(splitter, ids, found, shards)], schema)
+            yield pa.RecordBatch.from_pylist([_block(splitter, ids, found)], schema)
 
     return texts(docs).mapInArrow(run, BLOCKS)
 
 
-def _count(vocabulary: str, words: bool):
-    def run(rows: pa.Table) -> pa.Table:
+def _pieces(vocabulary: str, words: bool):
+    """Answers each pre-token with the number of its pieces."""
+
+    def answer(keys: list[bytes], _: np.ndarray) -> tuple[np.ndarray, None]:
         tokenizer = PreTokenizer(vocabulary, words).tokenizer
-        n = rows.column("n").to_pylist()
-        every = pa.array([w for body in rows.column("body").to_pylist() for w in _words(body)], pa.large_string())
-        codes, distinct = coded(every)
-        pieces = np.array([len(e) for at in range(0, len(distinct), CALL) for e in tokenizer.encode_batch_fast(distinct[at : at + CALL], add_special_tokens=False)], np.int64)
-        answer = np.split(pieces[codes] if len(codes) else codes, np.cumsum(n)[:-1])
-        return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "pieces": pa.array([pack(a, "<u4") for a in answer], pa.binary())})
+        found = [k.decode("utf-8", "surrogatepass") for k in keys]
+        return np.array([len(e) for at in range(0, len(found), CALL) for e in tokenizer.encode_batch_fast(found[at : at + CALL], add_special_tokens=False)], np.int64), None
 
-    return run
+    return answer
 
 
 def _sum(left: pa.Table, right: pa.Table) -> pa.Table:
     row = left.to_pylist()[0]
-    answers = sorted(zip(right.column("shard").to_pylist(), right.column("pieces").to_pylist(), strict=True))
-    pieces = np.concatenate([unpack(a, "<u4") for _, a in answers]).astype(np.int64) if answers else np.zeros(1, np.int64)
+    pieces = values_of(right) if right.num_rows else np.zeros(1, np.int64)
     n_pairs, gaps, freqs = (unpack(row[k], "<u4").astype(np.int64) for k in ("n_pairs", "codes", "freqs"))
     ends = np.cumsum(n_pairs)
     total = np.cumsum(gaps)
@@ -136,10 +101,7 @@ def token_counts(docs: DataFrame, vocabulary: str, words: bool = True) -> DataFr
     Null doc_ids and repeated rows come back one for one; an empty table gives an empty result. Texts of any length
     are counted whole; a block closes after the text that fills it. Other columns are ignored.
     """
-    shards = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * scan_parts(docs))
-    made = table(blocks(docs, vocabulary, words, shards), "token-blocks")
-    asked = made.select("block", F.inline("words"))
-    answers = asked.groupBy("shard").applyInArrow(_count(vocabulary, words), "block long, shard int, pieces binary")
+    made = table(blocks(docs, vocabulary, words), "token-blocks")
+    answers = answered(made, _pieces(vocabulary, words))
     frequencies = made.select("block", "doc_ids", "nulls", "n_bytes", "n_pairs", "codes", "freqs")
     return frequencies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
-
