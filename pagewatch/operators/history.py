@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewatch.sources.folders import table
+
 
 def body_hash(body: Column) -> Column:
     """null for an empty body."""
@@ -87,8 +89,20 @@ def rename_host(rows: DataFrame, old: str, new: str) -> DataFrame:
     return rows.withColumn("url", F.replace("url", F.lit(old), F.lit(new)))
 
 
+def numbered(values: DataFrame, name: str) -> DataFrame:
+    """The distinct values of a column, and code: how many come before each. Sorted by ranges; the driver gets a number a range."""
+    sorted_ = values.select(name).distinct().repartitionByRange(name).sortWithinPartitions(name)
+    rows = table(sorted_.select(name, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")), "numbered")
+    before, sizes = 0, {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts = []
+    for part in sorted(sizes):
+        starts.append((part, before))
+        before += sizes[part]
+    own = values.sparkSession.createDataFrame(starts, "part int, start long")
+    return rows.join(F.broadcast(own), "part").select(name, (F.col("start") + F.col("at")).alias("code"))  # a row a range
+
+
 def tag_codes(pages: DataFrame) -> DataFrame:
     """Host, n_pages, codes: the numbers (by name) of the tags that a host's pages have; pages: host, page, tag."""
-    codes = pages.select("tag").distinct().withColumn("code", F.row_number().over(Window.orderBy("tag")) - 1)  # a vocabulary of tags: small
-    out = pages.join(codes, "tag").groupBy("host").agg(F.countDistinct("page").alias("n_pages"), F.array_sort(F.collect_set("code")).alias("codes"))
+    out = pages.join(numbered(pages, "tag"), "tag").groupBy("host").agg(F.countDistinct("page").alias("n_pages"), F.array_sort(F.collect_set("code")).alias("codes"))
     return out.withColumn("codes", F.array_join(F.transform("codes", lambda c: c.cast("string")), " "))

@@ -278,13 +278,17 @@ def url_access_denied_by_robots(spark, sf_dir):
     return pages.join(denied.distinct(), "page_id", "left_semi").select("page_id", "url")
 
 
-@query("""
-SELECT * FROM (VALUES ('thther.example.org', 0, '*', 0, '/en/9', false, -1, -1), ('thther.example.org', 0, '*', 1, '/*/1*', false, -1, -1), ('thther.example.org', 0, '*', 2, '/', true, -1, -1),
-    ('thther.example.org', 1, 'otherbot', 0, '/en/1', true, 5, 10), ('thther.example.org', 1, 'otherbot', 1, '/fr/', false, 5, 10), ('thther.example.org', 1, 'otherbot', 2, '/en/*.html', false, 5, 10),
-    ('tionble.example.org', 0, '*', 0, '/de', false, -1, -1), ('tionble.example.org', 1, 'page', 0, '/', true, 9, -1),
-    ('therin.example.net', 0, '*', 0, '/', false, -1, -1)) AS t(host, entry_no, agent, rule_no, path_pattern, allow, delay, rate_seconds)""")
+@query(f"""
+WITH h AS (SELECT DISTINCT {SQL_HOST} AS host FROM pages)
+SELECT host, entry_no, agent, rule_no, path_pattern, allow, delay, rate_seconds FROM h JOIN (VALUES (0, 0, '*', 0, '/en/9', false, -1, -1), (0, 0, '*', 1, '/*/1*', false, -1, -1), (0, 0, '*', 2, '/', true, -1, -1),
+    (0, 1, 'otherbot', 0, '/en/1', true, 5, 10), (0, 1, 'otherbot', 1, '/fr/', false, 5, 10), (0, 1, 'otherbot', 2, '/en/*.html', false, 5, 10),
+    (1, 0, '*', 0, '/de', false, -1, -1), (1, 1, 'page', 0, '/', true, 9, -1), (2, 0, '*', 0, '/', false, -1, -1)) AS t(k, entry_no, agent, rule_no, path_pattern, allow, delay, rate_seconds) ON len(host) % 4 = k""")
 def robots_parse(spark, sf_dir):
-    found = _robots(spark).where("host in ('thther.example.org', 'tionble.example.org', 'therin.example.net', 'tionsh.example.net')")
+    """F18 of a file for every host that pages have."""
+    kind = F.length("host") % 4
+    hosts = read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host")).distinct()
+    body = F.when(kind == 0, ROBOTS.replace("pagewatch", "otherbot")).when(kind == 1, ROBOTS_ODD)
+    found = robots_rules(hosts.select("host", F.when(kind < 2, 200).when(kind == 2, 403).otherwise(404).alias("status"), body.alias("body")))
     return found.select("host", "entry_no", "agent", "rule_no", "path_pattern", "allow", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("delay", "rate_seconds")))
 
 
@@ -791,28 +795,45 @@ RULE_FILES = [
 ]
 
 
-@query("""
-SELECT * FROM (VALUES ('BLACK', '-', '-', 'casino'), ('BLACK', '-', '-', 'do=login'), ('ONLY', '-', '-', 'https?://www'), ('ALLOW', 'example.com', '-', '-'), ('ALLOW', 'example.org', '-', '-'), ('DENY', '.gov', '-', '-'),
-    ('WHITE', 'example.net', '/en', '-'), ('WHITE', 'example.net', '/fr', '-'), ('IP', '-', '-', '10.1.'), ('REDIRECT', 'login.example.edu', '/start', '-'), ('REDIRECT_DENY', 'x.example.edu', '', '-')) AS t(kind, host_suffix, path_prefix, pattern)""")
+def _rule_files(spark):
+    return files.rule_rows(spark.createDataFrame(RULE_FILES, "name string, body string"))
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {SQL_HOST} AS host, {SQL_PATH} AS path FROM pages)
+SELECT 'BLACK' AS kind, '-' AS host_suffix, '-' AS path_prefix, path AS pattern FROM p WHERE page_id % 5 = 0 UNION ALL SELECT 'WHITE', host, path, '-' FROM p WHERE page_id % 5 = 1
+UNION ALL SELECT 'DENY', host, '-', '-' FROM p WHERE page_id % 5 = 2 UNION ALL SELECT 'REDIRECT', host, path, '-' FROM p WHERE page_id % 5 = 3""")
 def rule_files(spark, sf_dir):
-    return files.rule_rows(spark.createDataFrame(RULE_FILES, "name string, body string")).fillna("-")
+    """A rule file for every page, one in five of which is broken; what isn't text in a list is no rule."""
+    host, path = urls.host(F.col("url")), urls.path(F.col("url"))
+    quoted = lambda c: F.replace(F.to_json(F.array(c)), F.lit("]"), F.lit(", null, 7]"))
+    of = F.concat(F.lit("{"), F.regexp_replace(F.to_json(F.array(host)), r"^\[|\]$", ""), F.lit(": "), quoted(path), F.lit("}"))
+    bodies = [("BLACK", quoted(path)), ("WHITE", of), ("DOMAIN", F.concat(F.lit('{"deny": '), quoted(host), F.lit("}"))), ("REDIRECT", F.concat(F.lit('{"allow": '), of, F.lit("}"))), ("LINK", F.concat(F.lit("{broken"), of))]
+    name, body = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (kind, made) in enumerate(bodies):
+        chosen = F.col("page_id") % len(bodies) == i
+        name, body = F.when(chosen, kind).otherwise(name), F.when(chosen, made).otherwise(body)
+    return files.rule_rows(read(spark, sf_dir, "pages").select(name.alias("name"), body.alias("body"))).fillna("-")
 
 
 @query(f"WITH p AS (SELECT page_id, url, {SQL_HOST} AS host, {SQL_PATH} AS path FROM pages) SELECT page_id, suffix(host, 'example.com') OR suffix(host, 'example.org') AS allowed, contains(url, 'casino') AS black, suffix(host, 'example.net') AND (starts_with(path, '/en') OR starts_with(path, '/fr')) AS white FROM p")
 def rule_file_matches(spark, sf_dir):
     """S8 into P1-P3: the files' rules on every page."""
-    own = rules.rule_set(rule_files(spark, sf_dir).replace("-", None))
+    own = rules.rule_set(_rule_files(spark))
     pages = read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
     black = F.exists(F.array(*map(F.lit, own["black"])), lambda b: F.contains(F.col("url"), b))
     return pages.select("page_id", rules.any_suffix(F.col("host"), own["allow"]).alias("allowed"), black.alias("black"), rules.any_pair(F.col("host"), F.col("path"), own["white"]).alias("white"))
 
 
-SETTINGS = ["# limits", "MAX_page=200*10", "MAX_time=60*60*24   # a day", "MAX_process=-3", "words=True", "scan=no idea", "", "SAVE_time=6*60*60"]
-
-
-@query("""SELECT * FROM (VALUES ('MAX_page', '200*10', 2000, false), ('MAX_time', '60*60*24', 86400, false), ('MAX_process', '-3', 5, false), ('words', 'True', -1, false), ('scan', 'no idea', -1, true), ('SAVE_time', '6*60*60', 21600, false)) AS t(key, value, number, problem)""")
+@query(f"""
+SELECT CASE page_id % 3 WHEN 0 THEN 'MAX_page_' WHEN 1 THEN 'flag_' ELSE 'odd_' END || page_id AS key, CASE page_id % 3 WHEN 0 THEN page_id || ' * -10' WHEN 1 THEN 'True' ELSE {SQL_HOST} END AS value,
+    CASE page_id % 3 WHEN 0 THEN page_id * -10 ELSE -1 END AS number, page_id % 3 = 2 AS problem FROM pages""")
 def settings_parse(spark, sf_dir):
-    return files.settings(spark.createDataFrame([(x,) for x in SETTINGS], "value string"), cores=8).fillna(-1, ["number"])
+    """A line for every page, with a comment that isn't part of it."""
+    n = F.col("page_id")
+    line = F.when(n % 3 == 0, F.concat(F.lit("MAX_page_"), n, F.lit(" = "), n, F.lit(" * -10"))).when(n % 3 == 1, F.concat(F.lit("flag_"), n, F.lit("=True"))).otherwise(F.concat(F.lit("odd_"), n, F.lit("="), urls.host(F.col("url"))))
+    lines = read(spark, sf_dir, "pages").select(F.concat(line, F.lit("   # of="), "url").alias("value"))
+    return files.settings(lines).fillna(-1, ["number"])
 
 
 def _sql_strange(url: str, special: str = "link") -> str:
@@ -945,10 +966,13 @@ def body_scan(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", scan(F.col("text"), SIGNATURES).alias("signature"))
 
 
-@query("SELECT 1 AS checks, true AS found")
+@query(f"""
+SELECT doc_id, strlen(text) + 3 < 25000000 AS found, contains(replace(replace(text, '#', ''), '!', ''), '###') AS mistaken FROM {SQL_DOCUMENTS}""")
 def scan_self_test(spark, sf_dir):
-    """Whether the signatures find the standard test body."""
-    return spark.range(1).select(F.lit(1).alias("checks"), self_test(SIGNATURES).alias("found"))
+    """Whether a signature is found behind every text, and none in a text without its characters."""
+    rows = _documents(spark, sf_dir)
+    bare = F.replace(F.replace("text", F.lit("#")), F.lit("!"))
+    return rows.select("doc_id", (scan(F.concat("text", F.lit("###")), SIGNATURES).isNotNull() & self_test(SIGNATURES)).alias("found"), scan(bare, SIGNATURES).isNotNull().alias("mistaken"))
 
 
 @query("""

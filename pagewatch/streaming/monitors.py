@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -85,7 +86,7 @@ def hash_changes(observed: DataFrame, days: float = 400) -> DataFrame:
     return observed.groupBy("url").applyInPandasWithState(_compare(days), STATUS, "hash string, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, label: str = "stream", make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, label: str = "stream", make: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> DataFrame:
     """ST4, ST8: all that is available now, as a table: each micro-batch (by make) is a part that a repeated attempt replaces."""
     folder = new_folder(stream.sparkSession, label)
     first = make(stream).schema if make else stream.schema
@@ -93,11 +94,42 @@ def run_to_table(stream: DataFrame, label: str = "stream", make: Callable[[DataF
     def write(batch: DataFrame, number: int) -> None:
         (make(batch) if make else batch).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(first).parquet(f"{folder}/out").drop("part")
 
 
+#: State that lies on the executors' disks and is saved by its changes, so that a batch costs what it changes.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state by STATE_STORE; then the session's settings hold again."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def changed_frequencies(docs: DataFrame) -> DataFrame:
+    """ST6, A2: of a stream of documents (doc_id, source, text) the host, word, df that a micro-batch changed; for update mode.
+
+    The state knows the words of each page, so that a page that comes twice counts once, and the frequencies so far. A
+    batch looks up its own words only.
+    """
+    words = terms.tokens(docs).select("host", "page", "word").dropDuplicates(["host", "page", "word"])
+    return words.groupBy("host", "word").agg(F.count("*").alias("df"))
+
+
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """ST6: host, word, df of a stream of documents (doc_id, source, text), exact: a page that comes twice counts once."""
-    found = run_to_table(docs, "word-pages", lambda batch: terms.counts(terms.tokens(batch)).select("host", "page", "word"))
-    return found.distinct().groupBy("host", "word").agg(F.count("*").alias("df"))
+    """ST6: host, word, df of a stream of documents, exact: the last of each word's changed frequencies, which only grow."""
+    with state_on_disk(docs.sparkSession):
+        changes = run_to_table(changed_frequencies(docs), "word-frequencies", mode="update")
+    return changes.groupBy("host", "word").agg(F.max("df").alias("df"))

@@ -100,3 +100,10 @@ def test_signature_parts(spark):
     row = spark.createDataFrame([("3:abcdefgh:xyzxyzxyz",), ("6:abc:",), (None,)], "s string").select(changes.signature_parts(F.col("s")).alias("p")).collect()
     assert {tuple(x) for x in row[0].p} == {(3, "abcdefg"), (3, "bcdefgh"), (6, "xyzxyzx"), (6, "yzxyzxy"), (6, "zxyzxyz")}
     assert row[1].p == [] and not row[2].p
+
+
+def test_numbered(spark):
+    words = [f"w{i:04d}" for i in range(500)] + ["a", "z", "w0001"]
+    rows = spark.createDataFrame([(w,) for w in words], "tag string").repartition(5)
+    assert {r.tag: r.code for r in history.numbered(rows, "tag").collect()} == {w: i for i, w in enumerate(sorted(set(words)))}
+    assert history.numbered(rows.where("false"), "tag").count() == 0

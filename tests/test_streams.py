@@ -19,6 +19,19 @@ def test_pages_that_come_twice_count_once(spark, tmp_path):
     assert {(r.word, r.df) for r in monitors.document_frequencies(stream).collect()} == {("aa", 2), ("bb", 1)}
 
 
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    texts = {0: "aa bb cc dd", 1: "aa ee", 2: "aa", 3: "ee ff"}
+    for i, text_ in texts.items():
+        spark.createDataFrame([(i if i < 2 else 1, "h", text_)], "doc_id long, source string, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    stream = spark.readStream.schema("doc_id long, source string, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with monitors.state_on_disk(spark):
+        written = monitors.run_to_table(monitors.changed_frequencies(stream), "changes", mode="update")
+    assert written.count() == 4 + 2 + 1  # page 1 comes three times, with one new word after the first
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    assert {(r.word, r.df) for r in monitors.document_frequencies(stream).collect()} == {("aa", 2), ("bb", 1), ("cc", 1), ("dd", 1), ("ee", 1), ("ff", 1)}
+
+
 def test_states_go_when_nothing_comes(spark, tmp_path):
     import datetime
     import os
