@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from pagewatch.functions import text, urls
 from pagewatch.operators import changes, history, placement
-from pagewatch.plans.catalogue import query, read
-from pagewatch.sources.folders import table
+from pagewatch.plans.catalogue import SQL_CRAWL, query, read
+from pagewatch.sources import commits
+from pagewatch.sources.folders import new_folder, table
+from pagewatch.streaming import crawling
 
 #: What stands before the first tag of that kind in a page, by page_id modulo 5; the others stay as they are.
 PLACED = [("<p>", '<iframe src="/ad" width="300" height="200"></iframe>'), ("</body>", '<iframe src="http://x.example.edu/" width="0" height="0"></iframe>')]
@@ -121,3 +123,29 @@ def js_hash_status(spark, sf_dir):
     old = pages.where("page_id % 4 <> 1").withColumn("html", F.when(F.col("page_id") % 6 == 0, F.replace("html", F.lit("</script>"), F.lit(";x()</script>"))).otherwise(F.col("html")))
     found = changes.as_of(run(pages, "2024-01-02"), run(old, "2024-01-01"), ["hash"])
     return found.select("page_id", "pos", changes.status(F.col("hash"), F.col("before_hash")).alias("status"))
+
+
+@query(f"WITH RECURSIVE {SQL_CRAWL} SELECT node, min(hop) AS hop FROM r GROUP BY node")
+def crawl_stateful(spark, sf_dir):
+    """ST1 over the links of crawl_frontier: ten hosts, each with its own queue, run after run until nothing is found."""
+    pages = read(spark, sf_dir, "pages").select("page_id")
+    n = pages.agg((F.max("page_id") + 1).alias("n"), F.min("page_id").alias("node"))
+    sized = pages.join(F.broadcast(n.select("n")), F.col("page_id") < F.col("n"))  # one row
+    links = sized.select(F.col("page_id").alias("src"), F.explode(F.array((F.col("page_id") * 2 + 1) % F.col("n"), F.col("page_id") * 3 % F.col("n"))).alias("dst"))
+    named = links.select(F.col("src").cast("string").alias("src"), (F.col("dst") % 10).cast("string").alias("to_host"), F.col("dst").cast("string").alias("dst"))
+    seeds = n.select((F.col("node") % 10).cast("string").alias("host"), F.col("node").cast("string").alias("url"))
+    found = crawling.crawl(seeds, table(named, "links"), new_folder(spark, "crawl"))
+    return found.select(F.col("url").cast("long").alias("node"), "hop")
+
+
+@query("SELECT page_id, 2 AS version, sha256(html) AS hash FROM pages")
+def state_committed(spark, sf_dir):
+    """Two states of all pages are published, a third is torn; read is the second."""
+    pages = read(spark, sf_dir, "pages").select("page_id", history.body_hash(F.col("html")).alias("hash"))
+    state = commits.Versions(spark, new_folder(spark, "versions"))
+    state.publish(pages.withColumn("hash", F.lit("old")))
+    state.publish(pages)
+    torn = state.publish(pages.withColumn("hash", F.lit("torn")))
+    state.damage(torn)
+    number, found = state.newest()
+    return found.select("page_id", F.lit(number).alias("version"), "hash")
