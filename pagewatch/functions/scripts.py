@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewatch.functions.names import unused
+
 
 def count_of(text: Column, char_class: str) -> Column:
     """Characters of a class; the others go by whole runs."""
@@ -25,8 +27,9 @@ def counts(text: Column) -> dict[str, Column]:
 
 def with_features(rows: DataFrame, text: str) -> DataFrame:
     """rows, two lengths and eighteen features; of nothing, all is blank. The counts are made in one projection, what follows from them in others."""
-    rows = rows.withColumn("_counts", F.array(F.struct(*(c.alias(n) for n, c in counts(F.col(text)).items()))))
-    rows = rows.select("*", F.explode("_counts").alias("_c")).drop("_counts").select("*", "_c.*").drop("_c")  # an explode keeps the projections apart
+    several, one = unused(rows, "counts", "c")
+    rows = rows.withColumn(several, F.array(F.struct(*(c.alias(n) for n, c in counts(F.col(text)).items()))))
+    rows = rows.select("*", F.explode(several).alias(one)).drop(several).select("*", f"{one}.*").drop(one)  # an explode keeps the projections apart
     rows = rows.withColumns({"symbols": F.col("visible_len") - F.col("alphabets") - F.col("numbers"), "blank": F.col("src_len") - F.col("visible_len")})
     out = {}
     for suffix, whole in (("per", "src_len"), ("pew", "visible_len")):
@@ -39,11 +42,12 @@ def with_features(rows: DataFrame, text: str) -> DataFrame:
 
 
 def verdict(line: Column, chars: Column, words: Column) -> Column:
-    """kind and branch of the tree; a ratio to nothing matches no bound."""
+    """kind and branch of the tree; a ratio to nothing matches no bound. Null for a null text's features."""
     ratio = F.try_divide(line.cast("double"), chars.cast("double"))
     # fixed values: the published tree's thresholds
     return (
-        F.when(line < 400, "NORMAL")
+        F.when(line.isNull(), None)
+        .when(line < 400, "NORMAL")
         .when((line < 2000) & (ratio < 200), "RANDOM1")
         .when((line < 2000) & (chars < words), "RANDOM2")
         .when(line < 2000, "ENCODE5")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewatch.functions.names import unused
+
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -120,15 +122,16 @@ def with_normal(rows: DataFrame, link: str, page: str, name: str) -> DataFrame:
 
     In steps, so that what several parts need is computed once.
     """
-    rows = rows.withColumn("_to", replace_entities(F.col(link)))
-    rows = rows.withColumn("_full", absolute(F.col("_to"), F.col(page))).drop("_to")
-    rows = rows.withColumn("_full", F.replace(F.split_part("_full", F.lit("#"), F.lit(1)), F.lit("?&"), F.lit("?")))
-    rows = rows.withColumns({"_root": F.regexp_extract("_full", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), "_route": path(F.col("_full")), "_query": query(F.col("_full"))})
-    n_mark, n_and, n_is = (F.length("_full") - F.length(F.replace("_full", F.lit(c), F.lit(""))) for c in "?&=")
-    plain = (n_mark == 1) & ~F.contains("_query", F.lit("&&")) & ~F.contains("_query", F.lit("==")) & (n_is == n_and + 1)
-    made = F.concat("_root", resolve_dots(F.col("_route")), F.when(plain, F.concat(F.lit("?"), F.col("_query"))).otherwise(""))
+    to, full, root, route, ask, one = unused(rows, "to", "full", "root", "route", "query", "made")
+    rows = rows.withColumn(to, replace_entities(F.col(link)))
+    rows = rows.withColumn(full, absolute(F.col(to), F.col(page))).drop(to)
+    rows = rows.withColumn(full, F.replace(F.split_part(full, F.lit("#"), F.lit(1)), F.lit("?&"), F.lit("?")))
+    rows = rows.withColumns({root: F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), route: path(F.col(full)), ask: query(F.col(full))})
+    n_mark, n_and, n_is = (F.length(full) - F.length(F.replace(full, F.lit(c), F.lit(""))) for c in "?&=")
+    plain = (n_mark == 1) & ~F.contains(ask, F.lit("&&")) & ~F.contains(ask, F.lit("==")) & (n_is == n_and + 1)
+    made = F.concat(root, resolve_dots(F.col(route)), F.when(plain, F.concat(F.lit("?"), F.col(ask))).otherwise(""))
     # exploding one value keeps later filters above it; pushed down, they would hold all of this several times
-    return rows.withColumn("_made", F.array(made)).drop(name).select("*", F.explode("_made").alias(name)).drop("_made", "_full", "_root", "_route", "_query")
+    return rows.withColumn(one, F.array(made)).drop(name).select("*", F.explode(one).alias(name)).drop(one, full, root, route, ask)
 
 
 def script_url(src: Column, page: Column) -> Column:

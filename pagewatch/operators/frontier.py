@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewatch.functions.names import unused
 from pagewatch.sources.folders import table
 
 
@@ -29,8 +30,9 @@ def first_pages(reached: DataFrame, most: int) -> DataFrame:
 
 def saves(visits: DataFrame, every: int) -> DataFrame:
     """T8, ST8: visits (ts in seconds) and part: the span of `every` seconds since the first visit after which the state is saved."""
-    start = visits.agg(F.min("ts").alias("_start"))
-    return visits.join(F.broadcast(start), F.col("ts") >= F.col("_start")).withColumn("part", F.floor((F.col("ts") - F.col("_start")) / every)).drop("_start")
+    (first,) = unused(visits, "start")
+    start = visits.agg(F.min("ts").alias(first))
+    return visits.join(F.broadcast(start), F.col("ts") >= F.col(first)).withColumn("part", F.floor((F.col("ts") - F.col(first)) / every)).drop(first)
 
 
 def schedule(hosts: DataFrame, most: int) -> DataFrame:

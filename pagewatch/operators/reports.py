@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewatch.functions.names import unused
+
 from pagewatch.operators.history import stringified
 
 #: Shares of CPU and MB of memory over which a page overworks its machine.
@@ -90,9 +92,10 @@ def switched(found: DataFrame, settings: DataFrame) -> DataFrame:
     """Alerts but those that the settings (key, value) switch off; a switch that they don't name is on."""
     pairs = [(key, kind) for key, kinds in SWITCHES.items() for kind in kinds]
     known = found.sparkSession.createDataFrame(pairs, "key string, kind string")
-    off = known.join(settings.where("lower(value) = 'false'").select("key"), "key").select("kind")
-    kind = F.regexp_replace("alert_type", "^TEST_", "")
-    return found.withColumn("kind", kind).join(F.broadcast(off), "kind", "left_anti").drop("kind")  # at most as many rows as SWITCHES has
+    (of,) = unused(found, "kind")
+    off = known.join(settings.where("lower(value) = 'false'").select("key"), "key").select(F.col("kind").alias(of))
+    rows = found.withColumn(of, F.regexp_replace("alert_type", "^TEST_", ""))
+    return rows.join(F.broadcast(off), of, "left_anti").drop(of)  # at most as many rows as SWITCHES has
 
 
 def strange_sets(rows: DataFrame, is_strange: Column) -> DataFrame:

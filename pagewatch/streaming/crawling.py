@@ -80,7 +80,9 @@ def _batch(number: int, batch: DataFrame, links: DataFrame, folder: str) -> None
     mine = spark.read.schema(GIVEN).parquet(f"{folder}/given/part={number}")
     new = mine.where("url is not null").join(links, F.col("url") == F.col("src")).groupBy(F.col("to_host").alias("host"), F.col("dst").alias("url")).agg((F.min("hop") + 1).alias("hop"), (F.max("ts") + 1).alias("ts"))
     wait = mine.where("waiting > 0").groupBy("host").agg((F.max("ts") + 1).alias("ts")).selectExpr("host", "cast(null as string) url", "0 hop", "ts")
-    new.unionByName(wait).select("host", "url", F.col("hop").cast("int").alias("hop"), "ts").write.mode("overwrite").parquet(f"{folder}/found/after={number}")
+    found = new.unionByName(wait).select("host", "url", F.col("hop").cast("int").alias("hop"), "ts")
+    if not found.isEmpty():  # a folder without rows would call for another run
+        found.write.mode("overwrite").parquet(f"{folder}/found/after={number}")
 
 
 def given(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,19 +104,16 @@ def crawl(seeds: DataFrame, links: DataFrame, folder: str, limits: Limits = Limi
         first = seeds.where("url is not null").select("host", "url", F.lit(0).alias("hop"), F.lit(0).cast("long").alias("ts")).distinct()
         first.write.mode("overwrite").parquet(f"{folder}/found/after=seeds")
     known = links.select("src", "to_host", "dst").where("dst is not null")
-    runs = 0
-    while most_runs is None or runs < most_runs:
-        runs += 1
-        found = spark.readStream.schema(FOUND).parquet(f"{folder}/found/*")
-        rows = found.groupBy("host").transformWithStateInPandas(_Host(limits), outputStructType=GIVEN, outputMode="Update", timeMode="None")
-        began = []
-
-        def write(batch: DataFrame, number: int, began=began) -> None:
-            _batch(number, batch, known, folder)
-            began.append(number)
-
-        with state_on_disk(spark):
-            rows.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-        if not began or spark.read.schema(FOUND).parquet(*(f"{folder}/found/after={n}" for n in began)).isEmpty():
-            break
+    found = spark.readStream.schema(FOUND).parquet(f"{folder}/found/*")
+    rows = found.groupBy("host").transformWithStateInPandas(_Host(limits), outputStructType=GIVEN, outputMode="Update", timeMode="None")
+    stream = rows.writeStream.foreachBatch(lambda batch, number: _batch(number, batch, known, folder)).outputMode("update").option("checkpointLocation", f"{folder}/state")
+    with state_on_disk(spark):
+        if most_runs is None:
+            crawling = stream.start()
+            try:
+                crawling.processAllAvailable()  # what a run finds is there before the next one looks
+            finally:
+                crawling.stop()
+        for _ in range(most_runs or 0):
+            stream.trigger(availableNow=True).start().awaitTermination()
     return given(spark, folder)
