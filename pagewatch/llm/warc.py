@@ -36,6 +36,11 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
+def disk_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a uri and the path there. s3a, as Spark calls it, is s3 to pyarrow."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
+
+
 def _uri(url: str) -> str:
     return _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)
 
@@ -116,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     rows = own.join(first, ["sha", "size"], "left").select("page_id", "url", "payload", "first", "first_url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, root = fs.FileSystem.from_uri(folder)
+        disk, root = disk_of(folder)
         out = name = None
         at = 0
         try:
@@ -140,7 +145,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
             if out:
                 out.close()
 
-    disk, root = fs.FileSystem.from_uri(folder)
+    disk, root = disk_of(folder)
     disk.create_dir(root, recursive=True)
     return table(rows.mapInArrow(write, "key string, file string, offset long, length long"), "captures")
 
@@ -152,7 +157,7 @@ def write_index(captures: DataFrame, folder: str) -> list[tuple[str, str]]:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, root = fs.FileSystem.from_uri(folder)
+        disk, root = disk_of(folder)
         name, directory, held, at = f"{uuid.uuid4().hex}.idx", [], [], 0
         with disk.open_output_stream(f"{root}/{name}", compression=None) as out:
 
@@ -185,7 +190,7 @@ class Reader:
     """Finds captures by key. Keys that come in order find the same block again."""
 
     def __init__(self, folder: str, files: list[tuple[str, str]]):
-        self.disk, self.root = fs.FileSystem.from_uri(folder)
+        self.disk, self.root = disk_of(folder)
         self.files, self.firsts = files, [k.encode() for k, _ in files]
         self.open, self.directory, self.block = {}, {}, {}
 
