@@ -61,6 +61,21 @@ def test_alike_finds_every_pair_with_a_score(spark):
     assert changes.alike(frame([]), frame(before)).count() == 0
 
 
+def test_alike_where_all_share_a_passage(spark, monkeypatch):
+    """Runs are never broadcast, and a run that all signatures have is dealt into blocks."""
+    monkeypatch.setattr(changes, "BLOCK", 16)
+    monkeypatch.setattr(changes, "PAIRS", 100)
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    signed = [f"{rng.choice([3, 6, 48])}:{some(rng.choice([0, 1, 20]))}PASSAGES{some(rng.choice([0, 5, 50]))}:{some(6)}PASSAGES" for _ in range(160)] + ["3:" + "a" * 70 + "PASSAGES:b", "3:xPASSAGES?:b"]
+    now, before = signed[::2], signed[1::2]
+    frame = lambda rows: spark.createDataFrame([(s,) for s in rows], "signature string")
+    for least in (1, 60):
+        got = changes.alike(frame(now), frame(before), least)
+        assert {tuple(r) for r in got.collect()} == {(a, b, s) for a in now for b in before if (s := text.fuzzy_score_of(a, b)) >= least}
+        assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("old", "new", "expected"), [
     ("a b c d", "a b X d", [("modified", ["c"], ["X"])]), ("a b c", "a c", [("delete", ["b"], [])]), ("a c", "a b c", [("add", [], ["b"])]), ("", "a", [("add", [], ["a"])]), ("a a b", "a b", [("delete", ["a"], [])]),
     ("f { x } g { y }", "f { x } h { z } g { y }", [("add", [], ["h", "{", "z", "}"])]), ("1 a 2 b 3", "b 2 a", None),
