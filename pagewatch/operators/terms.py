@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewatch.functions.names import unused
 from pagewatch.functions.text import every_word, is_counted
 
 
@@ -66,6 +67,19 @@ def lacks_frequent(known: Column, is_new: Column, least: int = 6) -> Column:
     return (known < least) & is_new
 
 
+def contenders(counted: DataFrame, has_default: Column, most: int = 10) -> DataFrame:
+    """Those of counts() that can be among a page's `most` top_terms(); the others' idf need not be known. Each page keeps some.
+
+    has_default: words that have no idf, and so the default, which no idf is over. What is rarer than `most` of these comes
+    after them, unless the scores are as near as their rounding, for which 2e-6 of the page's words are allowed.
+    """
+    page, low, place = Window.partitionBy("host", "page"), *unused(counted, "default_n", "default_place")
+    placed = counted.withColumn(low, F.when(has_default, F.col("n")).otherwise(0)).withColumn(place, F.row_number().over(page.orderBy(F.desc(low))))
+    least = F.coalesce(F.max(F.when(F.col(place) == most, F.col(low))).over(page), F.lit(0))
+    total = F.sum("n").over(page)
+    return placed.withColumns({low: least, place: total}).where(F.col("n") + 2e-6 * F.col(place) >= F.col(low)).withColumnRenamed(place, "total").drop(low)
+
+
 def top_terms(tf: DataFrame, idf: DataFrame, pages: DataFrame, most: int = 10) -> DataFrame:
     """Host, page, word, tfidf, rank; a word without idf has its host's default, ln(n_pages) + 1."""
     scored = tf.join(idf, ["host", "word"], "left").join(pages, "host")

@@ -93,6 +93,22 @@ def test_history(spark):
     assert {r.url for r in history.new_values(now.select("url"), old.select("url")).collect()} == {"c", "d"}
 
 
+def test_contenders_have_the_top_terms(spark):
+    rng = random.Random(4)
+    rows = [("h", page, rng.choice("the of to in word longer wordier other".split() + [f"long{rng.randint(0, 40)}"])) for page in range(30) for _ in range(rng.choice([2, 10, 200]))]
+    counted = terms.counts(spark.createDataFrame(rows, "host string, page int, word string"))
+    near = [("h", 99, "the", 3_000_000), ("h", 99, "aword", 2_999_999), ("h", 99, "rare", 5)]  # the first two round alike
+    counted = counted.unionByName(spark.createDataFrame(near, "host string, page int, word string, n long"))
+    pages = terms.page_counts(counted)
+    idf = terms.inverse_frequency(terms.document_frequency(counted), pages).where("length(word) > 3")
+    for most in (1, 3, 10):
+        first = terms.contenders(counted, F.length("word") <= 3, most)
+        assert terms.page_counts(first).first() == pages.first()
+        got = terms.top_terms(first.select("host", "page", "word", (F.col("n") / F.col("total")).alias("tf")), idf, pages, most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, terms.top_terms(terms.term_frequency(counted), idf, pages, most).collect()))
+    assert {r.word for r in terms.contenders(counted, F.length("word") <= 3, 1).where("page = 99").collect()} == {"the", "aword"}
+
+
 def test_terms(spark):
     docs = spark.createDataFrame([(1, "h", "aa aa bb"), (2, "h", "bb cc"), (3, "h", "")], "doc_id long, source string, text string")
     counted = terms.counts(terms.tokens(docs))
