@@ -36,6 +36,12 @@ def page_counts(counted: DataFrame) -> DataFrame:
     return counted.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
 
 
+def text_counts(docs: DataFrame, page: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """page_counts() from texts: a search that ends at the first word that counts, as tokens() has it."""
+    found = docs.where(F.lower(F.col(text)).rlike(r"[\p{L}\p{N}&&[^0-9a-z]]|[a-z][\p{L}\p{N}]|[\p{L}\p{N}][a-z]"))
+    return found.select(F.col(host).alias("host"), F.col(page).alias("page")).distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+
+
 def merge_frequencies(*parts: DataFrame) -> DataFrame:
     """A3."""
     every = parts[0]

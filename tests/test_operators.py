@@ -109,6 +109,12 @@ def test_contenders_have_the_top_terms(spark):
     assert {r.word for r in terms.contenders(counted, F.length("word") <= 3, 1).where("page = 99").collect()} == {"the", "aword"}
 
 
+def test_pages_with_words_from_their_texts(spark):
+    some = ["", "1", "12 3", "a", "a b 9", "A.B", "1a", "a1", "é", "É 1", "ab", "٣", "1٣", "a-é", "aé", "ß", "--", "x 1 yz", None, "İ", "K", "中"]
+    docs = spark.createDataFrame([(i, f"h{i}", t) for i, t in enumerate(some)] + [(1, "h20", "word"), (20, "h20", "again")], "doc_id int, source string, text string")
+    assert sorted(map(tuple, terms.text_counts(docs).collect())) == sorted(map(tuple, terms.page_counts(terms.counts(terms.tokens(docs))).collect()))
+
+
 def test_terms(spark):
     docs = spark.createDataFrame([(1, "h", "aa aa bb"), (2, "h", "bb cc"), (3, "h", "")], "doc_id long, source string, text string")
     counted = terms.counts(terms.tokens(docs))
